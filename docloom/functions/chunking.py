@@ -170,3 +170,14 @@ def page_marker(c: Column) -> Column:
     """Page number named by a marker in the text, else null."""
     groups = [F.nullif(F.regexp_extract(c, PAGE_MARKER, g), F.lit("")) for g in (1, 2, 3)]
     return F.coalesce(*groups).try_cast("int")
+
+
+def carried_pages(chunks: Column) -> Column:
+    """Page of each chunk of one text: the last marker so far, else 1."""
+    start = F.struct(F.array().cast("array<int>").alias("pages"), F.lit(1).alias("page"))
+
+    def step(state: Column, marker: Column) -> Column:
+        page = F.coalesce(marker, state["page"])
+        return F.struct(F.array_append(state["pages"], page).alias("pages"), page.alias("page"))
+
+    return F.aggregate(F.transform(chunks, page_marker), start, step, lambda s: s["pages"])

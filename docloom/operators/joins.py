@@ -47,7 +47,7 @@ def preview(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     blank = F.coalesce(F.col("markdown_content"), F.lit("")) == ""
     bare = docs.filter(blank).select("document_id")
     joined = (
-        chunks.join(bare, "document_id", "left_semi").groupBy("document_id")
+        chunks.filter(F.coalesce("content", F.lit("")) != "").join(bare, "document_id", "left_semi").groupBy("document_id")
         .agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("_parts"))
         .select("document_id", F.array_join(F.transform("_parts", lambda p: p["content"]), "\n\n").alias("_joined"))
     )

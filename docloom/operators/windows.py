@@ -132,3 +132,26 @@ def adjacent(df: DataFrame, doc: str, idx: str, vector: str) -> DataFrame:
     """Previous vector of the same document next to each row's own."""
     w = Window.partitionBy(doc).orderBy(idx)
     return df.withColumn("previous", F.lag(vector).over(w))
+
+
+def working_memory(turns: DataFrame, max_turns: int = 10) -> DataFrame:
+    """Text that a task's next turn starts from, after each turn.
+
+    ``turns``: task_id, turn_number, directive, action, outcome, last_error.
+    A task has at most ``max_turns`` turns, so the history per row is short.
+    """
+    w = Window.partitionBy("task_id").orderBy("turn_number").rowsBetween(-(max_turns - 1), 0)
+    line = F.concat(
+        F.lit("  Turn "), F.col("turn_number").cast("string"), F.lit(":\n    Action: "), F.col("action"),
+        F.lit("\n    Outcome: "), F.col("outcome"),
+    )
+    text = F.concat(
+        F.lit("--- WORKING MEMORY (Turn "), (F.col("turn_number") + 1).cast("string"), F.lit(f"/{max_turns}) ---\n"),
+        F.lit("Original User Directive: "), F.col("directive"), F.lit("\n\nPrevious Turns History:\n"),
+        F.array_join(F.collect_list(line).over(w), "\n"),
+        F.coalesce(
+            F.concat(F.lit("\n\n[WARNING] Last execution encountered an error:\n  "), F.substring("last_error", 1, 500)),
+            F.lit(""),
+        ),
+    )
+    return turns.withColumn("memory", text)

@@ -15,7 +15,6 @@ from ..functions.embedding import Embedder, adjacent_similarity, embed
 from ..functions.numbers import chunk_fingerprint, content_hash, embedding_fingerprint, token_count
 from ..functions.text import enriched, placeholder_summary, sanitize
 from ..operators.dedup import dedup_chunks, insert_if_absent
-from ..operators.windows import page_numbers
 from .quality import quality
 
 MODEL = "text-embedding-3-small"
@@ -49,17 +48,20 @@ def semantic_chunks(text: Column, fn: Embedder | None = None, max_size: int = 10
     return run
 
 
-def chunk_records(docs: DataFrame, chunks: Column, pages: bool = True) -> DataFrame:
+def chunk_records(docs: DataFrame, chunks: Column) -> DataFrame:
     """One row per chunk with index, hash, fingerprint, tokens and page."""
-    rows = docs.select("document_id", "project_id", F.posexplode(chunks).alias("chunk_index", "content"))
+    numbered = F.arrays_zip(chunks.alias("content"), ck.carried_pages(chunks).alias("page_number"))
+    rows = docs.select("document_id", "project_id", F.posexplode(numbered).alias("chunk_index", "_c"))
+    rows = rows.select("document_id", "project_id", "chunk_index", "_c.*").toDF(
+        "document_id", "project_id", "chunk_index", "content", "page_number"
+    )
     rows = rows.withColumn("chunk_hash", content_hash(F.col("content")))
-    rows = rows.withColumns({
+    return rows.withColumns({
         "chunk_fingerprint": chunk_fingerprint(F.col("document_id"), F.col("chunk_index"), F.col("chunk_hash")),
         "token_count": token_count(F.col("content")),
         "embed_status": F.lit("pending"),
         "chunk_source": F.lit("auto"),
     })
-    return page_numbers(rows) if pages else rows
 
 
 def enrich(chunks: DataFrame, docs: DataFrame) -> DataFrame:

@@ -89,7 +89,7 @@ def choose_extraction(candidates: DataFrame) -> DataFrame:
     wide = graded.groupBy("document_id").agg(
         F.first("start_profile").alias("start_profile"),
         *[F.max(F.when(F.col("profile") == p, facts)).alias(p) for p in (BOOK, SLIDE, SCAN)],
-        F.max(F.when(F.col("profile") == "RAW", F.col("text"))).alias("raw"),
+        F.max(F.when(F.col("profile") == "RAW", facts)).alias("raw"),
     )
 
     def facts_of(profile: Column) -> Column:
@@ -105,12 +105,12 @@ def choose_extraction(candidates: DataFrame) -> DataFrame:
     w = w.withColumn("_p2", following(F.col("_p1"))).withColumn("_p3", following(F.col("_p2")))
     last = facts_of(F.col("_p3"))
     tries = 1 + (F.col("_p2") != F.col("_p1")).cast("int") + (F.col("_p3") != F.col("_p2")).cast("int")
-    longer = F.length(strip(F.coalesce("raw", F.lit("")))) > F.length(F.coalesce(last["text"], F.lit("")))
+    longer = F.length(strip(F.coalesce("raw.text", F.lit("")))) > F.length(F.coalesce(last["text"], F.lit("")))
     raw = (~last["is_acceptable"]) & (last["action"] == "FALLBACK_PYPDF") & longer
     return w.select(
         "document_id",
         F.when(raw, F.lit("RAW")).otherwise(F.col("_p3")).alias("profile"),
-        F.when(raw, F.col("raw")).otherwise(last["text"]).alias("text"),
+        F.when(raw, F.col("raw.text")).otherwise(last["text"]).alias("text"),
         tries.alias("attempts"),
-        last["is_acceptable"].alias("accepted"),
+        F.when(raw, F.col("raw.is_acceptable")).otherwise(last["is_acceptable"]).alias("accepted"),
     )

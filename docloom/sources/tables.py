@@ -65,7 +65,7 @@ def parse_jsonl(df: DataFrame, text: str, schema: str) -> DataFrame:
     line = strip(F.regexp_replace(F.regexp_replace(line, "^```json", ""), "```$", ""))
     rows = df.withColumn("_line", F.explode(F.split(F.col(text), "\r\n|\n|\r")))
     parsed = rows.filter(strip(F.col("_line")) != "").withColumn(
-        "_ok", F.is_variant_null(F.try_parse_json(line)).isNotNull()
+        "_ok", F.try_parse_json(line).isNotNull()
     )
     return parsed.filter("_ok").withColumn("row", F.from_json(line, schema)).drop("_line", "_ok")
 
