@@ -1 +1,215 @@
+"""Event flows: batch twins and streaming jobs over the events table."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fixed_values as fv
+from ..plans import ingest as ing
+from ..session import shared_dir
+from ..sources.tables import SCHEMAS
+from ..streaming import events as ev, limits as lm
+from .base import load, query
+
+
+
+def _utc(spark, d) -> DataFrame:
+    """Events with instants instead of wall-clock times."""
+    return load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """One table as a stream of files."""
+    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+
+
+def _run_dir(spark: SparkSession) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
+
+
+_ENVELOPE = "value BETWEEN 0 AND 100 AND event_type <> 'signup'"
+
+
+def _envelopes(e: DataFrame) -> DataFrame:
+    return e.select(
+        F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("seq_num"),
+        F.when(F.col("event_type") != "signup", F.col("user_id").cast("string")).alias("task_id"),
+        F.col("event_type").alias("project_id"), F.col("value").alias("actual_progress"),
+    )
+
+
+@query("stm1_event_stream", f"""
+    SELECT event_id::VARCHAR AS event_id, event_id AS seq_num, user_id::VARCHAR AS task_id, event_type AS project_id, value AS actual_progress FROM events WHERE {_ENVELOPE}""")
+def _(spark, d):
+    base = _run_dir(spark)
+    ev.write_events(_envelopes(_stream(spark, d, "events")), f"{base}/out", f"{base}/ckpt").awaitTermination()
+    schema = "event_id string, seq_num long, task_id string, actual_progress double, project_id string"
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+@query("stm2_latest_snapshot", """
+    SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+    WHERE rn = 1 AND ts > TIMESTAMP '2024-01-31' - INTERVAL 12 HOUR""")
+def _(spark, d):
+    t = ev.latest_state(_utc(spark, d), "user_id", "event_id", "ts", F.lit("2024-01-31").cast("timestamp"), ttl=43200)
+    return t.select("user_id", "event_id", "event_type")
+
+
+@query("stm2_latest_snapshot_stream", """
+    SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1""")
+def _(spark, d):
+    base = _run_dir(spark)
+    src = _stream(spark, d, "events").withColumnRenamed("event_type", "status")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    job = ev.latest_stream(src, "user_id", "event_id").writeStream.outputMode("update").foreachBatch(keep)
+    job.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("user_id long, event_id long, status string, batch int").parquet(f"{base}/out")
+    return out.groupBy("user_id").agg(F.max_by(F.struct("event_id", "status"), "event_id").alias("s")).select("user_id", "s.*")
+
+
+@query("stm3_upload_rate_limit")
+def _(spark, d):
+    t = load(spark, d, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("project_id"))
+    return lm.upload_limits(t, user_limit=2, project_limit=10, seconds=3600).select("event_id", "allowed", "reason")
+
+
+@query("stm3_key_limit_stream")
+def _(spark, d):
+    base = _run_dir(spark)
+    job = lm.limit_stream(_stream(spark, d, "events"), "user_id", 2, 3600).writeStream.format("parquet")
+    job.option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, us long, allowed boolean").parquet(f"{base}/out")
+
+
+@query("stm4_chat_limits")
+def _(spark, d):
+    t = load(spark, d, "events").select("event_id", "ts", "user_id", F.col("value").alias("duration_s"))
+    return lm.chat_limits(t, concurrent=1, minute=2, day=5).select("event_id", "allowed", "reason")
+
+
+@query("stm4_window_flags", """
+    SELECT event_id, last_minute, last_day, last_minute > 1 OR last_day > 4 AS over_limit FROM (SELECT event_id, user_id,
+      count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS last_minute,
+      count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS last_day FROM events)""")
+def _(spark, d):
+    t = lm.window_flags(load(spark, d, "events").select("event_id", "ts", "user_id"), 1, 4)
+    return t.select("event_id", "last_minute", "last_day", "over_limit")
+
+
+_RATES = """
+    SELECT w AS window_start, w + INTERVAL 5 MINUTE AS window_end, event_type, count(*) AS events, count(*) / 300.0::DOUBLE AS rate, avg(value) AS mean_value
+    FROM (SELECT *, unnest(list_transform([0, 1, 2, 3, 4], lambda k: date_trunc('minute', ts) - to_minutes(k))) AS w FROM events) GROUP BY 1, 2, 3"""
+
+
+@query("stm5_sliding_rates", f"""
+    SELECT strftime(window_start, '%Y-%m-%d %H:%M') AS started, event_type, events, round(rate, 9) AS rate, round(mean_value, 6) AS mean_value FROM ({_RATES})""")
+def _(spark, d):
+    t = ev.rates(_utc(spark, d), ["event_type"], value="value")
+    return t.select(
+        F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("started"), "event_type", "events",
+        F.round("rate", 9).alias("rate"), F.round("mean_value", 6).alias("mean_value"),
+    )
+
+
+@query("stm5_sliding_rates_stream", f"""
+    SELECT strftime(window_start, '%Y-%m-%d %H:%M') AS started, event_type, events FROM ({_RATES})
+    WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def _(spark, d):
+    base = _run_dir(spark)
+    src = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    job = ev.rates(src, ["event_type"], value="value").writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+    job.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    schema = "window_start timestamp, window_end timestamp, event_type string, events long, rate double, mean_value double"
+    out = spark.read.schema(schema).parquet(f"{base}/out")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("started"), "event_type", "events")
+
+
+@query("stm6_sustained_alerts", f"""
+    WITH o AS (SELECT *, epoch(window_end)::BIGINT // 60 AS m FROM ({_RATES}) WHERE rate > 0.003),
+    i AS (SELECT *, m - row_number() OVER (PARTITION BY event_type ORDER BY m) AS isl FROM o)
+    SELECT strftime(window_start, '%Y-%m-%d %H:%M') AS started, event_type, minutes_over FROM (SELECT *, row_number() OVER (PARTITION BY event_type, isl ORDER BY m) - 1 AS minutes_over FROM i) WHERE minutes_over >= 5""")
+def _(spark, d):
+    t = ev.alerts(ev.rates(_utc(spark, d), ["event_type"]), ["event_type"], 0.003, 5)
+    return t.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("started"), "event_type", "minutes_over")
+
+
+@query("stm7_idempotency", """
+    WITH r AS (SELECT event_id AS request_id, user_id, CASE WHEN event_type <> 'signup' THEN 'c' || floor(value / 10)::BIGINT END AS cid, event_type IN ('click', 'view') AS payload,
+        CASE WHEN value < 5 THEN 'completed' WHEN value < 15 THEN 'streaming' ELSE 'failed' END AS st FROM events),
+    f AS (SELECT user_id, cid, arg_min(request_id, request_id) AS fid, arg_min(payload, request_id) AS fp, arg_min(st, request_id) AS fs FROM r WHERE cid IS NOT NULL GROUP BY 1, 2)
+    SELECT request_id, CASE WHEN cid IS NULL OR request_id = fid THEN 'new' WHEN payload <> fp THEN 'conflict_payload' WHEN fs = 'completed' THEN 'replay' WHEN fs = 'streaming' THEN 'conflict_running' ELSE 'conflict_used' END AS decision
+    FROM r LEFT JOIN f USING (user_id, cid)""")
+def _(spark, d):
+    v = F.col("value")
+    t = load(spark, d, "events").select(
+        F.col("event_id").alias("request_id"), "user_id",
+        F.when(F.col("event_type") != "signup", F.concat(F.lit("c"), F.floor(v / 10))).alias("client_request_id"),
+        F.col("event_type").isin("click", "view").cast("string").alias("payload_hash"),
+        F.when(v < 5, "completed").when(v < 15, "streaming").otherwise("failed").alias("status"),
+    )
+    return ev.idempotent(t).select("request_id", "decision")
+
+
+@query("stm7_drop_repeats_stream", """
+    SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2""")
+def _(spark, d):
+    base = _run_dir(spark)
+    src = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    job = ev.drop_repeats(src, ["user_id", "event_type"], "ts", "60 days").writeStream.format("parquet").option("path", f"{base}/out")
+    job.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema(SCHEMAS["events"].replace("timestamp_ntz", "timestamp")).parquet(f"{base}/out")
+    return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+
+
+@query("stm8_run_metrics", """
+    SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS started, event_type AS status, count(*) AS runs, round(avg(value), 6) AS mean_duration_s,
+      count(*) FILTER (value <= 1) AS le_1, count(*) FILTER (value <= 2.5) AS le_2_5, count(*) FILTER (value <= 60) AS le_60 FROM events GROUP BY 1, 2""")
+def _(spark, d):
+    t = _utc(spark, d).select("ts", F.col("event_type").alias("status"), F.col("value").alias("duration_s"))
+    out = ev.run_metrics(t, [1.0, 2.5, 60.0])
+    return out.withColumns({
+        "started": F.date_format("window_start", "yyyy-MM-dd HH:mm"), "mean_duration_s": F.round("mean_duration_s", 6)
+    }).drop("window_start")
+
+
+@query("stm9_cache_cleanup", f"""
+    SELECT event_id AS point_id FROM events WHERE event_type = 'view' OR ts > TIMESTAMP '2024-01-31' - INTERVAL {fv.CACHE_TTL_SECONDS} SECOND""")
+def _(spark, d):
+    e = _utc(spark, d)
+    points = e.select(F.col("event_id").alias("point_id"), F.when(F.col("event_type") != "view", F.col("event_id")).alias("redis_key"))
+    entries = e.select(F.col("event_id").alias("redis_key"), F.col("ts").alias("created_at"))
+    return ev.clean_cache(points, entries, F.lit("2024-01-31").cast("timestamp")).select("point_id")
+
+
+@query("stm10_incremental_ingest", """
+    SELECT doc_id AS document_id, count(*) AS chunks FROM (SELECT doc_id, unnest(range(0, ceil(length(trim(text, chr(10) || ' ')) / 512)::BIGINT)) AS i FROM documents WHERE length(trim(text)) >= 40) GROUP BY 1""")
+def _(spark, d):
+    from ..functions import chunking as ck
+
+    base = _run_dir(spark)
+    docs = _stream(spark, d, "documents").select(
+        F.col("doc_id").alias("document_id"), F.col("source").alias("project_id"), "text", F.octet_length("text").alias("file_size")
+    )
+
+    def build(batch: DataFrame) -> DataFrame:
+        accepted = ing.gate(batch).filter("is_acceptable")
+        return ing.chunk_records(accepted, ck.fixed(F.col("text"), 512))
+
+    ev.ingest_batches(docs, f"{base}/out", f"{base}/ckpt", build).awaitTermination()
+    out = spark.read.schema("document_id long, chunk_index int, chunk_hash string").parquet(f"{base}/out")
+    return out.groupBy("document_id").agg(F.count("*").alias("chunks"))
+
+
+@query("stm11_active_runs", """
+    WITH m AS (SELECT user_id, event_id AS run_id, unnest([epoch_us(ts), epoch_us(ts) + floor(least(value * 60, 120) * 1000000)::BIGINT]) AS at_us, unnest([1, -1]) AS step FROM events)
+    SELECT user_id, run_id, at_us, step, sum(step) OVER (PARTITION BY user_id ORDER BY at_us, step, run_id)::BIGINT AS active FROM m""")
+def _(spark, d):
+    t = load(spark, d, "events").select(F.col("event_id").alias("run_id"), "user_id", "ts", (F.col("value") * 60).alias("duration_s"))
+    return ev.active_runs(t).select("user_id", "run_id", "at_us", "step", "active")

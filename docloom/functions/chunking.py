@@ -115,7 +115,7 @@ def break_threshold(sims: Column, pct: float = 0.25) -> Column:
     low = F.floor(pos).cast("int")
     a = F.try_element_at(ranked, low + 1)
     b = F.coalesce(F.try_element_at(ranked, low + 2), a)
-    value = a + (b - a) * (pos - low)
+    value = F.round(a + (b - a) * (pos - low), 9)
     return F.when(F.size(sims) == 0, F.lit(0.75)).otherwise(F.least(F.lit(0.9), F.greatest(F.lit(0.1), value)))
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 Embedder = Callable[[list[str]], np.ndarray]
 DIM = 64
+# equal similarities must compare equal whatever order they were summed in
+SIM_DIGITS = 9
 
 
 class HashingEmbedder:
@@ -89,7 +91,8 @@ def adjacent_similarity(pieces: Column, fn: Embedder | None = None, batch: int =
                         norms = np.concatenate([[last[1]], norms])
                     bottom = norms[1:] * norms[:-1]
                     dots = (vecs[1:] * vecs[:-1]).sum(axis=1)
-                    sims.extend(np.where(bottom == 0, 0.0, dots / np.where(bottom == 0, 1.0, bottom)).tolist())
+                    sim = np.where(bottom == 0, 0.0, dots / np.where(bottom == 0, 1.0, bottom))
+                    sims.extend(np.round(sim, SIM_DIGITS).tolist())
                     last = (vecs[-1], norms[-1])
                 out.append(sims)
             yield pd.Series(out, dtype=object)

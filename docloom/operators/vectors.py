@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.checks import injection_flag, is_greeting
 from ..functions.embedding import Embedder, embed
+from ..functions.text import out_of_scope_score
 from .dedup import dedupe
 
 MAX_BROADCAST_QUERIES = 10_000
@@ -271,6 +273,21 @@ def recall(queries: DataFrame, memories: DataFrame, k: int = 3, min_score: float
     )
 
 
+def scope_score(df: DataFrame) -> DataFrame:
+    """Adds ``oos_score`` and ``in_scope`` per query.
+
+    ``df``: query, files (their number), reply (label text, null when the
+    call failed), max_doc_sim, project_sim.
+    """
+    score = (
+        0.4 * out_of_scope_score(F.col("reply"))
+        + 0.3 * (1.0 - F.coalesce("max_doc_sim", F.lit(0.0)))
+        + 0.3 * (1.0 - F.coalesce("project_sim", F.lit(0.0)))
+    )
+    refused = injection_flag(F.col("query")) | (F.col("files") == 0) | is_greeting(F.col("query"))
+    return df.withColumn("oos_score", score).withColumn("in_scope", ~refused & (F.round("oos_score", 9) <= 0.95))
+
+
 def approx_topk(
     queries: DataFrame, corpus: DataFrame, k: int = 10, radius: float = 1.2, width: float = 0.8, tables: int = 6,
     seed: int = 7,

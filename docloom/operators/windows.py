@@ -19,43 +19,52 @@ def rank(df: DataFrame, top_k: int = 20, by: str | None = None, score: str = "sc
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k)
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 score of every (query, document) pair that shares a word.
-
-    ``queries``: query_id, text; ``docs``: id, text. The postings are cut to
-    words that some query asks for before they meet the queries.
+def rerank(
+    hits: DataFrame, method: str = "hybrid", top_k: int = 20, weight: float = 0.5, k1: float = 1.2, b: float = 0.75
+) -> DataFrame:
+    """Best hits per query by ``semantic``, ``bm25`` or ``hybrid`` score.
+
+    ``hits``: query_id, query, id, content, score. Word statistics are those
+    of each query's own hit list. Terms are counted inside the hit's row, so
+    the data grows by the words of the query only. ``hybrid`` is a weighted
+    sum of both scores, each scaled to [0, 1] within its query.
     """
-    def terms(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(words(F.lower("text"))).alias("term"))
-
-    wanted = terms(queries, "query_id").distinct()
-    vocabulary = wanted.select("term").distinct()
-    sizes = docs.select("id", F.size(words(F.col("text"))).alias("size"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("docs"), F.avg("size").alias("mean"))
-    n_docs, mean = stats.select("docs").scalar(), stats.select("mean").scalar()
-    post = (
-        terms(docs, "id").join(vocabulary, "term", "left_semi")
-        .groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
-    weighted = post.join(df, "term").join(sizes, "id").select("term", "id", weight.alias("w"))
-    return weighted.join(wanted, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
-
-
-def hybrid(lexical: DataFrame, semantic: DataFrame, weight: float = 0.5) -> DataFrame:
-    """Weighted sum of both scores, each min-max scaled within its query."""
-    def scaled(df: DataFrame, name: str) -> DataFrame:
-        ends = df.groupBy("query_id").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-        spread = F.col("hi") - F.col("lo")
-        return df.join(ends, "query_id").select(
-            "query_id", "id", F.when(spread == 0, F.lit(1.0)).otherwise((F.col("score") - F.col("lo")) / spread).alias(name)
+    scored = hits
+    if method != "semantic":
+        body = words(F.lower(F.coalesce("content", F.lit(""))))
+        rows = hits.select("query_id", "id", F.array_distinct(words(F.lower("query"))).alias("q"), body.alias("w"))
+        rows = rows.withColumn("size", F.size("w"))
+        per_query = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
+        tf = rows.select("query_id", "id", "size", "w", F.explode("q").alias("term")).select(
+            "query_id", "id", "size", "term", F.size(F.filter("w", lambda w: w == F.col("term"))).alias("tf")
+        ).filter("tf > 0")
+        df = tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+        lexical = (
+            tf.join(df, ["query_id", "term"]).join(per_query, "query_id")
+            .groupBy("query_id", "id").agg(F.sum(idf * gain).alias("lex"))
+        )
+        scored = hits.join(lexical, ["query_id", "id"], "left").withColumn("lex", F.coalesce("lex", F.lit(0.0)))
+    if method == "hybrid":
+        ends = scored.groupBy("query_id").agg(
+            *[f(c).alias(f"{n}_{c}") for c in ("lex", "score") for n, f in (("lo", F.min), ("hi", F.max))]
         )
 
-    both = scaled(lexical, "lex").join(scaled(semantic, "sem"), ["query_id", "id"], "full")
-    score = weight * F.coalesce("lex", F.lit(0.0)) + (1 - weight) * F.coalesce("sem", F.lit(0.0))
-    return both.select("query_id", "id", score.alias("score"))
+        def scaled(c: str) -> Column:
+            spread = F.col(f"hi_{c}") - F.col(f"lo_{c}")
+            return F.when(spread == 0, F.lit(1.0)).otherwise((F.col(c) - F.col(f"lo_{c}")) / spread)
+
+        scored = scored.join(ends, "query_id").withColumn(
+            "_rank_score", weight * scaled("lex") + (1 - weight) * scaled("score")
+        )
+    else:
+        scored = scored.withColumn("_rank_score", F.col("lex" if method == "bm25" else "score"))
+    scored = scored.withColumn("rank_score", F.round("_rank_score", 6))
+    w = Window.partitionBy("query_id").orderBy(F.desc("rank_score"), "id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top_k).select(
+        *hits.columns, "rank_score", *([] if "rank" in hits.columns else ["rank"])
+    )
 
 
 def context(messages: DataFrame, head_chars: Column | None = None, limit: int = fv.HISTORY_MESSAGES,
