@@ -13,15 +13,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed_values import PAGE_MARKER, SPACE_RANGES
-from .text import strip, words
+from .text import let, strip, words
 
 
 def fixed(c: Column, size: int = 512) -> Column:
     """Consecutive slices of ``size`` characters."""
-    n = F.ceil(F.length(c) / size).cast("int")
-    cut = lambda i: F.substring(c, i * size + 1, F.lit(size))
-    none = F.array().cast("array<string>")
-    return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(0), n - 1), cut)).otherwise(none)
+    def slices(t: Column) -> Column:
+        last = F.ceil(F.length(t) / size).cast("int") - 1
+        cut = lambda i: F.substring(t, i * size + 1, F.lit(size))
+        return F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(0), last), cut)).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    return let(c, slices)
 
 
 def _starts(pieces: Column, begins: Callable, grow: Callable) -> Column:
@@ -47,8 +51,11 @@ def _starts(pieces: Column, begins: Callable, grow: Callable) -> Column:
 
 def _groups(pieces: Column, starts: Column) -> Column:
     """Split ``pieces`` into arrays at ``starts``."""
-    ends = F.array_append(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.size(pieces))
-    return F.zip_with(starts, ends, lambda a, b: F.slice(pieces, a + 1, b - a))
+    def cut(s: Column) -> Column:
+        ends = F.array_append(F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), F.size(pieces))
+        return F.zip_with(s, ends, lambda a, b: F.slice(pieces, a + 1, b - a))
+
+    return let(starts, cut)
 
 
 def sentences(c: Column) -> Column:
@@ -58,38 +65,40 @@ def sentences(c: Column) -> Column:
 
 def sentence(c: Column, size: int = 512) -> Column:
     """Whole sentences packed up to ``size``; a longer one stands alone."""
-    pieces = sentences(c)
-    starts = _starts(
-        F.transform(pieces, F.length),
-        begins=lambda s, n: s["size"] + n > size,
-        # a chunk opened by overflow starts at its sentence's bare length
-        grow=lambda s, n, broke: F.when(s["size"] + n > size, n).otherwise(s["size"] + n + 1),
-    )
-    joined = F.transform(_groups(pieces, starts), lambda g: F.array_join(g, " "))
-    return F.when(F.length(c) > 0, joined).otherwise(F.array().cast("array<string>"))
+    def pack(pieces: Column) -> Column:
+        starts = _starts(
+            F.transform(pieces, F.length),
+            begins=lambda s, n: s["size"] + n > size,
+            # a chunk opened by overflow starts at its sentence's bare length
+            grow=lambda s, n, broke: F.when(s["size"] + n > size, n).otherwise(s["size"] + n + 1),
+        )
+        return F.transform(_groups(pieces, starts), lambda g: F.array_join(g, " "))
+
+    return F.when(F.length(c) > 0, let(sentences(c), pack)).otherwise(F.array().cast("array<string>"))
 
 
 def paragraph(c: Column, size: int = 512) -> Column:
     """Paragraphs packed up to ``size``; a longer one becomes sentence chunks."""
-    pieces = F.filter(F.transform(F.split(c, "\n\n"), strip), lambda p: p != "")
-    # a piece that overflows on its own leaves a negative size behind, which
-    # makes the following piece open a new group
-    starts = _starts(
-        F.transform(pieces, F.length),
-        begins=lambda s, n: (s["size"] < 0) | (s["size"] + n > size),
-        grow=lambda s, n, broke: F.when(n > size, F.lit(-1))
-        .when((s["size"] >= 0) & (s["size"] + n > size), n)
-        .otherwise(F.greatest(s["size"], F.lit(0)) + n + 2),
-    )
-
     def render(group: Column) -> Column:
         first = group.getItem(0)
         return F.when(F.length(first) > size, sentence(first, size)).otherwise(
             F.array(F.array_join(group, "\n\n"))
         )
 
-    done = F.flatten(F.transform(_groups(pieces, starts), render))
-    return F.when(F.length(c) > 0, done).otherwise(F.array().cast("array<string>"))
+    def pack(pieces: Column) -> Column:
+        # a piece that overflows on its own leaves a negative size behind,
+        # which makes the following piece open a new group
+        starts = _starts(
+            F.transform(pieces, F.length),
+            begins=lambda s, n: (s["size"] < 0) | (s["size"] + n > size),
+            grow=lambda s, n, broke: F.when(n > size, F.lit(-1))
+            .when((s["size"] >= 0) & (s["size"] + n > size), n)
+            .otherwise(F.greatest(s["size"], F.lit(0)) + n + 2),
+        )
+        return F.flatten(F.transform(_groups(pieces, starts), render))
+
+    pieces = F.filter(F.transform(F.split(c, "\n\n"), strip), lambda p: p != "")
+    return F.when(F.length(c) > 0, let(pieces, pack)).otherwise(F.array().cast("array<string>"))
 
 
 def chunk(c: Column, strategy: str = "paragraph", size: int = 512) -> Column:
@@ -110,13 +119,16 @@ def prose_sentences(c: Column) -> Column:
 
 def break_threshold(sims: Column, pct: float = 0.25) -> Column:
     """Percentile of adjacent similarities, linear, kept within [0.1, 0.9]."""
-    ranked = F.array_sort(sims)
     pos = (F.size(sims) - 1) * F.lit(pct)
     low = F.floor(pos).cast("int")
-    a = F.try_element_at(ranked, low + 1)
-    b = F.coalesce(F.try_element_at(ranked, low + 2), a)
-    value = F.round(a + (b - a) * (pos - low), 9)
-    return F.when(F.size(sims) == 0, F.lit(0.75)).otherwise(F.least(F.lit(0.9), F.greatest(F.lit(0.1), value)))
+
+    def between(ranked: Column) -> Column:
+        a = F.try_element_at(ranked, low + 1)
+        b = F.coalesce(F.try_element_at(ranked, low + 2), a)
+        return F.round(a + (b - a) * (pos - low), 9)
+
+    value = F.least(F.lit(0.9), F.greatest(F.lit(0.1), let(F.array_sort(sims), between)))
+    return F.when(F.size(sims) == 0, F.lit(0.75)).otherwise(value)
 
 
 def group_by_similarity(
@@ -126,44 +138,54 @@ def group_by_similarity(
 
     ``sims`` holds the similarity of each sentence to the one before it.
     """
-    paired = F.zip_with(
-        F.transform(pieces, F.length),
-        F.concat(F.array(F.lit(1.0)), sims),
-        lambda n, s: F.struct(n.alias("n"), s.alias("sim")),
-    )
+    def pack(p: Column, limit: Column) -> Column:
+        paired = F.zip_with(
+            F.transform(p, F.length),
+            F.concat(F.array(F.lit(1.0)), sims),
+            lambda n, s: F.struct(n.alias("n"), s.alias("sim")),
+        )
 
-    def begins(s: Column, p: Column) -> Column:
-        return (s["size"] >= min_size) & ((p["sim"] < threshold) | (s["size"] + p["n"] + 2 > max_size))
+        def begins(s: Column, x: Column) -> Column:
+            return (s["size"] >= min_size) & ((x["sim"] < limit) | (s["size"] + x["n"] + 2 > max_size))
 
-    starts = _starts(
-        paired, begins, grow=lambda s, p, broke: F.when(broke, p["n"]).otherwise(s["size"] + 1 + p["n"])
-    )
-    return F.transform(_groups(pieces, starts), lambda g: F.array_join(g, " "))
+        starts = _starts(
+            paired, begins, grow=lambda s, x, broke: F.when(broke, x["n"]).otherwise(s["size"] + 1 + x["n"])
+        )
+        return F.transform(_groups(p, starts), lambda g: F.array_join(g, " "))
+
+    return let(pieces, lambda p: let(threshold, lambda t: pack(p, t)))
 
 
 def size_rules(chunks: Column, min_size: int = 100, overlap_words: int = 200) -> Column:
     """Drop short chunks unless all are short; prefix the previous one's tail."""
-    kept = F.filter(chunks, lambda c: F.length(c) >= min_size)
-
     def tail(text: Column) -> Column:
-        w = words(text)
-        return F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - overlap_words + 1), overlap_words), " ")
+        def last(w: Column) -> Column:
+            return F.array_join(F.slice(w, F.greatest(F.lit(1), F.size(w) - overlap_words + 1), overlap_words), " ")
 
-    # pair every chunk with the one before it; the first has none
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
-    overlapped = F.zip_with(
-        kept, before, lambda c, p: F.when(p.isNull(), c).otherwise(F.concat(tail(p), F.lit(" "), c))
-    )
-    return (
-        F.when(F.size(kept) == 0, chunks).when(F.size(kept) == 1, kept).otherwise(overlapped)
-    )
+        return let(words(text), last)
+
+    def overlapped(kept: Column) -> Column:
+        # pair every chunk with the one before it; the first has none
+        first = F.array(F.lit(None).cast("string"))
+        before = F.concat(first, F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+        return F.zip_with(
+            kept, before, lambda c, p: F.when(p.isNull(), c).otherwise(F.concat(tail(p), F.lit(" "), c))
+        )
+
+    def rules(all_chunks: Column) -> Column:
+        def choose(kept: Column) -> Column:
+            return F.when(F.size(kept) == 0, all_chunks).when(F.size(kept) == 1, kept).otherwise(overlapped(kept))
+
+        return let(F.filter(all_chunks, lambda c: F.length(c) >= min_size), choose)
+
+    return let(chunks, rules)
 
 
 def search_paragraphs(text: Column, name: Column, usable: Column, fallback: Column, count: Column) -> Column:
     """Paragraphs over 20 characters; else the fallback text once per chunk."""
     parts = F.filter(F.transform(F.split(text, "\n\n"), strip), lambda p: F.length(p) > 20)
     repeat = F.array_repeat(fallback, F.greatest(F.coalesce(count, F.lit(0)), F.lit(1)).cast("int"))
-    return F.when(usable & (F.size(parts) > 0), parts).otherwise(repeat)
+    return let(parts, lambda p: F.when(usable & (F.size(p) > 0), p).otherwise(repeat))
 
 
 def page_marker(c: Column) -> Column:

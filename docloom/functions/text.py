@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -12,6 +13,15 @@ from . import fixed_values as fv
 CONTEXT_LIMIT = 1000
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and hand it to ``use`` as a variable.
+
+    An expression that is mentioned several times, above all inside a lambda,
+    would be evaluated at every mention.
+    """
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def strip(c: Column) -> Column:
     """Trim all Unicode white space on both ends."""
     return F.trim(c, F.lit(fv.SPACE_CHARS))
@@ -29,8 +39,10 @@ def words(c: Column) -> Column:
 
 def summarize(c: Column, n: int = 500) -> Column:
     """White space collapsed, cut to ``n`` characters plus an ellipsis."""
-    flat = squeeze(F.coalesce(c, F.lit("")))
-    return F.when(F.length(flat) <= n, flat).otherwise(F.concat(F.substring(flat, 1, n), F.lit("...")))
+    def cut(flat: Column) -> Column:
+        return F.when(F.length(flat) <= n, flat).otherwise(F.concat(F.substring(flat, 1, n), F.lit("...")))
+
+    return let(squeeze(F.coalesce(c, F.lit(""))), cut)
 
 
 def truncate_notice(c: Column, n: int = CONTEXT_LIMIT) -> Column:
@@ -150,12 +162,13 @@ def _lines(c: Column) -> Column:
 
 def action_line(code: Column, n: int = 120) -> Column:
     """First line that calls the toolkit, else first non-comment line."""
-    lines = F.transform(_lines(code), strip)
-    call = F.try_element_at(F.filter(lines, lambda s: F.contains(s, F.lit("sdk."))), F.lit(1))
-    first = F.try_element_at(
-        F.filter(lines, lambda s: (s != "") & ~F.startswith(s, F.lit("#"))), F.lit(1)
-    )
-    return F.coalesce(F.substring(call, 1, n), F.substring(first, 1, n), F.lit("(no action)"))
+    def pick(lines: Column) -> Column:
+        call = F.try_element_at(F.filter(lines, lambda s: F.contains(s, F.lit("sdk."))), F.lit(1))
+        plain = F.filter(lines, lambda s: (s != "") & ~F.startswith(s, F.lit("#")))
+        first = F.try_element_at(plain, F.lit(1))
+        return F.coalesce(F.substring(call, 1, n), F.substring(first, 1, n), F.lit("(no action)"))
+
+    return let(F.transform(_lines(code), strip), pick)
 
 
 def outcome_line(returncode: Column, stdout: Column, stderr: Column, n: int = 120) -> Column:

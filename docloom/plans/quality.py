@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import VALID_CHARS
-from ..functions.text import strip
+from ..functions.text import let, strip
 
 BOOK, SLIDE, SCAN = "DIGITAL_BOOK", "SLIDE_VISUAL", "SCANNED"
 MB = 1024 * 1024
+FACTS = ["total_chars", "text_density", "valid_char_ratio", "replacement_ratio", "size_to_text_ratio"]
 
 
 def _by_profile(profile: Column, book, slide, scan, other) -> Column:
@@ -19,61 +20,86 @@ def _by_profile(profile: Column, book, slide, scan, other) -> Column:
     )
 
 
+def assess(text: Column, pages: Column, size: Column, profile: Column) -> Column:
+    """All quality facts of one text as a struct.
+
+    Bad characters are counted by removing them, which costs nothing on clean
+    text. Every step is bound once, so a filter on one of the facts repeats
+    the work once at most, not once per mention.
+    """
+    def counts(clean: Column) -> Column:
+        n = F.length(clean)
+        return F.struct(
+            n.alias("chars"),
+            (n - F.length(F.regexp_replace(clean, f"[^{VALID_CHARS}]+", ""))).alias("invalid"),
+            (n - F.length(F.replace(clean, F.lit("\ufffd"), F.lit("")))).alias("repl"),
+        )
+
+    def ratios(c: Column) -> Column:
+        chars, some = c["chars"], F.greatest(F.lit(1), c["chars"])
+        return F.struct(
+            chars.alias("total_chars"),
+            (chars / F.greatest(F.lit(1), F.coalesce(pages, F.lit(1)))).alias("text_density"),
+            F.when(chars == 0, F.lit(0.0)).otherwise((chars - c["invalid"]) / some).alias("valid_char_ratio"),
+            (c["repl"] / some).alias("replacement_ratio"),
+            (size / some).alias("size_to_text_ratio"),
+            ((size >= 3 * MB) & (chars < 300)).alias("heavy"),
+        )
+
+    def directive(r: Column) -> Column:
+        density, chars = r["text_density"], r["total_chars"]
+        empty = _by_profile(profile, "ESCALATE_TO_SLIDE_OCR", "ESCALATE_TO_FULL_OCR", "FALLBACK_PYPDF", "REJECT")
+        # a heavy file with little text decides alone, even where it asks for nothing
+        heavy = _by_profile(profile, "ESCALATE_TO_SLIDE_OCR", "ESCALATE_TO_FULL_OCR", "NONE", "NONE")
+        return (
+            F.when(chars == 0, empty)
+            .when((r["valid_char_ratio"] < 0.65) | (r["replacement_ratio"] > 0.10), "FALLBACK_PYPDF")
+            .when(r["heavy"], heavy)
+            .when((profile == BOOK) & (density < 100), "ESCALATE_TO_SLIDE_OCR")
+            .when((profile == SLIDE) & (density < 25) & (chars < 150), "ESCALATE_TO_FULL_OCR")
+            .otherwise("NONE")
+        )
+
+    def score(r: Column) -> Column:
+        validity = r["valid_char_ratio"] * (1 - F.least(F.lit(1.0), r["replacement_ratio"] * 5))
+        fullness = F.least(F.lit(1.0), r["text_density"] / _by_profile(profile, 150.0, 60.0, 60.0, 60.0))
+        return F.when(r["total_chars"] == 0, F.lit(0.0)).otherwise(0.5 * validity + 0.5 * fullness)
+
+    def warnings(r: Column) -> Column:
+        low = r["text_density"] < _by_profile(profile, 120.0, 30.0, 40.0, -1.0)
+        found = F.array(
+            F.when(r["replacement_ratio"] > 0.03, F.lit("font_encoding_errors")),
+            F.when(r["valid_char_ratio"] < 0.75, F.lit("low_valid_char_ratio")),
+            F.when(r["heavy"], F.lit("large_file_little_text")),
+            F.when(low, F.lit("low_text_density")),
+        )
+        return F.when(r["total_chars"] == 0, F.array(F.lit("empty_text"))).otherwise(F.array_compact(found))
+
+    def verdict(r: Column) -> Column:
+        def full(s: Column) -> Column:
+            ok = (
+                (F.round(s["score"], 2) >= 0.40) & (r["valid_char_ratio"] >= 0.70)
+                & (r["total_chars"] >= 40) & (s["action"] == "NONE")
+            )
+            return F.struct(
+                *[r[c].alias(c) for c in FACTS], s["score"].alias("quality_score"), warnings(r).alias("warnings"),
+                s["action"].alias("action"), ok.alias("is_acceptable"),
+            )
+
+        return let(F.struct(score(r).alias("score"), directive(r).alias("action")), full)
+
+    clean = strip(F.coalesce(text, F.lit("")))
+    return let(clean, lambda t: let(counts(t), lambda c: let(ratios(c), verdict)))
+
+
 def quality(
     df: DataFrame, text: str = "text", pages: str = "pages", size: str = "file_size", profile: str = "profile"
 ) -> DataFrame:
     """Adds total_chars, text_density, valid_char_ratio, replacement_ratio,
     size_to_text_ratio, quality_score (unrounded), warnings, action and
-    is_acceptable. Bad characters are counted by removing them, which costs
-    nothing on clean text.
-    """
-    clean = strip(F.coalesce(F.col(text), F.lit("")))
-    d = df.withColumn("_clean", clean).withColumn("total_chars", F.length("_clean"))
-    chars = F.col("total_chars")
-    d = d.withColumns({
-        "_invalid": chars - F.length(F.regexp_replace("_clean", f"[^{VALID_CHARS}]+", "")),
-        "_repl": chars - F.length(F.replace("_clean", F.lit("�"), F.lit(""))),
-        "_pages": F.greatest(F.lit(1), F.coalesce(F.col(pages), F.lit(1))),
-    }).drop("_clean")
-    some = F.greatest(F.lit(1), chars)
-    d = d.withColumns({
-        "text_density": chars / F.col("_pages"),
-        "valid_char_ratio": F.when(chars == 0, F.lit(0.0)).otherwise((chars - F.col("_invalid")) / some),
-        "replacement_ratio": F.col("_repl") / some,
-        "size_to_text_ratio": F.col(size) / some,
-    })
-    p = F.col(profile)
-    density, valid, repl = F.col("text_density"), F.col("valid_char_ratio"), F.col("replacement_ratio")
-    empty = chars == 0
-    heavy = (F.col(size) >= 3 * MB) & (chars < 300)
-    low_density = density < _by_profile(p, 120.0, 30.0, 40.0, -1.0)
-    warn = lambda cond, name: F.when(cond, F.lit(name))
-    warnings = F.when(empty, F.array(F.lit("empty_text"))).otherwise(
-        F.array_compact(F.array(
-            warn(repl > 0.03, "font_encoding_errors"), warn(valid < 0.75, "low_valid_char_ratio"),
-            warn(heavy, "large_file_little_text"), warn(low_density, "low_text_density"),
-        ))
-    )
-    action = F.coalesce(
-        F.when(empty, _by_profile(p, "ESCALATE_TO_SLIDE_OCR", "ESCALATE_TO_FULL_OCR", "FALLBACK_PYPDF", "REJECT")),
-        F.when((valid < 0.65) | (repl > 0.10), "FALLBACK_PYPDF"),
-        # a heavy file with little text decides alone, even where it asks for nothing
-        F.when(
-            heavy,
-            F.when(p == BOOK, "ESCALATE_TO_SLIDE_OCR").when(p == SLIDE, "ESCALATE_TO_FULL_OCR").otherwise("NONE"),
-        ),
-        F.when((p == BOOK) & (density < 100), "ESCALATE_TO_SLIDE_OCR"),
-        F.when((p == SLIDE) & (density < 25) & (chars < 150), "ESCALATE_TO_FULL_OCR"),
-        F.lit("NONE"),
-    )
-    factor = F.least(F.lit(1.0), density / _by_profile(p, 150.0, 60.0, 60.0, 60.0))
-    score = 0.5 * (valid * (1 - F.least(F.lit(1.0), repl * 5))) + 0.5 * factor
-    d = d.withColumns({
-        "warnings": warnings, "action": action,
-        "quality_score": F.when(empty, F.lit(0.0)).otherwise(score),
-    })
-    ok = (F.round("quality_score", 2) >= 0.40) & (valid >= 0.70) & (chars >= 40) & (F.col("action") == "NONE")
-    return d.withColumn("is_acceptable", ok).drop("_invalid", "_repl", "_pages")
+    is_acceptable."""
+    facts = assess(F.col(text), F.col(pages), F.col(size), F.col(profile))
+    return df.withColumn("_q", facts).select(*df.columns, "_q.*")
 
 
 def choose_extraction(candidates: DataFrame) -> DataFrame:

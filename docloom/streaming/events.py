@@ -45,7 +45,9 @@ def latest_state(events: DataFrame, key: str, seq: str, ts: str, now: Column | N
     return last.filter(F.col(ts) > now - F.make_dt_interval(secs=F.lit(ttl)))
 
 
-def latest_stream(events: DataFrame, key: str, seq: str, ttl: int = 3600) -> DataFrame:
+def latest_stream(
+    events: DataFrame, key: str, seq: str, ts: str = "ts", ttl: int = 3600, watermark: str = "10 minutes"
+) -> DataFrame:
     """Snapshot updates on a stream: key, last sequence and status.
 
     Out-of-order events never move a snapshot back; idle keys are dropped
@@ -58,18 +60,21 @@ def latest_stream(events: DataFrame, key: str, seq: str, ttl: int = 3600) -> Dat
             state.remove()
             return
         best = state.get if state.exists else None
+        newest = state.getCurrentWatermarkMs()
         for pdf in batches:
+            newest = max(newest, int(pdf[ts].max().timestamp() * 1000))
             row = pdf.loc[pdf[seq].idxmax()]
             if best is None or row[seq] > best[0]:
                 best = (int(row[seq]), row["status"])
         state.update(best)
-        state.setTimeoutDuration(ttl * 1000)
+        state.setTimeoutTimestamp(newest + ttl * 1000)
         yield pd.DataFrame({key: [k[0]], seq: [best[0]], "status": [best[1]]})
 
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, seq, "status").groupBy(key).applyInPandasWithState(
+    timed = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
+    return timed.select(key, seq, "status", ts).groupBy(key).applyInPandasWithState(
         run, f"{key} {kind}, {seq} long, status string", "seq long, status string", "update",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 

@@ -196,11 +196,11 @@ def window_flags(runs: DataFrame, minute: int = fv.CHAT_PER_MINUTE, day: int = f
     )
 
 
-def limit_stream(events: DataFrame, key: str, limit: int, seconds: int = 60) -> DataFrame:
-    """One key's limit on a stream: event_id, ts, ``allowed`` per event.
+def limit_stream(events: DataFrame, key: str, limit: int, seconds: int = 60, watermark: str = "10 minutes") -> DataFrame:
+    """One key's limit on a stream: event_id, us, ``allowed`` per event.
 
     State per key is the accepted times of one window, never more than
-    ``limit`` numbers; it is dropped when the window has passed.
+    ``limit`` numbers; it is dropped when event time has passed the window.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -220,11 +220,13 @@ def limit_stream(events: DataFrame, key: str, limit: int, seconds: int = 60) ->
                 window.append(us)
             allowed.append(ok)
         state.update(([int(t) for t in window],))
-        state.setTimeoutDuration(2 * seconds * 1000)
+        expires = (int(pdf["us"].max()) + span) // 1000 + 1
+        state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": pdf["event_id"], "us": pdf["us"], "allowed": allowed})
 
     kind = events.schema["event_id"].dataType.simpleString()
-    return with_micros(events).select(key, "event_id", "us").groupBy(key).applyInPandasWithState(
+    timed = with_micros(events.withColumn("ts", F.col("ts").cast("timestamp"))).withWatermark("ts", watermark)
+    return timed.select(key, "event_id", "us", "ts").groupBy(key).applyInPandasWithState(
         run, f"event_id {kind}, us long, allowed boolean", "accepted array<long>", "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.EventTimeTimeout,
     )
