@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed_values import SPACE_CHARS, SPACE_RANGES
-from ..sources import load
+from ..sources import load, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,4 +54,4 @@ def sql_scores(q: str, d: str) -> str:
                FROM {q}_n a CROSS JOIN {d}_n c LEFT JOIN dots t ON t.qid = a.id AND t.id = c.id)"""
 
 
-__all__ = ["F", "QUERIES", "ORACLES", "SPACES", "load", "query", "sql_strip", "sql_words", "sql_vectors", "sql_scores"]
+__all__ = ["F", "QUERIES", "ORACLES", "SPACES", "load", "query", "spread", "sql_strip", "sql_words", "sql_vectors", "sql_scores"]

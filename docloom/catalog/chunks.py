@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from ..functions import chunking as ck
 from ..functions.embedding import adjacent_similarity
 from ..plans.ingest import chunk_records, semantic_chunks
-from .base import SPACES, load, query, sql_strip, sql_words
+from .base import SPACES, load, query, spread, sql_strip, sql_words
 
 
 def _docs(spark, d):
-    return load(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("project_id"), "text")
+    t = spread(load(spark, d, "documents"), "doc_id")
+    return t.select(F.col("doc_id").alias("document_id"), F.col("source").alias("project_id"), "text")
 
 
 def _exploded(df, chunks):
-    rows = df.select("document_id", F.posexplode(chunks).alias("chunk_index", "c"))
+    rows = ck.explode_pieces(df, ["document_id"], chunks, "chunk_index", "c")
     return rows.select("document_id", "chunk_index", F.length("c").alias("n"), F.sha2("c", 256).alias("h"))
 
 
@@ -89,7 +90,7 @@ _SIMS = f"""
     WITH {_SIMS} SELECT doc_id AS document_id, i - 1 AS sentence, round(sim, 6) AS similarity FROM sims""")
 def _(spark, d):
     t = _docs(spark, d).withColumn("sims", adjacent_similarity(ck.prose_sentences(F.col("text"))))
-    rows = t.select("document_id", F.posexplode("sims").alias("p", "sim"))
+    rows = ck.explode_pieces(t, ["document_id"], F.col("sims"), "p", "sim")
     return rows.select("document_id", (F.col("p") + 1).alias("sentence"), F.round("sim", 6).alias("similarity"))
 
 
@@ -115,8 +116,9 @@ _GROUPED = f"""
 def _(spark, d):
     t = _docs(spark, d).withColumn("s", ck.prose_sentences(F.col("text")))
     t = t.withColumn("sims", adjacent_similarity(F.col("s")))
-    t = t.withColumn("thr", ck.break_threshold(F.col("sims"))).filter(F.size("s") > 0)
-    return _exploded(t, ck.group_by_similarity(F.col("s"), F.col("sims"), F.col("thr")))
+    t = t.withColumn("thr", ck.break_threshold(F.col("sims")))
+    groups = ck.group_by_similarity(F.col("s"), F.col("sims"), F.col("thr"))
+    return _exploded(t, F.when(F.size("s") > 0, groups))
 
 
 @query("chk6_size_rules", f"""

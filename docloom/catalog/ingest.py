@@ -12,7 +12,7 @@ from ..functions.text import infer_vendor, is_advisory
 from ..operators import aggregates as ag, dedup
 from ..operators.vectors import fan_queries
 from ..plans import extract as ex, ingest as ing, quality as ql, registry, upkeep as up
-from .base import load, query, sql_strip, sql_vectors, sql_words
+from .base import load, query, spread, sql_strip, sql_vectors, sql_words
 from .joins import lines
 
 
@@ -48,7 +48,7 @@ def _gated(spark, d):
         F.when(src.isin("src1", "src2", "src3", "src4", "src5"), "SLIDE_VISUAL").when(src.isin("src6", "src7", "src8"), "SCANNED")
         .when(src == "src9", "TEXT").otherwise("DIGITAL_BOOK")
     )
-    return load(spark, d, "documents").select(
+    return spread(load(spark, d, "documents"), "doc_id").select(
         "doc_id", text.alias("text"), (1 + F.floor(n / 80)).alias("pages"), (n * 3000).alias("file_size"), profile.alias("profile")
     )
 
@@ -89,7 +89,7 @@ def _(spark, d):
         F.struct(F.lit(p).alias("profile"), t.alias("text"))
         for p, t in ((ql.BOOK, book), (ql.SLIDE, slide), (ql.SCAN, scan), ("RAW", F.concat("text", "text", "text")))
     ])
-    t = load(spark, d, "documents").select(
+    t = spread(load(spark, d, "documents"), "doc_id").select(
         F.col("doc_id").alias("document_id"), (1 + F.floor(n / 60)).alias("pages"), F.lit(0).alias("file_size"),
         F.when(lang == "es", ql.SLIDE).otherwise(ql.BOOK).alias("start_profile"), F.inline(options),
     )
@@ -110,7 +110,7 @@ _REPORT_DOCS = f"""SELECT source AS project_id, doc_id, t AS text, 1 AS pages, o
     SELECT project_id, documents, accepted, avg_score, coalesce(chunks, 0) AS chunks, coalesce(distinct_chunks, 0) AS distinct_chunks, coalesce(tokens, 0) AS tokens,
       round(coalesce(1 - distinct_chunks / chunks::DOUBLE, 0), 6) AS dedup_ratio FROM n LEFT JOIN k USING (project_id)""")
 def _(spark, d):
-    docs = load(spark, d, "documents").select(
+    docs = spread(load(spark, d, "documents"), "doc_id").select(
         F.col("doc_id").alias("document_id"), F.col("source").alias("project_id"), "text", F.octet_length("text").alias("file_size")
     )
     return ing.ingest_report(docs)

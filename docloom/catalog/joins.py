@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup, joins
 from ..streaming.events import latest_state
-from .base import load, query
+from .base import load, query, spread
 
 
 @query("joi1_child_counts", """
@@ -132,7 +132,7 @@ _LINES = """SELECT doc_id, unnest(string_split(text, chr(10))) AS c, generate_su
 
 
 def lines(spark, d):
-    t = load(spark, d, "documents")
+    t = spread(load(spark, d, "documents"), "doc_id")
     return t.select(F.col("doc_id").alias("document_id"), "source", F.posexplode(F.split("text", "\n")).alias("chunk_index", "content"))
 
 

@@ -199,8 +199,8 @@ def _(spark, d):
     )
 
     def build(batch: DataFrame) -> DataFrame:
-        accepted = ing.gate(batch).filter("is_acceptable")
-        return ing.chunk_records(accepted, ck.fixed(F.col("text"), 512))
+        gated = ing.gate(batch)
+        return ing.chunk_records(gated, F.when(F.col("is_acceptable"), ck.fixed(F.col("text"), 512)))
 
     ev.ingest_batches(docs, f"{base}/out", f"{base}/ckpt", build).awaitTermination()
     out = spark.read.schema("document_id long, chunk_index int, chunk_hash string").parquet(f"{base}/out")

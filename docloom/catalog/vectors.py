@@ -8,10 +8,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers as nm
+from ..functions.chunking import explode_pieces
 from ..functions.embedding import embed
 from ..operators import dedup, joins, vectors as vc
 from ..operators.windows import rerank
-from .base import load, query, sql_scores, sql_vectors
+from .base import load, query, spread, sql_scores, sql_vectors
 
 _PAIR = f"""{sql_vectors('q', 'benchmark', 'item_id', 'text')}, {sql_vectors('e', 'documents', 'doc_id', 'text')}, {sql_scores('q', 'e')}"""
 _PROJECT = "CASE WHEN length(text) % 3 = 0 THEN 'en' WHEN length(text) % 3 = 1 THEN 'fr' ELSE 'de' END"
@@ -28,15 +29,15 @@ def questions(spark, d):
 
 
 def corpus(spark, d):
-    t = load(spark, d, "documents")
+    t = spread(load(spark, d, "documents"), "doc_id")
     return t.select(F.col("doc_id").alias("id"), embed(F.col("text")).alias("vector"), F.col("lang").alias("project_id"), "text")
 
 
 @query("vec1_embed", f"""
     WITH {sql_vectors('e', 'documents', 'doc_id', 'text')} SELECT id AS doc_id, b AS pos, x FROM e""")
 def _(spark, d):
-    t = load(spark, d, "documents").select("doc_id", F.posexplode(embed(F.col("text"))).alias("pos", "x"))
-    return t.filter("x <> 0")
+    t = spread(load(spark, d, "documents"), "doc_id").withColumn("v", embed(F.col("text")))
+    return explode_pieces(t, ["doc_id"], F.col("v"), "pos", "x").filter("x <> 0")
 
 
 @query("vec2_cosine_to_centroid", """

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fixed_values import PAGE_MARKER, SPACE_RANGES
@@ -194,6 +194,17 @@ def page_marker(c: Column) -> Column:
     return F.coalesce(*groups).try_cast("int")
 
 
+def explode_pieces(df: DataFrame, cols: list[str], pieces: Column, index: str, name: str) -> DataFrame:
+    """One row per array element with its position.
+
+    The plain generator would make the optimizer repeat the whole array
+    expression in a filter for non-empty arrays; the outer one does not, and
+    its null row is dropped afterwards.
+    """
+    rows = df.select(*cols, F.posexplode_outer(pieces).alias(index, name))
+    return rows.filter(F.col(index).isNotNull())
+
+
 def carried_pages(chunks: Column) -> Column:
     """Page of each chunk of one text: the last marker so far, else 1."""
     start = F.struct(F.array().cast("array<int>").alias("pages"), F.lit(1).alias("page"))

@@ -51,7 +51,7 @@ def semantic_chunks(text: Column, fn: Embedder | None = None, max_size: int = 10
 def chunk_records(docs: DataFrame, chunks: Column) -> DataFrame:
     """One row per chunk with index, hash, fingerprint, tokens and page."""
     numbered = F.arrays_zip(chunks.alias("content"), ck.carried_pages(chunks).alias("page_number"))
-    rows = docs.select("document_id", "project_id", F.posexplode(numbered).alias("chunk_index", "_c"))
+    rows = ck.explode_pieces(docs, ["document_id", "project_id"], numbered, "chunk_index", "_c")
     rows = rows.select("document_id", "project_id", "chunk_index", "_c.*").toDF(
         "document_id", "project_id", "chunk_index", "content", "page_number"
     )
@@ -152,29 +152,37 @@ def ingest_report(docs: DataFrame, strategy: str = "fixed", size: int = 512) ->
     Clean and gate every document, chunk the accepted ones, find each chunk's
     owner by content hash, and report documents, chunks and saved chunks.
     """
-    gated = gate(docs)
-    accepted = gated.filter("is_acceptable").select("document_id", "project_id", "text")
-    per_chunk = (
-        accepted.select("project_id", F.explode(ck.chunk(F.col("text"), strategy, size)).alias("content"))
-        .select("project_id", content_hash(F.col("content")).alias("chunk_hash"), token_count(F.col("content")).alias("t"))
-        .groupBy("project_id", "chunk_hash").agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("t"))
+    # One pass: refused documents keep one row without a chunk, and facts of a
+    # document ride on its first row. The first level of the aggregate is per
+    # (project, chunk), so a project with a third of all rows is spread.
+    chunks = F.when(F.col("is_acceptable"), ck.chunk(F.col("text"), strategy, size))
+    rows = gate(docs).select(
+        "project_id", "is_acceptable", "quality_score", F.posexplode_outer(chunks).alias("i", "content")
     )
-    chunks = per_chunk.groupBy("project_id").agg(
-        F.sum("n").alias("chunks"), F.count(F.lit(1)).alias("distinct_chunks"), F.sum("t").alias("tokens")
+    first = F.coalesce("i", F.lit(0)) == 0
+    rows = rows.select(
+        "project_id", content_hash(F.col("content")).alias("chunk_hash"),
+        F.when(F.col("content").isNotNull(), token_count(F.col("content"))).alias("t"),
+        first.cast("long").alias("d"), (first & F.col("is_acceptable")).cast("long").alias("a"),
+        F.when(first, F.col("quality_score")).alias("q"),
     )
-    documents = gated.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("documents"), F.count_if("is_acceptable").alias("accepted"),
-        F.round(F.avg("quality_score"), 4).alias("avg_score"),
+    per_chunk = rows.groupBy("project_id", "chunk_hash").agg(
+        F.count("chunk_hash").alias("n"), *[F.sum(c).alias(c) for c in ("t", "d", "a", "q")]
     )
-    return documents.join(chunks, "project_id", "left").select(
-        "project_id", "documents", "accepted", "avg_score",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("chunks", "distinct_chunks", "tokens")],
-        F.round(F.coalesce(1 - F.col("distinct_chunks") / F.col("chunks"), F.lit(0.0)), 6).alias("dedup_ratio"),
+    report = per_chunk.groupBy("project_id").agg(
+        F.sum("d").alias("documents"), F.sum("a").alias("accepted"), F.sum("q").alias("score"),
+        F.sum("n").alias("chunks"), F.count("chunk_hash").alias("distinct_chunks"),
+        F.coalesce(F.sum("t"), F.lit(0)).alias("tokens"),
+    )
+    saved = 1 - F.try_divide("distinct_chunks", "chunks")
+    return report.select(
+        "project_id", "documents", "accepted", F.round(F.col("score") / F.col("documents"), 4).alias("avg_score"),
+        "chunks", "distinct_chunks", "tokens", F.round(F.coalesce(saved, F.lit(0.0)), 6).alias("dedup_ratio"),
     )
 
 
 def chunk_stage(docs: DataFrame, fn: Embedder | None = None) -> DataFrame:
     """Accepted documents to chunk records with their owners."""
-    accepted = gate(docs).filter("is_acceptable")
-    chunked = semantic_chunks(F.col("text"), fn)(accepted)
-    return dedup_chunks(chunk_records(chunked, F.col("chunks")))
+    chunked = semantic_chunks(F.col("text"), fn)(gate(docs))
+    # refused documents have no chunks; a filter here would repeat the gate
+    return dedup_chunks(chunk_records(chunked, F.when(F.col("is_acceptable"), F.col("chunks"))))

@@ -110,16 +110,16 @@ def choose_extraction(candidates: DataFrame) -> DataFrame:
     accepted text ends the walk; a book may escalate to slides, slides to a
     full scan; broken encoding takes the raw text when it is longer.
     """
-    graded = quality(candidates)
-    facts = F.struct("text", "action", "is_acceptable", "total_chars")
+    graded = quality(candidates).withColumn("stripped", F.length(strip(F.coalesce("text", F.lit("")))))
+    graded = graded.withColumn("chars", F.length(F.coalesce("text", F.lit(""))))
+    facts = F.struct("profile", "action", "is_acceptable", "chars", "stripped")
+    # at most four rows per document, and no text among them
     wide = graded.groupBy("document_id").agg(
-        F.first("start_profile").alias("start_profile"),
-        *[F.max(F.when(F.col("profile") == p, facts)).alias(p) for p in (BOOK, SLIDE, SCAN)],
-        F.max(F.when(F.col("profile") == "RAW", facts)).alias("raw"),
+        F.first("start_profile").alias("_p1"), F.collect_list(facts).alias("_facts")
     )
 
     def facts_of(profile: Column) -> Column:
-        return F.when(profile == BOOK, F.col(BOOK)).when(profile == SLIDE, F.col(SLIDE)).otherwise(F.col(SCAN))
+        return F.try_element_at(F.filter("_facts", lambda f: f["profile"] == profile), F.lit(1))
 
     def following(profile: Column) -> Column:
         f = facts_of(profile)
@@ -127,16 +127,14 @@ def choose_extraction(candidates: DataFrame) -> DataFrame:
         to_scan = (f["action"] == "ESCALATE_TO_FULL_OCR") & (profile != SCAN)
         return F.when(f["is_acceptable"], profile).when(to_slide, F.lit(SLIDE)).when(to_scan, F.lit(SCAN)).otherwise(profile)
 
-    w = wide.withColumn("_p1", F.col("start_profile"))
-    w = w.withColumn("_p2", following(F.col("_p1"))).withColumn("_p3", following(F.col("_p2")))
-    last = facts_of(F.col("_p3"))
+    w = wide.withColumn("_p2", following(F.col("_p1")))
+    w = w.withColumn("_p3", following(F.col("_p2")))
+    w = w.withColumns({"_last": facts_of(F.col("_p3")), "_raw": facts_of(F.lit("RAW"))})
+    longer = F.coalesce("_raw.stripped", F.lit(0)) > F.coalesce("_last.chars", F.lit(0))
+    raw = ~F.col("_last.is_acceptable") & (F.col("_last.action") == "FALLBACK_PYPDF") & longer
     tries = 1 + (F.col("_p2") != F.col("_p1")).cast("int") + (F.col("_p3") != F.col("_p2")).cast("int")
-    longer = F.length(strip(F.coalesce("raw.text", F.lit("")))) > F.length(F.coalesce(last["text"], F.lit("")))
-    raw = (~last["is_acceptable"]) & (last["action"] == "FALLBACK_PYPDF") & longer
-    return w.select(
-        "document_id",
-        F.when(raw, F.lit("RAW")).otherwise(F.col("_p3")).alias("profile"),
-        F.when(raw, F.col("raw.text")).otherwise(last["text"]).alias("text"),
-        tries.alias("attempts"),
-        F.when(raw, F.col("raw.is_acceptable")).otherwise(last["is_acceptable"]).alias("accepted"),
+    chosen = w.select(
+        "document_id", F.when(raw, F.lit("RAW")).otherwise(F.col("_p3")).alias("profile"), tries.alias("attempts"),
+        F.when(raw, F.col("_raw.is_acceptable")).otherwise(F.col("_last.is_acceptable")).alias("accepted"),
     )
+    return chosen.join(candidates.select("document_id", "profile", "text"), ["document_id", "profile"])

@@ -1,3 +1,3 @@
 """Scans, file intake and sinks."""
 
-from .tables import SCHEMAS, load  # noqa: F401
+from .tables import SCHEMAS, load, spread  # noqa: F401

@@ -44,6 +44,16 @@ def load(spark: SparkSession, base: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{base}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """At least one partition per core for heavy work on a scan.
+
+    Only a scan with fewer splits than cores is shuffled, so large inputs,
+    which have plenty of splits, never are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def read_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Many files at once, one result row each; a bad file is a row too."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
