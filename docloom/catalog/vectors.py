@@ -169,7 +169,7 @@ def _(spark, d):
 
 @query("vec9_approximate_topk")
 def _(spark, d):
-    return vc.approx_topk(questions(spark, d), corpus(spark, d), 5, radius=1.0, width=1.0, tables=4)
+    return vc.approx_topk(questions(spark, d), corpus(spark, d), 64, 5)
 
 
 @query("vec11_deep_search")

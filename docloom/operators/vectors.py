@@ -19,9 +19,13 @@ from pyspark.sql import types as T
 from ..functions.checks import injection_flag, is_greeting
 from ..functions.embedding import Embedder, embed
 from ..functions.text import out_of_scope_score
+from ..session import shared_dir
 from .dedup import dedupe
+from .skew import attach
 
 MAX_BROADCAST_QUERIES = 10_000
+MAX_CELLS = 4_000_000
+BLOCK_ROWS = 50_000
 DIGITS = 6
 
 
@@ -29,33 +33,49 @@ def _matrix(vectors) -> np.ndarray:
     return np.array([np.asarray(v, dtype=float) for v in vectors])
 
 
-def _best(ids, vecs: np.ndarray, tenants, q_ids, q_vecs: np.ndarray, q_tenants, k: int, min_score: float):
-    """Rows (query, id, score) of the k best of this block per query."""
-    out_q, out_i, out_s = [], [], []
-    norms = np.sqrt((vecs * vecs).sum(axis=1))
-    q_norms = np.sqrt((q_vecs * q_vecs).sum(axis=1))
-    groups = [(None, np.arange(len(vecs)), np.arange(len(q_vecs)))]
-    if tenants is not None:
-        by_tenant = {t: np.flatnonzero(q_tenants == t) for t in pd.unique(q_tenants)}
-        rows = pd.Series(np.arange(len(vecs))).groupby(pd.Series(tenants)).indices
-        groups = [(t, rows[t], by_tenant[t]) for t in rows if t in by_tenant]
-    for _, rows, qs in groups:
-        bottom = np.outer(norms[rows], q_norms[qs])
-        scores = vecs[rows] @ q_vecs[qs].T
-        scores = np.where(bottom == 0, 0.0, scores / np.where(bottom == 0, 1.0, bottom))
-        scores = np.round(scores, DIGITS)
-        for col, q in enumerate(qs):
-            s = scores[:, col]
-            hit = np.flatnonzero(s >= min_score)
-            if len(hit) > k:
-                # the k-th best score; everything tied with it stays until ids decide
-                cut = np.partition(s[hit], len(hit) - k)[len(hit) - k]
-                hit = hit[s[hit] >= cut]
-                hit = hit[np.lexsort((np.asarray(ids)[rows[hit]], -s[hit]))][:k]
-            out_q.extend([q_ids[q]] * len(hit))
-            out_i.extend(np.asarray(ids)[rows[hit]].tolist())
-            out_s.extend(s[hit].tolist())
-    return out_q, out_i, out_s
+def _best(pdf: pd.DataFrame, qdf: pd.DataFrame, same: str | None, k: int, min_score: float) -> pd.DataFrame:
+    """The k best rows of this block per query: query_id, id, score.
+
+    Scores are computed for at most ``MAX_CELLS`` pairs at a time and cut to k
+    per query at once, so memory does not depend on the number of hits.
+    """
+    pdf, qdf = pdf[pdf["vector"].notna()], qdf[qdf["vector"].notna()]
+    found = [pd.DataFrame({"query_id": qdf["query_id"][:0], "id": pdf["id"][:0], "score": np.zeros(0)})]
+    pairs = [(pdf, qdf)] if len(pdf) and len(qdf) else []
+    if same and pairs:
+        asked = dict(tuple(qdf.groupby(same)))
+        pairs = [(part, asked[t]) for t, part in pdf.groupby(same) if t in asked]
+    for part, ask in pairs:
+        q = _matrix(ask["vector"])
+        q_norms, q_ids = np.sqrt((q * q).sum(axis=1)), ask["query_id"].to_numpy()
+        step = max(1, MAX_CELLS // len(q))
+        for start in range(0, len(part), step):
+            rows = part.iloc[start : start + step]
+            ids, m = rows["id"].to_numpy(), _matrix(rows["vector"])
+            bottom = np.outer(np.sqrt((m * m).sum(axis=1)), q_norms)
+            scores = np.round(np.where(bottom == 0, 0.0, (m @ q.T) / np.where(bottom == 0, 1.0, bottom)), DIGITS)
+            floor = np.full(len(q), min_score)
+            if len(rows) > k:
+                floor = np.maximum(floor, np.partition(scores, len(rows) - k, axis=0)[len(rows) - k])
+            r, c = np.nonzero(scores >= floor)
+            hits = pd.DataFrame({"query_id": q_ids[c], "id": ids[r], "score": scores[r, c]})
+            # rows tied at the cut are decided by id
+            hits = hits.sort_values(["score", "id"], ascending=[False, True], kind="stable")
+            found.append(hits.groupby("query_id", sort=False).head(k))
+    return pd.concat(found, ignore_index=True)
+
+
+def _hit_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
+    return T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("id", corpus.schema["id"].dataType),
+        T.StructField("score", T.DoubleType()),
+    ])
+
+
+def _merge(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def topk_cosine(
@@ -65,7 +85,6 @@ def topk_cosine(
     min_score: float = 0.5,
     same: str | None = None,
     max_broadcast: int = MAX_BROADCAST_QUERIES,
-    blocks: int = 64,
 ) -> DataFrame:
     """Exact k best corpus vectors per query by cosine.
 
@@ -77,20 +96,7 @@ def topk_cosine(
     q_cols = ["query_id", "vector"] + ([same] if same else [])
     c_cols = ["id", "vector"] + ([same] if same else [])
     queries, corpus = queries.select(*q_cols), corpus.select(*c_cols)
-    schema = T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField("id", corpus.schema["id"].dataType),
-        T.StructField("score", T.DoubleType()),
-    ])
-
-    def score_block(pdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf.empty or qdf.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        q, i, s = _best(
-            pdf["id"].to_numpy(), _matrix(pdf["vector"]), pdf[same].to_numpy() if same else None,
-            qdf["query_id"].tolist(), _matrix(qdf["vector"]), qdf[same].to_numpy() if same else None, k, min_score,
-        )
-        return pd.DataFrame({"query_id": q, "id": i, "score": s})
+    schema = _hit_schema(queries, corpus)
 
     # bounded by construction: at most max_broadcast + 1 rows reach the driver
     few = queries.limit(max_broadcast + 1).toPandas()
@@ -99,20 +105,23 @@ def topk_cosine(
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield score_block(pdf, shared.value)
+                yield _best(pdf, shared.value, same, k, min_score)
 
-        found = corpus.mapInPandas(scan, schema)
-    else:
-        q_blocks = -(-queries.count() // max_broadcast)
-        left = corpus.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(
-            "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
-        )
-        right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn(
-            "cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-        )
-        found = left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(score_block, schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        return _merge(corpus.mapInPandas(scan, schema), k)
+
+    # more queries: every block of the corpus meets every block of queries
+    c_blocks, q_blocks = -(-corpus.count() // BLOCK_ROWS), -(-queries.count() // max_broadcast)
+    left = corpus.withColumn("cb", F.pmod(F.xxhash64("id"), F.lit(c_blocks)).cast("int")).withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))
+    )
+    right = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn(
+        "cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1)))
+    )
+
+    def meet(pdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
+        return _best(pdf, qdf, same, k, min_score)
+
+    return _merge(left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInPandas(meet, schema), k)
 
 
 def retrieve(queries: DataFrame, corpus: DataFrame, k: int = 10, same: str | None = None) -> DataFrame:
@@ -176,9 +185,11 @@ def deep_search(
     without hits stops. First hop wins per (query, id).
     """
     hops = []
+    shared_dir(queries.sparkSession)
     current = queries.select("query_id", "vector")
     for hop in range(depth):
-        hits = topk_cosine(current, corpus, k, 0.0).withColumn("hop", F.lit(hop))
+        # k rows per query; kept, so that no later hop searches again
+        hits = topk_cosine(current, corpus, k, 0.0).withColumn("hop", F.lit(hop)).checkpoint()
         hops.append(hits)
         if hop == depth - 1:
             break
@@ -288,26 +299,57 @@ def scope_score(df: DataFrame) -> DataFrame:
     return df.withColumn("oos_score", score).withColumn("in_scope", ~refused & (F.round("oos_score", 9) <= 0.95))
 
 
+def _signatures(dim: int, tables: int, bits: int, seed: int):
+    """Bucket numbers of a vector, one per table, from random hyperplanes."""
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
+    powers = 1 << np.arange(bits)
+
+    @F.pandas_udf("array<long>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            good = s[s.notna()]
+            out = pd.Series([None] * len(s), dtype=object)
+            if len(good):
+                m = _matrix(good)
+                signs = np.stack([(m @ planes[t].T > 0) @ powers for t in range(tables)], axis=1)
+                rows = iter(signs)
+                out = pd.Series([next(rows) if ok else None for ok in s.notna()], dtype=object)
+            yield out
+
+    return run
+
+
 def approx_topk(
-    queries: DataFrame, corpus: DataFrame, k: int = 10, radius: float = 1.2, width: float = 0.8, tables: int = 6,
-    seed: int = 7,
+    queries: DataFrame, corpus: DataFrame, dim: int, k: int = 10, min_score: float = -1.0, tables: int = 8, bits: int = 6,
+    seed: int = 7, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """Neighbours through locality-sensitive hashing, re-ranked by cosine.
+    """Neighbours among vectors that share a hash bucket, scored exactly.
 
-    Unit vectors are bucketed by random projections; only vectors that share
-    a bucket are compared, so recall is high but not complete.
+    Random hyperplanes bucket both sides; recall is high but not complete. A
+    bucket is cut into blocks of a bounded size that all meet the bucket's
+    queries, so neither a hot bucket nor its pairs ever sit in one task.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    unit = Normalizer(inputCol="raw", outputCol="unit", p=2.0)
-    prep = lambda d, i: unit.transform(d.select(i, array_to_vector(F.col("vector").cast("array<double>")).alias("raw"))).drop("raw")
-    a, b = prep(queries, "query_id"), prep(corpus, "id")
-    lsh = BucketedRandomProjectionLSH(inputCol="unit", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed)
-    pairs = lsh.fit(b).approxSimilarityJoin(a, b, radius, "dist")
-    scored = pairs.select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.id").alias("id"),
-        F.round(1 - F.col("dist") ** 2 / 2, DIGITS).alias("score"),
+    bucket = _signatures(dim, tables, bits, seed)
+
+    def bucketed(df: DataFrame, key: str) -> DataFrame:
+        hashed = df.select(key, "vector", bucket(F.col("vector")).alias("_b"))
+        rows = hashed.select(key, "vector", F.posexplode_outer("_b").alias("t", "b")).filter(F.col("t").isNotNull())
+        return rows.select(key, "vector", F.concat_ws("/", "t", "b").alias("bucket"))
+
+    left, right = bucketed(corpus, "id"), bucketed(queries, "query_id")
+    sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "blocks", F.ceil(F.col("n") / block_rows).cast("int")
     )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    left = attach(left, sizes, "bucket", "n", ["id"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    left = left.drop("n", "blocks")
+    right = right.join(sizes, "bucket").select(
+        "query_id", "vector", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    )
+    keys = ["bucket", "block"]
+
+    def meet(pdf: pd.DataFrame, qdf: pd.DataFrame) -> pd.DataFrame:
+        return _best(pdf, qdf, None, k, min_score)
+
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, _hit_schema(queries, corpus))
+    # one neighbour may come from several tables
+    return _merge(found.groupBy("query_id", "id").agg(F.max("score").alias("score")), k)

@@ -29,35 +29,32 @@ def rerank(
     the data grows by the words of the query only. ``hybrid`` is a weighted
     sum of both scores, each scaled to [0, 1] within its query.
     """
-    scored = hits
+    per_query = Window.partitionBy("query_id")
+    scored = hits.withColumn("lex", F.lit(0.0))
     if method != "semantic":
-        body = words(F.lower(F.coalesce("content", F.lit(""))))
-        rows = hits.select("query_id", "id", F.array_distinct(words(F.lower("query"))).alias("q"), body.alias("w"))
-        rows = rows.withColumn("size", F.size("w"))
-        per_query = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"))
-        tf = rows.select("query_id", "id", "size", "w", F.explode("q").alias("term")).select(
-            "query_id", "id", "size", "term", F.size(F.filter("w", lambda w: w == F.col("term"))).alias("tf")
-        ).filter("tf > 0")
-        df = tf.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("df"))
+        rows = hits.select(
+            "query_id", "id", F.struct(*hits.columns).alias("hit"), F.array_distinct(words(F.lower("query"))).alias("q"),
+            words(F.lower(F.coalesce("content", F.lit("")))).alias("w"),
+        )
+        tf = lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda w: w == t)).alias("tf"))
+        rows = rows.withColumns({"size": F.size("w"), "terms": F.transform("q", tf)}).drop("q", "w")
+        rows = rows.withColumns({"n": F.count(F.lit(1)).over(per_query), "mean": F.avg("size").over(per_query)})
+        # one row per query word; the hit itself rides on the first of them
+        parts = rows.select("query_id", "id", "size", "n", "mean", "hit", F.posexplode_outer("terms").alias("pos", "e"))
+        parts = parts.withColumn("hit", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("hit")))
+        parts = parts.withColumn("df", F.count_if(F.col("e.tf") > 0).over(Window.partitionBy("query_id", "e.term")))
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-        lexical = (
-            tf.join(df, ["query_id", "term"]).join(per_query, "query_id")
-            .groupBy("query_id", "id").agg(F.sum(idf * gain).alias("lex"))
+        gain = F.col("e.tf") * (k1 + 1) / (F.col("e.tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
+        summed = parts.groupBy("query_id", "id").agg(
+            F.sum(F.when(F.col("e.tf") > 0, idf * gain).otherwise(0.0)).alias("lex"), F.first("hit", True).alias("hit")
         )
-        scored = hits.join(lexical, ["query_id", "id"], "left").withColumn("lex", F.coalesce("lex", F.lit(0.0)))
+        scored = summed.select("hit.*", "lex")
     if method == "hybrid":
-        ends = scored.groupBy("query_id").agg(
-            *[f(c).alias(f"{n}_{c}") for c in ("lex", "score") for n, f in (("lo", F.min), ("hi", F.max))]
-        )
-
         def scaled(c: str) -> Column:
-            spread = F.col(f"hi_{c}") - F.col(f"lo_{c}")
-            return F.when(spread == 0, F.lit(1.0)).otherwise((F.col(c) - F.col(f"lo_{c}")) / spread)
+            low, high = F.min(c).over(per_query), F.max(c).over(per_query)
+            return F.when(high == low, F.lit(1.0)).otherwise((F.col(c) - low) / (high - low))
 
-        scored = scored.join(ends, "query_id").withColumn(
-            "_rank_score", weight * scaled("lex") + (1 - weight) * scaled("score")
-        )
+        scored = scored.withColumn("_rank_score", weight * scaled("lex") + (1 - weight) * scaled("score"))
     else:
         scored = scored.withColumn("_rank_score", F.col("lex" if method == "bm25" else "score"))
     scored = scored.withColumn("rank_score", F.round("_rank_score", 6))
