@@ -9,7 +9,7 @@ from ..functions import fixed_values as fv
 from ..operators import dedup, query as tq
 from ..operators.windows import rank
 from ..sources.tables import html_text, intake, parse_jsonl
-from .base import load, query, sql_strip
+from .base import load, query, spread, sql_strip
 
 
 @query("src1_table_scan", """
@@ -74,7 +74,7 @@ def _sql_html() -> str:
 @query("src4_html_text", f"""
     SELECT page_id, length(t) AS chars, sha256(t) AS text_hash FROM (SELECT page_id, {_sql_html()} AS t FROM pages)""")
 def _(spark, d):
-    t = load(spark, d, "pages").select("page_id", html_text(F.col("html")).alias("t"))
+    t = spread(load(spark, d, "pages"), "page_id").select("page_id", html_text(F.col("html")).alias("t"))
     return t.select("page_id", F.length("t").alias("chars"), F.sha2("t", 256).alias("text_hash"))
 
 

@@ -8,7 +8,7 @@ from ..functions import fixed_values as fv
 from ..functions import masking, numbers as nm, text as tx
 from ..operators import joins
 from ..operators.windows import working_memory
-from .base import SPACES, load, query, sql_strip, sql_words
+from .base import SPACES, load, query, spread, sql_strip, sql_words
 
 
 def _sha(c):
@@ -104,7 +104,7 @@ def _sql_redact(c: str) -> str:
 @query("str7_redact", f"""
     SELECT doc_id, length(t) AS n, sha256(t) AS h FROM (SELECT doc_id, {_sql_redact(_SECRETS)} AS t FROM documents)""")
 def _(spark, d):
-    t = load(spark, d, "documents").select("doc_id", tx.redact(_secrets()).alias("t"))
+    t = spread(load(spark, d, "documents"), "doc_id").select("doc_id", tx.redact(_secrets()).alias("t"))
     return t.select("doc_id", F.length("t").alias("n"), _sha("t").alias("h"))
 
 
@@ -146,7 +146,7 @@ def _(spark, d):
       '[\\p{L}\\p{N}_.\\-]+@[\\p{L}\\p{N}_.\\-]+', '[EMAIL]', 'g'), '\\b[0-9]{5,}\\b', '[NUM]', 'g'),
       '[A-Za-z0-9_\\-]{40,}', '[TOKEN]', 'g') AS t FROM documents)""")
 def _(spark, d):
-    t = load(spark, d, "documents").select("doc_id", tx.mask_pii(F.col("text")).alias("t"))
+    t = spread(load(spark, d, "documents"), "doc_id").select("doc_id", tx.mask_pii(F.col("text")).alias("t"))
     return t.select("doc_id", F.length("t").alias("n"), _sha("t").alias("h"))
 
 

@@ -53,7 +53,8 @@ def _groups(pieces: Column, starts: Column) -> Column:
     """Split ``pieces`` into arrays at ``starts``."""
     def cut(s: Column) -> Column:
         ends = F.array_append(F.slice(s, 2, F.greatest(F.size(s), F.lit(1))), F.size(pieces))
-        return F.zip_with(s, ends, lambda a, b: F.slice(pieces, a + 1, b - a))
+        # without any piece there is one end but no start
+        return F.slice(F.zip_with(s, ends, lambda a, b: F.slice(pieces, a + 1, b - a)), 1, F.size(s))
 
     return let(starts, cut)
 

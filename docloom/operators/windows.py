@@ -36,7 +36,7 @@ def rerank(
             "query_id", "id", F.struct(*hits.columns).alias("hit"), F.array_distinct(words(F.lower("query"))).alias("q"),
             words(F.lower(F.coalesce("content", F.lit("")))).alias("w"),
         )
-        tf = lambda t: F.struct(t.alias("term"), F.size(F.filter("w", lambda w: w == t)).alias("tf"))
+        tf = lambda t: F.struct(t.alias("term"), (F.size("w") - F.size(F.array_remove("w", t))).alias("tf"))
         rows = rows.withColumns({"size": F.size("w"), "terms": F.transform("q", tf)}).drop("q", "w")
         rows = rows.withColumns({"n": F.count(F.lit(1)).over(per_query), "mean": F.avg("size").over(per_query)})
         # one row per query word; the hit itself rides on the first of them
