@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..plans import ingest as ing
 from ..session import shared_dir
-from ..sources.tables import SCHEMAS
+from ..sources.tables import SCHEMAS, append_log, write_turn_hits
 from ..streaming import events as ev, limits as lm
 from .base import load, query
 
@@ -88,10 +88,16 @@ def _(spark, d):
     return spark.read.schema("event_id long, us long, allowed boolean").parquet(f"{base}/out")
 
 
-@query("stm4_chat_limits")
+@query("stm4_chat_limits", """
+    WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, epoch_us(ts) + floor(least(value, 120) * 1000000)::BIGINT AS ends, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    w AS (SELECT DISTINCT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, '' AS reason, []::BIGINT[] AS act, []::BIGINT[] AS acc FROM events
+      UNION ALL SELECT user_id, rn, event_id, reason, CASE WHEN reason = '' THEN list_append(act, ends) ELSE act END, CASE WHEN reason = '' THEN list_append(acc, us) ELSE acc END FROM
+        (SELECT e.*, act, acc, CASE WHEN len(list_filter(act, lambda t: t > us)) >= 1 THEN 'concurrent' WHEN len(list_filter(acc, lambda t: t > us - 60000000)) >= 2 THEN 'minute'
+           WHEN len(list_filter(acc, lambda t: t > us - 86400000000)) >= 2 THEN 'day' ELSE '' END AS reason FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1))
+    SELECT event_id, reason = '' AS allowed, reason FROM w WHERE event_id IS NOT NULL""")
 def _(spark, d):
     t = load(spark, d, "events").select("event_id", "ts", "user_id", F.col("value").alias("duration_s"))
-    return lm.chat_limits(t, concurrent=1, minute=2, day=5).select("event_id", "allowed", "reason")
+    return lm.chat_limits(t, concurrent=1, minute=2, day=2).select("event_id", "allowed", "reason")
 
 
 @query("stm4_window_flags", """
@@ -213,3 +219,23 @@ def _(spark, d):
 def _(spark, d):
     t = load(spark, d, "events").select(F.col("event_id").alias("run_id"), "user_id", "ts", (F.col("value") * 60).alias("duration_s"))
     return ev.active_runs(t).select("user_id", "run_id", "at_us", "step", "active")
+
+
+@query("snk3_turn_hits_json", """
+    SELECT user_id % 8 AS turn, event_id AS id, value AS score FROM events""")
+def _(spark, d):
+    path = f"{_run_dir(spark)}/hits"
+    hits = load(spark, d, "events").select((F.col("user_id") % 8).alias("turn"), F.col("event_id").alias("id"), F.col("value").alias("score"))
+    write_turn_hits(hits, path)
+    return spark.read.schema("id long, score double, turn long").json(path)
+
+
+@query("snk4_append_log", """
+    SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2""")
+def _(spark, d):
+    path = f"{_run_dir(spark)}/log"
+    log = load(spark, d, "events").select("event_id", F.col("event_type").alias("action"), F.col("ts").alias("created_at"))
+    append_log(log.filter("action <> 'error'"), path)
+    append_log(log.filter("action = 'error'"), path)
+    back = spark.read.schema("event_id long, action string, created_at timestamp_ntz, day date").parquet(path)
+    return back.groupBy(F.col("day").cast("string").alias("day"), "action").agg(F.count("*").alias("n"))

@@ -172,7 +172,21 @@ def _(spark, d):
     return vc.approx_topk(questions(spark, d), corpus(spark, d), 64, 5)
 
 
-@query("vec11_deep_search")
+def _sql_deep(depth: int, k: int) -> str:
+    ctes = [sql_vectors("q0", "benchmark", "item_id", "text"), sql_vectors("e", "documents", "doc_id", "text")]
+    for h in range(depth):
+        ctes.append(f"""
+    d{h} AS (SELECT a.id AS qid, c.id, sum(a.x * c.x) AS dot FROM q{h} a JOIN e c USING (b) GROUP BY 1, 2),
+    h{h} AS MATERIALIZED (SELECT qid, id, score, rank, {h} AS hop FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM
+      (SELECT a.id AS qid, c.id, round(CASE WHEN a.n * c.n = 0 THEN 0 ELSE coalesce(dot, 0) / (a.n * c.n) END, 6) AS score FROM q{h}_n a CROSS JOIN e_n c LEFT JOIN d{h} t ON t.qid = a.id AND t.id = c.id) WHERE score >= 0) WHERE rank <= {k}),
+    m{h} AS (SELECT qid AS id, b, 0.5 * sum(x) / any_value(n) AS x FROM h{h} JOIN (SELECT qid, count(*) AS n FROM h{h} GROUP BY 1) USING (qid) JOIN e ON e.id = h{h}.id GROUP BY 1, 2),
+    q{h + 1} AS MATERIALIZED (SELECT id, b, sum(x) AS x FROM (SELECT * FROM q{h} UNION ALL SELECT * FROM m{h}) GROUP BY 1, 2),
+    q{h + 1}_n AS (SELECT id, sqrt(sum(x * x)) AS n FROM q{h + 1} GROUP BY 1)""")
+    hops = " UNION ALL ".join(f"SELECT * FROM h{h}" for h in range(depth))
+    return f"""WITH {", ".join(ctes)} SELECT qid AS query_id, id, score, hop, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, id ORDER BY hop, rank) AS rn FROM ({hops})) WHERE rn = 1"""
+
+
+@query("vec11_deep_search", _sql_deep(3, 5))
 def _(spark, d):
     return vc.deep_search(questions(spark, d), corpus(spark, d), 3, 5)
 

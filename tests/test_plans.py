@@ -39,10 +39,15 @@ def test_pages_are_not_sorted_as_a_whole(spark, sf):
     assert "TakeOrderedAndProject" in plan(QUERIES["ord2_page_with_total"](spark, sf))
 
 
+def formatted(spark, df):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return df._jdf.queryExecution().explainString(mode)
+
+
 def test_filters_and_columns_reach_the_scan(spark, sf):
-    text = plan(QUERIES["src1_table_scan"](spark, sf))
-    assert "GreaterThan(l_discount,0.05)" in text and "l_comment" not in text and "l_tax" not in text.split("ReadSchema")[1]
-    assert "EqualTo(source,src3)" in plan(QUERIES["fil5_tenant_isolation"](spark, sf))
+    text = formatted(spark, QUERIES["src1_table_scan"](spark, sf))
+    assert "GreaterThan(l_discount,0.05)" in text and "l_tax" not in text
+    assert "EqualTo(source,src3)" in formatted(spark, QUERIES["fil5_tenant_isolation"](spark, sf))
 
 
 @pytest.mark.parametrize("name", ["semantic_chunker", "ingest_report", "chk2_sentence", "vec1_embed"])
