@@ -82,7 +82,7 @@ _SIMS = f"""
     v AS MATERIALIZED (SELECT doc_id, i, ('0x' || substr(md5(w), 1, 8))::BIGINT % 64 AS b, count(*)::DOUBLE AS x FROM sw GROUP BY 1, 2, 3),
     nn AS (SELECT doc_id, i, sqrt(sum(x * x)) AS n FROM v GROUP BY 1, 2),
     dd AS (SELECT a.doc_id, c.i, sum(a.x * c.x) AS dot FROM v a JOIN v c ON a.doc_id = c.doc_id AND a.i + 1 = c.i AND a.b = c.b GROUP BY 1, 2),
-    sims AS MATERIALIZED (SELECT c.doc_id, c.i, coalesce(dot, 0) / (a.n * c.n) AS sim FROM nn a JOIN nn c ON a.doc_id = c.doc_id AND a.i + 1 = c.i
+    sims AS MATERIALIZED (SELECT c.doc_id, c.i, round(coalesce(dot, 0) / (a.n * c.n), 9) AS sim FROM nn a JOIN nn c ON a.doc_id = c.doc_id AND a.i + 1 = c.i
              LEFT JOIN dd ON dd.doc_id = c.doc_id AND dd.i = c.i)"""
 
 
@@ -95,7 +95,7 @@ def _(spark, d):
 
 
 @query("agg13_break_threshold", f"""
-    WITH {_SIMS} SELECT d.doc_id AS document_id, round(CASE WHEN count(sim) = 0 THEN 0.75 ELSE least(0.9, greatest(0.1, quantile_cont(sim, 0.25))) END, 6)::DOUBLE AS threshold
+    WITH {_SIMS} SELECT d.doc_id AS document_id, round(round(CASE WHEN count(sim) = 0 THEN 0.75 ELSE least(0.9, greatest(0.1, quantile_cont(sim, 0.25))) END, 9), 6)::DOUBLE AS threshold
     FROM documents d LEFT JOIN sims USING (doc_id) GROUP BY 1""")
 def _(spark, d):
     t = _docs(spark, d).withColumn("sims", adjacent_similarity(ck.prose_sentences(F.col("text"))))
