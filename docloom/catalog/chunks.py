@@ -87,19 +87,19 @@ _SIMS = f"""
 
 
 @query("win7_adjacent_similarity", f"""
-    WITH {_SIMS} SELECT doc_id AS document_id, i - 1 AS sentence, round(sim, 6) AS similarity FROM sims""")
+    WITH {_SIMS} SELECT doc_id AS document_id, i - 1 AS sentence, sim AS similarity FROM sims""")
 def _(spark, d):
     t = _docs(spark, d).withColumn("sims", adjacent_similarity(ck.prose_sentences(F.col("text"))))
     rows = ck.explode_pieces(t, ["document_id"], F.col("sims"), "p", "sim")
-    return rows.select("document_id", (F.col("p") + 1).alias("sentence"), F.round("sim", 6).alias("similarity"))
+    return rows.select("document_id", (F.col("p") + 1).alias("sentence"), F.col("sim").alias("similarity"))
 
 
 @query("agg13_break_threshold", f"""
-    WITH {_SIMS} SELECT d.doc_id AS document_id, round(round(CASE WHEN count(sim) = 0 THEN 0.75 ELSE least(0.9, greatest(0.1, quantile_cont(sim, 0.25))) END, 9), 6)::DOUBLE AS threshold
+    WITH {_SIMS} SELECT d.doc_id AS document_id, round(CASE WHEN count(sim) = 0 THEN 0.75 ELSE least(0.9, greatest(0.1, quantile_cont(sim, 0.25))) END, 9)::DOUBLE AS threshold
     FROM documents d LEFT JOIN sims USING (doc_id) GROUP BY 1""")
 def _(spark, d):
     t = _docs(spark, d).withColumn("sims", adjacent_similarity(ck.prose_sentences(F.col("text"))))
-    return t.select("document_id", F.round(ck.break_threshold(F.col("sims")), 6).alias("threshold"))
+    return t.select("document_id", ck.break_threshold(F.col("sims")).alias("threshold"))
 
 
 _GROUPED = f"""
