@@ -5,6 +5,8 @@ Query texts are the whole ``benchmark`` table; the corpus is all documents.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import numbers as nm
@@ -12,6 +14,7 @@ from ..functions.chunking import explode_pieces
 from ..functions.embedding import embed
 from ..operators import dedup, joins, vectors as vc
 from ..operators.windows import rerank
+from ..session import shared_dir
 from .base import load, query, spread, sql_scores, sql_vectors
 
 _PAIR = f"""{sql_vectors('q', 'benchmark', 'item_id', 'text')}, {sql_vectors('e', 'documents', 'doc_id', 'text')}, {sql_scores('q', 'e')}"""
@@ -150,7 +153,7 @@ def _(spark, d):
     WITH {_PAIR}, f AS (SELECT doc_id, source, text FROM documents d WHERE doc_id = (SELECT min(doc_id) FROM documents x WHERE x.source = d.source)),
     m AS (SELECT qid, max(score) AS sim FROM scores WHERE score >= 0 GROUP BY 1),
     p AS (SELECT qid, round(max(score), 6) AS psim FROM scores JOIN f ON doc_id = id WHERE source = 'src' || (qid % 20) GROUP BY 1)
-    SELECT item_id, round(0.4 * ((50 + item_id % 50) / 100.0::DOUBLE) + 0.3 * (1 - sim) + 0.3 * (1 - psim), 6) AS oos_score,
+    SELECT item_id, round(0.4 * ((50 + item_id % 50) / 100.0::DOUBLE) + 0.3 * (1 - sim) + 0.3 * (1 - psim), 8) AS oos_score,
       item_id % 7 <> 0 AND NOT contains(lower(text), 'jailbreak') AND 0.4 * ((50 + item_id % 50) / 100.0::DOUBLE) + 0.3 * (1 - sim) + 0.3 * (1 - psim) <= 0.95 AS in_scope
     FROM benchmark JOIN m ON m.qid = item_id JOIN p ON p.qid = item_id""")
 def _(spark, d):
@@ -164,7 +167,7 @@ def _(spark, d):
         F.when(F.col("query_id") % 7 == 0, 0).otherwise(3).alias("files"),
         F.concat(F.lit("OUT_SCOPE (0."), 50 + F.col("query_id") % 50, F.lit(")")).alias("reply"),
     )
-    return vc.scope_score(t).select("item_id", F.round("oos_score", 6).alias("oos_score"), "in_scope")
+    return vc.scope_score(t).select("item_id", F.round("oos_score", 8).alias("oos_score"), "in_scope")
 
 
 @query("vec9_approximate_topk")
@@ -188,7 +191,10 @@ def _sql_deep(depth: int, k: int) -> str:
 
 @query("vec11_deep_search", _sql_deep(3, 5))
 def _(spark, d):
-    return vc.deep_search(questions(spark, d), corpus(spark, d), 3, 5)
+    # every hop reads the vectors, so they are embedded once into a table
+    path = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}/vectors"
+    corpus(spark, d).select("id", "vector").write.parquet(path)
+    return vc.deep_search(questions(spark, d), spark.read.schema("id long, vector array<double>").parquet(path), 3, 5)
 
 
 _VARIANTS = ["{q}", "vendor advisory {q} the end", "latest"]

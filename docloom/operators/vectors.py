@@ -24,6 +24,7 @@ from .dedup import dedupe
 from .skew import attach
 
 MAX_BROADCAST_QUERIES = 10_000
+MAX_BROADCAST_HITS = 1_000_000
 MAX_CELLS = 4_000_000
 BLOCK_ROWS = 50_000
 DIGITS = 6
@@ -107,7 +108,10 @@ def topk_cosine(
             for pdf in batches:
                 yield _best(pdf, shared.value, same, k, min_score)
 
-        return _merge(corpus.mapInPandas(scan, schema), k)
+        best = _merge(corpus.mapInPandas(scan, schema), k)
+        # the number of hits is known to be small: joins fetch payloads for
+        # them without shuffling the corpus
+        return F.broadcast(best) if k * len(few) <= MAX_BROADCAST_HITS else best
 
     # more queries: every block of the corpus meets every block of queries
     c_blocks, q_blocks = -(-corpus.count() // BLOCK_ROWS), -(-queries.count() // max_broadcast)
@@ -194,7 +198,10 @@ def deep_search(
         if hop == depth - 1:
             break
         # mean hit vector: one (sum, count) pair per query and position
-        spread = hits.join(corpus.select("id", "vector"), "id").select("query_id", F.posexplode("vector"))
+        found = hits.select("query_id", "id")
+        if hits.count() <= MAX_BROADCAST_HITS:  # a count of the kept rows
+            found = F.broadcast(found)
+        spread = corpus.select("id", "vector").join(found, "id").select("query_id", F.posexplode("vector"))
         mean = (
             spread.groupBy("query_id", "pos").agg(F.avg("col").alias("v"))
             .groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("m"))
@@ -270,10 +277,11 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, now: Column, min_score: f
     ``cache``: id, vector, project_id, redis_key, content, expires_at.
     """
     best = topk_cosine(queries, cache, 1, min_score, same="project_id")
-    live = cache.filter(F.col("expires_at") > now).select("id", "redis_key", "content")
-    found = best.join(live, "id", "left")
+    entry = cache.select("id", "content", (F.col("expires_at") > now).alias("live"))
+    found = best.join(entry, "id")
+    hit = F.coalesce("live", F.lit(False))
     return queries.select("query_id", "project_id").join(found, "query_id", "left").select(
-        "query_id", "project_id", "id", "score", "content", F.col("redis_key").isNotNull().alias("hit")
+        "query_id", "project_id", "id", "score", F.when(hit, F.col("content")).alias("content"), hit.alias("hit")
     )
 
 

@@ -59,6 +59,12 @@ def test_texts_are_worked_on_once(name, spark, sf):
     assert not any(" Filter " in line and "transform(" in line for line in text.splitlines())
 
 
+@pytest.mark.parametrize("name", ["vec4_retrieve", "joi2_hits_to_chunks", "vec7_memory_recall"])
+def test_payloads_are_fetched_without_shuffling_the_corpus(name, spark, sf):
+    text = plan(QUERIES[name](spark, sf))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
 def test_hot_keys_are_broadcast_apart(spark):
     big = spark.range(1000).select("id", (F.col("id") % 3).cast("string").alias("k"))
     facts = big.groupBy("k").agg(F.count("*").alias("n"))
