@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, line_rules, mixing, secrets, setsketch
-from .common import read
+from . import bpe, language, line_rules, mixing, quality, secrets, setsketch, sharding
+from .common import crc, read
 from .sql import LINE_RULES_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,17 +32,37 @@ def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_examples")
 
 
+@query("op2_language_backoff")
+def language_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", crc(F.col("doc_id")) % 3 == 1)
+    model = language.learn(docs.filter(~F.col("held_out")))
+    return language.identify(docs, model, keep=("doc_id", "held_out"))
+
+
 @query("op3_mix_sources")
 def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op5_subword_quality")
+def subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    sample = quality.training_rows(docs, read(spark, sf_dir, "labels"), "crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0")
+    scored = quality.score(docs, quality.learn(sample))
+    return scored.withColumn("held_out", crc(F.col("doc_id")) % 5 == 0).select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op6_line_rules", LINE_RULES_SQL)
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = line_rules.apply_line_rules(read(spark, sf_dir, "documents"))
     return judged.drop("clean_text")
 
 
+@query("op8_label_propagation_shards")
+def label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
 @query("op9_setsketch_near_dedup")
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read(spark, sf_dir, "documents"))
