@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, line_rules, mixing, quality, secrets, setsketch, sharding
+from . import bpe, forest, language, line_rules, mixing, quality, secrets, setsketch, sharding
 from .common import crc, read
 from .sql import LINE_RULES_SQL
 
@@ -58,6 +58,11 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("clean_text")
 
 
+@query("op7_projection_forest")
+def projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query("op8_label_propagation_shards")
 def label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
