@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, language, line_rules, mixing, quality, secrets, setsketch, sharding
+from . import bpe, forest, language, line_rules, mixing, quality, recompression, secrets, setsketch, sharding
 from .common import crc, read
 from .sql import LINE_RULES_SQL
 
@@ -44,6 +44,11 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op4_recompression_dedup")
+def recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 @query("op5_subword_quality")
 def subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
