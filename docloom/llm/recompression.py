@@ -115,7 +115,7 @@ def _repeats(
     rows: DataFrame, columns: list[str], entries: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]],
     width: int, n_buckets: int, others_only: bool,
 ) -> DataFrame:
-    """(owner, keys): which of each owner's keys another owner has too; keys packed, in several rows.
+    """(owner, keys): which of each owner's keys another owner has too; keys packed, a row for each owner.
 
     With ``others_only`` the least owner of a key is left out. Each task first combines its own
     entries: of a key it passes on one, its least owner's, and reports the rest at once. So a key
@@ -168,29 +168,45 @@ def _repeats(
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64).reshape(-1, width)
         if key[0].as_py() < n_buckets:
             known = np.frombuffer(b"".join(table.column("known").to_pylist()), bool)
-            order = np.lexsort((owners, *keys.T[::-1]))
-            known = known[order]
+            known = known[np.lexsort((owners, *keys.T[::-1]))]
             owners, keys, number, heads = _by_key(owners, keys)
             hit = shared(owners, number, heads) & ~known  # known ones were reported before
             owners, keys = owners[hit], keys[hit]
-        order = np.argsort(owners, kind="stable")
-        owners, keys = owners[order], keys[order]
+        # packed for the owners' buckets: never more rows than entries
+        spot = (mix(owners.astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((owners, spot))
+        spot, owners, keys = spot[order], owners[order], keys[order]
+        found, cut = np.unique(spot, return_index=True)
+        cuts = [*cut.tolist(), len(spot)]
+        parts = list(zip(cuts, cuts[1:], strict=False))
+        return pa.table({
+            "spot": pa.array(found, pa.int64()),
+            "owners": pa.array([owners[i:j].tobytes() for i, j in parts], pa.binary()),
+            "keys": pa.array([keys[i:j].tobytes() for i, j in parts], pa.binary()),
+        })
+
+    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        owners = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.int64)
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64).reshape(-1, width)
+        owners, keys = _distinct(owners, keys)
         found, cut = np.unique(owners, return_index=True)
-        packed = [k.tobytes() for k in np.split(keys, cut[1:])] if len(found) else []
+        cuts = [*cut.tolist(), len(owners)]
+        packed = [keys[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
         return pa.table({"owner": pa.array(found, pa.int64()), "keys": pa.array(packed, pa.binary())})
 
     packs = rows.select(*columns).mapInArrow(combine, _PACK)
-    return packs.groupBy("bucket").applyInArrow(meet, "owner long, keys binary")
+    met = packs.groupBy("bucket").applyInArrow(meet, "spot long, owners binary, keys binary")
+    return met.groupBy("spot").applyInArrow(gather, "owner long, keys binary")
 
 
-def _set(packs: list[bytes], width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(packs), np.uint64).reshape(-1, width)
+def _set(pack: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(pack, np.uint64).reshape(-1, width)
 
 
 def _anchor_entries(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     words, first = word_hashes(part.column("text"))
     text, _, _, key = anchors(words, first)
-    return part.column("owner").to_numpy()[text], key[:, None]
+    return part.column("class").to_numpy()[text], key[:, None]
 
 
 def _window_keys(words: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -222,14 +238,18 @@ def _kept_words(text: str | None, covered: np.ndarray | None) -> tuple[int, int,
 
 
 def _first_look(part: pa.RecordBatch) -> dict:
-    """Results of documents without a shared anchor; the others keep their text for later."""
-    out: dict[str, list] = {"n_words": [], "kept_sha256": [], "text": []}
-    for text, packs in zip(part.column("text").to_pylist(), part.column("shared").to_pylist(), strict=True):
-        n, _, sha = (None, 0, None) if packs else _kept_words(text, None)
-        out["n_words"].append(n)
-        out["kept_sha256"].append(sha)
-        out["text"].append(text if packs else None)
-    return out | {c: part.column(c) for c in ("doc_id", "owner", "shared")}
+    """Results of later copies of a text and of documents without a shared anchor; the others keep their text."""
+    out: dict[str, list] = {"n_words": [], "n_removed": [], "kept_sha256": [], "text": []}
+    rows = zip(*(part.column(c).to_pylist() for c in ("text", "shared", "copy")), strict=True)
+    for text, pack, copy in rows:
+        later = pack is not None and not copy
+        n, gone, sha = (None, None, None) if later else _kept_words(text, None)
+        if copy and n >= WINDOW:  # each of its windows starts in the first document with this text
+            gone, sha = n, hashlib.sha256(b"").hexdigest()
+        for name, value in (("n_words", n), ("n_removed", gone), ("kept_sha256", sha), ("text", text if later else None)):
+            out[name].append(value)
+    shared = pa.array([p if t is not None else None for p, t in zip(part.column("shared").to_pylist(), out["text"], strict=True)], pa.binary())
+    return out | {"doc_id": part.column("doc_id"), "owner": part.column("owner"), "shared": shared}
 
 
 def _remove(part: pa.RecordBatch) -> dict:
@@ -265,19 +285,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_LAST)).cast("long").alias("owner"), "text")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n_buckets = 1 + size // 12 // BUCKET  # more buckets than anchors fill, at about six bytes a word
-    found = _repeats(rows, ["owner", "text"], _anchor_entries, 1, n_buckets, others_only=False)
-    found = found.groupBy("owner").agg(F.collect_list("keys").alias("shared"))
-    looked = map_texts(
-        rows.join(found, "owner", "left"), ["doc_id", "owner", "text", "shared"],
-        "doc_id long, owner long, n_words long, kept_sha256 string, text string, shared array<binary>", _first_look,
-    )
-    looked = kept(looked)
+    # equal texts are one class: its copies have no anchors of their own to compare
+    rows = rows.withColumn("class", F.xxhash64("text")).withColumn("digest", F.md5("text"))
+    found = _repeats(rows, ["class", "text"], _anchor_entries, 1, n_buckets, others_only=False)
+    classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("owner").alias("least"), F.min("class").alias("class"))
+    classes = classes.join(found.withColumnsRenamed({"owner": "class", "keys": "shared"}), "class", "left").drop("class")
+    facts = rows.drop("class").join(classes, "digest", "left")
+    looked = kept(map_texts(
+        facts.withColumn("copy", F.coalesce(F.col("owner") > F.col("least"), F.lit(False))),
+        ["doc_id", "owner", "text", "shared", "copy"],
+        "doc_id long, owner long, n_words long, n_removed long, kept_sha256 string, text string, shared binary", _first_look,
+    ))
     maybe = looked.filter("shared IS NOT NULL")
     gone = _repeats(maybe, ["owner", "text", "shared"], _window_entries, 2, n_buckets, others_only=True)
-    gone = gone.groupBy("owner").agg(F.collect_list("keys").alias("gone"))
     cut = map_texts(
-        maybe.join(gone, "owner", "left"), ["doc_id", "text", "gone"],
+        maybe.join(gone.withColumnRenamed("keys", "gone"), "owner", "left"), ["doc_id", "text", "gone"],
         "doc_id long, n_words long, n_removed long, kept_sha256 string", _remove,
     )
-    rest = looked.filter("shared IS NULL").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return rest.unionByName(cut)
+    return looked.filter("shared IS NULL").select("doc_id", "n_words", "n_removed", "kept_sha256").unionByName(cut)
