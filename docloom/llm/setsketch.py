@@ -5,6 +5,10 @@ spaced scale (base B) truncated to 0..Q+1: ``clip(floor(1 - log_B(minimum)))``.
 sets merge by maximum, and equal registers are as likely as the sets are similar. Bands of
 registers give candidates, the joint likelihood of all registers drops distant pairs, and the
 full shingle sets confirm every link.
+
+Only components are wanted, so a bucket first hands on the strongest pairs that hold it together,
+one less than it has members. Once these are confirmed or refused, a bucket that still holds
+several components hands on every near pair across them: no link between components is lost.
 """
 
 from __future__ import annotations
@@ -21,10 +25,14 @@ from .common import Kept, components, map_texts, mix, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.75
-M, ROWS = 128, 4
+#: Registers; a band is ROWS of them, the next one starts STEP further.
+M, ROWS, STEP = 128, 6, 3
+BANDS = (M - ROWS) // STEP + 1
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
-#: Pairs whose estimate is over five deviations under the similarity are not confirmed.
-ESTIMATE_SLACK = 0.2
+#: Pairs whose estimate is over four deviations under the similarity are not confirmed.
+NEAR = SIMILARITY - 0.15
+#: Members of a larger bucket are compared block by block.
+BLOCK = 512
 _MULTIPLIERS = mix(np.arange(1, M + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -93,6 +101,56 @@ def sketch(docs: DataFrame) -> DataFrame:
     return map_texts(docs, ["doc_id", "text"], "doc_id long, n_shingles long, key binary, registers binary", run)
 
 
+def near_pairs(regs: np.ndarray, sizes: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """Matrix of estimates: of the allowed pairs, those that may be linked; 0 elsewhere."""
+    n = len(sizes)
+    same = np.zeros((n, n), np.int16)
+    for i in range(0, n, 16):
+        same[i : i + 16] = (regs[i : i + 16, None, :] == regs[None, :, :]).sum(axis=2, dtype=np.int16)
+    low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
+    # equal registers are a rough estimate already: far below, the likelihood is not needed
+    i, j = np.nonzero(np.triu(allowed & (same >= (NEAR - 0.1) * regs.shape[1]) & (100 * low >= 100 * SIMILARITY * high), 1))
+    found = np.zeros((n, n))
+    for k in range(0, len(i), 2048):
+        x, y = i[k : k + 2048], j[k : k + 2048]
+        found[x, y] = estimate(regs[x], regs[y], sizes[x].astype(float), sizes[y].astype(float))
+    found[found < NEAR] = 0
+    return found + found.T
+
+
+def strongest(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a maximum spanning forest of a symmetric matrix of weights (0: no edge)."""
+    n = len(weights)
+    best, via, out = np.zeros(n), np.full(n, -1), np.zeros(n, bool)
+    edges = []
+    for _ in range(n):
+        at = int(np.where(out, -1.0, best).argmax())
+        out[at] = True
+        if best[at] > 0:
+            edges.append((via[at], at))
+        closer = weights[at] > best
+        best, via = np.where(closer, weights[at], best), np.where(closer, at, via)
+    pairs = np.array(edges, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _bucket_pairs(whole: bool):
+    """Near pairs of one bucket (or of two blocks of it): the forest, or all across components."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, M)
+        node, n, part, block = (table.column(c).to_numpy() for c in ("node", "n", "component", "block"))
+        allowed = (part[:, None] != part[None, :]) if whole else np.ones((len(n), len(n)), bool)
+        if key[1].as_py() != key[2].as_py():
+            allowed &= block[:, None] != block[None, :]
+        near = near_pairs(regs, n, allowed)
+        i, j = np.nonzero(np.triu(near)) if whole else strongest(near)
+        return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+
+    return run
+
+
 def _pair_estimates(batches):
     for batch in batches:
         a, b = (
@@ -102,8 +160,8 @@ def _pair_estimates(batches):
         near = np.empty(0, bool)
         for i in range(0, len(a), 512):
             part = slice(i, i + 512)
-            near = np.append(near, estimate(a[part], b[part], n_a[part], n_b[part]) >= SIMILARITY - ESTIMATE_SLACK)
-        yield batch.select(["a", "b"]).filter(pa.array(near))
+            near = np.append(near, estimate(a[part], b[part], n_a[part], n_b[part]) >= NEAR)
+        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
 def _confirm(batches):
@@ -143,25 +201,41 @@ class _Search:
             classes.groupBy("node").agg(F.min(F.struct("key", "n", "registers")).alias("s")).select("node", "s.*")
         )
 
-    def buckets(self) -> DataFrame:
-        """(bucket, node) of all bands; buckets of one node alone are left out."""
-        bands = F.explode(F.sequence(F.lit(0), F.lit(M // ROWS - 1)))
-        key = F.xxhash64("band", F.expr(f"substring(registers, band * {2 * ROWS} + 1, {2 * ROWS})"))
-        rows = self.nodes.select("node", "registers", bands.alias("band")).select("node", key.alias("bucket"))
-        full = rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-        return self.kept(rows.join(full.filter("pivot <> last"), "bucket").select("bucket", "node", "pivot"))
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a < b) of nodes that are linked."""
+    def buckets(self) -> tuple[DataFrame, DataFrame]:
+        """Pairs that are a bucket of their own, and (bucket, node, size) of larger buckets.
+
+        Of buckets with the same members, which near copies have in many bands, one is kept.
+        """
+        key = F.xxhash64("band", F.expr(f"substring(registers, band * {2 * STEP} + 1, {2 * ROWS})"))
+        rows = self.nodes.select("node", "registers", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+        rows = rows.select("node", key.alias("bucket"))
+        members = F.count("*").alias("size"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x")
+        full = rows.groupBy("bucket").agg(*members).filter("a <> b")
+        full = self.kept(full.groupBy("size", "a", "b", "x").agg(F.min("bucket").alias("bucket")))
+        large = full.filter("size > 2").select("bucket", "size")
+        return full.filter("size = 2").select("a", "b"), self.kept(rows.join(large, "bucket"))
+
+    def of_two(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sizes and registers let them be linked."""
         facts = self.nodes.select("node", "n", "registers")
         first = facts.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("reg_a"))
         second = facts.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("reg_b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         sized = pairs.join(second, "b").join(first, "a")
         sized = sized.filter(100 * F.least("n_a", "n_b") >= 100 * SIMILARITY * F.greatest("n_a", "n_b"))
-        near = self.kept(
-            sized.select("a", "b", "n_a", "n_b", "reg_a", "reg_b").mapInArrow(_pair_estimates, "a long, b long")
-        )
+        return sized.select("a", "b", "n_a", "n_b", "reg_a", "reg_b").mapInArrow(_pair_estimates, "a long, b long")
+
+    def of_many(self, members: DataFrame, whole: bool) -> DataFrame:
+        """Near pairs of larger buckets; members has bucket, node, size, component."""
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        rows = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = rows.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
+        rows = rows.join(self.nodes.select("node", "n", "registers"), "node")
+        rows = rows.select("bucket", "low", "high", "node", "n", "component", "block", "registers")
+        return rows.groupBy("bucket", "low", "high").applyInArrow(_bucket_pairs(whole), "a long, b long").distinct()
+
+    def confirm(self, near: DataFrame) -> DataFrame:
+        """The pairs (a < b) that are linked, by their full sets."""
         wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
         texts = self.kept(
             self.docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
@@ -170,45 +244,23 @@ class _Search:
         a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         linked = self.kept(near.join(b, "b").join(a, "a").mapInArrow(_confirm, "a long, b long"))
         self.kept.drop(texts)
-        self.kept.drop(near)
         return linked
 
     def labels(self) -> DataFrame:
         """(node, component) of every node that is linked with another text."""
-        members = self.buckets()
-        links = self.links(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        pairs, members = self.buckets()
+        forest = self.of_many(members.withColumn("component", F.col("node")), whole=False)
+        near = self.kept(self.of_two(pairs).unionByName(forest).distinct())
+        links = self.confirm(near)
         found = self.kept(components(links, self.kept))
-        # what shares a bucket but no component yet may still be linked: all such pairs are compared too,
-        # pivot by pivot, twice as many each round, as long as a bucket holds two components
-        members = self.labelled(members, found)
-        own = members.groupBy("bucket", "component").agg(F.count("*").alias("size"))
-        mixed = own.groupBy("bucket").agg(F.sum("size").alias("all"), F.count("*").alias("parts"))
-        mixed = mixed.filter("all > 2 AND parts > 1").select("bucket")
-        # in a large component's bucket the few others come first, as its own members need no more comparing
-        order = members.join(mixed, "bucket").join(own, ["bucket", "component"])
-        ranked = self.kept(order.selectExpr(
-            "bucket", "node", "row_number() OVER (PARTITION BY bucket ORDER BY size, component, node) AS place"
-        ))
-        low = 1
-        while True:
-            now = self.labelled(ranked, found)
-            open_ = now.groupBy("bucket").agg(F.max("place").alias("most"), F.min("component").alias("c"), F.max("component").alias("d"))
-            open_ = open_.filter(f"most > {low} AND c <> d").select("bucket")
-            now = self.kept(now.join(open_, "bucket", "left_semi"))
-            if now.isEmpty():
-                return found
-            heads = now.filter(f"place >= {low} AND place < {2 * low}")
-            heads = heads.select("bucket", F.col("node").alias("a"), F.col("place").alias("p"), F.col("component").alias("c"))
-            pairs = heads.join(now, "bucket").filter("place > p AND component <> c")
-            new = self.links(pairs.select("a", F.col("node").alias("b")))
-            if not new.isEmpty():
-                links = self.kept(links.unionByName(new))
-                found = self.kept(components(links, self.kept))
-            ranked, low = now.select("bucket", "node", "place"), 2 * low
-
-    def labelled(self, members: DataFrame, found: DataFrame) -> DataFrame:
-        members = members.select("bucket", "node", *[c for c in ("place",) if c in members.columns])
-        return members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = members.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"))
+        rest = members.join(split.filter("c <> d").select("bucket"), "bucket", "left_semi")
+        rest = self.kept(self.of_many(rest, whole=True).join(near, ["a", "b"], "left_anti"))
+        more = self.confirm(rest)
+        if more.isEmpty():
+            return found
+        return self.kept(components(links.unionByName(more), self.kept))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
