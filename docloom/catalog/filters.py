@@ -267,10 +267,10 @@ def _(spark, d):
 
 @query("ord1_multi_key_order", """
     SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders
-    ORDER BY o_orderpriority DESC NULLS FIRST, o_totalprice ASC NULLS LAST, o_orderkey LIMIT 100""")
+    ORDER BY o_orderpriority DESC NULLS FIRST, o_totalprice ASC NULLS LAST, o_orderkey""")
 def _(spark, d):
     t = tq.order(load(spark, d, "orders"), ["-o_orderpriority", "no_such_field", "o_totalprice"], "o_orderkey")
-    return t.limit(100).select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return t.select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
 @query("ord2_page_with_total", """
@@ -308,11 +308,15 @@ def _(spark, d):
 
 @query("snk1_upsert", """
     SELECT doc_id, v FROM (SELECT doc_id, n_chars AS v FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-      UNION ALL SELECT doc_id, quality FROM labels)""")
+      UNION ALL SELECT doc_id, CASE WHEN toxic = 1 THEN quality + 10 ELSE quality END FROM labels)""")
 def _(spark, d):
     target = load(spark, d, "documents").select("doc_id", F.col("n_chars").alias("v"))
-    updates = load(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("v"))
-    return dedup.upsert(target, updates, "doc_id")
+    # a toxic document is updated twice
+    updates = load(spark, d, "labels").select("doc_id", F.inline(F.array(
+        F.struct(F.lit(1).alias("step"), F.col("quality").cast("long").alias("v")),
+        F.struct((F.col("toxic") * 2).alias("step"), (F.col("quality") + 10 * F.col("toxic")).cast("long").alias("v")),
+    )))
+    return dedup.upsert(target.withColumn("step", F.lit(0)), updates, "doc_id", ["step"]).drop("step")
 
 
 @query("snk2_delete_by_filter", """

@@ -33,23 +33,29 @@ def sql_quality(source: str, keys: str) -> str:
       round(score, 2) >= 0.40 AND valid >= 0.70 AND total_chars >= 40 AND action = 'NONE' AS ok FROM {act}"""
 
 
-_GATED = """SELECT doc_id, CASE WHEN lang = 'de' THEN repeat(chr(65533), 1 + n_chars::INT // 8) || text WHEN lang = 'es' AND n_chars > 900 THEN '  ' WHEN lang = 'fr' THEN substr(text, 1, 30) ELSE text END AS text,
-    1 + n_chars // 80 AS pages, n_chars * 3000 AS file_size, CASE WHEN source IN ('src1', 'src2', 'src3', 'src4', 'src5') THEN 'SLIDE_VISUAL' WHEN source IN ('src6', 'src7', 'src8') THEN 'SCANNED' WHEN source = 'src9' THEN 'TEXT' ELSE 'DIGITAL_BOOK' END AS profile FROM documents"""
+_GATED = """SELECT v.doc_id, v.text,
+    1 + n_chars // 80 AS pages, n_chars * 3000 AS file_size, CASE WHEN source IN ('src1', 'src2', 'src3', 'src4', 'src5') THEN 'SLIDE_VISUAL' WHEN source IN ('src6', 'src7', 'src8') THEN 'SCANNED' WHEN source = 'src9' THEN 'TEXT' ELSE 'DIGITAL_BOOK' END AS profile FROM documents d, LATERAL (
+      SELECT d.doc_id, CASE WHEN lang = 'de' THEN repeat(chr(65533), 1 + n_chars::INT // 8) || d.text ELSE d.text END AS text
+      UNION ALL SELECT -1 - d.doc_id, CASE WHEN lang = 'es' THEN '  ' ELSE 'A few words on ' || lang END WHERE lang IN ('es', 'fr')) v"""
 
 
 def _gated(spark, d):
     lang, n = F.col("lang"), F.col("n_chars")
     text = (
         F.when(lang == "de", F.concat(F.repeat(F.lit("�"), (1 + F.floor(n / 8)).cast("int")), "text"))
-        .when((lang == "es") & (n > 900), "  ").when(lang == "fr", F.substring("text", 1, 30)).otherwise(F.col("text"))
+        .otherwise(F.col("text"))
     )
+    # beside each whole text of two languages a second row that is blank or short
+    whole = F.struct("doc_id", text.alias("text"))
+    extra = F.struct((-1 - F.col("doc_id")).alias("doc_id"), F.when(lang == "es", "  ").otherwise(F.concat(F.lit("A few words on "), lang)).alias("text"))
+    rows = F.filter(F.array(whole, F.when(lang.isin("es", "fr"), extra)), lambda r: r.isNotNull())
     src = F.col("source")
     profile = (
         F.when(src.isin("src1", "src2", "src3", "src4", "src5"), "SLIDE_VISUAL").when(src.isin("src6", "src7", "src8"), "SCANNED")
         .when(src == "src9", "TEXT").otherwise("DIGITAL_BOOK")
     )
     return spread(load(spark, d, "documents"), "doc_id").select(
-        "doc_id", text.alias("text"), (1 + F.floor(n / 80)).alias("pages"), (n * 3000).alias("file_size"), profile.alias("profile")
+        F.inline(rows), (1 + F.floor(n / 80)).alias("pages"), (n * 3000).alias("file_size"), profile.alias("profile")
     )
 
 
@@ -66,7 +72,7 @@ def _(spark, d):
 
 _CANDIDATES = """SELECT doc_id, p.profile, 1 + n_chars // 60 AS pages, 0 AS file_size, CASE WHEN lang = 'es' THEN 'SLIDE_VISUAL' ELSE 'DIGITAL_BOOK' END AS start_profile,
     CASE p.profile WHEN 'DIGITAL_BOOK' THEN CASE lang WHEN 'en' THEN text WHEN 'de' THEN repeat(chr(65533), n_chars::INT) || text ELSE '' END
-      WHEN 'SLIDE_VISUAL' THEN CASE WHEN n_chars > 2000 THEN text ELSE substr(text, 1, 12) END WHEN 'SCANNED' THEN CASE WHEN n_chars > 400 THEN text ELSE '' END ELSE text || text || text END AS text
+      WHEN 'SLIDE_VISUAL' THEN CASE WHEN n_chars > 2000 THEN text ELSE repeat('.', 12) END WHEN 'SCANNED' THEN CASE WHEN n_chars > 400 THEN text ELSE '' END ELSE text || text || text END AS text
     FROM documents, (VALUES ('DIGITAL_BOOK'), ('SLIDE_VISUAL'), ('SCANNED'), ('RAW')) p(profile)"""
 
 
@@ -83,7 +89,7 @@ _CANDIDATES = """SELECT doc_id, p.profile, 1 + n_chars // 60 AS pages, 0 AS file
 def _(spark, d):
     lang, n = F.col("lang"), F.col("n_chars")
     book = F.when(lang == "en", F.col("text")).when(lang == "de", F.concat(F.repeat(F.lit("�"), n.cast("int")), "text")).otherwise("")
-    slide = F.when(n > 2000, F.col("text")).otherwise(F.substring("text", 1, 12))
+    slide = F.when(n > 2000, F.col("text")).otherwise(F.lit("." * 12))
     scan = F.when(n > 400, F.col("text")).otherwise("")
     options = F.array(*[
         F.struct(F.lit(p).alias("profile"), t.alias("text"))

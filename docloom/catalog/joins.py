@@ -106,7 +106,7 @@ def _(spark, d):
 
 
 @query("set5_classify_documents", """
-    WITH i AS (SELECT doc_id, CASE WHEN length(text) > 500 THEN 'long' ELSE 'short' END AS project_id, sha256(substr(text, 1, 40)) AS h FROM documents),
+    WITH i AS (SELECT doc_id, CASE WHEN length(text) > 500 THEN 'long' ELSE 'short' END AS project_id, sha256(text) AS h FROM documents),
     e AS (SELECT h, project_id, min_by(k, doc_id) AS stored, min(doc_id) AS id FROM (SELECT i.*, CASE WHEN quality = 1 AND toxic = 0 THEN 'ready' WHEN toxic = 1 THEN 'deleted' ELSE 'failed' END AS k
           FROM i JOIN labels USING (doc_id)) GROUP BY 1, 2),
     f AS (SELECT h, project_id, min(doc_id) AS first_id FROM i GROUP BY 1, 2)
@@ -117,7 +117,7 @@ def _(spark, d):
 def _(spark, d):
     t = load(spark, d, "documents").select(
         F.col("doc_id").alias("document_id"), F.when(F.length("text") > 500, "long").otherwise("short").alias("project_id"),
-        F.sha2(F.substring("text", 1, 40), 256).alias("content_hash"), F.col("doc_id").alias("arrived"),
+        F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("arrived"),
     )
     lab = load(spark, d, "labels").withColumnRenamed("doc_id", "document_id")
     stored = dedup.dedupe(t.join(lab, "document_id"), ["project_id", "content_hash"], ["document_id"]).select(
@@ -160,9 +160,10 @@ def _(spark, d):
 
 
 @query("set7_multi_hop_union", """
-    SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, event_id) AS rn
-      FROM events WHERE event_type IN ('purchase', 'click', 'view')) WHERE rn = 1""")
+    SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END, event_id) AS rn
+      FROM events) WHERE rn = 1""")
 def _(spark, d):
     e = load(spark, d, "events").select("user_id", "event_id", "event_type")
-    hops = [e.filter(F.col("event_type") == t) for t in ("purchase", "click", "view")]
+    hops = [e.filter(F.col("event_type") == t) for t in ("purchase", "click", "view", "signup")]
+    hops.append(e.filter(~F.col("event_type").isin("purchase", "click", "view", "signup") | F.col("event_type").isNull()))
     return dedup.union_first_wins(hops, "user_id", ["event_id"])

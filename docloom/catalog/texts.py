@@ -312,9 +312,10 @@ def _(spark, d):
     return load(spark, d, "documents").select("doc_id", nm.token_count(F.col("text")).alias("tokens"))
 
 
-@query("num2_token_estimate", "SELECT doc_id, length(text) // 4 AS tokens FROM documents WHERE trim(text) <> ''")
+@query("num2_token_estimate", f"""
+    SELECT doc_id, CASE WHEN {sql_strip('text')} = '' THEN 0 ELSE length(text) // 4 END AS tokens FROM documents""")
 def _(spark, d):
-    return load(spark, d, "documents").filter("trim(text) <> ''").select("doc_id", nm.token_estimate(F.col("text")).alias("tokens"))
+    return load(spark, d, "documents").select("doc_id", nm.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query("num3_price_lookup", """

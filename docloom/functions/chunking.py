@@ -17,15 +17,8 @@ from .text import let, strip, words
 
 
 def fixed(c: Column, size: int = 512) -> Column:
-    """Consecutive slices of ``size`` characters."""
-    def slices(t: Column) -> Column:
-        last = F.ceil(F.length(t) / size).cast("int") - 1
-        cut = lambda i: F.substring(t, i * size + 1, F.lit(size))
-        return F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(0), last), cut)).otherwise(
-            F.array().cast("array<string>")
-        )
-
-    return let(c, slices)
+    """Consecutive slices of ``size`` characters, in one pass over the text."""
+    return F.regexp_extract_all(c, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def _starts(pieces: Column, begins: Callable, grow: Callable) -> Column:

@@ -43,6 +43,13 @@ def _sensitive(name: str) -> bool:
     return any(k in name.lower() for k in fv.SENSITIVE_KEYS)
 
 
+def _sensitive_key(key: Column) -> Column:
+    hit = F.lit(False)
+    for name in fv.SENSITIVE_KEYS:
+        hit = hit | F.contains(F.lower(key), F.lit(name))
+    return hit
+
+
 def _mask(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StructType):
         fields = []
@@ -58,14 +65,20 @@ def _mask(c: Column, kind: T.DataType) -> Column:
         inner = kind.valueType
         if isinstance(inner, T.StringType):
             def value(k: Column, v: Column) -> Column:
-                hit = F.lit(False)
-                for key in fv.SENSITIVE_KEYS:
-                    hit = hit | F.contains(F.lower(k), F.lit(key))
                 # a null under a sensitive key is masked like any non-string
-                return F.when(hit, F.coalesce(_mask_text(v), F.lit("[MASKED]"))).otherwise(v)
+                return F.when(_sensitive_key(k), F.coalesce(_mask_text(v), F.lit("[MASKED]"))).otherwise(v)
 
             return F.transform_values(c, value)
-        return F.transform_values(c, lambda k, v: _mask(v, inner))
+        if not isinstance(kind.keyType, T.StringType):
+            return F.transform_values(c, lambda k, v: _mask(v, inner))
+        # values must be text to hold [MASKED]; the others are given as their JSON, masked inside
+        nested = isinstance(inner, (T.StructType, T.MapType, T.ArrayType))
+
+        def as_text(k: Column, v: Column) -> Column:
+            kept = F.to_json(_mask(v, inner)) if nested else v.cast("string")
+            return F.when(_sensitive_key(k), F.lit("[MASKED]")).otherwise(kept)
+
+        return F.transform_values(c, as_text)
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.MapType)):
         return F.transform(c, lambda x: _mask(x, kind.elementType))
     return c
@@ -73,5 +86,6 @@ def _mask(c: Column, kind: T.DataType) -> Column:
 
 def mask_keys(df: DataFrame, col: str) -> DataFrame:
     """Mask values by key name at any depth. A sensitive field that is no
-    string becomes the text ``[MASKED]``."""
+    string becomes the text ``[MASKED]``; a map by names whose values are no
+    strings becomes a map of their texts (JSON), with ``[MASKED]`` likewise."""
     return df.withColumn(col, _mask(F.col(col), df.schema[col].dataType))

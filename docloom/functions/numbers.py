@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as fv
-from .text import words
+from .text import strip, words
 
 
 def content_hash(c: Column) -> Column:
@@ -28,7 +28,7 @@ def token_count(c: Column) -> Column:
 
 def token_estimate(c: Column) -> Column:
     """Four characters per token; blank text has none."""
-    return F.when(F.length(F.trim(c)) == 0, F.lit(0)).otherwise(F.floor(F.length(c) / 4))
+    return F.when(F.length(strip(c)) == 0, F.lit(0)).otherwise(F.floor(F.length(c) / 4))
 
 
 def _price(model: Column, prices: dict[str, float], default: float) -> Column:

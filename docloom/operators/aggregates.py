@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
+from .skew import running_sum
 from ..functions.text import file_type
 from .query import visible
 
@@ -165,12 +166,14 @@ def step_report(history: DataFrame, key: str = "document_id") -> DataFrame:
 def sample_pages(pages: DataFrame, doc: str = "document_id", limit: int = 15) -> DataFrame:
     """Every ``max(1, total // limit)``-th page, the first ``limit`` of them.
 
-    ``page_no`` counts from 1 without gaps, so its position needs no ranking.
+    ``page_no`` gives the order only and may have gaps; a page's position is its rank, counted
+    in runs of 1000 page numbers so that a document of any length spreads over tasks.
     """
-    totals = pages.groupBy(doc).agg(F.max("page_no").alias("total_pages"))
+    totals = pages.groupBy(doc).agg(F.count("*").alias("total_pages"))
     step = F.greatest(F.lit(1), F.floor(F.col("total_pages") / limit)).cast("int")
-    pos = F.col("page_no") - 1
-    return pages.join(totals, doc).filter((pos % step == 0) & (pos / step < limit))
+    ranked = running_sum(pages.withColumn("_one", F.lit(1)), [doc], ["page_no"], "_one", "_rank", F.floor(F.col("page_no") / 1000))
+    pos = F.col("_rank") - 1
+    return ranked.join(totals, doc).filter((pos % step == 0) & (pos / step < limit)).drop("_one", "_rank")
 
 
 def profile_documents(sampled: DataFrame, doc: str = "document_id") -> DataFrame:

@@ -43,8 +43,14 @@ def new_rows(target: DataFrame, rows: DataFrame, key: list[str], order: list) ->
     return dedupe(rows, key, order).join(target.select(*key).distinct(), key, "left_anti").select(*rows.columns)
 
 
-def upsert(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Replace on equal key, else add."""
+def upsert(target: DataFrame, updates: DataFrame, key: str, order: list | None = None) -> DataFrame:
+    """Replace on equal key, else add; of repeated updates the last by ``order`` stands.
+
+    Without ``order`` the keys of ``updates`` must be unique. A null key matches nothing: such
+    rows of the target stay, and one such update at most is added.
+    """
+    if order:
+        updates = dedupe(updates, key, [F.desc(c) if isinstance(c, str) else c for c in order])
     return target.join(updates.select(key), key, "left_anti").unionByName(updates)
 
 

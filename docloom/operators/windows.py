@@ -144,9 +144,9 @@ def working_memory(turns: DataFrame, max_turns: int = 10) -> DataFrame:
     """Text that a task's next turn starts from, after each turn.
 
     ``turns``: task_id, turn_number, directive, action, outcome, last_error.
-    A task has at most ``max_turns`` turns, so the history per row is short.
+    The history is that of all turns so far; ``max_turns`` is named in the heading only.
     """
-    w = Window.partitionBy("task_id").orderBy("turn_number").rowsBetween(-(max_turns - 1), 0)
+    w = Window.partitionBy("task_id").orderBy("turn_number").rowsBetween(Window.unboundedPreceding, 0)
     line = F.concat(
         F.lit("  Turn "), F.col("turn_number").cast("string"), F.lit(":\n    Action: "), F.col("action"),
         F.lit("\n    Outcome: "), F.col("outcome"),

@@ -29,10 +29,13 @@ def build_session(app: str = "docloom", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only where it is unset, as in local tests, a private folder is made.
+    Only where it is unset and everything runs in one process, as in tests, a private folder is
+    made; on a cluster that folder would be missing on the executors, so it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="docloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)

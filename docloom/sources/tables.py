@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -89,13 +91,32 @@ def html_text(c: Column) -> Column:
         c, r"(?i)</?(?:p|div|article|section|header|footer|nav|ul|ol|li|table|tr|h[1-6]|title|body|head)\b[^>]*>", "\n\n"
     )
     c = F.regexp_replace(c, r"<[^>]*>", "")
-    # fixed values: entities in pages; the ampersand comes last
-    for entity, char in [
-        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-        ("&apos;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"),
-    ]:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return sanitize(c)
+    return sanitize(_decode_entities(F.replace(c, F.lit("&nbsp;"), F.lit(" "))))
+
+
+_ENTITY = r"&(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]*);"
+# named characters, and the numbers that stand for Windows ones, by the standard library's rules
+_NAMED = {n[:-1]: v for n, v in html.entities.html5.items() if n.endswith(";")} | {
+    f"#{n}": html.unescape(f"&#{n};") for n in range(128, 160)
+}
+
+
+def _decode_entities(c: Column) -> Column:
+    """All named, decimal and hexadecimal entities, each decoded once; unknown names stay."""
+    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+
+    def char(name: Column) -> Column:
+        digits = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 9))
+        code = digits.try_cast("long")
+        wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        known = F.coalesce(F.try_element_at(named, F.concat(F.lit("#"), code.cast("string"))), F.try_element_at(named, name))
+        number = F.when(wrong, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(known, F.when(F.startswith(name, F.lit("#")), number), F.concat(F.lit("&"), name, F.lit(";")))
+
+    between = F.split(c, _ENTITY, -1)
+    chars = F.transform(F.regexp_extract_all(c, F.lit(_ENTITY), 1), char)
+    whole = F.zip_with(between, F.concat(chars, F.array(F.lit(""))), lambda t, e: F.concat(t, e))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(whole, "")).otherwise(c)
 
 
 def write_turn_hits(hits: DataFrame, path: str) -> None:
