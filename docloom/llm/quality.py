@@ -102,28 +102,28 @@ def learn(labelled: DataFrame) -> Model:
     table; the driver averages SHARES tables of 2 ** BITS rows.
     """
     model = Model.fresh()
-    spread = labelled.repartition(SHARES, "doc_id").sortWithinPartitions("doc_id", "text")
+    # shares are groups, so their number, and with it what the driver gets, does not follow the partitions
+    shares = labelled.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES)))
     schema = "model binary, n long"
     for r in range(ROUNDS):
         start = (model.table, model.output, model.bias)
         rate, until = RATE * (1 - r / ROUNDS), RATE * (1 - (r + 1) / ROUNDS)
 
-        def fit(batches, start=start, rate=rate, until=until, seed=SEED + r):
+        def fit(table: pa.Table, start=start, rate=rate, until=until, seed=SEED + r) -> pa.Table:
             docs, labels = [], []
-            for batch in batches:
+            for batch in table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).to_batches():
                 for part in runs(batch):
                     rows, first = features(part.column("text"))
                     for a, b in zip(first, first[1:], strict=False):
                         own, counts = np.unique(rows[a:b], return_counts=True)
                         docs.append((own, (counts / (b - a)).astype(np.float32)))
                     labels += part.column("quality").to_pylist()
-            if docs:
-                own = Model(*(x.copy() for x in start))
-                own.train(docs, labels, seed, rate, until)
-                data = b"".join(x.astype(np.float32).tobytes() for x in (own.table, own.output, own.bias))
-                yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([len(docs)])], names=["model", "n"])
+            own = Model(*(x.copy() for x in start))
+            own.train(docs, labels, seed, rate, until)
+            data = b"".join(x.astype(np.float32).tobytes() for x in (own.table, own.output, own.bias))
+            return pa.table({"model": pa.array([data], pa.binary()), "n": pa.array([len(docs)], pa.int64())})
 
-        parts = spread.mapInArrow(fit, schema).collect()
+        parts = shares.groupBy("share").applyInArrow(fit, schema).collect()
         if not parts:
             break
         total = sum(p["n"] for p in parts)
