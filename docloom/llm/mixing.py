@@ -178,14 +178,16 @@ def mixed_documents(docs: DataFrame, **sizes: int) -> DataFrame:
     Rows of which nothing is taken go. Rows that repeat doc_id, source and text share the other
     columns of the first of them.
     """
-    drawn = mix_sources(docs, **sizes).filter("taken > 0").select("doc_id", "source", "text_hash", "pieces")
-    key = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("source").eqNullSafe(F.col("_source")), F.col("text_hash") == F.col("_hash")]
-    drawn = drawn.withColumnsRenamed({"doc_id": "_id", "source": "_source", "text_hash": "_hash"})
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "text_hash"])
-    words = F.regexp_extract_all("text", F.lit(WORD), 0)
-    rows = texts.join(drawn, key).withColumn("_words", words)
+    drawn = mix_sources(docs, **sizes).filter("taken > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "pieces"
+    )
+    # columns of ``docs`` travel in one struct, so that none clashes with a name used here
+    texts = docs.select(
+        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.xxhash64("text").alias("_h"), F.struct(*docs.columns).alias("_row")
+    ).dropDuplicates(["_d", "_s", "_h"])
+    key = [F.col("_d").eqNullSafe(F.col("_id")), F.col("_s").eqNullSafe(F.col("_source")), F.col("_h") == F.col("_hash")]
+    rows = texts.join(drawn, key).withColumn("_words", F.regexp_extract_all(F.col("_row")["text"], F.lit(WORD), 0))
     cut = F.flatten(F.transform("pieces", lambda p: F.slice(F.col("_words"), (p["first"] + 1).cast("int"), p["n"].cast("int"))))
-    out = rows.withColumn("text", F.array_join(cut, " "))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    rows = rows.withColumn("_text", F.array_join(cut, " "))
+    changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return rows.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, forest, language, line_rules, mixing, quality, recompression, secrets, setsketch, sharding
 from .common import crc, read
-from .sql import LINE_RULES_SQL
+from .sql import LINE_RULES_SQL, NEAR_SQL, REPEATS_SQL, SECRETS_SQL, VECTORS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_secret_scan")
+@query("op1_secret_scan", SECRETS_SQL)
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_examples")
@@ -44,7 +44,7 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op4_recompression_dedup")
+@query("op4_recompression_dedup", REPEATS_SQL)
 def recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(read(spark, sf_dir, "documents"))
 
@@ -63,7 +63,7 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("clean_text")
 
 
-@query("op7_projection_forest")
+@query("op7_projection_forest", VECTORS_SQL)
 def projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_vectors(read(spark, sf_dir, "embeddings"))
 
@@ -73,7 +73,7 @@ def label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
 
-@query("op9_setsketch_near_dedup")
+@query("op9_setsketch_near_dedup", NEAR_SQL)
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(read(spark, sf_dir, "documents"))
 
