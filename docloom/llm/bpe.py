@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from .common import map_texts
 
@@ -138,7 +139,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("d
 
 def decode(rows: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "data") -> DataFrame:
     """Adds the bytes of each row's ids as binary column ``out``; null ids give null."""
-    schema = rows.schema.add(out, "binary")
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema

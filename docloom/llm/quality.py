@@ -95,6 +95,26 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
+def _fit(start: tuple[np.ndarray, ...], rate: float, until: float, seed: int):
+    """Training of one share from the model ``start``; gives back its tables."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        docs, labels = [], []
+        for batch in table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).to_batches():
+            for part in runs(batch):
+                rows, first = features(part.column("text"))
+                for a, b in zip(first, first[1:], strict=False):
+                    own, counts = np.unique(rows[a:b], return_counts=True)
+                    docs.append((own, (counts / (b - a)).astype(np.float32)))
+                labels += part.column("quality").to_pylist()
+        own = Model(*(x.copy() for x in start))
+        own.train(docs, labels, seed, rate, until)
+        data = b"".join(x.astype(np.float32).tobytes() for x in (own.table, own.output, own.bias))
+        return pa.table({"model": pa.array([data], pa.binary()), "n": pa.array([len(docs)], pa.int64())})
+
+    return fit
+
+
 def learn(labelled: DataFrame) -> Model:
     """A model from rows (doc_id, text, quality 0 or 1); rows must be no more than SAMPLE or so.
 
@@ -109,21 +129,7 @@ def learn(labelled: DataFrame) -> Model:
         start = (model.table, model.output, model.bias)
         rate, until = RATE * (1 - r / ROUNDS), RATE * (1 - (r + 1) / ROUNDS)
 
-        def fit(table: pa.Table, start=start, rate=rate, until=until, seed=SEED + r) -> pa.Table:
-            docs, labels = [], []
-            for batch in table.sort_by([("doc_id", "ascending"), ("text", "ascending")]).to_batches():
-                for part in runs(batch):
-                    rows, first = features(part.column("text"))
-                    for a, b in zip(first, first[1:], strict=False):
-                        own, counts = np.unique(rows[a:b], return_counts=True)
-                        docs.append((own, (counts / (b - a)).astype(np.float32)))
-                    labels += part.column("quality").to_pylist()
-            own = Model(*(x.copy() for x in start))
-            own.train(docs, labels, seed, rate, until)
-            data = b"".join(x.astype(np.float32).tobytes() for x in (own.table, own.output, own.bias))
-            return pa.table({"model": pa.array([data], pa.binary()), "n": pa.array([len(docs)], pa.int64())})
-
-        parts = shares.groupBy("share").applyInArrow(fit, schema).collect()
+        parts = shares.groupBy("share").applyInArrow(_fit(start, rate, until, SEED + r), schema).collect()
         if not parts:
             break
         total = sum(p["n"] for p in parts)
