@@ -7,8 +7,9 @@ registers give candidates, the joint likelihood of all registers drops distant p
 full shingle sets confirm every link.
 
 Only components are wanted, so a bucket first hands on the strongest pairs that hold it together,
-one less than it has members. Once these are confirmed or refused, a bucket that still holds
-several components hands on every near pair across them: no link between components is lost.
+one less than it has members: first in a few bands, then in all bands whose buckets still hold
+several components. Once these are confirmed or refused, such a bucket hands on every near pair
+across its components: no link between components is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SIMILARITY = 0.75
 #: Registers; a band is ROWS of them, the next one starts STEP further.
 M, ROWS, STEP = 128, 6, 3
 BANDS = (M - ROWS) // STEP + 1
+#: Large buckets of so many bands are joined up first; most others then hold one component only.
+FIRST_BANDS = 8
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Pairs whose estimate is over four deviations under the similarity are not confirmed.
 NEAR = SIMILARITY - 0.15
@@ -135,13 +138,13 @@ def strongest(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bucket_pairs(whole: bool):
-    """Near pairs of one bucket (or of two blocks of it): the forest, or all across components."""
+    """Near pairs across the components of one bucket (or of two blocks of it): a forest, or all."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, M)
         node, n, part, block = (table.column(c).to_numpy() for c in ("node", "n", "component", "block"))
-        allowed = (part[:, None] != part[None, :]) if whole else np.ones((len(n), len(n)), bool)
+        allowed = part[:, None] != part[None, :]
         if key[1].as_py() != key[2].as_py():
             allowed &= block[:, None] != block[None, :]
         near = near_pairs(regs, n, allowed)
@@ -208,12 +211,13 @@ class _Search:
         """
         key = F.xxhash64("band", F.expr(f"substring(registers, band * {2 * STEP} + 1, {2 * ROWS})"))
         rows = self.nodes.select("node", "registers", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-        rows = rows.select("node", key.alias("bucket"))
+        rows = rows.select("node", "band", key.alias("bucket"))
         members = F.count("*").alias("size"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x")
-        full = rows.groupBy("bucket").agg(*members).filter("a <> b")
-        full = self.kept(full.groupBy("size", "a", "b", "x").agg(F.min("bucket").alias("bucket")))
-        large = full.filter("size > 2").select("bucket", "size")
-        return full.filter("size = 2").select("a", "b"), self.kept(rows.join(large, "bucket"))
+        full = rows.groupBy("band", "bucket").agg(*members).filter("a <> b")
+        full = full.groupBy("size", "a", "b", "x").agg(F.min(F.struct("band", "bucket")).alias("first"))
+        full = self.kept(full.select("size", "a", "b", "first.*"))
+        large = full.filter("size > 2").select("band", "bucket", "size")
+        return full.filter("size = 2").select("a", "b"), self.kept(rows.join(large, ["band", "bucket"]))
 
     def of_two(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sizes and registers let them be linked."""
@@ -249,18 +253,21 @@ class _Search:
     def labels(self) -> DataFrame:
         """(node, component) of every node that is linked with another text."""
         pairs, members = self.buckets()
-        forest = self.of_many(members.withColumn("component", F.col("node")), whole=False)
+        forest = self.of_many(members.filter(F.col("band") < FIRST_BANDS).withColumn("component", F.col("node")), whole=False)
         near = self.kept(self.of_two(pairs).unionByName(forest).distinct())
         links = self.confirm(near)
         found = self.kept(components(links, self.kept))
-        members = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = members.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"))
-        rest = members.join(split.filter("c <> d").select("bucket"), "bucket", "left_semi")
-        rest = self.kept(self.of_many(rest, whole=True).join(near, ["a", "b"], "left_anti"))
-        more = self.confirm(rest)
-        if more.isEmpty():
-            return found
-        return self.kept(components(links.unionByName(more), self.kept))
+        for whole in (False, True):
+            now = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            split = now.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"))
+            rest = now.join(split.filter("c <> d").select("bucket"), "bucket", "left_semi")
+            rest = self.kept(self.of_many(rest, whole).join(near, ["a", "b"], "left_anti"))
+            more = self.confirm(rest)
+            near = near.unionByName(rest)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                found = self.kept(components(links, self.kept))
+        return found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
