@@ -6,10 +6,12 @@ sets merge by maximum, and equal registers are as likely as the sets are similar
 registers give candidates, the joint likelihood of all registers drops distant pairs, and the
 full shingle sets confirm every link.
 
-Only components are wanted, so a bucket first hands on the strongest pairs that hold it together,
-one less than it has members: first in a few bands, then in all bands whose buckets still hold
-several components. Once these are confirmed or refused, such a bucket hands on every near pair
-across its components: no link between components is lost.
+Larger buckets are compared where they meet: a task gets registers and texts of at most two blocks
+of a bucket, estimates all pairs, confirms the near ones on full sets and hands on a forest of the
+links, fewer than it has members. A few bands come first, block by block. Then the members of
+every bucket that still holds several components are compared across them; those of its largest
+component meet all others, but not each other. No link between components is lost, and what is
+shuffled grows with the members, not with their pairs.
 """
 
 from __future__ import annotations
@@ -30,12 +32,14 @@ SIMILARITY = 0.75
 M, ROWS, STEP = 128, 6, 3
 BANDS = (M - ROWS) // STEP + 1
 #: Large buckets of so many bands are joined up first; most others then hold one component only.
-FIRST_BANDS = 8
+FIRST_BANDS = 4
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Pairs whose estimate is over four deviations under the similarity are not confirmed.
 NEAR = SIMILARITY - 0.15
 #: Members of a larger bucket are compared block by block.
-BLOCK = 512
+BLOCK = 256
+#: Distinct shingles of one product that counts the intersections of a block.
+COLUMNS = 4096
 _MULTIPLIERS = mix(np.arange(1, M + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -69,21 +73,23 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Most likely Jaccard similarity of pairs, given rows of registers and set sizes."""
-    higher, lower = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
-    u = (n_a / (n_a + n_b))[:, None]
+def likeliest(higher: np.ndarray, lower: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, m: int = M) -> np.ndarray:
+    """Most likely Jaccard similarity J of pairs: how many of m registers of a are higher and lower, and set sizes.
+
+    With u, v the shares of the sizes, registers are higher, lower and equal with chances u - vJ,
+    v - uJ and J, as far as BASE is near 1 (at 1.001 the error is under 0.0005). The derivative
+    of the joint log-likelihood is zero where m*u*v*J^2 - t*J + u*v*equal = 0.
+    """
+    u = n_a / (n_a + n_b)
     v = 1 - u
-    grid = np.linspace(0, 1, 201)[None, :] * np.minimum(u / v, v / u)
+    t = u * u * (m - higher) + v * v * (m - lower)
+    root = np.sqrt(np.maximum(t * t - 4 * m * u * u * v * v * (m - higher - lower), 0))
+    return np.minimum((t - root) / (2 * m * u * v), np.minimum(u / v, v / u))
 
-    def chance(x: np.ndarray) -> np.ndarray:
-        x = np.clip(x, 0, 1)
-        return -np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE)
 
-    p, q = np.clip(chance(u - v * grid), 1e-9, 1), np.clip(chance(v - u * grid), 1e-9, 1)
-    same = np.clip(1 - p - q, 1e-9, 1)
-    likelihood = higher * np.log(p) + lower * np.log(q) + (a.shape[1] - higher - lower) * np.log(same)
-    return np.take_along_axis(grid, likelihood.argmax(axis=1)[:, None], axis=1)[:, 0]
+def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Most likely Jaccard similarity of pairs, given rows of registers and set sizes."""
+    return likeliest((a > b).sum(axis=1), (a < b).sum(axis=1), n_a, n_b, a.shape[1])
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -105,20 +111,36 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(regs: np.ndarray, sizes: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """Matrix of estimates: of the allowed pairs, those that may be linked; 0 elsewhere."""
-    n = len(sizes)
-    same = np.zeros((n, n), np.int16)
+    """Symmetric matrix: which of the allowed pairs may be linked."""
+    n, size = len(sizes), sizes.astype(np.float64)
+    near = np.zeros((n, n), bool)
     for i in range(0, n, 16):
-        same[i : i + 16] = (regs[i : i + 16, None, :] == regs[None, :, :]).sum(axis=2, dtype=np.int16)
+        part = regs[i : i + 16, None, :]
+        higher, lower = (part > regs[None]).sum(axis=2, dtype=np.int16), (part < regs[None]).sum(axis=2, dtype=np.int16)
+        near[i : i + 16] = likeliest(higher.astype(float), lower.astype(float), size[i : i + 16, None], size[None, :]) >= NEAR
     low, high = np.minimum(sizes[:, None], sizes[None, :]), np.maximum(sizes[:, None], sizes[None, :])
-    # equal registers are a rough estimate already: far below, the likelihood is not needed
-    i, j = np.nonzero(np.triu(allowed & (same >= (NEAR - 0.1) * regs.shape[1]) & (100 * low >= 100 * SIMILARITY * high), 1))
-    found = np.zeros((n, n))
-    for k in range(0, len(i), 2048):
-        x, y = i[k : k + 2048], j[k : k + 2048]
-        found[x, y] = estimate(regs[x], regs[y], sizes[x].astype(float), sizes[y].astype(float))
-    found[found < NEAR] = 0
-    return found + found.T
+    near &= allowed & (100 * low >= 100 * SIMILARITY * high)
+    return near | near.T
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of the sizes of all intersections, by products of slices of the incidence matrix."""
+    shared = np.zeros((len(sets), len(sets)), np.float64)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # what only one set holds is in no intersection
+    number = np.cumsum(count > 1) - 1
+    several = (count > 1)[column]
+    owner, column = owner[several], number[column[several]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    n = int(column[-1]) + 1 if len(column) else 0
+    for first in range(0, n, COLUMNS):
+        a, b = np.searchsorted(column, (first, first + COLUMNS))
+        slice_ = np.zeros((len(sets), min(COLUMNS, n - first)), np.float32)
+        slice_[owner[a:b], column[a:b] - first] = 1
+        shared += slice_ @ slice_.T
+    return shared
 
 
 def strongest(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,21 +159,27 @@ def strongest(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def _bucket_pairs(whole: bool):
-    """Near pairs across the components of one bucket (or of two blocks of it): a forest, or all."""
-
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, M)
-        node, n, part, block = (table.column(c).to_numpy() for c in ("node", "n", "component", "block"))
-        allowed = part[:, None] != part[None, :]
-        if key[1].as_py() != key[2].as_py():
-            allowed &= block[:, None] != block[None, :]
-        near = near_pairs(regs, n, allowed)
-        i, j = np.nonzero(np.triu(near)) if whole else strongest(near)
-        return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
-
-    return run
+def _bucket_links(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """A forest of the links across the components of one block of a bucket, or across two blocks."""
+    table = table.sort_by("node")
+    regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint16).reshape(-1, M)
+    node, n, part, block = (table.column(c).to_numpy() for c in ("node", "n", "component", "block"))
+    allowed = part[:, None] != part[None, :]
+    if key[1].as_py() != key[2].as_py():
+        allowed &= block[:, None] != block[None, :]
+    near = near_pairs(regs, n, allowed)
+    rows = np.flatnonzero(near.any(axis=1))
+    if not len(rows):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    hashes, first = word_hashes(table.column("text").combine_chunks().take(pa.array(rows)), lower=True)
+    sets = [shingles(hashes[x:y]) for x, y in zip(first, first[1:], strict=False)]
+    size = np.array([len(s) for s in sets])
+    shared = intersections(sets)
+    union = size[:, None] + size[None, :] - shared
+    linked = near[np.ix_(rows, rows)] & (100 * shared >= 100 * SIMILARITY * union)
+    i, j = strongest(np.where(linked, shared / union, 0))
+    node = node[rows]
+    return pa.table({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
 
 
 def _pair_estimates(batches):
@@ -160,10 +188,7 @@ def _pair_estimates(batches):
             np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("reg_a", "reg_b")
         )
         n_a, n_b = (batch.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b"))
-        near = np.empty(0, bool)
-        for i in range(0, len(a), 512):
-            part = slice(i, i + 512)
-            near = np.append(near, estimate(a[part], b[part], n_a[part], n_b[part]) >= NEAR)
+        near = estimate(a, b, n_a, n_b) >= NEAR
         yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
@@ -228,45 +253,61 @@ class _Search:
         sized = sized.filter(100 * F.least("n_a", "n_b") >= 100 * SIMILARITY * F.greatest("n_a", "n_b"))
         return sized.select("a", "b", "n_a", "n_b", "reg_a", "reg_b").mapInArrow(_pair_estimates, "a long, b long")
 
-    def of_many(self, members: DataFrame, whole: bool) -> DataFrame:
-        """Near pairs of larger buckets; members has bucket, node, size, component."""
+    def texts(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
+        """node, n, registers, text of all nodes that are to be confirmed."""
+        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("node")).distinct()
+        texts = self.docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+        texts = texts.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
+        return self.kept(texts.join(self.nodes.select("node", "n", "registers"), "node"))
+
+    def first_links(self, members: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links inside the blocks of larger buckets; every band deals its blocks out anew."""
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = members.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rows = members.withColumn("block", F.pmod(F.xxhash64("node", "bucket"), blocks).cast("int"))
+        rows = rows.withColumn("component", F.col("node")).withColumn("low", F.col("block")).withColumn("high", F.col("block"))
+        return self.links(rows, texts)
+
+    def other_links(self, members: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+        """Links across the components of larger buckets that hold several.
+
+        The largest component (blocks -1, -2, ...) meets the others (blocks 0, 1, ...), which also
+        meet each other; a bucket of one block stays whole. Small buckets of the first bands are done.
+        """
+        now = members.filter((F.col("band") >= FIRST_BANDS) | (F.col("size") > BLOCK)).join(found, "node", "left")
+        now = now.withColumn("component", F.coalesce("component", "node"))
+        parts = now.groupBy("bucket", "component").agg(F.count("*").alias("rows"))
+        parts = parts.groupBy("bucket").agg(F.max(F.struct("rows", "component")).alias("top"), F.count("*").alias("parts"))
+        rows = now.join(parts.filter("parts > 1").select("bucket", "top"), "bucket")
+        small, main = F.col("size") <= BLOCK, F.col("component") == F.col("top.component")
+        mains = F.ceil(F.col("top.rows") / BLOCK).cast("int")
+        others = F.ceil((F.col("size") - F.col("top.rows")) / BLOCK).cast("int")
+        dealt = F.xxhash64("node", "bucket")
+        block = F.when(small, 0).when(main, -1 - F.pmod(dealt, mains)).otherwise(F.pmod(dealt, others)).cast("int")
+        among = F.sequence(F.lit(0), others - 1)
+        meets = F.when(small, F.array(F.lit(0))).when(main, among).otherwise(F.concat(F.sequence(-mains, F.lit(-1)), among))
+        rows = rows.withColumn("block", block).withColumn("with", F.explode(meets))
         rows = rows.withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
-        rows = rows.join(self.nodes.select("node", "n", "registers"), "node")
-        rows = rows.select("bucket", "low", "high", "node", "n", "component", "block", "registers")
-        return rows.groupBy("bucket", "low", "high").applyInArrow(_bucket_pairs(whole), "a long, b long").distinct()
-
-    def confirm(self, near: DataFrame) -> DataFrame:
-        """The pairs (a < b) that are linked, by their full sets."""
-        wanted = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        texts = self.kept(
-            self.docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
-            .groupBy("doc_id").agg(F.min("text").alias("text"))
-        )
-        a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        linked = self.kept(near.join(b, "b").join(a, "a").mapInArrow(_confirm, "a long, b long"))
-        self.kept.drop(texts)
-        return linked
+        return self.links(rows, texts)
+
+    def links(self, rows: DataFrame, texts: DataFrame) -> DataFrame:
+        rows = rows.select("bucket", "low", "high", "node", "component", "block").join(texts, "node")
+        return rows.groupBy("bucket", "low", "high").applyInArrow(_bucket_links, "a long, b long")
 
     def labels(self) -> DataFrame:
         """(node, component) of every node that is linked with another text."""
         pairs, members = self.buckets()
-        forest = self.of_many(members.filter(F.col("band") < FIRST_BANDS).withColumn("component", F.col("node")), whole=False)
-        near = self.kept(self.of_two(pairs).unionByName(forest).distinct())
-        links = self.confirm(near)
+        pairs = self.kept(self.of_two(pairs))
+        texts = self.texts(pairs, members)
+        a, b = (texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+        linked = pairs.join(b, "b").join(a, "a").mapInArrow(_confirm, "a long, b long")
+        links = self.kept(linked.unionByName(self.first_links(members.filter(F.col("band") < FIRST_BANDS), texts)))
         found = self.kept(components(links, self.kept))
-        for whole in (False, True):
-            now = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            split = now.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d"))
-            rest = now.join(split.filter("c <> d").select("bucket"), "bucket", "left_semi")
-            rest = self.kept(self.of_many(rest, whole).join(near, ["a", "b"], "left_anti"))
-            more = self.confirm(rest)
-            near = near.unionByName(rest)
-            if not more.isEmpty():
-                links = links.unionByName(more)
-                found = self.kept(components(links, self.kept))
+        more = self.kept(self.other_links(members, found, texts))
+        if not more.isEmpty():
+            # a component is one link to its least node by now
+            known = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+            found = self.kept(components(known.unionByName(more), self.kept))
+        self.kept.drop(texts)
         return found
 
 
