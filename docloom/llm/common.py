@@ -164,6 +164,29 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return (total[ends] - total[starts]) * powers(_BACK, len(data) + 1)[starts]
 
 
+#: Bits of a sieve: at most 2^18 rows of one long each are broadcast, whatever the input.
+SIEVE_BITS = 1 << 24
+
+
+def sieve(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be in the one column of ``wanted``: none that is there is lost.
+
+    A Bloom filter of one hash and of fixed size, so a join that keeps few rows shuffles little
+    else. The more is wanted, the more rows pass: an exact join must follow. Null passes never.
+    """
+
+    def place(value: Column) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(SIEVE_BITS))
+
+    at = place(F.col(wanted.columns[0]))
+    bit = at.alias("_at"), F.shiftright(at, 6).alias("_word")
+    words = wanted.select(*bit).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, cast(_at % 64 AS int)))").alias("_bits"))
+    here = place(F.col(column))
+    rows = df.withColumn("_word", F.when(F.col(column).isNotNull(), F.shiftright(here, 6))).join(F.broadcast(words), "_word")
+    passed = rows.filter(F.expr(f"(shiftrightunsigned(_bits, cast(pmod(xxhash64(`{column}`), {SIEVE_BITS}) % 64 AS int)) & 1) = 1"))
+    return passed.select(*df.columns)
+
+
 def components(edges: DataFrame, kept: Kept) -> DataFrame:
     """(node, component) of an undirected graph given as (a, b): the smallest node reachable.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, components, map_texts, mix, word_hashes
+from .common import Kept, components, map_texts, mix, sieve, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.75
@@ -242,6 +242,7 @@ class _Search:
         full = full.groupBy("size", "a", "b", "x").agg(F.min(F.struct("band", "bucket")).alias("first"))
         full = self.kept(full.select("size", "a", "b", "first.*"))
         large = full.filter("size > 2").select("band", "bucket", "size")
+        rows = sieve(rows, "bucket", large.select("bucket"))
         return full.filter("size = 2").select("a", "b"), self.kept(rows.join(large, ["band", "bucket"]))
 
     def of_two(self, pairs: DataFrame) -> DataFrame:
@@ -256,7 +257,7 @@ class _Search:
     def texts(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """node, n, registers, text of all nodes that are to be confirmed."""
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("node")).distinct()
-        texts = self.docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
+        texts = sieve(self.docs.select("doc_id", "text"), "doc_id", wanted).join(wanted, "doc_id", "left_semi")
         texts = texts.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
         return self.kept(texts.join(self.nodes.select("node", "n", "registers"), "node"))
 
