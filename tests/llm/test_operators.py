@@ -283,6 +283,34 @@ def test_near_duplicates_against_brute_force(docs):
     assert all(r["component_id"] is None and r["kept"] for r in got[None])
 
 
+def test_near_copies_over_many_blocks(spark, monkeypatch):
+    """Two families that reach over many blocks, and members too far from all others."""
+    monkeypatch.setattr(setsketch, "BLOCK", 8)
+    draw, rows = random.Random(5), []
+    for family in range(2):
+        base = [f"w{family}x{k}" for k in range(200)]
+        for _ in range(45):
+            words = list(base)
+            for k in draw.sample(range(200), draw.choice((1, 3, 6, 8, 12))):
+                words[k] = f"n{draw.random()}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(196)} for _, t in rows]
+    links = [(a, b) for a in range(90) for b in range(a + 1, 90) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    want = components(range(90), links)
+    assert 2 < len(set(want.values())) < 90
+    got = by_id(setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {i: got[i][0]["component_id"] for i in range(90)} == want
+
+
+def test_intersections_in_slices(monkeypatch):
+    monkeypatch.setattr(setsketch, "COLUMNS", 3)
+    sets = [np.array(sorted(s), np.uint64) for s in ({1, 2, 3, 9}, {2, 3, 4, 5, 9}, {7}, {1, 2, 3, 4, 5, 9})]
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in sets] for a in sets]
+    got = setsketch.intersections(sets)
+    # alone in its set, a shingle is in no product: the diagonal is not used
+    assert all(got[i, j] == want[i][j] for i in range(4) for j in range(4) if i != j)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
