@@ -257,7 +257,8 @@ class _Search:
     def texts(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """node, n, registers, text of all nodes that are to be confirmed."""
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("node")).distinct()
-        texts = sieve(self.docs.select("doc_id", "text"), "doc_id", wanted).join(wanted, "doc_id", "left_semi")
+        # not a semi join: Spark would move that below the sieve
+        texts = sieve(self.docs.select("doc_id", "text"), "doc_id", wanted).join(wanted, "doc_id")
         texts = texts.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
         return self.kept(texts.join(self.nodes.select("node", "n", "registers"), "node"))
 
