@@ -75,7 +75,8 @@ def label_propagation_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_setsketch_near_dedup", NEAR_SQL)
 def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicates(read(spark, sf_dir, "documents"))
+    found = setsketch.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op10_byte_bpe")

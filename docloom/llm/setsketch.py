@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import attach
 from .common import Kept, components, map_texts, mix, sieve, word_hashes
 
 WIDTH = 5
@@ -93,7 +94,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key (MD5 of the lower-cased word sequence), registers (binary)."""
+    """doc_id, text_hash, n_shingles, key (MD5 of the lower-cased word sequence), registers (binary)."""
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = batch.column("text")
@@ -102,12 +103,14 @@ def sketch(docs: DataFrame) -> DataFrame:
         keys = [hashlib.md5(b" ".join((t or "").encode().lower().split())).digest() for t in texts.to_pylist()]
         return {
             "doc_id": batch.column("doc_id"),
+            "text_hash": batch.column("text_hash"),
             "n_shingles": np.array([len(s) for s in sets], np.int64),
             "key": pa.array(keys, pa.binary()),
             "registers": pa.array([registers(s).tobytes() for s in sets], pa.binary()),
         }
 
-    return map_texts(docs, ["doc_id", "text"], "doc_id long, n_shingles long, key binary, registers binary", run)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return map_texts(rows, rows.columns, "doc_id long, text_hash long, n_shingles long, key binary, registers binary", run)
 
 
 def near_pairs(regs: np.ndarray, sizes: np.ndarray, allowed: np.ndarray) -> np.ndarray:
@@ -221,13 +224,11 @@ class _Search:
         self.docs, self.kept = docs, kept
         self.rows = kept(sketch(docs))
         known = self.rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        # a doc_id may stand for several texts, so nodes have numbers of their own, fixed as they are written
         classes = known.groupBy("key").agg(
-            F.min("doc_id").alias("node"), F.min("n_shingles").alias("n"), F.min("registers").alias("registers")
-        )
-        # a doc_id that stands for several texts is one node; its first text by key speaks for it
-        self.nodes = kept(
-            classes.groupBy("node").agg(F.min(F.struct("key", "n", "registers")).alias("s")).select("node", "s.*")
+            F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("n_shingles").alias("n"), F.min("registers").alias("registers")
         )
+        self.nodes = kept(classes.select(F.monotonically_increasing_id().alias("node"), "key", "first.*", "n", "registers"))
 
     def buckets(self) -> tuple[DataFrame, DataFrame]:
         """Pairs that are a bucket of their own, and (bucket, node, size) of larger buckets.
@@ -256,10 +257,12 @@ class _Search:
 
     def texts(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """node, n, registers, text of all nodes that are to be confirmed."""
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(members.select("node")).distinct()
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.select("node")).distinct()
+        # one row speaks for a node: that of its least doc_id, told by its hash from other texts of that doc_id
+        wanted = self.kept(self.nodes.select("node", "doc_id", "text_hash").join(wanted, "node"))
         # not a semi join: Spark would move that below the sieve
-        texts = sieve(self.docs.select("doc_id", "text"), "doc_id", wanted).join(wanted, "doc_id")
-        texts = texts.groupBy(F.col("doc_id").alias("node")).agg(F.min("text").alias("text"))
+        texts = sieve(self.docs.select("doc_id", "text"), "doc_id", wanted.select("doc_id")).withColumn("text_hash", F.xxhash64("text"))
+        texts = texts.join(wanted, ["doc_id", "text_hash"]).groupBy("node").agg(F.min("text").alias("text"))
         return self.kept(texts.join(self.nodes.select("node", "n", "registers"), "node"))
 
     def first_links(self, members: DataFrame, texts: DataFrame) -> DataFrame:
@@ -314,26 +317,33 @@ class _Search:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
+    """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept, text_hash, key.
 
     Words are lower-cased in A-Z only; the set holds distinct runs of five words, or all words
     where there are fewer. Documents are linked if their sets' intersection is at least 0.75 of
     their union; component_id is the least doc_id reachable, kept marks that document.
 
     A null or empty text has an empty set and is linked with nothing, equal texts are one class
-    and always linked. Rows that repeat a doc_id count as one document (the least text is the one
-    compared). Rows without doc_id take their class's component, or none, and are kept only if
-    no row with a doc_id has the same words. An empty table gives no rows.
+    and always linked. Rows that repeat a doc_id with other words are texts of their own, each
+    with its own links: of several in one component, kept marks those of one class. Rows without
+    doc_id take their class's component, or none, and are kept only if no row with a doc_id has
+    the same words. text_hash (xxhash64) and key (of the class) tell rows of one doc_id apart.
+    An empty table gives no rows.
     """
     kept = Kept(docs.sparkSession, "setsketch")
     search = _Search(docs, kept)
     found = search.labels()
     rows = search.rows
-    classes = rows.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("node"))
-    classes = classes.join(found, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    nodes = search.nodes.select("node", "key", "doc_id").join(found, "node", "left")
+    nodes = kept(nodes.withColumn("component", F.coalesce("component", "node")))
+    least = nodes.groupBy("component").agg(F.min(F.struct("doc_id", "key")).alias("least"), F.count("*").alias("rows"))
+    # a component may have any share of all nodes
+    classes = attach(nodes, kept(least), "component", "rows", ["node"]).select(
+        "key", F.col("least.doc_id").alias("component_id"), (F.col("least.key") == F.col("key")).alias("leads")
+    )
     joined = rows.drop("registers").join(classes, "key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    leads = (F.col("doc_id") == component) & F.coalesce("leads", F.lit(True))
     return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"),
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(leads, component.isNull()).alias("kept"), "text_hash", "key"
     )

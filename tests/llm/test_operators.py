@@ -283,6 +283,17 @@ def test_near_duplicates_against_brute_force(docs):
     assert all(r["component_id"] is None and r["kept"] for r in got[None])
 
 
+def test_texts_of_one_doc_id_keep_their_own_links(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (7, a + " tail"), (8, b + " tail"), (3, b + " end"), (9, a), (9, a.upper() + " more")]
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).join(
+        spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+        .select("doc_id", F.xxhash64("text").alias("text_hash"), "n"), ["doc_id", "text_hash"]
+    )
+    got = {r["n"]: (r["component_id"], r["kept"]) for r in got.collect()}
+    assert got == {0: (5, True), 1: (3, False), 2: (5, False), 3: (3, False), 4: (3, True), 5: (5, False), 6: (5, False)}
+
+
 def test_near_copies_over_many_blocks(spark, monkeypatch):
     """Two families that reach over many blocks, and members too far from all others."""
     monkeypatch.setattr(setsketch, "BLOCK", 8)
