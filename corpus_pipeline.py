@@ -30,18 +30,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the least doc_id."""
-    kept = setsketch.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    # rows that repeat a kept doc_id are one document: the least of them stands
-    rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    named = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-    return named.select("doc_id", "r.*").unionByName(rows.filter("doc_id IS NULL").distinct())
+    kept = setsketch.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "key")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    rows = docs.select(*COLUMNS).join(kept.distinct(), same).select(*COLUMNS, "key")
+    # rows that repeat a kept doc_id with the same words are one document: the least of them stands
+    named = rows.filter("doc_id IS NOT NULL").groupBy("doc_id", "key").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+    return named.select("doc_id", "r.*").unionByName(rows.filter("doc_id IS NULL").select(*COLUMNS).distinct())
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets masked."""
-    found = secrets.find_secrets(docs).filter("size(secrets) > 0").select("doc_id", "secrets").dropDuplicates(["doc_id"])
-    found = found.withColumnRenamed("doc_id", "_id")
-    rows = docs.select(*COLUMNS).join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    rows = secrets.find_secrets(docs, keep=("text", "lang", "source"))
     text = secrets.mask_spans(F.col("text"), F.col("secrets"))
     return rows.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 

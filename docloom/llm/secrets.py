@@ -89,8 +89,8 @@ def _scan(batch: pa.RecordBatch) -> dict:
     return rest | {"found": found, "doc_id": batch.column("doc_id"), "source": batch.column("source")}
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text, source; other columns are ignored).
+def find_secrets(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text, source, and the columns of ``keep``, which are carried along).
 
     Columns: doc_id, n_assign, n_access, n_hex, base_sha256 (hash of the base spans), spans
     (base spans and the added ``owned`` ones, by start), secrets (start, end, kind, live of
@@ -99,17 +99,19 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     An ``owned`` candidate becomes a span only if its value belongs to one owner; base spans
     always stay and are only judged. A null text is empty, a null source is one owner of its own
     name, repeated rows count once for their owner. An empty table gives no rows. Values are
-    compared by SHA-256, so no secret is shuffled or stored in the clear.
+    compared by SHA-256, so no secret is shuffled or stored in the clear unless ``keep`` names
+    the text. Spans stay with their row, whatever its doc_id.
     """
     kept = Kept(docs.sparkSession, "secrets")
-    rows = kept(
-        map_texts(
-            docs, ["doc_id", "source", "text"],
-            "doc_id long, source string, n_assign long, n_access long, n_hex long, base string, base_sha256 string,"
-            f" found {_FOUND}",
-            _scan,
-        ).withColumn("_row", F.expr("uuid()"))
-    )
+    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    carried = [c for c in keep if c != "doc_id"]
+    schema = "doc_id long, source string, n_assign long, n_access long, n_hex long, base string, base_sha256 string"
+    schema = ", ".join([schema, f"found {_FOUND}", *(f"`_keep_{c}` {fields[c]}" for c in carried)])
+
+    def scan(batch: pa.RecordBatch) -> dict:
+        return _scan(batch) | {f"_keep_{c}": batch.column(c) for c in carried}
+
+    rows = kept(map_texts(docs, [*dict.fromkeys(("doc_id", "source", "text", *keep))], schema, scan).withColumn("_row", F.expr("uuid()")))
     hits = rows.select("_row", "doc_id", F.coalesce("source", F.lit("\x00")).alias("owner"), F.explode("found").alias("f"))
     hits = hits.select("_row", "doc_id", "owner", "f.*")
     # owners and repositories per value: combined before each shuffle, so a value in a third of all rows is one row
@@ -123,12 +125,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             F.collect_list(F.struct("start", order.alias("o"), "kind", "end", "live", "owners", "repositories"))
         ).alias("secrets")
     )
-    base = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
+    base = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", *(f"_keep_{c}" for c in carried)]
     with_hits = rows.filter(F.size("found") > 0).select("_row", *base).join(per_row, "_row", "left").drop("_row")
     without = rows.filter(F.size("found") == 0).select(*base, F.lit(None).cast(per_row.schema["secrets"].dataType).alias("secrets"))
     text = F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
     return with_hits.unionByName(without).select(
-        *base, F.coalesce(F.array_join(text, ","), F.lit("")).alias("spans"), "secrets",
+        *base[:5], *(F.col(f"_keep_{c}").alias(c) for c in carried), F.coalesce(F.array_join(text, ","), F.lit("")).alias("spans"), "secrets",
         F.coalesce(F.size(F.filter("secrets", lambda s: s["live"])), F.lit(0)).cast("long").alias("n_live"),
         F.coalesce(F.size(F.filter("secrets", lambda s: ~s["live"])), F.lit(0)).cast("long").alias("n_examples"),
     )

@@ -35,3 +35,23 @@ def test_stages(spark, tmp_path):
     texts = {(r["doc_id"], tuple(own.encode_ordinary(r["text"]))) for r in mixed.collect()}
     assert {(r["doc_id"], tuple(r["ids"])) for r in ids.collect()} == texts
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == ids.count()
+
+
+def test_rows_of_one_doc_id_are_masked_by_their_own_spans(spark):
+    first, second = "AKIA" + "A1" * 8, "AKIA" + "B2" * 8
+    rows = [(i, t, "en", s, 0) for i, t, s in [
+        (None, f"{first} and plain words", "a"), (None, f"some plain words before {second}", "a"), (None, "no secret in this text at all", None),
+        (4, f"{first} again", "b"), (4, f"other words, then {second}", "b"), (4, None, "b"), (5, "nothing here", "b"),
+    ]]
+    got = corpus_pipeline.secret_scan(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert got.columns == corpus_pipeline.COLUMNS
+    want = [(i, t and t.replace(first, "[SECRET]").replace(second, "[SECRET]"), lang, s) for i, t, lang, s, _ in rows]
+    assert sorted(map(str, want)) == sorted(str(tuple(r)[:4]) for r in got.collect())
+
+
+def test_texts_of_one_doc_id_are_no_near_copies(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, a + " tail", "en", "s", 1), (None, "x y", "en", "s", 1), (None, "x z", "en", "s", 1)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows + rows[:1], SCHEMA), "").collect()
+    assert len(got) == 4 and sum(r["text"].startswith("a0") for r in got) == 1
+    assert {r["text"] for r in got} >= {b, "x y", "x z"}
