@@ -46,7 +46,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document, in the order of the mix."""
+    """What the mix takes of each document, in the order of the document, white space included."""
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 

@@ -11,12 +11,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..operators.skew import running_sum
 from .common import WORD, Kept, mix, n_words
 
+#: White space beside words.
+SPACE = r"[\x20\x09-\x0D]*"
+
 #: Weights of the sources by rank of their names in code point order, null last, repeating.
 WEIGHTS = (3, 1, 2)
 #: The mix holds this share of all words, and no source more than CAP times its size.
@@ -96,7 +100,10 @@ def shard_counts(quota: np.ndarray, shard: int, slots: int) -> tuple[np.ndarray,
 
 
 def draw_slots(sources: list, spark, block_words: int, shard_slots: int) -> DataFrame:
-    """shard, slot, number, block, words: what fills each slot (``words`` from the block's start)."""
+    """shard, slot, number, turn, block, words: what fills each slot (``words`` from the block's start).
+
+    turn is the pass over the source; a pass holds no block twice.
+    """
     size = np.array([s.source_size for s in sources], np.int64)
     take = np.array([s.take for s in sources], np.int64)
     full, tail = size // block_words, size % block_words
@@ -123,20 +130,21 @@ def draw_slots(sources: list, spark, block_words: int, shard_slots: int) -> Data
                     words = np.where(index < full[s], block_words, tail[s])
                     if rest[s]:
                         words = np.where(nth == quota[s] - 1, np.minimum(words, last[s]), words)
-                    out.append((block, words))
+                    out.append((turn, block, words))
                 if out:
                     yield pd.DataFrame({
                         "shard": int(shard), "slot": place, "number": number.astype(np.int32),
-                        "block": np.concatenate([b for b, _ in out]), "words": np.concatenate([w for _, w in out]),
+                        **{name: np.concatenate(parts) for name, parts in zip(("turn", "block", "words"), zip(*out), strict=True)},
                     })
 
-    return spark.range(n_shards).mapInPandas(fill, "shard long, slot long, number int, block long, words long")
+    return spark.range(n_shards).mapInPandas(fill, "shard long, slot long, number int, turn long, block long, words long")
 
 
 def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """doc_id, source, text_hash, size, source_size, target, taken, pieces; one row per row of ``docs``.
 
-    ``pieces`` lists what the mix takes of the row: (shard, slot, first word, number of words).
+    ``pieces`` lists what the mix takes of the row: (turn, first word, number of words, shard, slot),
+    pass by pass in the order of the text; shard and slot are the piece's place in the mix.
     A source's taken words are its target rounded to a whole word, and no row is taken more than
     CAP times. Weights go by rank of the source's name; a null source is one source, the last.
     A null or empty text has size 0 and nothing is taken. Repeated rows are packed one by one and
@@ -163,7 +171,7 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
     at = F.col("block") * block_words
     first, stop = F.greatest("start", at), F.least("end", at + F.col("words"))
     taken = spans.join(slots, ["number", "block"]).withColumn("first", first).withColumn("n", stop - first).filter("n > 0")
-    piece = F.struct("shard", "slot", (F.col("first") - F.col("start")).alias("first"), "n")
+    piece = F.struct("turn", (F.col("first") - F.col("start")).alias("first"), "n", "shard", "slot")
     per_row = taken.groupBy("number", "start", "end").agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(piece)).alias("pieces"))
     # an empty row may start where another does, but only a row with words ends elsewhere
     return packed.join(per_row, ["number", "start", "end"], "left").select(
@@ -173,9 +181,11 @@ def mix_sources(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: in
 
 
 def mixed_documents(docs: DataFrame, **sizes: int) -> DataFrame:
-    """The mix as documents: each row's taken pieces in slot order, with the columns of ``docs``.
+    """The mix as documents: each row's taken pieces in the order of its text, with the columns of ``docs``.
 
-    Rows of which nothing is taken go. Rows that repeat doc_id, source and text share the other
+    Pieces are cut from the text as they stand: a word goes with the white space behind it, the
+    first word also with that before it. A row taken whole in one pass keeps its text unchanged;
+    passes are parted by a newline. Rows of which nothing is taken go. Rows that repeat doc_id, source and text share the other
     columns of the first of them.
     """
     drawn = mix_sources(docs, **sizes).filter("taken > 0").select(
@@ -186,8 +196,15 @@ def mixed_documents(docs: DataFrame, **sizes: int) -> DataFrame:
         F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.xxhash64("text").alias("_h"), F.struct(*docs.columns).alias("_row")
     ).dropDuplicates(["_d", "_s", "_h"])
     key = [F.col("_d").eqNullSafe(F.col("_id")), F.col("_s").eqNullSafe(F.col("_source")), F.col("_h") == F.col("_hash")]
-    rows = texts.join(drawn, key).withColumn("_words", F.regexp_extract_all(F.col("_row")["text"], F.lit(WORD), 0))
-    cut = F.flatten(F.transform("pieces", lambda p: F.slice(F.col("_words"), (p["first"] + 1).cast("int"), p["n"].cast("int"))))
-    rows = rows.withColumn("_text", F.array_join(cut, " "))
+    rows = texts.join(drawn, key)
+
+    def cut(words: Column) -> Column:
+        def one_pass(turn: Column) -> Column:
+            pieces = F.filter("pieces", lambda p: p["turn"] == turn)
+            return F.array_join(F.flatten(F.transform(pieces, lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["n"].cast("int")))), "")
+
+        return F.array_join(F.transform(F.array_distinct(F.col("pieces.turn")), one_pass), "\n")
+
+    rows = rows.withColumn("_text", let(F.regexp_extract_all(F.col("_row")["text"], F.lit(f"{SPACE}{WORD}{SPACE}"), 0), cut))
     changed = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
     return rows.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

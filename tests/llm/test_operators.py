@@ -159,6 +159,25 @@ def test_mixed_texts_hold_the_taken_words(docs):
     assert sum(len(words(r["text"])) for r in mixed.collect()) == taken
 
 
+def test_mixed_texts_are_spans_in_document_order(spark):
+    """Ten blocks a text, a source that is taken less than once and one taken more than once."""
+    draw = random.Random(9)
+    texts = ["  \n" * (i % 2) + "".join(f"w{i}x{k}{draw.choice([' ', chr(9), chr(10), chr(10) + '    '])}" for k in range(80)) for i in range(12)]
+    rows = [(i, t, "en", "ab"[i % 4 == 0], len(t)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    pieces = {r["doc_id"]: r["pieces"] for r in mixing.mix_sources(df, block_words=8, shard_slots=4).collect()}
+    whole = several = 0
+    for r in mixing.mixed_documents(df, block_words=8, shard_slots=4).collect():
+        text, taken = texts[r["doc_id"]], pieces[r["doc_id"]]
+        starts = [text.index(w + text[text.index(w) + len(w)]) for w in text.split()] + [len(text)]
+        starts[0] = 0
+        want = ["".join(text[starts[p["first"]] : starts[p["first"] + p["n"]]] for p in sorted(taken, key=lambda p: p["first"]) if p["turn"] == turn) for turn in sorted({p["turn"] for p in taken})]
+        assert r["text"] == "\n".join(want) and r["n_chars"] == len(r["text"])
+        whole += text in r["text"]
+        several += len(want) > 1
+    assert whole and several
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 100, 257):
         assert sorted(mixing.permute(np.arange(n), n, 5)) == list(range(n))
