@@ -23,7 +23,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that fail."""
-    judged = line_rules.apply_line_rules(docs.select(*COLUMNS), keep=("doc_id", "lang", "source")).filter("kept")
+    judged = line_rules.apply_line_rules(docs.select(*COLUMNS), ("doc_id", "lang", "source"), line_rules.bad_prose_line).filter("kept")
     text = F.col("clean_text")
     return judged.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 

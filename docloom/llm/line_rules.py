@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,10 @@ MAX_REPEATED = 50
 
 _SYMBOLS = re.compile(rf"[{SYMBOLS}]".encode())
 _SHOUT = re.compile(rb"[!?]{2,}$")
+#: Heading, list and quotation marks; rules and fences.
+_MARK = re.compile(rb"#{1,6}|[*+>-]|\xe2\x80\xa2|\xc2\xb7")
+_RULE = re.compile(rb"(?:[*_=~`-][ \t]*){3,}")
+_PHRASE = re.compile(rb"(?<![^\W_])(?:%s)(?![^\W_])" % b"|".join(BOILERPLATE))
 
 
 def repeated_words(words: list[bytes], width: int = 3) -> int:
@@ -58,15 +63,20 @@ def repeated_words(words: list[bytes], width: int = 3) -> int:
     return int(covered.sum())
 
 
-def bad_line(line: bytes, words: list[bytes]) -> bool:
-    """Whether a line with words fails a punctuation, navigation or boilerplate rule."""
+def breaks_marks(line: bytes, words: list[bytes]) -> bool:
+    """Whether a line with words fails a punctuation or navigation rule."""
     if 100 * len(_SYMBOLS.findall(line)) > MAX_SYMBOLS * sum(map(len, words)):
         return True
     if (b"!!" in line or b"??" in line or b"!?" in line) and 100 * sum(
         1 for w in words if _SHOUT.search(w)
     ) > MAX_SHOUTED * len(words):
         return True
-    if 100 * sum(map(words.count, SEPARATORS)) > MAX_SEPARATORS * len(words):
+    return 100 * sum(map(words.count, SEPARATORS)) > MAX_SEPARATORS * len(words)
+
+
+def bad_line(line: bytes, words: list[bytes]) -> bool:
+    """Whether a line with words fails a punctuation, navigation or boilerplate rule."""
+    if breaks_marks(line, words):
         return True
     if len(words) <= SHORT_LINE:
         low = line.lower()
@@ -74,8 +84,30 @@ def bad_line(line: bytes, words: list[bytes]) -> bool:
     return False
 
 
-def judge(text: str | None) -> dict:
-    """Counts, verdicts and the cleaned text of one document."""
+def bad_prose_line(line: bytes, words: list[bytes]) -> bool:
+    """Like ``bad_line``, but marks and phrases are judged by what the line is.
+
+    The marks of a heading, list item or quotation and the bars of a table row are not counted, so
+    none of them fails a line alone. A phrase must stand at word boundaries, and the phrases must
+    hold at least half of the line's words.
+    """
+    if line.count(b"|") > 1 and words[0].startswith(b"|") and words[-1].endswith(b"|"):
+        words = [w for w in line.replace(b"|", b" ").split() if w.strip(b"-:")]
+    elif _MARK.fullmatch(words[0]):
+        words = words[1:]
+    elif _RULE.fullmatch(line.strip()):
+        return False
+    if not words:
+        return False
+    rest = b" ".join(words)
+    if len(words) > SHORT_LINE:
+        return bad_line(rest, words)
+    said = sum(len(m[0].split()) for m in _PHRASE.finditer(rest.lower()))
+    return 2 * said >= len(words) or breaks_marks(rest, words)
+
+
+def judge(text: str | None, bad: Callable[[bytes, list[bytes]], bool] = bad_line) -> dict:
+    """Counts, verdicts and the cleaned text of one document; ``bad`` judges each line."""
     data = (text or "").encode()
     words = data.split()
     seen: set[bytes] = set()
@@ -88,7 +120,7 @@ def judge(text: str | None) -> dict:
         dup = line in seen
         seen.add(line)
         n_dup += dup
-        if dup or bad_line(line, own):
+        if dup or bad(line, own):
             n_bad += 1
             lost += len(own)
         else:
@@ -109,13 +141,16 @@ def judge(text: str | None) -> dict:
     }
 
 
-def apply_line_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def apply_line_rules(
+    docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), bad: Callable[[bytes, list[bytes]], bool] = bad_line
+) -> DataFrame:
     """Judge every row by its whole text; one row out for each row in.
 
     ``keep`` names columns to carry along. Added: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, n_bad_lines, lost_words and clean_text (the text without
     its failed lines; blank lines stay). A null text has no words and no lines, so it fails and
-    its clean_text is null. A line equal to an earlier one fails like one that breaks a rule.
+    its clean_text is null. ``bad`` judges a line: ``bad_line`` as the SQL does, ``bad_prose_line``
+    by whole phrases and without the marks of headings, lists and tables. A line equal to an earlier one fails like one that breaks a rule.
     Rows are judged one by one: ties and repeated rows do not matter, an empty table gives none.
     """
     fields = dict((f.name, f.dataType.simpleString()) for f in docs.schema.fields)
@@ -126,7 +161,7 @@ def apply_line_rules(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Da
     )
 
     def run(batch: pa.RecordBatch) -> dict:
-        rows = [judge(t) for t in batch.column("text").to_pylist()]
+        rows = [judge(t, bad) for t in batch.column("text").to_pylist()]
         return {c: [r[c] for r in rows] for c in rows[0]} | {c: batch.column(c) for c in keep}
 
     return map_texts(docs, [*dict.fromkeys((*keep, "text"))], schema, run)

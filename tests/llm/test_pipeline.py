@@ -55,3 +55,18 @@ def test_texts_of_one_doc_id_are_no_near_copies(spark):
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows + rows[:1], SCHEMA), "").collect()
     assert len(got) == 4 and sum(r["text"].startswith("a0") for r in got) == 1
     assert {r["text"] for r in got} >= {b, "x y", "x z"}
+
+
+def test_clean_short_lines_stay(spark):
+    """Phrases inside words or sentences, headings, lists and table rows: nothing of them is lost."""
+    clean = [
+        "An analog input drives the filter.", "The catalog includes birds.", "The dialog in act two", "They spread more seeds.",
+        "## Methods", "# A", "* one item", "- another item", "> a quoted line", "| a | b |", "|---|---|", "| 1 | 2 |", "Click here is what the old manual told its readers to do.",
+    ]
+    clean += [f"Line{i} holds{i} words{i} of{i} its{i} own{i}." for i in range(12)]
+    bad = ["Home | News | About | Login", "All rights reserved.", "Read more", "* Log in", "Buy!! Now!! Go??", "$$$ *** &&& cheap", "| sign up | log in |"]
+    text, mixed = "\n".join(clean), "\n".join([*clean, *bad])
+    rows = [(1, text, "en", "s", 0), (2, mixed, "en", "s", 0)]
+    got = corpus_pipeline.quality_rules(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {1: text, 2: text}
+    assert line_rules.judge(text)["lost_words"] > 0  # by the rule of the SQL
