@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .common import Kept, components
 
 COSINE = 0.9
-TREES = 8
+#: The fewest trees; there are more where they are deep, so that all of them part a barely linked pair with a chance
+#: of at most MISSED. KEPT is the chance that one level keeps such a pair together, of vectors spread evenly.
+TREES, MISSED, KEPT = 8, 0.001, 0.925
 #: Vectors wanted in a leaf; splitting goes on until the whole table would leave about so many.
 LEAF = 256
 #: Numbers in the sample that the trees are fitted on, and the fewest sampled vectors of a node that is split.
@@ -62,6 +64,10 @@ class Tree:
             self.splits[node] = (direction, float(tries[best]))
             todo += [(2 * node, rows[at < tries[best]], level + 1), (2 * node + 1, rows[at >= tries[best]], level + 1)]
 
+    @property
+    def levels(self) -> int:
+        return max((node.bit_length() for node in self.splits), default=0)
+
     def leaves(self, vectors: np.ndarray) -> list[tuple[int, np.ndarray]]:
         """(leaf, row numbers) of all leaves that hold any of the vectors."""
         out, todo = [], [(1, np.arange(len(vectors)))]
@@ -88,15 +94,28 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
 
 
+def trees_for(levels: int) -> int:
+    """How many trees of so many levels miss a barely linked pair with a chance of at most MISSED."""
+    return int(np.ceil(np.log(MISSED) / np.log1p(-(KEPT**levels)))) if levels else 1
+
+
+def grow(sample: np.ndarray, depth: int, least: int) -> list[Tree]:
+    """``least`` trees, or as many more as the deepest of them asks for."""
+    forest: list[Tree] = []
+    while len(forest) < max(least, trees_for(max((t.levels for t in forest), default=0))):
+        forest.append(Tree(sample, depth, [SEED, sample.shape[1], len(forest)]))
+    return forest
+
+
 def fit(classes: DataFrame, total: int, dim: int, trees: int) -> list[Tree]:
-    """Trees for vectors of one dimension, fitted on SAMPLE_VALUES numbers at most."""
+    """Trees for vectors of one dimension, ``trees`` or more, fitted on SAMPLE_VALUES numbers at most."""
     most = max(LEAST_SAMPLED, SAMPLE_VALUES // dim)
     share = int(min(1.0, most / max(1, total)) * 1_000_000)
     picked = classes.filter(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1_000_000)) < share).select("key", "unit").limit(most)
     rows = sorted((bytes(r["key"]), bytes(r["unit"])) for r in picked.collect())
     sample = np.frombuffer(b"".join(u for _, u in rows), np.float64).reshape(-1, dim)
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, total) / LEAF)))))
-    return [Tree(sample, depth, [SEED, dim, t]) for t in range(trees)]
+    return grow(sample, depth, trees)
 
 
 def _place(forest: list[Tree], dim: int):
@@ -160,7 +179,7 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     different lengths with one another. Equal vectors are one class: compared once, linked always.
     Rows with a null or repeated vec_id are counted as links like others; a class's node is its
     least vec_id (rows that have none at all are linked with their like only, component null and
-    kept). An empty table gives no rows.
+    kept). An empty table gives no rows. ``trees`` is the least number of trees; deep ones are more.
     """
     spark = table.sparkSession
     kept = Kept(spark, "forest")

@@ -269,6 +269,25 @@ def test_vectors_against_brute_force(spark):
     assert forest.near_vectors(df.limit(0)).count() == 0
 
 
+def test_deep_forests_find_barely_linked_pairs():
+    """Vectors spread evenly, pairs at the threshold, trees of 10 levels and more."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    trees = forest.grow(unit(rng.normal(size=(40_000, 32))), 11, forest.TREES)
+    assert min(t.levels for t in trees) >= 10
+    a = unit(rng.normal(size=(5000, 32)))
+    across = rng.normal(size=a.shape)
+    across = unit(across - (across * a).sum(axis=1, keepdims=True) * a)
+    b = forest.COSINE * a + np.sqrt(1 - forest.COSINE**2) * across
+    met = np.zeros(len(a), bool)
+    for tree in trees:
+        of = dict(tree.leaves(a))
+        for leaf, rows in tree.leaves(b):
+            met[np.intersect1d(rows, of.get(leaf, rows[:0]))] = True
+    print(len(trees), trees[0].levels, 1 - met.mean())
+    assert 1 - met.mean() <= forest.MISSED
+
+
 def test_shards_are_even_and_groups_whole(docs):
     rows = sharding.shard_documents(docs).collect()
     counts = Counter(r["shard"] for r in rows)
