@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, language, line_rules, mixing, quality, recompression, secrets, setsketch, sharding
+from . import bpe, forest, importance, language, line_rules, mixing, quality, recompression, secrets, setsketch, sharding
 from .common import crc, read
-from .sql import LINE_RULES_SQL, NEAR_SQL, REPEATS_SQL, SECRETS_SQL, VECTORS_SQL
+from .sql import LINE_RULES_SQL, NEAR_SQL, REPEATS_SQL, RESAMPLE_SQL, SECRETS_SQL, VECTORS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,9 @@ def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.round_trip(read(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op11_importance_resampling", RESAMPLE_SQL)
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")

@@ -134,3 +134,36 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
   coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_examples, 0)::BIGINT AS n_examples
 FROM documents LEFT JOIN per USING (doc_id)
 """
+
+RESAMPLE_SQL = f"""
+WITH bits AS (SELECT unnest(range(256)) AS b),
+crc_table AS (
+  SELECT list(list_reduce(list_prepend(b, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t FROM bits),
+raw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+aim AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+rf AS (SELECT f, count(*) AS n FROM (SELECT unnest(ws) AS f FROM raw) GROUP BY 1),
+tf AS (SELECT f, count(*) AS n FROM (SELECT unnest(ws) AS f FROM aim) GROUP BY 1),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM rf UNION SELECT f FROM tf)),
+bytes AS (SELECT f, list_transform(range(len(h) // 2), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT) AS bs FROM hexed),
+hashed AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, bs), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes CROSS JOIN crc_table),
+held AS (
+  SELECT bucket, coalesce(sum(rf.n), 0) AS s, coalesce(sum(tf.n), 0) AS t
+  FROM hashed LEFT JOIN rf USING (f) LEFT JOIN tf USING (f) GROUP BY 1),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS g
+  FROM held),
+per AS (
+  SELECT doc_id, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight
+  FROM (SELECT doc_id, unnest(ws) AS f FROM raw) JOIN hashed USING (f) JOIN gain USING (bucket) GROUP BY 1),
+scored AS (
+  SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents LEFT JOIN per USING (doc_id)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r,
+    count(*) FILTER (n_features >= 20) OVER () AS fit FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * fit // 100 THEN r END AS rank FROM ranked
+"""
