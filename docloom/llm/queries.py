@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, importance, language, line_rules, mixing, quality, recompression, secrets, setsketch, sharding
+from . import bpe, forest, importance, language, line_rules, mixing, quality, recompression, secrets, setsketch, sharding, token_files
 from .common import crc, read
 from .sql import LINE_RULES_SQL, NEAR_SQL, REPEATS_SQL, RESAMPLE_SQL, SECRETS_SQL, VECTORS_SQL
 
@@ -89,3 +89,9 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_token_files")
+def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_files.write_store(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_store(store)
