@@ -109,6 +109,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_TERM = np.zeros(256, bool)
+_TERM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
@@ -150,6 +152,22 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def term_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with A-Z lowered, start and end of each term, and the number of the text that holds it.
+
+    A term is a run of ASCII letters, digits and bytes over 0x7F; null is an empty text.
+    """
+    data, offsets = raw_bytes(texts)
+    data = _LOWER[data]
+    full = np.zeros(len(data) + 2, bool)
+    full[1:-1] = _TERM[data]
+    cut = np.zeros(len(data) + 1, bool)
+    cut[offsets] = True
+    starts = np.flatnonzero(full[1:-1] & (~full[:-2] | cut[:-1]))
+    ends = np.flatnonzero(full[1:-1] & (~full[2:] | cut[1:])) + 1
+    return data, starts, ends, np.searchsorted(offsets, starts, "right") - 1
+
+
 def word_hashes(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of all texts, and the number of each text's first word."""
     data, offsets = raw_bytes(texts)

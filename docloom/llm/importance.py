@@ -17,15 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Kept, map_texts, raw_bytes, runs
+from .common import Kept, map_texts, runs, term_spans
 
 #: Distances from the end that the position table holds; longer spans fold block by block.
 REACH = 64
 POLYNOMIAL = 0xEDB88320
 
-_WORD_BYTE = np.zeros(256, bool)
-_WORD_BYTE[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-
 
 def _step(state: np.ndarray, table: np.ndarray) -> np.ndarray:
     """CRC registers after one more zero byte."""
@@ -112,15 +109,7 @@ def features(texts: pa.Array, longest: int) -> tuple[np.ndarray, np.ndarray, np.
     Words are lower-cased in A-Z alone; a feature is a run of 1 to ``longest`` consecutive words of
     one text, joined by one space.
     """
-    data, offsets = raw_bytes(texts)
-    data = _LOWER[data]
-    full = np.zeros(len(data) + 2, bool)
-    full[1:-1] = _WORD_BYTE[data]
-    cut = np.zeros(len(data) + 1, bool)
-    cut[offsets] = True
-    starts = np.flatnonzero(full[1:-1] & (~full[:-2] | cut[:-1]))
-    ends = np.flatnonzero(full[1:-1] & (~full[2:] | cut[1:])) + 1
-    owner = np.searchsorted(offsets, starts, "right") - 1
+    data, starts, ends, owner = term_spans(texts)
     n_words = np.bincount(owner, minlength=len(texts))
     if longest > 1:  # words side by side with one space between, so that runs are spans
         sizes = ends - starts

@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, forest, importance, language, line_rules, mixing, quality, recompression, secrets, setsketch, sharding, token_files
+from . import bpe, forest, importance, language, line_rules, mixing, quality, ranked_search, recompression, secrets, setsketch, sharding, token_files
 from .common import crc, read
-from .sql import LINE_RULES_SQL, NEAR_SQL, REPEATS_SQL, RESAMPLE_SQL, SECRETS_SQL, VECTORS_SQL
+from .sql import LINE_RULES_SQL, NEAR_SQL, REPEATS_SQL, RESAMPLE_SQL, SEARCH_SQL, SECRETS_SQL, VECTORS_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,11 @@ def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+@query("op12_k2_treap_search", SEARCH_SQL)
+def k2_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op13_token_files")
 def token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = token_files.write_store(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)

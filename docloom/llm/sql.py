@@ -167,3 +167,24 @@ ranked AS (
     count(*) FILTER (n_features >= 20) OVER () AS fit FROM scored)
 SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * fit // 100 THEN r END AS rank FROM ranked
 """
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+SEARCH_SQL = f"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term
+  FROM documents WHERE text IS NOT NULL),
+lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY 1),
+size AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM lengths),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2),
+weights AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf CROSS JOIN size GROUP BY term, nd),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term
+  FROM benchmark WHERE text IS NOT NULL),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // l))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN tf USING (term) JOIN lengths USING (doc_id) CROSS JOIN size GROUP BY 1, 2)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scores WHERE score > 0)
+WHERE rank <= 50
+"""

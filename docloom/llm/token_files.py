@@ -64,31 +64,25 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.known: dict[str, bytes] = {}
 
-    def learn(self, new: list[str]) -> None:
-        """Ids of units not seen before, in one call; the library treats each unit as a text of its own."""
-        if len(self.known) + len(new) > CACHE_UNITS:
-            self.known.clear()
-        found = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+    def ids_of(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of distinct units, in one call; the library treats each as a text of its own."""
+        found = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
         data = np.array(found.ids, f"<u{self.width}").tobytes()
-        ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(new))) * self.width
-        start = 0
-        for unit, end in zip(new, ends.tolist()):
-            self.known[unit] = data[start:end]
-            start = end
+        ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(units))) * self.width
+        return {u: data[a:b] for u, a, b in zip(units, [0, *ends.tolist()], ends.tolist())}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Serialised ids of each text; null is empty."""
         units = [units_of(t) if t else [] for t in texts]
-        get, out = self.known.get, []
-        found = [list(map(get, own)) for own in units]
-        new = {u for own, ids in zip(units, found) if None in ids for u, x in zip(own, ids) if x is None}
-        if new:
-            self.learn(sorted(new))
-        for own, ids in zip(units, found):
-            out.append(b"".join(map(get, own)) if None in ids else b"".join(ids))
-        for unit in new:
-            if len(unit) > CACHE_CHARS:
-                del self.known[unit]
+        found = [list(map(self.known.get, own)) for own in units]
+        unseen = {u for own, ids in zip(units, found) if None in ids for u, x in zip(own, ids) if x is None}
+        if not unseen:
+            return [b"".join(ids) for ids in found]
+        fresh = self.ids_of(sorted(unseen))
+        out = [b"".join([fresh[u] if x is None else x for u, x in zip(own, ids)] if None in ids else ids) for own, ids in zip(units, found)]
+        if len(self.known) + len(fresh) > CACHE_UNITS:
+            self.known.clear()
+        self.known.update((u, x) for u, x in fresh.items() if len(u) <= CACHE_CHARS)
         return out
 
 

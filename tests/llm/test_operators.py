@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -10,7 +13,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, forest, language, line_rules, mixing, quality, recompression, secrets, setsketch, sharding
+from docloom.llm import (
+    bpe, forest, importance, language, line_rules, mixing, quality, ranked_search, recompression, secrets, setsketch, sharding,
+    token_files,
+)
 from docloom.llm.queries import ORACLES, QUERIES
 from docloom.sources import SCHEMAS
 from tools.check import table
@@ -395,3 +401,159 @@ def test_matches_sql(name, spark, sf):
     found = table(df.columns, [tuple(r) for r in df.collect()])
     cur = db.execute(ORACLES[name])
     assert found == table([c[0] for c in cur.description], cur.fetchall())
+
+
+def terms_of(text):
+    return [w.lower() for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())]
+
+
+def test_crcs_by_position():
+    rng = np.random.default_rng(0)
+    data = rng.integers(0, 256, 300_000).astype(np.uint8)
+    sizes = np.array([1, 2, 63, 64, 65, 127, 128, 129, 192, 193, 1000, 4097, 100_001])
+    starts = rng.integers(0, 100_000, len(sizes))
+    want = [zlib.crc32(data[a : a + n].tobytes()) for a, n in zip(starts, sizes)]
+    assert importance.span_crcs(data, starts, starts + sizes).tolist() == want
+
+
+@pytest.mark.parametrize("longest", [1, 3])
+def test_resample_like_plain_python(docs, spark, longest):
+    aim = spark.createDataFrame([("The the é w1 w2",), ("w3 p1 p2 P3",), (None,), ("",)], "text string")
+    got = importance.resample(docs, aim, share=25, buckets=97, longest=longest).collect()
+
+    def runs_of(text):
+        w = terms_of(text)
+        return [b" ".join(w[i : i + k]) for k in range(1, longest + 1) for i in range(len(w) - k + 1)]
+
+    rows = corpus()
+    s, t = Counter(), Counter()
+    for r in rows:
+        s.update(zlib.crc32(f) % 97 for f in runs_of(r[1]))
+    for text in ("The the é w1 w2", "w3 p1 p2 P3"):
+        t.update(zlib.crc32(f) % 97 for f in runs_of(text))
+    S, T = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (S + 97) / ((s[b] + 1) * (T + 97)))) for b in range(97)]
+    want = []
+    for r in rows:
+        f = runs_of(r[1])
+        weight = sum(gain[zlib.crc32(x) % 97] for x in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"2024:{'' if r[0] is None else r[0]}".encode()).hexdigest()[:8], 16)
+        want.append((r[0], len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), len(terms_of(r[1])) >= 20))
+    order = sorted((w for w in want if w[4]), key=lambda w: (-w[3], w[0] is None, w[0] or 0))
+    drawn = 25 * len(order) // 100
+    assert Counter((r["doc_id"], r["n_features"], r["weight"], r["score"]) for r in got) == Counter(w[:4] for w in want)
+    ranked = sorted((r for r in got if r["rank"]), key=lambda r: r["rank"])
+    assert [r["rank"] for r in ranked] == list(range(1, drawn + 1))
+    assert [(r["doc_id"], r["score"]) for r in ranked] == [(w[0], w[3]) for w in order[:drawn]]
+
+
+def test_resample_without_target_or_documents(docs, empty, spark):
+    none = spark.createDataFrame([], "text string")
+    assert sum(r["rank"] is not None for r in importance.resample(docs, none).collect()) > 0
+    assert importance.resample(empty, none).count() == 0
+    short = spark.createDataFrame([(1, "few words"), (None, None)], "doc_id long, text string")
+    assert [r["rank"] for r in importance.resample(short, none).collect()] == [None, None]
+
+
+def plain_ranking(rows, items, k):
+    """Scores of the contract by counting, for documents (doc_id, text) and items (item_id, text)."""
+    held = [(i, Counter(terms_of(t))) for i, t in rows]
+    held = [(i, c, c.total()) for i, c in held if c]
+    n_docs, n_terms = len(held), sum(n for *_, n in held)
+    df = Counter(t for _, c, _ in held for t in c)
+    out = Counter()
+    for item, text in set(items):
+        asked = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) for t in set(terms_of(text))}
+        scored = []
+        for i, c, n in held:
+            m = 100 - 50 + (50 * n * n_docs) // n_terms
+            score = sum(w * ((1_000_000_000 * c[t]) // (1000 * c[t] + 20 * m)) for t, w in asked.items() if t in c)
+            if score > 0:
+                scored.append((-score, i is None, i or 0, i))
+        for rank, (score, _, _, i) in enumerate(sorted(scored, key=lambda x: x[:3])[:k], 1):
+            out[(item, rank, i, -score)] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_ranking_like_plain_python(docs, spark, monkeypatch, block):
+    monkeypatch.setattr(ranked_search, "BLOCK_DOCS", block)
+    monkeypatch.setattr(ranked_search, "ITEM_BYTES", 200)
+    monkeypatch.setattr(ranked_search, "FIRST_RANGES", 2)
+    monkeypatch.setattr(ranked_search, "NEXT_RANGES", 5)
+    items = [(i, t) for i, t, *_ in corpus()[:9]] + [(1, "THE é w1 w1"), (1, "THE é w1 w1"), (1, "w2"), (None, "p1 p2 word x"), (7, None), (8, "- ."), (9, "unknown")]
+    asked = spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit("clash") for c in ("doc_id", "rank", "score", "item")})
+    got = ranked_search.rank_documents(docs, asked, 12).collect()
+    assert Counter(tuple(r) for r in got) == plain_ranking([(r[0], r[1]) for r in corpus()], items, 12)
+
+
+def test_ranking_depth_first_and_empty(docs, empty, spark, monkeypatch):
+    items = [(1, "the w1 w2 w3 w4"), (2, "p1 the")]
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(ranked_search, "OPEN_NUMBERS", 0)
+    got = ranked_search.rank_documents(docs, asked).collect()
+    assert Counter(tuple(r) for r in got) == plain_ranking([(r[0], r[1]) for r in corpus()], items, 50)
+    assert ranked_search.rank_documents(empty, asked).count() == ranked_search.rank_documents(docs, asked.limit(0)).count() == 0
+
+
+def test_treap_keeps_every_cell():
+    rng = np.random.default_rng(1)
+    for rows, columns, n in ((1, 1, 1), (1, 50, 20), (40, 3, 60), (200, 300, 5000)):
+        cell = np.unique(rng.integers(0, rows * columns, n))
+        r, c = np.divmod(cell, columns)
+        value = rng.integers(1, 1000, len(cell))
+        treap = ranked_search.Treap(*ranked_search.build_treap(r, c, value))
+        for row in range(rows):
+            best = ranked_search.Best(columns)
+            ranked_search.descend(treap, np.array([row]), np.array([1]), np.arange(1 << treap.height), np.zeros(1 << treap.height, bool), best)
+            assert dict(zip(best.ids.tolist(), best.scores.tolist())) == {int(x): int(v) for x, v in zip(c[r == row], value[r == row])}
+
+
+TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+
+
+def plain_ids(texts):
+    tokenizer = pytest.importorskip("tokenizers").Tokenizer.from_file(TOKENIZER)
+    tokenizer.encode_special_tokens = True
+    return [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
+@pytest.mark.parametrize("cached", [50, 1 << 19])
+def test_units_encode_like_whole_texts(monkeypatch, cached):
+    monkeypatch.setattr(token_files, "CACHE_UNITS", cached)
+    draw = random.Random(1)
+    marks = list("ab1'.!# \t\n\r  \u0085 　​\x1c\x00\x7féж中٣²Ⅷ") + ["  ", " \n", "\n ", " 's", "'ll", "<|endoftext|>", " é", " ٣"]
+    texts = ["".join(draw.choice(marks) for _ in range(draw.randint(0, 14))) for _ in range(4000)] + [None, " " * 3000 + "y", "x" * 50_000]
+    own = token_files.Encoder(TOKENIZER)
+    portions = [texts[i : i + 40] for i in range(0, len(texts), 40)] * 2
+    got = [np.frombuffer(x, "<u2").tolist() + [2] for p in portions for x in own.encode(p)]
+    assert got == plain_ids(texts) * 2
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 10, 1 << 30])
+def test_token_files_round_trip(docs, spark, shard_bytes):
+    store = token_files.write_store(docs, TOKENIZER, 2, shard_bytes)
+    got = sorted(token_files.read_store(store, with_ids=True).collect(), key=lambda r: r["start"])
+    want = Counter((r[0], tuple(ids)) for r, ids in zip(corpus(), plain_ids([r[1] for r in corpus()])))
+    assert Counter((r["doc_id"], tuple(r["ids"])) for r in got) == want
+    at = 0
+    for r in got:
+        assert r["start"] == at and r["n_tokens"] == len(r["ids"])
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        at += r["n_tokens"]
+    order = [(r["doc_id"] is not None, r["doc_id"] or 0) for r in got]
+    assert order == sorted(order)
+    again = token_files.read_store(token_files.write_store(docs.repartition(3), TOKENIZER, 2, shard_bytes)).collect()
+    assert Counter(map(tuple, again)) == Counter((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got)
+
+
+def test_token_files_short_access_and_wrong_dictionary(docs, empty, spark):
+    store = token_files.write_store(docs.filter("doc_id < 9000"), TOKENIZER)
+    assert len(store.dictionary) > 0
+    first = store.files.orderBy("shard").first()
+    assert token_files.lookup(store, spark, first["shard"], 0).tolist() == plain_ids([corpus()[0][1]])[0]
+    other = token_files.Store(store.folder, store.dictionary + b"x", store.files)
+    with pytest.raises(ValueError, match="another dictionary"):
+        token_files.lookup(other, spark, first["shard"], 0)
+    nothing = token_files.write_store(empty, TOKENIZER)
+    assert nothing.files.count() == token_files.read_store(nothing).count() == 0
