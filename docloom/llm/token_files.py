@@ -45,15 +45,16 @@ SHARD_BYTES = 64 << 20
 DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS = 64 << 10, 1000, 8192
 LEVEL = 3
 #: Units kept in a worker with their ids, and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 1 << 19, 64
+CACHE_UNITS, CACHE_CHARS = 1 << 20, 64
 
 
 class Encoder:
-    """Texts to serialised ids by the tokenizers library, which sees each distinct short unit once.
+    """Texts to serialised ids by the tokenizers library, which sees each distinct short unit about once.
 
-    A unit starts with a space before a letter, digit or mark: byte-level pre-tokens never reach
-    over that place and no merge crosses it, so units can be encoded on their own. White space runs
-    stay inside the unit that they follow.
+    A unit begins at a space or line end that a letter or visible mark follows: byte-level
+    pre-tokens end before such a place, white space before it stays with the unit before, and no
+    merge crosses pre-tokens, so units can be encoded on their own or among others. A unit is held
+    without its space; a line end is part of it. A text's first unit has neither and is kept apart.
     """
 
     def __init__(self, path: str):
@@ -61,48 +62,86 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.known: dict[str, bytes] = {}
-
-    def ids_of(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of distinct units, in one call; the library treats each as a text of its own."""
-        found = self.tokenizer.encode(units, is_pretokenized=True, add_special_tokens=False)
-        data = np.array(found.ids, f"<u{self.width}").tobytes()
-        ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(units))) * self.width
-        return {u: data[a:b] for u, a, b in zip(units, [0, *ends.tolist()], ends.tolist())}
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a byte is one character of a byte-level token
+            self.bytes_of[i] = len(token)
+        self.inner: dict[str, bytes] = {}
+        self.first: dict[str, bytes] = {}
+
+    def split(self, units: list[bytes], ids: list[int]) -> list[bytes]:
+        """Serialised ids of each unit, given those of all units in a row."""
+        ids = np.array(ids, np.int64)
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(u) for u in units])) + 1
+        data = ids.astype(f"<u{self.width}").tobytes()
+        ends = (ends * self.width).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of new units, in one call; short ones are remembered."""
+        whole = [u if u[0] == "\n" else " " + u for u in units]
+        ids = self.tokenizer.encode("".join(whole), add_special_tokens=False).ids
+        fresh = dict(zip(units, self.split([u.encode() for u in whole], ids)))
+        self.inner.update((u, x) for u, x in fresh.items() if len(u) <= CACHE_CHARS)
+        if len(self.inner) > CACHE_UNITS:
+            shrink(self.inner, CACHE_UNITS // 2)
+        return fresh
+
+    def begin(self, head: str) -> bytes:
+        """Ids of a text's first unit, which has no space before it."""
+        ids = self.first.get(head)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(head, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+            if len(head) <= CACHE_CHARS and len(self.first) < CACHE_UNITS:
+                self.first[head] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Serialised ids of each text; null is empty."""
-        units = [units_of(t) if t else [] for t in texts]
-        found = [list(map(self.known.get, own)) for own in units]
-        unseen = {u for own, ids in zip(units, found) if None in ids for u, x in zip(own, ids) if x is None}
-        if not unseen:
-            return [b"".join(ids) for ids in found]
-        fresh = self.ids_of(sorted(unseen))
-        out = [b"".join([fresh[u] if x is None else x for u, x in zip(own, ids)] if None in ids else ids) for own, ids in zip(units, found)]
-        if len(self.known) + len(fresh) > CACHE_UNITS:
-            self.known.clear()
-        self.known.update((u, x) for u, x in fresh.items() if len(u) <= CACHE_CHARS)
-        return out
-
-
-def units_of(text: str) -> list[str]:
-    """The units of a text. Each starts with its space; the mark of the first unit, which has none, is its text alone."""
-    first, *rest = text.split(" ")
-    if not all(map(starts_unit, rest)):
-        first, *rest = glued([first, *rest])
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
+        parts = [(text or "").replace("\n", " \n").split(" ") for text in texts]
+        found = [list(map(self.inner.get, p)) for p in parts]
+        unseen = set()
+        for i, (units, ids) in enumerate(zip(parts, found)):
+            ids[0] = b""
+            if None in ids:
+                new = [u for u, x in zip(units, ids) if x is None]
+                if not all(map(starts_unit, new)):
+                    parts[i] = units = glued(units)
+                    found[i] = ids = [b"", *map(self.inner.get, units[1:])]
+                    new = [u for u, x in zip(units, ids) if x is None]
+                unseen.update(new)
+        fresh = self.learn(sorted(unseen)) if unseen else {}
+        return [
+            self.begin(units[0]) + b"".join([fresh[u] if x is None else x for u, x in zip(units, ids)] if None in ids else ids)
+            for units, ids in zip(parts, found)
+        ]
+
+
+def shrink(known: dict[str, bytes], size: int) -> None:
+    """Keep about ``size`` units, the shortest: words that come often are short."""
+    lengths = np.sort(np.fromiter(map(len, known), np.int64, len(known)))
+    longest = lengths[size] - 1
+    kept = {u: x for u, x in known.items() if len(u) <= longest}
+    known.clear()
+    known.update(kept)
 
 
 def starts_unit(part: str) -> bool:
-    """A letter or a visible ASCII character after a space begins a unit."""
-    return part != "" and ("!" <= part[0] <= "~" or part[0].isalpha())
+    """A letter or a visible ASCII character after a space or line end begins a unit."""
+    first = part[1:2] if part[:1] == "\n" else part[:1]
+    return "!" <= first <= "~" or first.isalpha()
 
 
 def glued(parts: list[str]) -> list[str]:
-    """Parts that start no unit, joined to the one before them."""
-    starts = [0, *(i for i in range(1, len(parts)) if starts_unit(parts[i])), len(parts)]
-    return [" ".join(parts[a:b]) for a, b in zip(starts, starts[1:])]
+    """Parts that start no unit, joined to the one before them; only they hold spaces."""
+    out = [[parts[0]]]
+    for part in parts[1:]:
+        if starts_unit(part):
+            out.append([part])
+        else:
+            out[-1].append(part if part[:1] == "\n" else " " + part)
+    return ["".join(x) for x in out]
 
 
 @functools.lru_cache(maxsize=2)
@@ -114,11 +153,14 @@ def encoder(path: str) -> Encoder:
 def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
     """A zstandard dictionary of the serialised ids of a bounded sample of short texts.
 
-    The sample is SAMPLE_TEXTS distinct texts of at most SAMPLE_CHARS characters with the least
+    The sample is up to SAMPLE_TEXTS distinct texts of at most SAMPLE_CHARS characters with the least
     hashes, so reruns agree; the driver holds no more. Too few texts give an empty dictionary.
     """
     short = docs.filter(F.length("text").between(1, SAMPLE_CHARS)).select(F.xxhash64("text").alias("h"), "text")
-    texts = sorted({r["text"] for r in short.orderBy("h", "text").limit(SAMPLE_TEXTS).collect()})
+    # about twice as many pass the first cut, so tasks send few texts to the driver
+    share = min(1.0, 2 * SAMPLE_TEXTS / max(short.count(), 1))
+    near = short.filter(F.col("h") <= F.lit(share * 2.0**64 - 2.0**63)).distinct()
+    texts = [r["text"] for r in near.orderBy("h", "text").limit(SAMPLE_TEXTS).collect()]
     own = Encoder(path)
     end = np.array([end_id], f"<u{own.width}").tobytes()
     samples = [x + end for x in own.encode(texts)]
