@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..plans import ingest as ing
 from ..session import shared_dir
 from ..sources.tables import SCHEMAS, append_log, write_turn_hits
-from ..streaming import events as ev, limits as lm
+from ..streaming import events as ev, limits as lm, stateful as st
 from .base import load, query
 
 
@@ -74,12 +75,49 @@ def _(spark, d):
     return out.groupBy("user_id").agg(F.max_by(F.struct("event_id", "status"), "event_id").alias("s")).select("user_id", "s.*")
 
 
-@query("stm3_upload_rate_limit")
+@query("stm2_whole_snapshot_stream", """
+    SELECT user_id, event_id, event_type, value, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, max(ts) OVER () AS last FROM events)
+    WHERE rn = 1 AND ts > last - INTERVAL 10 MINUTE - INTERVAL 6 HOUR""")
 def _(spark, d):
-    t = load(spark, d, "events").select("event_id", "ts", "user_id", F.col("event_type").alias("project_id"))
+    out = f"{_run_dir(spark)}/out"
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    changes = st.snapshot_stream(_stream(spark, d, "events"), "user_id", "event_id", ttl=6 * 3600)
+    writer = changes.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}-ckpt")
+    st.start(writer, spark).awaitTermination()
+    rows = spark.read.schema(T.StructType([*changes.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(out)
+    return st.snapshot_table(rows, "user_id").select("user_id", "event_id", "event_type", "value", "props")
+
+
+#: All uploads in order, each decided by the accepted ones of the hour before: user_limit 2, project_limit 10.
+_UPLOADS = """
+    WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us, row_number() OVER (ORDER BY ts, event_id) AS rn FROM events),
+    w AS (SELECT 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::BIGINT AS us, '' AS reason, []::STRUCT(u BIGINT, p VARCHAR, t BIGINT)[] AS acc
+      UNION ALL SELECT rn, event_id, us, reason, CASE WHEN reason = '' THEN list_append(live, {u: user_id, p: event_type, t: us}) ELSE live END FROM
+        (SELECT *, CASE WHEN len(list_filter(live, lambda x: x.u = user_id)) >= 2 THEN 'user' WHEN len(list_filter(live, lambda x: x.p = event_type)) >= 10 THEN 'project' ELSE '' END AS reason FROM
+          (SELECT e.*, list_filter(acc, lambda x: x.t > e.us - 3600000000) AS live FROM w JOIN e ON e.rn = w.rn + 1)))
+    SELECT event_id, reason = '' AS allowed, reason FROM w WHERE event_id IS NOT NULL"""
+
+
+def _uploads(t: DataFrame) -> DataFrame:
+    return t.select("event_id", "ts", "user_id", F.col("event_type").alias("project_id"))
+
+
+@query("stm3_upload_rate_limit", _UPLOADS)
+def _(spark, d):
+    t = _uploads(load(spark, d, "events"))
     return lm.upload_limits(t, user_limit=2, project_limit=10, seconds=3600).select("event_id", "allowed", "reason")
 
 
+@query("stm3_upload_rate_limit_stream", f"{_UPLOADS} AND us <= (SELECT max(us) - 600000000 FROM e)")
+def _(spark, d):
+    out = f"{_run_dir(spark)}/out"
+    lm.limit_uploads(_uploads(_stream(spark, d, "events")), out, f"{out}-ckpt", 2, 10, 3600, 600).awaitTermination()
+    return spark.read.schema("event_id long, allowed boolean, reason string").parquet(f"{out}/batch=*")
+
+
 @query("stm3_key_limit_stream")
 def _(spark, d):
     base = _run_dir(spark)
@@ -88,18 +126,36 @@ def _(spark, d):
     return spark.read.schema("event_id long, us long, allowed boolean").parquet(f"{base}/out")
 
 
-@query("stm4_chat_limits", """
+_CHAT = """
     WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, epoch_us(ts) + floor(least(value, 120) * 1000000)::BIGINT AS ends, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
     w AS (SELECT DISTINCT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, '' AS reason, []::BIGINT[] AS act, []::BIGINT[] AS acc FROM events
       UNION ALL SELECT user_id, rn, event_id, reason, CASE WHEN reason = '' THEN list_append(act, ends) ELSE act END, CASE WHEN reason = '' THEN list_append(acc, us) ELSE acc END FROM
         (SELECT e.*, act, acc, CASE WHEN len(list_filter(act, lambda t: t > us)) >= 1 THEN 'concurrent' WHEN len(list_filter(acc, lambda t: t > us - 60000000)) >= 2 THEN 'minute'
            WHEN len(list_filter(acc, lambda t: t > us - 86400000000)) >= 2 THEN 'day' ELSE '' END AS reason FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1))
-    SELECT event_id, reason = '' AS allowed, reason FROM w WHERE event_id IS NOT NULL""")
+    SELECT event_id, reason = '' AS allowed, reason FROM w WHERE event_id IS NOT NULL"""
+
+
+@query("stm4_chat_limits", _CHAT)
 def _(spark, d):
     t = load(spark, d, "events").select("event_id", "ts", "user_id", F.col("value").alias("duration_s"))
     return lm.chat_limits(t, concurrent=1, minute=2, day=2).select("event_id", "allowed", "reason")
 
 
+def _drain(spark: SparkSession, changes: DataFrame, schema: str) -> DataFrame:
+    """All rows that a stateful stream gives for what is there now."""
+    base = _run_dir(spark)
+    st.start(changes.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt"), spark).awaitTermination()
+    return spark.read.schema(schema).parquet(f"{base}/out")
+
+
+@query("stm4_chat_limits_stream", f"""
+    SELECT * FROM ({_CHAT}) SEMI JOIN (SELECT event_id FROM events WHERE ts <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)) USING (event_id)""")
+def _(spark, d):
+    t = _stream(spark, d, "events").select("event_id", "ts", "user_id", F.col("value").alias("duration_s"))
+    out = _drain(spark, st.chat_limit_stream(t, concurrent=1, minute=2, day=2), "event_id long, allowed boolean, reason string")
+    return out.select("event_id", "allowed", "reason")
+
+
 @query("stm4_window_flags", """
     SELECT event_id, last_minute, last_day, last_minute > 1 OR last_day > 4 AS over_limit FROM (SELECT event_id, user_id,
       count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS last_minute,
@@ -163,6 +219,37 @@ def _(spark, d):
     return ev.idempotent(t).select("request_id", "decision")
 
 
+#: A key forgets its first request after a rest of two days.
+_IN_TIME = """
+    WITH r AS (SELECT event_id AS request_id, user_id, epoch_us(ts) AS us, CASE WHEN event_type <> 'signup' THEN 'c' || floor(value / 10)::BIGINT END AS cid, event_type IN ('click', 'view') AS payload,
+        CASE WHEN value < 5 THEN 'completed' WHEN value < 15 THEN 'streaming' ELSE 'failed' END AS st FROM events),
+    g AS (SELECT *, coalesce(us - lag(us) OVER (PARTITION BY user_id, cid ORDER BY us, request_id) >= 172800000000, true)::INT AS rested FROM r),
+    p AS (SELECT *, sum(rested) OVER (PARTITION BY user_id, cid ORDER BY us, request_id) AS part FROM g),
+    f AS (SELECT *, first_value(request_id) OVER w AS fid, first_value(payload) OVER w AS fp, first_value(st) OVER w AS fs FROM p WINDOW w AS (PARTITION BY user_id, cid, part ORDER BY us, request_id))
+    SELECT request_id, CASE WHEN cid IS NULL OR request_id = fid THEN 'new' WHEN payload <> fp THEN 'conflict_payload' WHEN fs = 'completed' THEN 'replay' WHEN fs = 'streaming' THEN 'conflict_running' ELSE 'conflict_used' END AS decision FROM f"""
+
+
+def _requests(t: DataFrame) -> DataFrame:
+    v = F.col("value")
+    return t.select(
+        F.col("event_id").alias("request_id"), "ts", "user_id",
+        F.when(F.col("event_type") != "signup", F.concat(F.lit("c"), F.floor(v / 10))).alias("client_request_id"),
+        F.col("event_type").isin("click", "view").cast("string").alias("payload_hash"),
+        F.when(v < 5, "completed").when(v < 15, "streaming").otherwise("failed").alias("status"),
+    )
+
+
+@query("stm7_idempotency_in_time", _IN_TIME)
+def _(spark, d):
+    return ev.idempotent_in_time(_requests(load(spark, d, "events")), 172_800).select("request_id", "decision")
+
+
+@query("stm7_idempotency_stream", f"{_IN_TIME} WHERE cid IS NULL OR us <= (SELECT max(us) - 600000000 FROM r)")
+def _(spark, d):
+    changes = st.idempotent_stream(_requests(_stream(spark, d, "events")), 172_800)
+    return _drain(spark, changes, "request_id long, decision string")
+
+
 @query("stm7_drop_repeats_stream", """
     SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2""")
 def _(spark, d):
@@ -221,6 +308,15 @@ def _(spark, d):
     return ev.active_runs(t).select("user_id", "run_id", "at_us", "step", "active")
 
 
+@query("stm11_active_runs_stream", """
+    WITH m AS (SELECT user_id, event_id AS run_id, unnest([epoch_us(ts), epoch_us(ts) + floor(least(value * 60, 120) * 1000000)::BIGINT]) AS at_us, unnest([1, -1]) AS step FROM events),
+    s AS (SELECT user_id, run_id, at_us, step, sum(step) OVER (PARTITION BY user_id ORDER BY at_us, step, run_id)::BIGINT AS active FROM m)
+    SELECT * FROM s WHERE at_us <= (SELECT epoch_us(max(ts)) - 600000000 FROM events)""")
+def _(spark, d):
+    t = _stream(spark, d, "events").select(F.col("event_id").alias("run_id"), "user_id", "ts", (F.col("value") * 60).alias("duration_s"))
+    return _drain(spark, st.active_run_stream(t), "user_id long, run_id long, at_us long, step int, active long")
+
+
 @query("snk3_turn_hits_json", """
     SELECT user_id % 8 AS turn, event_id AS id, value AS score FROM events""")
 def _(spark, d):

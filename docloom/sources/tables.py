@@ -8,6 +8,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.checks import decode_text, file_problem
 from ..functions.text import sanitize, strip
@@ -129,16 +130,47 @@ def append_log(df: DataFrame, path: str, date_column: str = "created_at") -> Non
     df.withColumn("day", F.to_date(date_column)).write.mode("append").partitionBy("day").parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system, wherever Spark's readers find it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder; one that is gone already is no error."""
+    fs, where = _folder(spark, path)
+    fs.delete(where, True)
+
+
+def versions(spark: SparkSession, base: str, complete: bool = True) -> list[int]:
+    """Numbers of the version folders under ``base``, rising; ``complete``: only those whose write was committed."""
+    fs, where = _folder(spark, base)
+    found = [s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else []
+    named = [(p.getName(), p) for p in found if p.getName().startswith("v") and p.getName()[1:].isdigit()]
+    done = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
+    return sorted(int(n[1:]) for n, p in named if not complete or done(p))
+
+
+def read_latest(spark: SparkSession, base: str, schema: T.StructType | str) -> DataFrame:
+    """The newest complete version of a table; no rows where there is none.
+
+    A version counts from the moment its writer commits, so readers see the old rows or the new, never a mix.
+    """
+    known = versions(spark, base)
+    if not known:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(version_path(base, known[-1]))
+
+
+def version_path(base: str, number: int) -> str:
+    return os.path.join(base, f"v{number:06d}")
+
+
 def write_version(df: DataFrame, base: str) -> str:
     """Write a table as the next version directory and return its path.
 
     The old version stays readable, so an upsert may read what it replaces.
     """
-    spark = df.sparkSession
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    taken = [s.getPath().getName() for s in fs.listStatus(jvm_path)] if fs.exists(jvm_path) else []
-    numbers = [int(n[1:]) for n in taken if n.startswith("v") and n[1:].isdigit()]
-    target = os.path.join(base, f"v{max(numbers, default=0) + 1:06d}")
+    target = version_path(base, max(versions(df.sparkSession, base, complete=False), default=0) + 1)
     df.write.mode("errorifexists").parquet(target)
     return target

@@ -13,6 +13,7 @@ from ..operators.joins import orphans
 from ..operators.query import hard_delete
 from ..operators.skew import attach, running_sum
 from ..sources.tables import EVENT_SCHEMA
+from .limits import MICROS, busy_parts, with_micros
 
 
 def read_events(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA, max_files: int = 100) -> DataFrame:
@@ -139,6 +140,34 @@ def idempotent(requests: DataFrame) -> DataFrame:
     return judged.unionByName(free)
 
 
+def idempotent_in_time(requests: DataFrame, ttl: int = 86_400) -> DataFrame:
+    """``idempotent`` with a time to live: request_id, us and ``decision``, in order of (ts, request_id).
+
+    A key that rests for ``ttl`` seconds is forgotten, so its next request is new again. Rests are
+    found from blocks of time, so a key that is repeated without end is not sorted in one task.
+    Requests without a client id are new; those without a time are left out.
+    """
+    timed = with_micros(requests).filter(F.col("us").isNotNull())
+    slot = F.to_json(F.struct("user_id", "client_request_id"))
+    keyed = timed.filter(F.col("client_request_id").isNotNull()).withColumns({"slot": slot, "_block": F.floor(F.col("us") / (ttl * MICROS))})
+    parts = busy_parts(keyed, "slot", ttl).drop("most")
+    keyed = keyed.join(parts, ["slot", "_block"])
+    first = keyed.groupBy("slot", "part").agg(
+        F.min_by(F.struct("request_id", "payload_hash", "status"), F.struct("us", "request_id")).alias("_f")
+    )
+    f = F.col("_f")
+    decision = (
+        F.when(F.col("request_id") == f["request_id"], "new")
+        .when(F.col("payload_hash") != f["payload_hash"], "conflict_payload")
+        .when(f["status"] == "completed", "replay")
+        .when(f["status"].isin("started", "streaming"), "conflict_running")
+        .otherwise("conflict_used")
+    )
+    judged = keyed.join(first, ["slot", "part"]).select("request_id", "us", decision.alias("decision"))
+    free = timed.filter(F.col("client_request_id").isNull()).select("request_id", "us", F.lit("new").alias("decision"))
+    return judged.unionByName(free)
+
+
 def drop_repeats(requests: DataFrame, key: list[str], ts: str, watermark: str = "1 hour") -> DataFrame:
     """Stream form that only drops repeats."""
     return requests.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(key)

@@ -10,13 +10,17 @@ than the limit itself.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
+from ..operators.graph import components
+from ..sources.tables import remove
 
 MICROS = 1_000_000
 
@@ -84,79 +88,169 @@ def _trim(window: deque, oldest: int) -> None:
         window.popleft()
 
 
-def upload_decide(state: dict, user, project, us: int, user_limit: int, project_limit: int, span: int) -> str:
-    """Empty when the upload is accepted, else the limit that refuses it."""
+def busy_parts(df: DataFrame, key: str, seconds: int) -> DataFrame:
+    """(key, _block, part, most): the busy periods of each key, by blocks of ``seconds``.
+
+    A pause of at least ``seconds`` ends a period, for it empties every window. ``most`` bounds the
+    events that any window of the period holds: a window lies in two blocks. Only sums of blocks are
+    ordered, so a hot key is spread over its blocks until then. Null keys have no period.
+    """
+    span = seconds * MICROS
+    blocks = df.filter(F.col(key).isNotNull()).groupBy(key, F.floor(F.col("us") / span).alias("_block")).agg(
+        F.min("us").alias("_lo"), F.max("us").alias("_hi"), F.count(F.lit(1)).alias("_n")
+    )
+    w = Window.partitionBy(key).orderBy("_block")
+    last = F.lag(F.struct("_block", "_hi", "_n")).over(w)
+    pause = F.coalesce(F.col("_lo") - last["_hi"] >= span, F.lit(True))
+    beside = F.when(last["_block"] == F.col("_block") - 1, last["_n"]).otherwise(0)
+    marked = blocks.withColumns({"_pause": pause.cast("int"), "_near": F.col("_n") + beside})
+    parts = marked.withColumn("part", F.sum("_pause").over(w))
+    most = F.max("_near").over(Window.partitionBy(key, "part"))
+    return parts.withColumn("most", most).select(key, "_block", "part", "most")
+
+
+def upload_decide(state: dict, user, project, us: int, user_limit: int, project_limit: int, span: int, stands: bool = False) -> str:
+    """Empty when the upload is accepted, else the limit that refuses it.
+
+    An upload that already ``stands`` is only recorded. A null user or project has no limit.
+    """
     if len(state) > 100_000:  # forget users and projects without a live entry
         for key in [k for k, w in state.items() if not w or w[-1] <= us - span]:
             del state[key]
-    mine = state.setdefault(("u", user), deque())
-    ours = state.setdefault(("p", project), deque())
-    _trim(mine, us - span)
-    _trim(ours, us - span)
-    if len(mine) >= user_limit:
-        return "user"
-    if len(ours) >= project_limit:
-        return "project"
-    mine.append(us)
-    ours.append(us)
+    held = []
+    for kind, key, limit in (("user", user, user_limit), ("project", project, project_limit)):
+        if key is not None:
+            window = state.setdefault((kind, key), deque())
+            _trim(window, us - span)
+            if not stands and len(window) >= limit:
+                return kind
+            held.append(window)
+    for window in held:
+        window.append(us)
     return ""
 
 
 def upload_limits(
     events: DataFrame, user_limit: int = fv.UPLOADS_PER_MINUTE_USER,
-    project_limit: int = fv.UPLOADS_PER_MINUTE_PROJECT, seconds: int = 60,
+    project_limit: int = fv.UPLOADS_PER_MINUTE_PROJECT, seconds: int = 60, accepted: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``allowed`` and ``reason`` (``user``/``project``/empty).
 
-    ``events``: event_id, ts, user_id, project_id. Users and projects that
-    cannot exceed their limit drop out; a risky user outside risky projects is
-    folded alone, and so is a risky project without risky users. Only users
-    and projects that are risky together share one fold.
+    ``events``: event_id, ts, user_id, project_id; uploads count in order of (ts, event_id), and one
+    without a ts is allowed and counts for nothing. ``accepted``, of the same columns, are uploads of
+    an earlier run that still count.
+
+    Only busy periods that could exceed their limit if all uploads were accepted need a decision in
+    order. Each is a node; an upload that falls into one of its user and one of its project links the
+    two. A connected component of such periods is folded as one, by itself: what happens outside it
+    cannot change its decisions, so hot groups that share nothing run in tasks of their own. All
+    other uploads are allowed without a fold.
     """
-    e = with_micros(events)
-    ru = _risky(e, "user_id", seconds, user_limit, "event_id").withColumn("_ru", F.lit(True))
-    rp = _risky(e, "project_id", seconds, project_limit, "event_id").withColumn("_rp", F.lit(True))
-    # key sets are far smaller than the events; Spark sizes the joins itself
-    tagged = e.join(ru, "user_id", "left").join(rp, "project_id", "left").select(
-        *e.columns, F.coalesce("_ru", F.lit(False)).alias("ru"), F.coalesce("_rp", F.lit(False)).alias("rp")
-    )
-    both = tagged.filter("ru AND rp")
-    cu = both.select("user_id").distinct().withColumn("_cu", F.lit(True))
-    cp = both.select("project_id").distinct().withColumn("_cp", F.lit(True))
-    keyed = tagged.filter("ru OR rp").join(cu, "user_id", "left").join(cp, "project_id", "left").withColumn(
-        "fold",
-        F.when(F.coalesce("_cu", F.lit(False)) | F.coalesce("_cp", F.lit(False)), F.lit("shared"))
-        .when(F.col("ru"), F.concat(F.lit("u"), F.col("user_id").cast("string")))
-        .otherwise(F.concat(F.lit("p"), F.col("project_id").cast("string"))),
-    )
+    span = seconds * MICROS
+    columns = events.columns
+    rows = with_micros(events).withColumn("stands", F.lit(False))
+    if accepted is not None:
+        rows = rows.unionByName(with_micros(accepted.select(*columns)).withColumn("stands", F.lit(True)))
+    rows = rows.withColumn("_block", F.floor(F.col("us") / span))
+    for key, limit, node in (("user_id", user_limit, "_user"), ("project_id", project_limit, "_project")):
+        risky = busy_parts(rows, key, seconds).filter(F.col("most") > limit)
+        name = F.concat_ws("#", F.lit(key), F.col(key).cast("string"), "part")
+        rows = rows.join(risky.select(key, "_block", name.alias(node)), [key, "_block"], "left")
+    links = rows.filter("_user IS NOT NULL AND _project IS NOT NULL").select(F.col("_user").alias("a"), F.col("_project").alias("b"))
+    rows = rows.withColumn("_node", F.coalesce("_user", "_project"))
+    groups = components(links).select(F.col("node").alias("_node"), F.col("component").alias("_group"))
+    rows = rows.join(groups, "_node", "left").withColumn("_group", F.coalesce("_group", "_node"))
+    plain = [*columns, "us", "stands", "_group"]
+    folded = rows.filter(F.col("_group").isNotNull()).select(*plain).repartition("_group").sortWithinPartitions("_group", "us", "event_id")
+    schema = T.StructType([*events.schema.fields, T.StructField("stands", T.BooleanType()), T.StructField("reason", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, {}
+        for batch in batches:
+            reasons = []
+            for group, *upload in zip(*(batch.column(c).to_pylist() for c in ("_group", "user_id", "project_id", "us", "stands"))):
+                if group != current:
+                    current, state = group, {}
+                user, project, us, stands = upload
+                reasons.append(upload_decide(state, user, project, us, user_limit, project_limit, span, stands))
+            kept = [*columns, "stands"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(reasons, pa.string())], names=[*kept, "reason"])
+
+    judged = folded.mapInArrow(run, schema)
+    free = rows.filter(F.col("_group").isNull()).select(*columns, "stands", F.lit("").alias("reason"))
+    out = judged.unionByName(free).filter(~F.col("stands"))
+    return out.select(*columns, (F.col("reason") == "").alias("allowed"), "reason")
+
+
+def limit_uploads(
+    stream: DataFrame, out: str, checkpoint: str, user_limit: int = fv.UPLOADS_PER_MINUTE_USER,
+    project_limit: int = fv.UPLOADS_PER_MINUTE_PROJECT, seconds: int = 60, delay: int = 600,
+):
+    """Start the limit on a stream: decisions as Parquet under ``out``, one folder per batch.
+
+    User and project windows feed back into each other, so no single key can hold the state. Each
+    batch is decided by ``upload_limits``, seeded with the accepted uploads of the last window. An
+    upload waits until event time has passed it by ``delay`` seconds, so files may come in any order
+    within that; one that comes later still is refused as ``late``. What waits and what still counts
+    is a table under ``out/_state``, one version per batch, so a repeated batch starts from the same
+    state and rewrites the same folder. Versions before the last are dropped.
+    """
+    spark, columns = stream.sparkSession, [f for f in stream.schema.fields]
+    names = [f.name for f in columns]
+    decided = T.StructType([*columns, T.StructField("allowed", T.BooleanType()), T.StructField("reason", T.StringType())])
+    carried = T.StructType([*columns, T.StructField("counts", T.BooleanType()), T.StructField("horizon", T.LongType())])
     span = seconds * MICROS
 
-    def decide(state: dict, row) -> str:
-        return upload_decide(state, row.user_id, row.project_id, row.us, user_limit, project_limit, span)
-
-    judged = _fold(keyed, "fold", "event_id", ["user_id", "project_id"], dict, decide, seconds)
-    out = events.join(judged, "event_id", "left")
-    reason = F.coalesce("reason", F.lit(""))
-    return out.select(*events.columns, (reason == "").alias("allowed"), reason.alias("reason"))
+    def step(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        state = session.createDataFrame([], carried)
+        if batch_id:
+            state = session.read.schema(carried).parquet(f"{out}/_state/{batch_id - 1}")
+        before = state.agg(F.max("horizon")).first()[0]
+        newest = with_micros(batch).agg(F.max("us")).first()[0]
+        horizon = max((x for x in (before, None if newest is None else newest - delay * MICROS) if x is not None), default=None)
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        late = F.coalesce(us <= F.lit(before).cast("long"), F.lit(False))
+        due = us.isNull() | F.coalesce(us <= F.lit(horizon).cast("long"), F.lit(False))
+        fresh = batch.select(*names)
+        waiting = state.filter(~F.col("counts")).select(*names)
+        ready = waiting.unionByName(fresh.filter(~late))
+        judged = upload_limits(ready.filter(due), user_limit, project_limit, seconds, state.filter("counts").select(*names))
+        refused = fresh.filter(late).select(*names, F.lit(False).alias("allowed"), F.lit("late").alias("reason"))
+        judged.unionByName(refused).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        mine = session.read.schema(decided).parquet(f"{out}/batch={batch_id}").filter("allowed")
+        live = state.filter("counts").select(*names).unionByName(mine.select(*names)).filter(us > F.lit(horizon).cast("long") - span)
+        left = ready.filter(~due).withColumn("counts", F.lit(False))
+        # the horizon rides on every row, and on one empty row where nothing else is left
+        clock = session.createDataFrame([tuple([None] * len(names))], T.StructType(columns)).withColumn("counts", F.lit(None).cast("boolean"))
+        rest = left.unionByName(live.withColumn("counts", F.lit(True))).unionByName(clock)
+        rest.withColumn("horizon", F.lit(horizon).cast("long")).write.mode("overwrite").parquet(f"{out}/_state/{batch_id}")
+        if batch_id > 1:
+            remove(session, f"{out}/_state/{batch_id - 2}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def chat_reason(running: int, accepted: Sequence[int], us: int, concurrent: int, minute: int, day: int) -> str:
+    """Empty when a run may start, else the limit that refuses it; ``accepted`` are the start times of a day."""
+    if running >= concurrent:
+        return "concurrent"
+    if sum(t > us - 60 * MICROS for t in accepted) >= minute:
+        return "minute"
+    return "day" if len(accepted) >= day else ""
 
 
 def chat_decide(state: dict, us: int, ends: int, concurrent: int, minute: int, day: int) -> str:
     """Empty when the run may start, else the limit that refuses it."""
     active = state.setdefault("active", [])
     active[:] = [t for t in active if t > us]
-    m, d = state.setdefault("minute", deque()), state.setdefault("day", deque())
-    _trim(m, us - 60 * MICROS)
-    _trim(d, us - 86_400 * MICROS)
-    if len(active) >= concurrent:
-        return "concurrent"
-    if len(m) >= minute:
-        return "minute"
-    if len(d) >= day:
-        return "day"
-    active.append(ends)
-    m.append(us)
-    d.append(us)
-    return ""
+    accepted = state.setdefault("accepted", deque())
+    _trim(accepted, us - 86_400 * MICROS)
+    reason = chat_reason(len(active), accepted, us, concurrent, minute, day)
+    if not reason:
+        active.append(ends)
+        accepted.append(us)
+    return reason
 
 
 def chat_limits(
