@@ -11,7 +11,8 @@ from ..functions.embedding import HashingEmbedder
 from ..functions.text import infer_vendor, is_advisory
 from ..operators import aggregates as ag, dedup
 from ..operators.vectors import fan_queries
-from ..plans import extract as ex, ingest as ing, quality as ql, registry, upkeep as up
+from ..plans import composed as cp, extract as ex, ingest as ing, quality as ql, registry, upkeep as up
+from ..session import run_dir
 from .base import load, query, spread, sql_strip, sql_vectors, sql_words
 from .joins import lines
 
@@ -156,6 +157,41 @@ def _(spark, d):
     return counts.join(links, "document_id").join(fresh, "document_id", "left").fillna(0, ["new_chunks"])
 
 
+#: Per project the first document of a text is stored; its slices belong to the first document that has them.
+COMPOSED = f"""
+    WITH t AS (SELECT *, min(doc_id) OVER (PARTITION BY project_id, raw) AS stored FROM
+        (SELECT r.*, d.text AS raw FROM ({_REPORT_DOCS}) r JOIN documents d USING (doc_id))),
+    g AS MATERIALIZED ({sql_quality("SELECT * FROM t WHERE doc_id = stored", 'project_id, doc_id, text')}),
+    c AS (SELECT doc_id, i, substr(text, 512 * i + 1, 512) AS c FROM g, LATERAL (SELECT unnest(range(0, ceil(length(text) / 512)::BIGINT)) AS i) WHERE ok),
+    o AS (SELECT c, arg_min(doc_id, (doc_id, i)) AS owner FROM c GROUP BY c),
+    f AS (SELECT c, owner, length('# Document: doc_' || owner || '.md' || 'xx## Summaryx' || 'Document with ' || length(g.text) || ' characters (LiteLLM Proxy not configured)' || 'xx## Contentx' || c) % 41 = 5 AS fails
+        FROM o JOIN g ON g.doc_id = owner),
+    n AS (SELECT doc_id, count(*) AS expected, count(*) FILTER (NOT fails) AS embedded, count(*) FILTER (fails AND owner = doc_id) AS failed FROM (SELECT DISTINCT doc_id, c FROM c) JOIN f USING (c) GROUP BY 1)
+    SELECT t.doc_id AS document_id, t.project_id, stored AS stored_id, coalesce(expected, 0) AS expected, coalesce(expected, 0) AS links, coalesce(embedded, 0) AS embedded, coalesce(failed, 0) AS failed,
+      CASE WHEN t.doc_id <> stored THEN 'CACHED' WHEN NOT ok THEN 'QUARANTINED' WHEN failed > 0 AND failed / expected::DOUBLE >= 0.05 THEN 'VIOLATED_FAILED_RATIO' WHEN failed > 0 THEN 'PARTIALLY_AVAILABLE' ELSE 'READY' END AS outcome
+    FROM t LEFT JOIN g ON g.doc_id = t.doc_id LEFT JOIN n ON n.doc_id = t.doc_id"""
+
+
+def refusing_embedder(texts: list[str]):
+    """The default embedder, but texts of certain lengths are refused."""
+    if any(len(t) % 41 == 5 for t in texts):
+        raise ValueError("refused")
+    return HashingEmbedder()(texts)
+
+
+def intake_rows(docs):
+    return docs.select(
+        F.col("doc_id").alias("document_id"), F.col("source").alias("project_id"),
+        F.concat(F.lit("doc_"), "doc_id", F.lit(".md")).alias("file_name"), "text", F.octet_length("text").alias("file_size"),
+    )
+
+
+@query("pip3_composed_ingestion", COMPOSED)
+def _(spark, d):
+    out = cp.ingest_batch(intake_rows(load(spark, d, "documents")), run_dir(spark), fn=refusing_embedder)
+    return out.select("document_id", "project_id", "stored_id", "expected", "links", "embedded", "failed", "outcome")
+
+
 @query("pip4_reconcile", """
     SELECT o_orderkey, expected, links, round(failed / greatest(1, expected)::DOUBLE, 4) AS failed_ratio, links = expected AND failed = 0 AS matched,
       CASE WHEN expected > 0 AND links < floor(expected * 0.90::DOUBLE) THEN 'VIOLATED_LINKS' WHEN failed / greatest(1, expected)::DOUBLE >= 0.05 AND failed > 0 THEN 'VIOLATED_FAILED_RATIO'

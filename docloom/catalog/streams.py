@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
-from ..plans import ingest as ing
-from ..session import shared_dir
+from ..plans import composed as cp, ingest as ing
+from ..session import run_dir
 from ..sources.tables import SCHEMAS, append_log, write_turn_hits
 from ..streaming import events as ev, limits as lm, stateful as st
 from .base import load, query
+from .ingest import COMPOSED, intake_rows, refusing_embedder
 
 
 
@@ -27,11 +26,6 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
-def _run_dir(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder."""
-    return f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
-
-
 _ENVELOPE = "value BETWEEN 0 AND 100 AND event_type <> 'signup'"
 
 
@@ -46,7 +40,7 @@ def _envelopes(e: DataFrame) -> DataFrame:
 @query("stm1_event_stream", f"""
     SELECT event_id::VARCHAR AS event_id, event_id AS seq_num, user_id::VARCHAR AS task_id, event_type AS project_id, value AS actual_progress FROM events WHERE {_ENVELOPE}""")
 def _(spark, d):
-    base = _run_dir(spark)
+    base = run_dir(spark)
     ev.write_events(_envelopes(_stream(spark, d, "events")), f"{base}/out", f"{base}/ckpt").awaitTermination()
     schema = "event_id string, seq_num long, task_id string, actual_progress double, project_id string"
     return spark.read.schema(schema).parquet(f"{base}/out")
@@ -63,7 +57,7 @@ def _(spark, d):
 @query("stm2_latest_snapshot_stream", """
     SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1""")
 def _(spark, d):
-    base = _run_dir(spark)
+    base = run_dir(spark)
     src = _stream(spark, d, "events").withColumnRenamed("event_type", "status")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -79,7 +73,7 @@ def _(spark, d):
     SELECT user_id, event_id, event_type, value, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, max(ts) OVER () AS last FROM events)
     WHERE rn = 1 AND ts > last - INTERVAL 10 MINUTE - INTERVAL 6 HOUR""")
 def _(spark, d):
-    out = f"{_run_dir(spark)}/out"
+    out = f"{run_dir(spark)}/out"
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -113,14 +107,14 @@ def _(spark, d):
 
 @query("stm3_upload_rate_limit_stream", f"{_UPLOADS} AND us <= (SELECT max(us) - 600000000 FROM e)")
 def _(spark, d):
-    out = f"{_run_dir(spark)}/out"
+    out = f"{run_dir(spark)}/out"
     lm.limit_uploads(_uploads(_stream(spark, d, "events")), out, f"{out}-ckpt", 2, 10, 3600, 600).awaitTermination()
     return spark.read.schema("event_id long, allowed boolean, reason string").parquet(f"{out}/batch=*")
 
 
 @query("stm3_key_limit_stream")
 def _(spark, d):
-    base = _run_dir(spark)
+    base = run_dir(spark)
     job = lm.limit_stream(_stream(spark, d, "events"), "user_id", 2, 3600).writeStream.format("parquet")
     job.option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("event_id long, us long, allowed boolean").parquet(f"{base}/out")
@@ -143,7 +137,7 @@ def _(spark, d):
 
 def _drain(spark: SparkSession, changes: DataFrame, schema: str) -> DataFrame:
     """All rows that a stateful stream gives for what is there now."""
-    base = _run_dir(spark)
+    base = run_dir(spark)
     st.start(changes.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt"), spark).awaitTermination()
     return spark.read.schema(schema).parquet(f"{base}/out")
 
@@ -184,7 +178,7 @@ def _(spark, d):
     SELECT strftime(window_start, '%Y-%m-%d %H:%M') AS started, event_type, events FROM ({_RATES})
     WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
 def _(spark, d):
-    base = _run_dir(spark)
+    base = run_dir(spark)
     src = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     job = ev.rates(src, ["event_type"], value="value").writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
     job.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
@@ -253,7 +247,7 @@ def _(spark, d):
 @query("stm7_drop_repeats_stream", """
     SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2""")
 def _(spark, d):
-    base = _run_dir(spark)
+    base = run_dir(spark)
     src = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     job = ev.drop_repeats(src, ["user_id", "event_type"], "ts", "60 days").writeStream.format("parquet").option("path", f"{base}/out")
     job.option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start().awaitTermination()
@@ -286,7 +280,7 @@ def _(spark, d):
 def _(spark, d):
     from ..functions import chunking as ck
 
-    base = _run_dir(spark)
+    base = run_dir(spark)
     docs = _stream(spark, d, "documents").select(
         F.col("doc_id").alias("document_id"), F.col("source").alias("project_id"), "text", F.octet_length("text").alias("file_size")
     )
@@ -300,6 +294,21 @@ def _(spark, d):
     return out.groupBy("document_id").agg(F.count("*").alias("chunks"))
 
 
+@query("stm10_incremental_ingest_files", f"""
+    SELECT project_id, count(*) AS documents, count(*) FILTER (outcome <> 'CACHED') AS stored, count(*) FILTER (outcome = 'QUARANTINED') AS refused, sum(expected)::BIGINT AS chunks, sum(links)::BIGINT AS links
+    FROM ({COMPOSED}) GROUP BY 1""")
+def _(spark, d):
+    # four files, in no order of ids, so repeats of a text come in other batches than the text
+    base = run_dir(spark)
+    load(spark, d, "documents").repartition(4, "doc_id").write.parquet(f"{base}/in")
+    files = spark.readStream.schema(SCHEMAS["documents"]).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    cp.ingest_stream(intake_rows(files), f"{base}/out", f"{base}/ckpt", fn=refusing_embedder).awaitTermination()
+    return cp.verdicts(spark, f"{base}/out").groupBy("project_id").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("outcome") != "CACHED").alias("stored"),
+        F.count_if(F.col("outcome") == "QUARANTINED").alias("refused"), F.sum("expected").alias("chunks"), F.sum("links").alias("links"),
+    )
+
+
 @query("stm11_active_runs", """
     WITH m AS (SELECT user_id, event_id AS run_id, unnest([epoch_us(ts), epoch_us(ts) + floor(least(value * 60, 120) * 1000000)::BIGINT]) AS at_us, unnest([1, -1]) AS step FROM events)
     SELECT user_id, run_id, at_us, step, sum(step) OVER (PARTITION BY user_id ORDER BY at_us, step, run_id)::BIGINT AS active FROM m""")
@@ -320,7 +329,7 @@ def _(spark, d):
 @query("snk3_turn_hits_json", """
     SELECT user_id % 8 AS turn, event_id AS id, value AS score FROM events""")
 def _(spark, d):
-    path = f"{_run_dir(spark)}/hits"
+    path = f"{run_dir(spark)}/hits"
     hits = load(spark, d, "events").select((F.col("user_id") % 8).alias("turn"), F.col("event_id").alias("id"), F.col("value").alias("score"))
     write_turn_hits(hits, path)
     return spark.read.schema("id long, score double, turn long").json(path)
@@ -329,7 +338,7 @@ def _(spark, d):
 @query("snk4_append_log", """
     SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2""")
 def _(spark, d):
-    path = f"{_run_dir(spark)}/log"
+    path = f"{run_dir(spark)}/log"
     log = load(spark, d, "events").select("event_id", F.col("event_type").alias("action"), F.col("ts").alias("created_at"))
     append_log(log.filter("action <> 'error'"), path)
     append_log(log.filter("action = 'error'"), path)

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import attach
-
 
 def dedupe(df: DataFrame, key: str | list[str], order: list) -> DataFrame:
     """First row per key by ``order``; null keys form one group."""
@@ -74,7 +72,7 @@ def classify_documents(incoming: DataFrame, existing: DataFrame) -> DataFrame:
     key = ["project_id", "content_hash"]
     first = (
         incoming.groupBy(*key)
-        .agg(F.min_by("document_id", F.struct("arrived", "document_id")).alias("first_id"), F.count("*").alias("copies"))
+        .agg(F.min_by("document_id", F.struct("arrived", "document_id")).alias("first_id"))
         .join(
             existing.select(
                 *key,
@@ -89,11 +87,10 @@ def classify_documents(incoming: DataFrame, existing: DataFrame) -> DataFrame:
             F.when(F.col("existing_id").isNull(), "create").when(F.col("_gone"), "reactivate")
             .when(F.col("_redo"), "reingest").otherwise("cached"),
         )
-        .withColumn("slot", F.to_json(F.struct(*key)))
-        .select("slot", "first_id", "copies", "existing_id", "first_action")
+        .select(*key, "first_id", "existing_id", "first_action")
     )
-    rows = incoming.withColumn("slot", F.to_json(F.struct(*key)))
-    out = attach(rows, first, "slot", "copies", ["document_id"])
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    out = incoming.alias("a").join(first.alias("b"), same, "left").select("a.*", "first_id", "existing_id", "first_action")
     repeat = F.col("document_id") != F.col("first_id")
     action = F.when(~repeat, F.col("first_action")).when(F.col("first_action") == "cached", "cached").otherwise("reingest")
     return out.select(
@@ -113,12 +110,12 @@ def dedup_chunks(chunks: DataFrame, existing: DataFrame | None = None, arrived:
     """
     by = F.struct(arrived if arrived is not None else F.lit(0), "document_id", "chunk_index")
     owners = chunks.groupBy("chunk_hash").agg(
-        F.min_by("document_id", by).alias("owner_document_id"), F.count("*").alias("copies")
+        F.min_by("document_id", by).alias("owner_document_id")
     )
     if existing is not None:
         stored = existing.select("chunk_hash", F.col("document_id").alias("_stored"))
         owners = owners.join(stored, "chunk_hash", "left").select(
-            "chunk_hash", F.coalesce("_stored", "owner_document_id").alias("owner_document_id"), "copies"
+            "chunk_hash", F.coalesce("_stored", "owner_document_id").alias("owner_document_id")
         )
-    out = attach(chunks, owners, "chunk_hash", "copies", ["document_id", "chunk_index"])
-    return out.drop("copies").withColumn("is_new", F.col("owner_document_id") == F.col("document_id"))
+    # a content that a third of all chunks share is a skewed partition of this join, which AQE splits
+    return chunks.join(owners, "chunk_hash", "left").select(*chunks.columns, "owner_document_id").withColumn("is_new", F.col("owner_document_id") == F.col("document_id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -40,3 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def run_dir(spark: SparkSession) -> str:
+    """A new folder under the shared checkpoint folder."""
+    return f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"

@@ -136,6 +136,11 @@ def _folder(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _folder(spark, path)
+    return fs.exists(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder; one that is gone already is no error."""
     fs, where = _folder(spark, path)

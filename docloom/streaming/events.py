@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..operators.joins import orphans
 from ..operators.query import hard_delete
-from ..operators.skew import attach, running_sum
+from ..operators.skew import running_sum
 from ..sources.tables import EVENT_SCHEMA
 from .limits import MICROS, busy_parts, with_micros
 
@@ -123,9 +123,7 @@ def idempotent(requests: DataFrame) -> DataFrame:
     keyed = requests.filter(F.col("client_request_id").isNotNull())
     free = requests.filter(F.col("client_request_id").isNull()).withColumn("decision", F.lit("new"))
     slot = F.to_json(F.struct("user_id", "client_request_id")).alias("slot")
-    first = keyed.groupBy(slot).agg(
-        F.min_by(F.struct("request_id", "payload_hash", "status"), "request_id").alias("_f"), F.count(F.lit(1)).alias("copies")
-    )
+    first = keyed.groupBy(slot).agg(F.min_by(F.struct("request_id", "payload_hash", "status"), "request_id").alias("_f"))
     f = F.col("_f")
     decision = (
         F.when(F.col("request_id") == f["request_id"], "new")
@@ -134,8 +132,8 @@ def idempotent(requests: DataFrame) -> DataFrame:
         .when(f["status"].isin("started", "streaming"), "conflict_running")
         .otherwise("conflict_used")
     )
-    # a client that repeats one key without end is a hot key
-    judged = attach(keyed.withColumn("slot", slot), first, "slot", "copies", ["request_id"])
+    # a client that repeats one key without end makes a skewed partition, which AQE splits
+    judged = keyed.withColumn("slot", slot).join(first, "slot")
     judged = judged.withColumn("decision", decision).select(*requests.columns, "decision")
     return judged.unionByName(free)
 

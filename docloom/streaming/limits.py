@@ -147,10 +147,17 @@ def upload_limits(
     other uploads are allowed without a fold.
     """
     span = seconds * MICROS
-    columns = events.columns
-    rows = with_micros(events).withColumn("stands", F.lit(False))
+
+    def packed(df: DataFrame, stands: bool) -> DataFrame:
+        """The event as one column beside what the decision needs, so that names never clash."""
+        us = F.unix_micros(F.col("ts").cast("timestamp"))
+        return df.select(
+            F.struct(*events.columns).alias("event"), "event_id", "user_id", "project_id", us.alias("us"), F.lit(stands).alias("stands")
+        )
+
+    rows = packed(events, False)
     if accepted is not None:
-        rows = rows.unionByName(with_micros(accepted.select(*columns)).withColumn("stands", F.lit(True)))
+        rows = rows.unionByName(packed(accepted, True))
     rows = rows.withColumn("_block", F.floor(F.col("us") / span))
     for key, limit, node in (("user_id", user_limit, "_user"), ("project_id", project_limit, "_project")):
         risky = busy_parts(rows, key, seconds).filter(F.col("most") > limit)
@@ -159,10 +166,9 @@ def upload_limits(
     links = rows.filter("_user IS NOT NULL AND _project IS NOT NULL").select(F.col("_user").alias("a"), F.col("_project").alias("b"))
     rows = rows.withColumn("_node", F.coalesce("_user", "_project"))
     groups = components(links).select(F.col("node").alias("_node"), F.col("component").alias("_group"))
-    rows = rows.join(groups, "_node", "left").withColumn("_group", F.coalesce("_group", "_node"))
-    plain = [*columns, "us", "stands", "_group"]
-    folded = rows.filter(F.col("_group").isNotNull()).select(*plain).repartition("_group").sortWithinPartitions("_group", "us", "event_id")
-    schema = T.StructType([*events.schema.fields, T.StructField("stands", T.BooleanType()), T.StructField("reason", T.StringType())])
+    rows = rows.join(groups, "_node", "left").withColumn("_group", F.coalesce("_group", "_node")).drop("_block", "_user", "_project", "_node")
+    folded = rows.filter(F.col("_group").isNotNull()).repartition("_group").sortWithinPartitions("_group", "us", "event_id")
+    schema = T.StructType([rows.schema["event"], rows.schema["stands"], T.StructField("reason", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, {}
@@ -173,13 +179,13 @@ def upload_limits(
                     current, state = group, {}
                 user, project, us, stands = upload
                 reasons.append(upload_decide(state, user, project, us, user_limit, project_limit, span, stands))
-            kept = [*columns, "stands"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(reasons, pa.string())], names=[*kept, "reason"])
+            columns = [batch.column("event"), batch.column("stands"), pa.array(reasons, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
 
     judged = folded.mapInArrow(run, schema)
-    free = rows.filter(F.col("_group").isNull()).select(*columns, "stands", F.lit("").alias("reason"))
+    free = rows.filter(F.col("_group").isNull()).select("event", "stands", F.lit("").alias("reason"))
     out = judged.unionByName(free).filter(~F.col("stands"))
-    return out.select(*columns, (F.col("reason") == "").alias("allowed"), "reason")
+    return out.select("event.*", (F.col("reason") == "").alias("allowed"), "reason")
 
 
 def limit_uploads(
