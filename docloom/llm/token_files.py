@@ -69,6 +69,7 @@ class Encoder:
             self.bytes_of[i] = len(token)
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.marks = {m: np.array(self.tokenizer.encode(m).ids, f"<u{self.width}").tobytes() for m in ".,"}
 
     def split(self, units: list[bytes], ids: list[int]) -> list[bytes]:
         """Serialised ids of each unit, given those of all units in a row."""
@@ -79,10 +80,22 @@ class Encoder:
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def learn(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of new units, in one call; short ones are remembered."""
+        """Ids of new units, in one call."""
         whole = [u if u[0] == "\n" else " " + u for u in units]
         ids = self.tokenizer.encode("".join(whole), add_special_tokens=False).ids
-        fresh = dict(zip(units, self.split([u.encode() for u in whole], ids)))
+        return dict(zip(units, self.split([u.encode() for u in whole], ids)))
+
+    def resolve(self, unseen: set[str]) -> dict[str, bytes]:
+        """Ids of units not held; short ones are held from then on.
+
+        A stop or comma after a letter is a pre-token of its own, so such a unit is its stem's ids and the mark's.
+        """
+        stems = {u: u[:-1] for u in unseen if u[-1] in self.marks and u[-2:-1] <= "ÿ" and u[-2:-1].isalpha() and starts_unit(u[:-1])}
+        known = {s: self.inner[s] for s in stems.values() if s in self.inner}
+        fresh = self.learn(sorted((unseen | set(stems.values())) - stems.keys() - known.keys()))
+        known |= fresh
+        for unit, stem in stems.items():  # no stem ends in a mark, so each is known by now
+            fresh[unit] = known[stem] + self.marks[unit[-1]]
         self.inner.update((u, x) for u, x in fresh.items() if len(u) <= CACHE_CHARS)
         if len(self.inner) > CACHE_UNITS:
             shrink(self.inner, CACHE_UNITS // 2)
@@ -111,7 +124,7 @@ class Encoder:
                     found[i] = ids = [b"", *map(self.inner.get, units[1:])]
                     new = [u for u, x in zip(units, ids) if x is None]
                 unseen.update(new)
-        fresh = self.learn(sorted(unseen)) if unseen else {}
+        fresh = self.resolve(unseen) if unseen else {}
         return [
             self.begin(units[0]) + b"".join([fresh[u] if x is None else x for u, x in zip(units, ids)] if None in ids else ids)
             for units, ids in zip(parts, found)
@@ -150,15 +163,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def train_dictionary(docs: DataFrame, path: str, end_id: int) -> bytes:
+def train_dictionary(docs: DataFrame, n_short: int, path: str, end_id: int) -> bytes:
     """A zstandard dictionary of the serialised ids of a bounded sample of short texts.
 
     The sample is up to SAMPLE_TEXTS distinct texts of at most SAMPLE_CHARS characters with the least
-    hashes, so reruns agree; the driver holds no more. Too few texts give an empty dictionary.
+    hashes, so reruns agree; the driver holds no more. ``n_short``: how many such texts there are. Too few texts give an empty dictionary.
     """
     short = docs.filter(F.length("text").between(1, SAMPLE_CHARS)).select(F.xxhash64("text").alias("h"), "text")
     # about twice as many pass the first cut, so tasks send few texts to the driver
-    share = min(1.0, 2 * SAMPLE_TEXTS / max(short.count(), 1))
+    share = min(1.0, 2 * SAMPLE_TEXTS / max(n_short, 1))
     near = short.filter(F.col("h") <= F.lit(share * 2.0**64 - 2.0**63)).distinct()
     texts = [r["text"] for r in near.orderBy("h", "text").limit(SAMPLE_TEXTS).collect()]
     own = Encoder(path)
@@ -188,14 +201,13 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def shard_of(docs: DataFrame, shard_bytes: int) -> tuple[int, Column]:
+def shard_of(docs: DataFrame, size: int, shard_bytes: int) -> tuple[int, Column]:
     """Number of shards, and a row's shard number: rises with doc_id, null first.
 
     Bounds are quantiles of the ids: as many shards as the texts' bytes ask for, and no fewer than
     there are shuffle partitions. An id that fills several ranges is spread over them by its texts'
     hashes.
     """
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(1 + size // shard_bytes, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if ranges == 1 or docs.isEmpty():
         return 1, F.lit(0)
@@ -216,7 +228,8 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, shard_bytes: int =
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dictionary = train_dictionary(docs, path, end_id)
+    size, n_short = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(F.length("text").between(1, SAMPLE_CHARS))).first()
+    dictionary = train_dictionary(docs, n_short, path, end_id)
     folder = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
 
     def encode(batch: pa.RecordBatch) -> dict:
@@ -245,7 +258,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, shard_bytes: int =
         if now:
             yield now.close()
 
-    shards, shard = shard_of(docs, shard_bytes)
+    shards, shard = shard_of(docs, size, shard_bytes)
     schema = "shard int, doc_id long, width int, n long, frame binary"
     framed = map_texts(docs.withColumn("shard", shard), ["shard", "doc_id", "text"], schema, encode)
     placed = framed.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "frame")

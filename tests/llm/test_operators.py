@@ -522,7 +522,7 @@ def plain_ids(texts):
 def test_units_encode_like_whole_texts(monkeypatch, cached):
     monkeypatch.setattr(token_files, "CACHE_UNITS", cached)
     draw = random.Random(1)
-    marks = list("ab1'.!# \t\n\r  \u0085 　​\x1c\x00\x7féж中٣²Ⅷ") + ["  ", " \n", "\n ", "\n\n", "\na", " 's", "'ll", "<|endoftext|>", " é", " ٣"]
+    marks = [".", ",", "a.", "b,", " a.", "é."] + list("ab1'.!# \t\n\r  \u0085 　​\x1c\x00\x7féж中٣²Ⅷ") + ["  ", " \n", "\n ", "\n\n", "\na", " 's", "'ll", "<|endoftext|>", " é", " ٣"]
     texts = ["".join(draw.choice(marks) for _ in range(draw.randint(0, 14))) for _ in range(4000)] + [None, " " * 3000 + "y", "x" * 50_000]
     own = token_files.Encoder(TOKENIZER)
     portions = [texts[i : i + 40] for i in range(0, len(texts), 40)] * 2
