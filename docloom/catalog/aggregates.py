@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import chunking as ck
@@ -155,6 +157,61 @@ def _(spark, d):
     return t.withColumn("total", F.round("total", 2))
 
 
+def _utc(e):
+    """Events with instants instead of wall-clock times."""
+    return e.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _sql_histogram(rows: str, by: str, bounds: list[float]) -> str:
+    """Cumulative counts of ``v`` per ``by``; every bound is a row, +Inf too."""
+    cells = ", ".join([f"('{b:g}', {float(b)}::DOUBLE)" for b in bounds] + ["('+Inf', 'inf'::DOUBLE)"])
+    return f"SELECT {by}, le, count(*) FILTER (v <= b) AS cumulative, round(sum(v), 3)::DOUBLE AS total FROM ({rows}), (VALUES {cells}) x(le, b) GROUP BY {by}, le"
+
+
+def _histogram(rows, by, bounds):
+    return ag.histogram(rows, "v", bounds, [by]).withColumn("total", F.round("total", 3).cast("double"))
+
+
+_LATENCY = "SELECT event_type, value / 10 AS v FROM events"
+_SIZES = "SELECT source, octet_length(encode(text))::DOUBLE AS v FROM documents"
+
+
+@query("agg10_latency", _sql_histogram(_LATENCY, "event_type", fv.LATENCY_BOUNDS))
+def _(spark, d):
+    return _histogram(load(spark, d, "events").select("event_type", (F.col("value") / 10).alias("v")), "event_type", fv.LATENCY_BOUNDS)
+
+
+@query("agg10_upload_size", _sql_histogram("SELECT o_orderstatus, o_totalprice * 100 AS v FROM orders", "o_orderstatus", fv.FILE_SIZE_BOUNDS))
+def _(spark, d):
+    rows = load(spark, d, "orders").select("o_orderstatus", (F.col("o_totalprice") * 100).alias("v"))
+    return _histogram(rows, "o_orderstatus", fv.FILE_SIZE_BOUNDS)
+
+
+@query("agg10_document_size", _sql_histogram(_SIZES, "source", fv.DOCUMENT_SIZE_BOUNDS))
+def _(spark, d):
+    rows = load(spark, d, "documents").select("source", F.octet_length("text").cast("double").alias("v"))
+    return _histogram(rows, "source", fv.DOCUMENT_SIZE_BOUNDS)
+
+
+@query("agg10_embed_batch", _sql_histogram("SELECT l_shipdate::DATE::VARCHAR AS day, count(*)::DOUBLE AS v FROM lineitem GROUP BY l_shipdate::DATE, l_suppkey % 7", "day", fv.EMBED_BATCH_BOUNDS))
+def _(spark, d):
+    day = F.col("l_shipdate").cast("date").cast("string").alias("day")
+    rows = load(spark, d, "lineitem").groupBy(day, F.col("l_suppkey") % 7).agg(F.count("*").cast("double").alias("v"))
+    return _histogram(rows.select("day", "v"), "day", fv.EMBED_BATCH_BOUNDS)
+
+
+@query("agg10_quality_score", _sql_histogram("SELECT event_type, (floor(value) % 101) / 100::DOUBLE AS v FROM events", "event_type", fv.QUALITY_BOUNDS))
+def _(spark, d):
+    rows = load(spark, d, "events").select("event_type", ((F.floor("value") % 101) / 100).alias("v"))
+    return _histogram(rows, "event_type", fv.QUALITY_BOUNDS)
+
+
+@query("agg10_chunks_per_document", _sql_histogram("SELECT source, ceil(length(text) / 512)::DOUBLE AS v FROM documents", "source", fv.CHUNKS_BOUNDS))
+def _(spark, d):
+    rows = load(spark, d, "documents").select("source", F.ceil(F.length("text") / 512).cast("double").alias("v"))
+    return _histogram(rows, "source", fv.CHUNKS_BOUNDS)
+
+
 @query("agg11_counters", """
     SELECT o_orderstatus, o_orderpriority, count(*) AS value FROM orders GROUP BY 1, 2""")
 def _(spark, d):
@@ -229,6 +286,61 @@ def _(spark, d):
     })
 
 
+@query("agg16_run_quantiles", """
+    WITH r AS (SELECT user_id, min(ts) AS started FROM events GROUP BY 1),
+    f AS (SELECT e.user_id, min(e.ts) AS first FROM events e WHERE event_type = 'view' GROUP BY 1),
+    t AS (SELECT e.event_type, e.value, floor(e.value * 10) AS ms, greatest(0, coalesce(floor((epoch_us(f.first) - epoch_us(r.started)) / 1000), 0))::BIGINT AS fd FROM events e JOIN r USING (user_id) LEFT JOIN f USING (user_id))
+    SELECT event_type, count(*) AS runs, count(*) FILTER (fd > 0) AS answered, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0 END), 6) AS completed_share,
+      round(quantile_cont(ms, 0.5), 4) AS duration_p50, round(quantile_cont(ms, 0.95), 4) AS duration_p95, round(quantile_cont(ms, 0.99), 4) AS duration_p99,
+      round(quantile_cont(CASE WHEN fd > 0 THEN fd END, 0.5), 4)::DOUBLE AS first_delta_p50, round(quantile_cont(CASE WHEN fd > 0 THEN fd END, 0.95), 4)::DOUBLE AS first_delta_p95, round(quantile_cont(CASE WHEN fd > 0 THEN fd END, 0.99), 4)::DOUBLE AS first_delta_p99
+    FROM t GROUP BY 1""")
+def _(spark, d):
+    # a run is an event; it starts with its user's first event and its deltas are the user's views
+    e = load(spark, d, "events")
+    starts = e.groupBy(F.col("user_id").alias("run_id")).agg(F.min("ts").alias("started_at"))
+    deltas = e.filter("event_type = 'view'").select(F.col("user_id").alias("run_id"), "ts")
+    timed = ag.first_deltas(starts, deltas).select(F.col("run_id").alias("user_id"), "first_delta_ms")
+    runs = e.join(timed, "user_id").select(
+        "event_type", F.when(F.col("value") > 50, "completed").otherwise("failed").alias("status"),
+        F.floor(F.col("value") * 10).alias("duration_ms"), "first_delta_ms",
+    )
+    out = ag.run_quantiles(runs, ["event_type"])
+    exact = [c for c in out.columns if "_p" in c]
+    return out.withColumns({c: F.round(c, 4) for c in exact} | {"completed_share": F.round("completed_share", 6)})
+
+
+@query("agg16_sketched_quantiles", """
+    SELECT event_type, count(*) AS n, true AS near FROM events GROUP BY 1""")
+def _(spark, d):
+    # hourly sketches, merged: the share of runs at or under each quantile is within 2 % of what was asked
+    runs = _utc(load(spark, d, "events"))
+    found = ag.sketch_quantiles(ag.quantile_sketches(runs, ["event_type"], "value"), ["event_type"])
+    shares = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    held = runs.join(found.select("event_type", *shares), "event_type").groupBy("event_type").agg(
+        *[F.avg((F.col("value") <= F.col(p)).cast("double")).alias(p) for p in shares]
+    )
+    near = reduce(lambda a, b: a & b, [F.abs(F.col(p) - q) <= 0.02 for p, q in shares.items()])
+    return found.select("event_type", "n").join(held.select("event_type", near.alias("near")), "event_type")
+
+
+@query("agg16_feedback_tags", """
+    WITH f AS (SELECT event_type, value > 20 AS ok, CASE WHEN value > 60 THEN NULL ELSE 'tag' || user_id % 3 || ', ' || CASE WHEN user_id % 2 = 0 THEN 'slow' ELSE 'tag' || user_id % 3 END END AS tags, CASE WHEN user_id % 5 = 0 THEN 'text' ELSE ' ' END AS c FROM events),
+    t AS (SELECT event_type, tag, count(*) AS n FROM (SELECT event_type, unnest(list_distinct(list_transform(string_split(tags, ','), lambda x: trim(x)))) AS tag FROM f) GROUP BY 1, 2)
+    SELECT event_type, (SELECT count(*) FROM f x WHERE x.event_type = t.event_type) AS votes, (SELECT round(avg(ok::INT), 6) FROM f x WHERE x.event_type = t.event_type) AS positive_share,
+      (SELECT count(*) FILTER (trim(c) <> '') FROM f x WHERE x.event_type = t.event_type) AS comments, string_agg(tag || '=' || n, ',' ORDER BY tag) AS tags FROM t GROUP BY 1""")
+def _(spark, d):
+    u = F.col("user_id")
+    tag = F.concat(F.lit("tag"), u % 3)
+    t = load(spark, d, "events").select(
+        "event_type", (F.col("value") > 20).alias("is_positive"),
+        F.when(~(F.col("value") > 60), F.concat(tag, F.lit(", "), F.when(u % 2 == 0, "slow").otherwise(tag))).alias("reason_tags"),
+        F.when(u % 5 == 0, "text").otherwise(" ").alias("comment"),
+    )
+    out = ag.feedback_rollup(t, ["event_type"])
+    line = F.array_join(F.transform(F.array_sort(F.map_entries("tags")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return out.select("event_type", "votes", F.round("positive_share", 6).alias("positive_share"), "comments", line.alias("tags"))
+
+
 @query("agg16_feedback", """
     SELECT source, count(*) AS votes, round(avg(quality), 6) AS positive_share FROM labels JOIN documents USING (doc_id) GROUP BY 1""")
 def _(spark, d):

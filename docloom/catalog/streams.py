@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import fixed_values as fv
 from ..plans import composed as cp, ingest as ing
 from ..session import run_dir
-from ..sources.tables import SCHEMAS, append_log, write_turn_hits
+from ..sources.tables import SCHEMAS, append_log, read_latest, write_turn_hits, write_version
 from ..streaming import events as ev, limits as lm, stateful as st
 from .base import load, query
 from .ingest import COMPOSED, intake_rows, refusing_embedder
@@ -196,6 +196,18 @@ def _(spark, d):
     return t.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("started"), "event_type", "minutes_over")
 
 
+@query("stm6_sustained_alerts_stream", f"""
+    WITH o AS (SELECT *, epoch(window_end)::BIGINT // 60 AS m FROM ({_RATES}) WHERE rate > 0.003),
+    i AS (SELECT *, m - row_number() OVER (PARTITION BY event_type ORDER BY m) AS isl FROM o)
+    SELECT strftime(window_start, '%Y-%m-%d %H:%M') AS started, event_type, minutes_over FROM (SELECT *, row_number() OVER (PARTITION BY event_type, isl ORDER BY m) - 1 AS minutes_over FROM i)
+    WHERE minutes_over >= 5 AND window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
+def _(spark, d):
+    src = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    changes = st.alert_stream(ev.rates(src, ["event_type"]), ["event_type"], 0.003, 5)
+    out = _drain(spark, changes, "window_start timestamp, event_type string, minutes_over long")
+    return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("started"), "event_type", "minutes_over")
+
+
 @query("stm7_idempotency", """
     WITH r AS (SELECT event_id AS request_id, user_id, CASE WHEN event_type <> 'signup' THEN 'c' || floor(value / 10)::BIGINT END AS cid, event_type IN ('click', 'view') AS payload,
         CASE WHEN value < 5 THEN 'completed' WHEN value < 15 THEN 'streaming' ELSE 'failed' END AS st FROM events),
@@ -275,6 +287,22 @@ def _(spark, d):
     return ev.clean_cache(points, entries, F.lit("2024-01-31").cast("timestamp")).select("point_id")
 
 
+@query("stm9_scheduled_cleanup", f"""
+    WITH e AS (SELECT event_id, event_type, ts > TIMESTAMP '2024-01-31' - INTERVAL {fv.CACHE_TTL_SECONDS} SECOND AS live FROM events)
+    SELECT event_id AS point_id, (SELECT count(*) FILTER (NOT live) FROM e) AS expired, (SELECT count(*) FILTER (NOT live AND event_type <> 'view') FROM e) AS orphans, 0::BIGINT AS again
+    FROM e WHERE event_type = 'view' OR live""")
+def _(spark, d):
+    base, e = run_dir(spark), _utc(spark, d)
+    points, entries = "point_id long, redis_key long", "redis_key long, created_at timestamp"
+    write_version(e.select(F.col("event_id").alias("point_id"), F.when(F.col("event_type") != "view", F.col("event_id")).alias("redis_key")), f"{base}/points")
+    write_version(e.select(F.col("event_id").alias("redis_key"), F.col("ts").alias("created_at")), f"{base}/entries")
+    now = F.lit("2024-01-31").cast("timestamp")
+    expired, orphans = ev.clean_up(spark, base, now, entries, points)
+    again = sum(ev.clean_up(spark, base, now, entries, points))
+    found = [F.lit(n).cast("long").alias(c) for n, c in ((expired, "expired"), (orphans, "orphans"), (again, "again"))]
+    return read_latest(spark, f"{base}/points", points).select("point_id", *found)
+
+
 @query("stm10_incremental_ingest", """
     SELECT doc_id AS document_id, count(*) AS chunks FROM (SELECT doc_id, unnest(range(0, ceil(length(trim(text, chr(10) || ' ')) / 512)::BIGINT)) AS i FROM documents WHERE length(trim(text)) >= 40) GROUP BY 1""")
 def _(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions import masking, numbers as nm, text as tx
 from ..operators import joins
-from ..operators.windows import working_memory
+from ..operators.windows import turn_brief, working_memory
 from .base import SPACES, load, query, spread, sql_strip, sql_words
 
 
@@ -255,6 +255,34 @@ def _(spark, d):
     )
 
 
+_NEXT_STEP = fv.NEXT_STEP.replace("'", "''")
+
+
+@query("str18_turn_brief", f"""
+    WITH h AS (SELECT conv_id, count(*) AS n, string_agg('  Turn ' || turn || ':' || chr(10) || '    Action: ' || role || chr(10) || '    Outcome: ' || text, chr(10) ORDER BY turn) AS lines,
+        arg_max(CASE WHEN role = 'assistant' THEN text ELSE '' END, turn) AS err FROM conversations WHERE conv_id % 5 <> 0 GROUP BY 1)
+    SELECT conv_id, sha256('--- WORKING MEMORY (Turn ' || coalesce(n, 0) + 1 || '/10) ---' || chr(10) || 'Original User Directive: d' || conv_id
+      || CASE WHEN conv_id % 2 = 0 THEN chr(10) || 'Constraints:' || chr(10) || '  - cite' || chr(10) || '  - c' || conv_id ELSE '' END || chr(10)
+      || coalesce(chr(10) || 'Previous Turns History:' || chr(10) || lines, chr(10) || '{fv.NO_TURNS}') || chr(10) || chr(10) || '{fv.FILES_HEAD}'
+      || CASE conv_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN '[''a' || conv_id || '.json'']' ELSE '[''a.json'', "it''s"]' END || chr(10) || '{fv.FILES_HINT}'
+      || CASE WHEN coalesce(err, '') <> '' THEN chr(10) || chr(10) || '[WARNING] Last execution encountered an error:' || chr(10) || '  ' || err ELSE '' END || chr(10) || chr(10) || '{_NEXT_STEP}') AS memory
+    FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN h USING (conv_id)""")
+def _(spark, d):
+    t = load(spark, d, "conversations")
+    c = F.col("task_id")
+    tasks = t.select(F.col("conv_id").alias("task_id")).distinct().select(
+        "task_id", F.concat(F.lit("d"), c).alias("directive"),
+        F.when(c % 2 == 0, F.array(F.lit("cite"), F.concat(F.lit("c"), c))).alias("constraints"),
+        F.when(c % 3 == 1, F.array(F.concat(F.lit("a"), c, F.lit(".json")))).when(c % 3 == 2, F.array(F.lit("a.json"), F.lit("it's"))).alias("state_files"),
+    )
+    # every fifth conversation is a task that has not begun
+    turns = t.filter("conv_id % 5 <> 0").select(
+        F.col("conv_id").alias("task_id"), F.col("turn").alias("turn_number"), F.col("role").alias("action"), F.col("text").alias("outcome"),
+        F.when(F.col("role") == "assistant", F.col("text")).alias("last_error"),
+    )
+    return turn_brief(tasks, turns).select(F.col("task_id").alias("conv_id"), _sha("memory").alias("memory"))
+
+
 _REPLY = """CASE WHEN role = 'user' THEN 'in_scope ( 0.' || turn || '5 )' WHEN role = 'assistant' AND turn > 2 THEN 'OUT_SCOPE (0.9' || turn || ')'
    WHEN role = 'assistant' THEN 'I say out_scope' WHEN turn > 0 THEN 'IN_SCOPE' ELSE 'hm' END"""
 

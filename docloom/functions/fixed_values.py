@@ -105,3 +105,18 @@ CHAT_DEFAULT_PRICE = (0.150 / 1_000_000, 0.600 / 1_000_000)
 # --- histogram bounds -------------------------------------------------------
 STEP_SECONDS_BOUNDS = [0.1, 0.5, 1, 5, 10, 30, 60, 300]
 FILE_SIZE_BOUNDS = [1e6, 10e6, 50e6, 100e6]
+LATENCY_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0, 20.0, 40.0, 60.0]
+DOCUMENT_SIZE_BOUNDS = [1e4, 1e5, 1e6, 10e6, 100e6]
+EMBED_BATCH_BOUNDS = [1, 5, 10, 20, 50, 100]
+QUALITY_BOUNDS = [0.0, 0.2, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
+CHUNKS_BOUNDS = [5, 20, 50, 100, 250, 500, 1000, 5000]
+
+# --- texts of a turn's brief --------------------------------------------------
+NO_TURNS = "No previous turns executed yet. This is Turn 1."
+FILES_HEAD = "Files currently in workspace (STATE_DIR): "
+FILES_HINT = "To access the contents of these files, write Python code to load them (using pathlib and json)."
+NEXT_STEP = (
+    "Based on this history, write the next Python code block to execute.\n"
+    "Remember to wrap your Python code in a ```python ... ``` block, "
+    "and serialize any new outputs/data into STATE_DIR."
+)

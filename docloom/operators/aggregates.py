@@ -209,6 +209,72 @@ def outcome_rollup(runs: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def run_quantiles(runs: DataFrame, by: list[str], shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Runs, completed share and exact quantiles of duration and time to first delta per group.
+
+    ``runs``: status, duration_ms, first_delta_ms. A first delta of 0 or null means that none came and
+    does not count. Quantiles interpolate between ranks; equal values are counted before the shuffle.
+    """
+    delta = F.when(F.col("first_delta_ms") > 0, F.col("first_delta_ms"))
+    name = lambda kind, q: f"{kind}_p{q * 100:g}"
+    return runs.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.avg((F.col("status") == "completed").cast("double")).alias("completed_share"),
+        F.count(delta).alias("answered"),
+        *[F.percentile("duration_ms", F.lit(q)).alias(name("duration", q)) for q in shares],
+        *[F.percentile(delta, F.lit(q)).alias(name("first_delta", q)) for q in shares],
+    )
+
+
+def first_deltas(runs: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Adds ``first_delta_ms``: from a run's start to its first delta, 0 where none came.
+
+    ``runs``: run_id, started_at; ``deltas``: run_id, ts. Deltas before the start do not count. Only
+    the earliest delta of a run leaves a task.
+    """
+    first = deltas.groupBy("run_id").agg(F.min("ts").alias("_first"))
+    joined = runs.join(first, "run_id", "left")
+    spent = F.floor((F.unix_micros(F.col("_first").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / 1000)
+    return joined.withColumn("first_delta_ms", F.greatest(F.coalesce(spent, F.lit(0)), F.lit(0))).drop("_first")
+
+
+def quantile_sketches(runs: DataFrame, by: list[str], value: str, window: str = "1 hour", k: int = 200) -> DataFrame:
+    """One KLL sketch of ``value`` per window and group: a few hundred numbers, whatever the rows.
+
+    Sketches of windows merge into those of any longer time, so a table of them answers for a day or
+    a month without the runs. ``k`` sets the size; at 200 a rank is off by about 1.3 % at most.
+    """
+    w = F.window("ts", window)["start"].alias("window_start")
+    return runs.groupBy(w, *by).agg(F.count(value).alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), k).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, by: list[str], shares: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Quantiles per group from merged sketches; groups without a value are left out."""
+    merged = sketches.filter("n > 0").groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("sketch"))
+    found = [F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(f"p{q * 100:g}") for q in shares]
+    return merged.select(*by, "n", *found)
+
+
+def feedback_rollup(feedback: DataFrame, by: list[str]) -> DataFrame:
+    """Votes, positive share, comments and the counts of each reason tag per group.
+
+    ``feedback``: is_positive, reason_tags (comma-separated), comment. Tags are trimmed and counted
+    once per vote; ``tags`` is a map from tag to votes, empty where none was given.
+    """
+    split = F.transform(F.split(F.coalesce("reason_tags", F.lit("")), ","), lambda t: F.trim(t))
+    tags = F.array_distinct(F.filter(split, lambda t: t != ""))
+    votes = feedback.withColumn("_tags", tags)
+    totals = votes.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("votes"), F.avg(F.col("is_positive").cast("double")).alias("positive_share"),
+        F.count_if(F.length(F.trim(F.coalesce("comment", F.lit("")))) > 0).alias("comments"),
+    )
+    counted = votes.select(*by, F.explode("_tags").alias("_tag")).groupBy(*by, "_tag").agg(F.count(F.lit(1)).alias("_n"))
+    listed = counted.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_tag", "_n")))).alias("tags"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    empty = F.create_map().cast("map<string,bigint>")
+    return totals.alias("a").join(listed.alias("b"), same, "left").select("a.*", F.coalesce("b.tags", empty).alias("tags"))
+
+
 def cost_rollup(ops: DataFrame, cost: Column, by: list[str]) -> DataFrame:
     """Tokens and USD per group."""
     return ops.withColumn("_cost", cost).groupBy(*by).agg(

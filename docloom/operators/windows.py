@@ -161,3 +161,47 @@ def working_memory(turns: DataFrame, max_turns: int = 10) -> DataFrame:
         ),
     )
     return turns.withColumn("memory", text)
+
+
+def _quoted(c: Column) -> Column:
+    """A text as a list shows it: in single quotes, or in double ones where it holds only single ones."""
+    plain = F.contains(c, F.lit("'")) & ~F.contains(c, F.lit('"'))
+    out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for raw, shown in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(raw), F.lit(shown))
+    single = F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(plain, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(single)
+
+
+def turn_brief(tasks: DataFrame, turns: DataFrame, max_turns: int = 10) -> DataFrame:
+    """What each task's next turn is told: directive, constraints, history, state files, last error, instructions.
+
+    ``tasks``: task_id, directive, constraints (array), state_files (array); ``turns``: task_id,
+    turn_number, action, outcome, last_error. One row per task, also for one without turns. Parts that
+    are null or empty are left out; the error is that of the last turn. Turns are gathered per task,
+    whose brief holds them all by definition.
+    """
+    line = F.concat(
+        F.lit("  Turn "), F.col("turn_number").cast("string"), F.lit(":\n    Action: "), F.coalesce("action", F.lit("")),
+        F.lit("\n    Outcome: "), F.coalesce("outcome", F.lit("")),
+    )
+    history = turns.groupBy("task_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn_number", line.alias("line")))).alias("_lines"),
+        F.count(F.lit(1)).alias("_turns"),
+        F.max_by(F.struct("last_error"), "turn_number").alias("_last"),
+    )
+    told = F.concat(F.lit("\nPrevious Turns History:\n"), F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"))
+    rules = F.transform("constraints", lambda c: F.concat(F.lit("  - "), c))
+    files = F.array_join(F.transform(F.coalesce("state_files", F.array().cast("array<string>")), _quoted), ", ")
+    error = F.nullif(F.col("_last.last_error"), F.lit(""))
+    parts = F.array(
+        F.concat(F.lit("--- WORKING MEMORY (Turn "), (F.coalesce("_turns", F.lit(0)) + 1).cast("string"), F.lit(f"/{max_turns}) ---")),
+        F.concat(F.lit("Original User Directive: "), F.coalesce("directive", F.lit(""))),
+        F.when(F.size("constraints") > 0, F.concat(F.lit("Constraints:\n"), F.array_join(rules, "\n"))),
+        F.coalesce(told, F.lit("\n" + fv.NO_TURNS)),
+        F.concat(F.lit("\n" + fv.FILES_HEAD), F.lit("["), files, F.lit("]")),
+        F.lit(fv.FILES_HINT),
+        F.concat(F.lit("\n[WARNING] Last execution encountered an error:\n  "), error),
+        F.lit("\n" + fv.NEXT_STEP),
+    )
+    return tasks.join(history, "task_id", "left").select(*tasks.columns, F.array_join(parts, "\n").alias("memory"))

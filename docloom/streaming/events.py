@@ -12,7 +12,7 @@ from ..functions import fixed_values as fv
 from ..operators.joins import orphans
 from ..operators.query import hard_delete
 from ..operators.skew import running_sum
-from ..sources.tables import EVENT_SCHEMA
+from ..sources.tables import EVENT_SCHEMA, read_latest, remove, version_path, versions, write_version
 from .limits import MICROS, busy_parts, with_micros
 
 
@@ -96,20 +96,37 @@ def rates(
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *[c for c in out.columns if c != "w"])
 
 
+DAY = 1440
+
+
 def alerts(rated: DataFrame, by: list[str], threshold: float, sustain_minutes: int) -> DataFrame:
     """Windows at which a rate has been over the threshold long enough.
 
-    Windows end every minute; a run of breaching windows without a gap keeps
-    ``end - position`` constant.
+    Windows end every minute. Runs are found within a day of a label; what a day's last run carries
+    over to the next is summed from one row per day, so a label that breaches for years is spread
+    over its days.
     """
-    over = rated.filter(F.col("rate") > threshold)
-    w = Window.partitionBy(*by).orderBy("window_end")
     minute = F.floor(F.unix_micros(F.col("window_end").cast("timestamp")) / 60_000_000)
-    island = over.withColumn("_minute", minute).withColumn("_island", F.col("_minute") - F.row_number().over(w))
-    run = Window.partitionBy(*by, "_island").orderBy("window_end")
+    over = rated.filter(F.col("rate") > threshold).withColumn("_minute", minute).withColumn("_day", F.floor(F.col("_minute") / DAY))
+    within = Window.partitionBy(*by, "_day").orderBy("_minute")
+    runs = over.withColumn("_island", F.col("_minute") - F.row_number().over(within))
+    spans = runs.groupBy(*by, "_day", "_island").agg(F.min("_minute").alias("_from"), F.max("_minute").alias("_to"))
+    last = F.max(F.when(F.col("_to") == (F.col("_day") + 1) * DAY - 1, F.col("_to") - F.col("_from") + 1))
+    days = spans.groupBy(*by, "_day").agg(F.coalesce(last, F.lit(0)).alias("_tail"))
+    w = Window.partitionBy(*by).orderBy("_day")
+    before = F.lag(F.struct("_day", "_tail")).over(w)
+    tail = F.when(before["_day"] == F.col("_day") - 1, before["_tail"]).otherwise(0)
+    # days in a row that breach throughout hand on all that came before them
+    chained = days.withColumn("_in", F.coalesce(tail, F.lit(0))).withColumn("_chain", F.sum((F.col("_in") < DAY).cast("int")).over(w))
+    in_chain = Window.partitionBy(*by, "_chain").orderBy("_day")
+    carried = chained.withColumn("_carry", F.first("_in").over(in_chain) + DAY * (F.row_number().over(in_chain) - 1))
+    facts = spans.alias("s").join(carried.select(*by, "_day", "_carry").alias("c"), [*by, "_day"])
+    ahead = F.when(F.col("_from") == F.col("_day") * DAY, F.col("_carry")).otherwise(0)
+    facts = facts.select(*by, "_day", "_island", "_from", ahead.alias("_ahead"))
+    joined = runs.join(facts, [*by, "_day", "_island"])
     return (
-        island.withColumn("minutes_over", F.row_number().over(run) - 1)
-        .filter(F.col("minutes_over") >= sustain_minutes).drop("_minute", "_island")
+        joined.withColumn("minutes_over", (F.col("_minute") - F.col("_from") + F.col("_ahead")).cast("int"))
+        .filter(F.col("minutes_over") >= sustain_minutes).select(*rated.columns, "minutes_over")
     )
 
 
@@ -192,6 +209,32 @@ def clean_cache(points: DataFrame, entries: DataFrame, now: Column, ttl: int = f
     return hard_delete(points, orphans(points, live), "point_id")
 
 
+def clean_up(
+    spark: SparkSession, base: str, now: Column, entry_schema: str, point_schema: str, ttl: int = fv.CACHE_TTL_SECONDS, keep: int = 2
+) -> tuple[int, int]:
+    """The scheduled job: drop expired entries, then points whose entry is gone. Returns how many of each.
+
+    ``<base>/entries`` and ``<base>/points`` are versioned tables. A version counts once its writer
+    has committed, so readers see all of a clean-up or nothing, and a job that dies in between only
+    leaves orphans for its next run to find. Where nothing is to go, no version is written. The last
+    ``keep`` versions stay for readers that have begun.
+    """
+    entries = read_latest(spark, f"{base}/entries", entry_schema)
+    live = entries.filter(F.col("created_at") > now - F.make_dt_interval(secs=F.lit(ttl)))
+    expired = entries.count() - live.count()
+    if expired:
+        write_version(live, f"{base}/entries")
+    points = read_latest(spark, f"{base}/points", point_schema)
+    kept = clean_cache(points, read_latest(spark, f"{base}/entries", entry_schema), now, ttl)
+    gone = points.count() - kept.count()
+    if gone:
+        write_version(kept, f"{base}/points")
+    for table in ("entries", "points"):
+        for number in versions(spark, f"{base}/{table}", complete=False)[:-keep]:
+            remove(spark, version_path(f"{base}/{table}", number))
+    return expired, gone
+
+
 def active_runs(runs: DataFrame, lease: int = fv.RUN_LEASE_SECONDS) -> DataFrame:
     """Active runs per user after every start and end.
 

@@ -253,6 +253,43 @@ def active_run_stream(runs: DataFrame, lease: int = fv.RUN_LEASE_SECONDS, waterm
     return in_order(timed, ["user_id"], Active(user, run), schema)
 
 
+class Sustained(StatefulProcessor):
+    """Length of the unbroken run of breaching windows that a label is in."""
+
+    def __init__(self, by: list[str], sustain: int):
+        self.by, self.sustain = by, sustain
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.run = handle.getValueState("run", "minute long, over long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.run.get()
+        minute, over = held if held is not None else (None, 0)
+        for row in sorted(rows, key=lambda r: r["_minute"]):
+            over = over + 1 if minute is not None and row["_minute"] == minute + 1 else 0
+            minute = row["_minute"]
+            if over >= self.sustain:
+                named = dict(zip(self.by, key))
+                yield Row(window_start=row["window_start"], window_end=row["window_end"], **named, rate=row["rate"], minutes_over=over)
+        self.run.update((minute, over))
+
+    def close(self) -> None:
+        pass
+
+
+def alert_stream(rated: DataFrame, by: list[str], threshold: float, sustain_minutes: int) -> DataFrame:
+    """``alerts`` on a stream of ``rates``: window_start, window_end, the labels, rate and minutes_over.
+
+    Two stateful operators in a row: windows come in order of their end once the watermark closes
+    them, and a label's state is the last breaching minute and how long its run is.
+    """
+    minute = F.floor(F.unix_micros("window_end") / 60_000_000)
+    over = rated.filter(F.col("rate") > threshold).withColumn("_minute", minute)
+    fields = [rated.schema[c] for c in ("window_start", "window_end", *by, "rate")]
+    out = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("minutes_over", T.LongType())])
+    return over.groupBy(*by).transformWithState(Sustained(by, sustain_minutes), out, "append", "None")
+
+
 class Snapshot(StatefulProcessor):
     """The newest event of a key, whole, until its time to live has passed."""
 

@@ -7,7 +7,9 @@ from collections import Counter, deque
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.operators import aggregates as ag
 from docloom.operators.graph import components
+from docloom.sources.tables import read_latest, versions, write_version
 from docloom.streaming import events as ev, limits as lm, stateful as st
 
 BASE = dt.datetime(2024, 1, 1)
@@ -262,3 +264,84 @@ def test_whole_snapshots_expire(spark, tmp_path):
     assert Counter(map(tuple, table.select("task_id", "ts", "seq_num").collect())) == Counter(map(tuple, want.collect()))
     assert {tuple(r) for r in table.select(*[f.name for f in whole.schema]).collect()} <= {tuple(r) for r in whole.collect()}
     assert 0 < table.count() < len(order)
+
+
+RATED = "window_start timestamp, window_end timestamp, label string, rate double"
+
+
+def rated(minutes, label="x"):
+    """Breaching windows that end at these minutes, quiet ones between."""
+    last = max(minutes) + 3
+    return [(BASE + dt.timedelta(minutes=m - 5), BASE + dt.timedelta(minutes=m), label, 2.0 if m in minutes else 0.5) for m in range(1, last)]
+
+
+def test_alerts_carry_over_days(spark):
+    """Runs within a day, over midnight, over whole days, and two whole days that begin by themselves."""
+    long = set(range(1430, 4 * 1440 + 20)) | set(range(5 * 1440, 7 * 1440)) | {7 * 1440 + 2, 7 * 1440 + 3} | set(range(20, 30))
+    rows = rated(long) + rated({3, 4, 5, 1439, 1440, 1441, 1442}, "y")
+    got = {(r["label"], r["window_end"]): r["minutes_over"] for r in ev.alerts(spark.createDataFrame(rows, RATED), ["label"], 1.0, 2).collect()}
+    want, run = {}, {}
+    for _, end, label, rate in rows:
+        run[label] = run.get(label, -1) + 1 if rate > 1 else -1
+        if run[label] >= 2:
+            want[label, end] = run[label]
+    assert got == want and max(want.values()) > 3 * 1440
+
+
+def test_alert_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, BASE + dt.timedelta(seconds=rng.randint(0, 7200)), rng.choice("ab")) for i in range(500)]
+    schema = "event_id long, ts timestamp, label string"
+    src = files(spark, str(tmp_path / "in"), jumbled(rows, 1, 30), schema, 3)
+    changes = st.alert_stream(ev.rates(src, ["label"], watermark="20 minutes"), ["label"], 0.03, 3)
+    out = drained(spark, changes, str(tmp_path), "window_end timestamp, label string, minutes_over long")
+    whole = ev.alerts(ev.rates(spark.createDataFrame(rows, schema), ["label"]), ["label"], 0.03, 3)
+    want = whole.filter(F.col("window_end") <= F.lit(seen(rows))).select("window_end", "label", F.col("minutes_over").cast("long"))
+    got, want = (Counter(map(tuple, x.select("window_end", "label", "minutes_over").collect())) for x in (out, want))
+    assert got == want and want
+
+
+def test_clean_up_twice(spark, tmp_path):
+    base = str(tmp_path)
+    entry, point = "redis_key string, created_at timestamp", "point_id string, redis_key string"
+    now = F.lit("2024-02-01").cast("timestamp")
+    assert ev.clean_up(spark, base, now, entry, point) == (0, 0)  # no tables yet
+    old, new = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 31)
+    write_version(spark.createDataFrame([("k1", new), ("k2", old)], entry), f"{base}/entries")
+    write_version(spark.createDataFrame([("a", "k1"), ("b", "k2"), ("c", None), ("d", "gone")], point), f"{base}/points")
+    assert ev.clean_up(spark, base, now, entry, point) == (1, 2)
+    assert sorted(r["point_id"] for r in read_latest(spark, f"{base}/points", point).collect()) == ["a", "c"]
+    held = versions(spark, f"{base}/points"), versions(spark, f"{base}/entries")
+    assert ev.clean_up(spark, base, now, entry, point) == (0, 0)
+    assert (versions(spark, f"{base}/points"), versions(spark, f"{base}/entries")) == held == ([1, 2], [1, 2])
+    # a version whose writer died is not read, and its number is not taken again
+    broken = spark.createDataFrame([("z", None)], point)
+    broken.write.parquet(f"{base}/points/v000003")
+    (tmp_path / "points" / "v000003" / "_SUCCESS").unlink()
+    assert "z" not in {r["point_id"] for r in read_latest(spark, f"{base}/points", point).collect()}
+    assert write_version(broken, f"{base}/points").endswith("v000004")
+
+
+def test_sketches_are_near_exact_quantiles(spark):
+    rng = random.Random(2)
+    values = [rng.lognormvariate(3, 2) for _ in range(20_000)]
+    rows = [(BASE + dt.timedelta(minutes=i % 3000), "ab"[i % 3 == 0], v) for i, v in enumerate(values)] + [(BASE, "none", None)]
+    df = spark.createDataFrame(rows, "ts timestamp, status string, ms double")
+    found = ag.sketch_quantiles(ag.quantile_sketches(df, ["status"], "ms"), ["status"], (0.1, 0.5, 0.99)).collect()
+    assert {r["status"] for r in found} == {"a", "b"}
+    for r in found:
+        own = [v for _, s, v in rows if s == r["status"]]
+        assert r["n"] == len(own)
+        for q, got in ((0.1, r["p10"]), (0.5, r["p50"]), (0.99, r["p99"])):
+            assert abs(sum(v <= got for v in own) / len(own) - q) < 0.02
+
+
+def test_first_deltas_and_feedback(spark):
+    at = lambda s: BASE + dt.timedelta(seconds=s)
+    runs = spark.createDataFrame([(1, at(0)), (2, at(5)), (3, at(9))], "run_id long, started_at timestamp")
+    deltas = spark.createDataFrame([(1, at(3)), (1, at(2)), (2, at(1))], "run_id long, ts timestamp")
+    assert {r["run_id"]: r["first_delta_ms"] for r in ag.first_deltas(runs, deltas).collect()} == {1: 2000, 2: 0, 3: 0}
+    votes = [("m", True, "slow, wrong", "x"), ("m", False, "wrong,wrong", " "), ("m", None, None, None), (None, True, "", "y")]
+    out = ag.feedback_rollup(spark.createDataFrame(votes, "model string, is_positive boolean, reason_tags string, comment string"), ["model"])
+    got = {r["model"]: (r["votes"], r["positive_share"], r["comments"], r["tags"]) for r in out.collect()}
+    assert got == {"m": (3, 0.5, 1, {"slow": 1, "wrong": 2}), None: (1, 1.0, 1, {})}
