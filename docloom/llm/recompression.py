@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Kept, map_texts, mix, powers, runs, word_hashes
+from .common import Kept, map_texts, mix, powers, release, runs, split_by_sieve, word_hashes
 
 WINDOW = 13
 ROUNDS = 1
@@ -288,14 +288,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # equal texts are one class: its copies have no anchors of their own to compare
     rows = rows.withColumn("class", F.xxhash64("text")).withColumn("digest", F.md5("text"))
     found = _repeats(rows, ["class", "text"], _anchor_entries, 1, n_buckets, others_only=False)
-    classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("owner").alias("least"), F.min("class").alias("class"))
-    classes = classes.join(found.withColumnsRenamed({"owner": "class", "keys": "shared"}), "class", "left").drop("class")
-    facts = rows.drop("class").join(classes, "digest", "left")
+    classes = rows.filter("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("owner").alias("least"), F.max("owner").alias("most"), F.min("class").alias("class")
+    )
+    classes = classes.join(found.withColumnsRenamed({"owner": "class", "keys": "shared"}), "class", "left")
+    # only texts with a shared anchor or a copy have anything to learn; the others never leave their task
+    classes = kept(classes.filter("shared IS NOT NULL OR least <> most").select("digest", "least", "shared"))
+    release(docs.sparkSession)
+    open_, shut = split_by_sieve(rows.drop("class"), "digest", classes.select("digest"))
+    facts = open_.join(classes, "digest", "left").withColumn("copy", F.coalesce(F.col("owner") > F.col("least"), F.lit(False)))
+    facts = facts.select("doc_id", "owner", "text", "shared", "copy").unionByName(
+        shut.select("doc_id", "owner", "text", F.lit(None).cast("binary").alias("shared"), F.lit(False).alias("copy"))
+    )
     looked = kept(map_texts(
-        facts.withColumn("copy", F.coalesce(F.col("owner") > F.col("least"), F.lit(False))),
-        ["doc_id", "owner", "text", "shared", "copy"],
+        facts, ["doc_id", "owner", "text", "shared", "copy"],
         "doc_id long, owner long, n_words long, n_removed long, kept_sha256 string, text string, shared binary", _first_look,
     ))
+    release(docs.sparkSession)
     maybe = looked.filter("shared IS NOT NULL")
     gone = _repeats(maybe, ["owner", "text", "shared"], _window_entries, 2, n_buckets, others_only=True)
     cut = map_texts(
