@@ -110,8 +110,9 @@ def grow(sample: np.ndarray, depth: int, least: int) -> list[Tree]:
 def fit(classes: DataFrame, total: int, dim: int, trees: int) -> list[Tree]:
     """Trees for vectors of one dimension, ``trees`` or more, fitted on SAMPLE_VALUES numbers at most."""
     most = max(LEAST_SAMPLED, SAMPLE_VALUES // dim)
-    share = int(min(1.0, most / max(1, total)) * 1_000_000)
-    picked = classes.filter(F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1_000_000)) < share).select("key", "unit").limit(most)
+    # a hash decides, so reruns fit the same trees; about ``most`` classes pass, whatever the total
+    place = F.xxhash64("key", F.lit(SEED)).cast("double")
+    picked = classes.filter(place <= F.lit(min(1.0, most / max(1, total)) * 2.0**64 - 2.0**63)).select("key", "unit")
     rows = sorted((bytes(r["key"]), bytes(r["unit"])) for r in picked.collect())
     sample = np.frombuffer(b"".join(u for _, u in rows), np.float64).reshape(-1, dim)
     depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, total) / LEAF)))))
@@ -177,9 +178,10 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     other rows linked directly, component_id is the least vec_id reachable. A vector that is null,
     empty, zero or holds a null or non-finite component is linked with nothing; so are vectors of
     different lengths with one another. Equal vectors are one class: compared once, linked always.
-    Rows with a null or repeated vec_id are counted as links like others; a class's node is its
-    least vec_id (rows that have none at all are linked with their like only, component null and
-    kept). An empty table gives no rows. ``trees`` is the least number of trees; deep ones are more.
+    Rows with a null or repeated vec_id are counted as links like others. Links are between classes,
+    which have numbers of their own: rows that share a vec_id but not a vector keep their own links
+    and components, and a component is named by the least vec_id in it (null where none has one; its
+    rows are then kept). An empty table gives no rows. ``trees`` is the least number of trees; deep ones are more.
     """
     spark = table.sparkSession
     kept = Kept(spark, "forest")
@@ -199,10 +201,10 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
     rows = rows.mapInArrow(units, "vec_id long, unit binary, dim int, raw binary")
     rows = kept(rows.select("vec_id", "unit", "dim", F.unhex(F.md5("raw")).alias("key")))
     classes = rows.filter("key IS NOT NULL").groupBy("key").agg(
-        F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.min("unit").alias("unit"), F.min("dim").alias("dim")
+        F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.min("unit").alias("unit"), F.min("dim").alias("dim")
     )
-    # a repeated vec_id may name several vectors: they are one node to the graph, each with its own links
-    classes = kept(classes.withColumn("node", F.coalesce("node", F.lit(-(1 << 62)) + F.abs(F.xxhash64("key")) % (1 << 60))))
+    # numbered as it is written, so a class has one number from then on
+    classes = kept(classes.withColumn("node", F.monotonically_increasing_id()))
     found = edges = None
     for dim, total in sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         mine = classes.filter(F.col("dim") == dim)
@@ -224,11 +226,12 @@ def near_vectors(table: DataFrame, key: str = "vec_id", vector: str = "embedding
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = edges.groupBy("node").agg(F.sum("found").alias("found"))
     united = components(edges.select(F.col("node").alias("a"), F.col("other").alias("b")), kept)
-    facts = classes.join(found, "node", "left").join(united, "node", "left").select(
-        "key", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("c")
+    named = united.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("name"))
+    facts = classes.join(found, "node", "left").join(united, "node", "left").join(named, "component", "left").select(
+        "key", (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("name")).alias("c"),
     )
-    # nodes below any vec_id stand for rows without one
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).when(F.col("c") >= -(1 << 61), F.col("c"))
+    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("c"))
     joined = rows.select("vec_id", "key").join(facts, "key", "left")
     return joined.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"),

@@ -557,3 +557,28 @@ def test_token_files_short_access_and_wrong_dictionary(docs, empty, spark):
         token_files.lookup(other, spark, first["shard"], 0)
     nothing = token_files.write_store(empty, TOKENIZER)
     assert nothing.files.count() == token_files.read_store(nothing).count() == 0
+
+
+def test_vectors_without_or_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 0.01]), (None, [0.0, 1.0]), (2, [1.0, 0.02]), (None, [-1.0, 0.0]), (None, None), (3, None), (3, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("node", "key", "least", "component")})
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in forest.near_vectors(df).collect())
+    assert got == Counter([
+        (1, 3, 1, True), (1, 3, 1, True), (1, 1, 1, True), (None, 3, 1, False), (None, 1, 1, False), (2, 3, 1, False),
+        (None, 0, None, True), (None, 0, None, True), (3, 0, 3, True), (3, 0, 3, True),
+    ])
+
+
+def test_forest_samples_by_hash_alone(spark, monkeypatch):
+    """About as many vectors as asked for, and the same ones however the table is dealt out."""
+    monkeypatch.setattr(forest, "SAMPLE_VALUES", 400)
+    sizes, grow = [], forest.grow
+    monkeypatch.setattr(forest, "grow", lambda sample, *a: sizes.append(len(sample)) or grow(sample, *a))
+    draw = np.random.default_rng(4)
+    rows = [(hashlib.md5(bytes([i % 256, i // 256])).digest(), v.tobytes()) for i, v in enumerate(draw.normal(size=(4000, 4)))]
+    df = spark.createDataFrame(rows, "key binary, unit binary")
+    first, again = (forest.fit(df.repartition(n), 4000, 4, 3) for n in (2, 5))
+    assert 60 < sizes[0] == sizes[1] < 140
+    for a, b in zip(first, again, strict=True):
+        assert a.splits.keys() == b.splits.keys()
+        assert all(x[1] == y[1] and (x[0] == y[0]).all() for x, y in ((a.splits[k], b.splits[k]) for k in a.splits))
