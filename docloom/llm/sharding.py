@@ -3,9 +3,11 @@
 Linked documents (here: equal texts) should share a shard while shards stay even. The state of a
 round is how many documents of each group stand in each shard; members of a group in one shard
 are alike, so the state stays small however large a group is. Round by round each group's parts
-ask to move to the shard that holds most of the group, and shards accept as far as their quota
-lasts. The documents are then laid out shard by shard, groups in one stretch between
-unlinked documents, and cut at the exact quotas.
+ask to move to the shard that holds most of the group, and shards accept as far as their quota and
+what asks to leave them make room, so full shards swap. What is still split after the last round
+goes to the shard that holds most of it. The documents are then laid out shard by shard, each group
+in one stretch between unlinked documents, and cut at the exact quotas: whatever the labels, a
+border splits one group at most.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from .common import Kept
 
 N_SHARDS = 8
+#: Rounds of propagation at most; the layout makes whole what they leave split.
 MAX_ROUNDS = 10
 #: Requests to one shard are accepted in this many pseudorandom lots, so no shard's requests meet in one task.
 LOTS = 256
@@ -28,10 +31,11 @@ def _share(key: Column, n: int | Column) -> Column:
 
 
 def propagate(parts: DataFrame, total: int, n_shards: int, kept: Kept) -> DataFrame:
-    """Moves of (grp, shard, n) until no group is split that its shard has room for.
+    """(grp, shard, n) after moves that make groups whole, as far as shards have or free room.
 
-    Every move takes a part to the shard with most of its group, so the number of groups in one
-    piece never falls; rounds end when nothing moved.
+    Every move takes a part to the shard with most of its group, so groups only get less split;
+    rounds end when nothing moves. A shard that frees less than it was asked to is over its quota
+    for a round, and takes in nothing until it is below again.
     """
     quota = -(-total // n_shards)
     state = parts
@@ -45,7 +49,9 @@ def propagate(parts: DataFrame, total: int, n_shards: int, kept: Kept) -> DataFr
         lots = asks.groupBy("to", "class", "lot").agg(F.sum("n").alias("sum"))
         so_far = Window.partitionBy("to").orderBy("class", "lot").rowsBetween(Window.unboundedPreceding, -1)
         lots = lots.withColumn("before", F.coalesce(F.sum("sum").over(so_far), F.lit(0)))
-        lots = lots.join(F.broadcast(load.withColumnRenamed("shard", "to")), "to", "left")
+        leaving = asks.groupBy("shard").agg(F.sum("n").alias("leaving"))
+        load = load.join(leaving, "shard", "left").withColumn("load", F.col("load") - F.coalesce("leaving", F.lit(0)))
+        lots = lots.join(F.broadcast(load.select(F.col("shard").alias("to"), "load")), "to", "left")
         room = F.greatest(F.lit(0), quota - F.coalesce("load", F.lit(0)) - F.col("before"))
         # a lot that fits only in part is accepted in that proportion
         lots = lots.select("to", "class", "lot", F.least(F.lit(1.0), room / F.col("sum")).alias("part")).filter("part > 0")
@@ -68,7 +74,7 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     Law ``rows``: counts of any two shards differ by one at most. Size is the text's UTF-8 bytes
     plus 1. Documents with equal texts are linked, a null text with none (size 1, CRC32 of the
     empty text). A group goes into one shard; one that outgrows a shard fills whole shards, and at
-    most one group is split at each border between shards. slot counts from 0 within a shard.
+    most one group is split at each border between shards, also where all rows are linked. slot counts from 0 within a shard.
     Repeated rows are rows like others, null doc_ids come first. An empty table gives no rows.
     """
     kept = Kept(docs.sparkSession, "sharding")
@@ -82,21 +88,17 @@ def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
     size = parts.groupBy("grp").agg(F.sum("n").alias("members")).filter("members > 1")
     parts = kept(parts.join(size.select("grp"), "grp"))
     state = propagate(parts, total, n_shards, kept)
-    # a group's members take its shards in proportion, by their hash; what is left uneven, the layout evens out
-    ranges = state.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("held"), F.sum("n").alias("members"))
-    ends = F.transform(F.sequence(F.lit(1), F.size("held")), lambda i: F.aggregate(F.slice("held", 1, i), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
-    ranges = ranges.select("grp", "members", F.transform("held", lambda x: x["shard"]).alias("shards"), ends.alias("ends"))
-    placed = rows.join(ranges, "grp", "left")
-    at = _share(F.col("h"), F.greatest("members", F.lit(1)))
-    index = F.size(F.filter("ends", lambda e: e <= at)) + 1
+    most = F.struct("n", F.xxhash64("grp", "shard"))
+    homes = kept(state.groupBy("grp").agg(F.max_by("shard", most).alias("home"), F.sum("n").alias("members")))
+    placed = rows.join(homes, "grp", "left")
     linked = F.col("members").isNotNull()
-    load = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # n_shards rows
+    load = {r["shard"]: r["n"] for r in homes.groupBy(F.col("home").alias("shard")).agg(F.sum("members").alias("n")).collect()}  # n_shards rows
     room = [max(0, -(-total // n_shards) - load.get(t, 0)) for t in range(n_shards)]
     spot, label_alone, sum_room = _share(F.col("h"), max(1, sum(room))), F.lit(n_shards - 1), sum(room)
     for t in reversed(range(n_shards)):
         sum_room -= room[t]
         label_alone = F.when(spot < sum_room, label_alone).otherwise(t)
-    label = F.when(linked, F.get("shards", index - 1)).otherwise(label_alone)
+    label = F.when(linked, F.col("home")).otherwise(label_alone)
     # a bucket is a run of the layout: a large group has its own, cut by hash, small groups share
     n_buckets = 1 + total // BUCKET_ROWS
     shared = _share(F.xxhash64("grp"), n_buckets)
