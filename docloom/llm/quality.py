@@ -145,12 +145,14 @@ def learn(labelled: DataFrame) -> Model:
 def training_rows(docs: DataFrame, labels: DataFrame, usable: str) -> DataFrame:
     """(doc_id, text, quality) of at most about SAMPLE labelled rows that meet the condition ``usable``.
 
-    Labels decide the sample before any text is read; a doc_id with several labels has the least.
+    Labels decide the sample before any text is read; a doc_id with several labels has the least. A
+    quality other than 0 or 1 is no label.
     """
-    marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").filter(usable)
+    marks = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").filter(usable)
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, SAMPLE / max(1, marks.count()))
-    marks = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000))
+    # by hash, so reruns agree, and as a double, so no number of labels rounds the share to nothing
+    marks = marks.filter(F.xxhash64("doc_id", F.lit(SEED)).cast("double") <= F.lit(share * 2.0**64 - 2.0**63))
     kept = Kept(docs.sparkSession, "quality")
     return kept(docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id"))  # about SAMPLE rows of 16 bytes
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -582,3 +583,49 @@ def test_forest_samples_by_hash_alone(spark, monkeypatch):
     for a, b in zip(first, again, strict=True):
         assert a.splits.keys() == b.splits.keys()
         assert all(x[1] == y[1] and (x[0] == y[0]).all() for x, y in ((a.splits[k], b.splits[k]) for k in a.splits))
+
+
+@pytest.mark.parametrize("sizes, alone", [([100] * 16, 0), ([100] * 24, 0), ([20] * 200, 0), ([50] * 36, 200), ([50] * 20, 1000), ([900, *[3] * 400], 300), ([2] * 300, 3)])
+def test_shards_split_one_group_a_border(spark, sizes, alone):
+    """Tables of which all, 90 % or half the rows are linked: even counts, and groups whole but for borders."""
+    texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)] + [f"alone {i}" for i in range(alone)]
+    rows = list(enumerate(texts))
+    random.Random(1).shuffle(rows)
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    counts = Counter(r["shard"] for r in got)
+    assert len(got) == len(rows) and max(counts.values()) - min(counts.values()) <= 1 and len(counts) == 8
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    held = defaultdict(set)
+    text = dict(rows)
+    for r in got:
+        held[text[r["doc_id"]]].add(r["shard"])
+    per_shard = -(-len(rows) // 8)
+    # every border lies in one group at most; a group that outgrows a shard holds several borders
+    assert sum(len(s) - 1 for s in held.values()) <= 7
+    for g, n in enumerate(sizes):
+        assert len(held[f"group {g}"]) <= 2 + n // per_shard
+
+
+def test_labels_that_are_no_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 2), (3, -1), (4, None), (None, 1), (5, 1), (5, 0)], "doc_id long, quality int")
+    rows = quality.training_rows(docs, labels, "true").collect()
+    assert {(r["doc_id"], r["quality"]) for r in rows} == {(0, 0), (1, 1), (5, 0)}
+
+
+def test_scores_like_plain_loops(spark):
+    """The trained model's forward pass, feature by feature, in double precision."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["clean", "prose", "spam", "buy", "naïve", "x" * 40]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", None]
+    rows = [(i, t, int("spam" not in (t or ""))) for i, t in enumerate(texts)]
+    model = quality.learn(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
+    found, first = quality.features(pa.array(texts, pa.string()))
+    got = {r["doc_id"]: r["score"] for r in quality.score(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), model).collect()}
+    for i in range(len(texts)):
+        own = found[first[i] : first[i + 1]].tolist()
+        mean = [sum(float(model.table[f, k]) for f in own) / len(own) for k in range(model.table.shape[1])]
+        logit = [sum(mean[k] * float(model.output[k, c]) for k in range(len(mean))) + float(model.bias[c]) for c in (0, 1)]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(logit[0] - logit[1])), abs=1e-5)
