@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -222,9 +223,15 @@ def split_by_sieve(df: DataFrame, column: str, wanted: DataFrame) -> tuple[DataF
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of jobs that have ended, before the next large step needs the disk."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of jobs that have ended, before the next large step needs the disk.
+
+    Spark deletes them once the driver's garbage is collected; what the first round only finds, the
+    second frees. Deletion runs beside, so this waits a moment.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def components(edges: DataFrame, kept: Kept) -> DataFrame:
