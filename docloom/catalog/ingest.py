@@ -71,10 +71,12 @@ def _(spark, d):
     )
 
 
-_CANDIDATES = """SELECT doc_id, p.profile, 1 + n_chars // 60 AS pages, 0 AS file_size, CASE WHEN lang = 'es' THEN 'SLIDE_VISUAL' ELSE 'DIGITAL_BOOK' END AS start_profile,
-    CASE p.profile WHEN 'DIGITAL_BOOK' THEN CASE lang WHEN 'en' THEN text WHEN 'de' THEN repeat(chr(65533), n_chars::INT) || text ELSE '' END
-      WHEN 'SLIDE_VISUAL' THEN CASE WHEN n_chars > 2000 THEN text ELSE repeat('.', 12) END WHEN 'SCANNED' THEN CASE WHEN n_chars > 400 THEN text ELSE '' END ELSE text || text || text END AS text
-    FROM documents, (VALUES ('DIGITAL_BOOK'), ('SLIDE_VISUAL'), ('SCANNED'), ('RAW')) p(profile)"""
+#: Each document with its whole text in all four extractions, and beside two languages a second row whose extractions fail.
+_CANDIDATES = """SELECT v.doc_id, v.profile, 1 + n_chars // 60 AS pages, 0 AS file_size, CASE WHEN lang = 'es' THEN 'SLIDE_VISUAL' ELSE 'DIGITAL_BOOK' END AS start_profile, v.text FROM documents d, LATERAL (
+    SELECT d.doc_id, p.profile, CASE p.profile WHEN 'DIGITAL_BOOK' THEN CASE lang WHEN 'de' THEN repeat(chr(65533), n_chars::INT) || d.text ELSE d.text END
+      WHEN 'RAW' THEN d.text || d.text || d.text ELSE d.text END AS text FROM (VALUES ('DIGITAL_BOOK'), ('SLIDE_VISUAL'), ('SCANNED'), ('RAW')) p(profile)
+    UNION ALL SELECT -1 - d.doc_id, p.profile, CASE p.profile WHEN 'DIGITAL_BOOK' THEN '' WHEN 'SLIDE_VISUAL' THEN CASE WHEN n_chars > 2000 THEN 'A few words' ELSE '' END
+      WHEN 'SCANNED' THEN CASE lang WHEN 'fr' THEN d.text ELSE repeat(chr(65533), 90) END ELSE 'raw ' || d.text END FROM (VALUES ('DIGITAL_BOOK'), ('SLIDE_VISUAL'), ('SCANNED'), ('RAW')) p(profile) WHERE lang IN ('es', 'fr')) v"""
 
 
 @query("pip2_choose_extraction", f"""
@@ -88,17 +90,19 @@ _CANDIDATES = """SELECT doc_id, p.profile, 1 + n_chars // 60 AS pages, 0 AS file
     SELECT doc_id, CASE WHEN use_raw THEN 'RAW' ELSE p3 END AS profile, sha256(CASE WHEN use_raw THEN raw ELSE t END) AS text_hash,
       1 + (p2 <> p1)::INT + (p3 <> p2)::INT AS attempts, CASE WHEN use_raw THEN rok ELSE ok END AS accepted FROM s4""")
 def _(spark, d):
-    lang, n = F.col("lang"), F.col("n_chars")
-    book = F.when(lang == "en", F.col("text")).when(lang == "de", F.concat(F.repeat(F.lit("�"), n.cast("int")), "text")).otherwise("")
-    slide = F.when(n > 2000, F.col("text")).otherwise(F.lit("." * 12))
-    scan = F.when(n > 400, F.col("text")).otherwise("")
-    options = F.array(*[
-        F.struct(F.lit(p).alias("profile"), t.alias("text"))
-        for p, t in ((ql.BOOK, book), (ql.SLIDE, slide), (ql.SCAN, scan), ("RAW", F.concat("text", "text", "text")))
-    ])
+    lang, n, text, none = F.col("lang"), F.col("n_chars"), F.col("text"), F.lit("")
+    broken = F.concat(F.repeat(F.lit("�"), n.cast("int")), text)
+    own, extra = F.col("doc_id"), -1 - F.col("doc_id")
+    rows = [
+        (own, ql.BOOK, F.when(lang == "de", broken).otherwise(text)), (own, ql.SLIDE, text), (own, ql.SCAN, text),
+        (own, "RAW", F.concat(text, text, text)), (extra, ql.BOOK, none), (extra, ql.SLIDE, F.when(n > 2000, "A few words").otherwise(none)),
+        (extra, ql.SCAN, F.when(lang == "fr", text).otherwise(F.repeat(F.lit("�"), 90))), (extra, "RAW", F.concat(F.lit("raw "), text)),
+    ]
+    made = [F.struct(i.alias("document_id"), F.lit(p).alias("profile"), x.alias("text")) for i, p, x in rows]
+    made[4:] = [F.when(lang.isin("es", "fr"), m) for m in made[4:]]
     t = spread(load(spark, d, "documents"), "doc_id").select(
-        F.col("doc_id").alias("document_id"), (1 + F.floor(n / 60)).alias("pages"), F.lit(0).alias("file_size"),
-        F.when(lang == "es", ql.SLIDE).otherwise(ql.BOOK).alias("start_profile"), F.inline(options),
+        (1 + F.floor(n / 60)).alias("pages"), F.lit(0).alias("file_size"), F.when(lang == "es", ql.SLIDE).otherwise(ql.BOOK).alias("start_profile"),
+        F.inline(F.filter(F.array(*made), lambda r: r.isNotNull())),
     )
     return ql.choose_extraction(t).select(
         F.col("document_id").alias("doc_id"), "profile", F.sha2("text", 256).alias("text_hash"), "attempts", "accepted"

@@ -112,7 +112,12 @@ def _(spark, d):
     return spark.read.schema("event_id long, allowed boolean, reason string").parquet(f"{out}/batch=*")
 
 
-@query("stm3_key_limit_stream")
+@query("stm3_key_limit_stream", """
+    WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+    w AS (SELECT DISTINCT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, NULL::BIGINT AS at_us, false AS allowed, []::BIGINT[] AS acc FROM events
+      UNION ALL SELECT user_id, rn, event_id, at_us, allowed, CASE WHEN allowed THEN list_append(live, at_us) ELSE live END FROM (SELECT *, len(live) < 2 AS allowed FROM
+        (SELECT e.user_id, e.rn, e.event_id, e.us AS at_us, list_filter(acc, lambda x: x > e.us - 3600000000) AS live FROM w JOIN e ON e.user_id = w.user_id AND e.rn = w.rn + 1)))
+    SELECT event_id, at_us AS us, allowed FROM w WHERE event_id IS NOT NULL""")
 def _(spark, d):
     base = run_dir(spark)
     job = lm.limit_stream(_stream(spark, d, "events"), "user_id", 2, 3600).writeStream.format("parquet")

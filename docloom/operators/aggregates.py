@@ -167,13 +167,19 @@ def sample_pages(pages: DataFrame, doc: str = "document_id", limit: int = 15) ->
     """Every ``max(1, total // limit)``-th page, the first ``limit`` of them.
 
     ``page_no`` gives the order only and may have gaps; a page's position is its rank, counted
-    in runs of 1000 page numbers so that a document of any length spreads over tasks.
+    in runs of 1000 page numbers so that a document of any length spreads over tasks. Pages without
+    a document are one document's, those without a number stand last.
     """
-    totals = pages.groupBy(doc).agg(F.count("*").alias("total_pages"))
+    # a struct is never null, so rows without a document meet their totals in the joins below
+    key, columns = "_doc", pages.columns
+    pages = pages.withColumns({key: F.struct(doc), "_last": F.col("page_no").isNull().cast("int")})
+    totals = pages.groupBy(key).agg(F.count("*").alias("total_pages"))
     step = F.greatest(F.lit(1), F.floor(F.col("total_pages") / limit)).cast("int")
-    ranked = running_sum(pages.withColumn("_one", F.lit(1)), [doc], ["page_no"], "_one", "_rank", F.floor(F.col("page_no") / 1000))
+    run = F.coalesce(F.floor(F.col("page_no") / 1000), F.lit((1 << 63) - 1))
+    ranked = running_sum(pages.withColumn("_one", F.lit(1)), [key], ["_last", "page_no"], "_one", "_rank", run)
     pos = F.col("_rank") - 1
-    return ranked.join(totals, doc).filter((pos % step == 0) & (pos / step < limit)).drop("_one", "_rank")
+    sampled = ranked.join(totals, key).filter((pos % step == 0) & (pos / step < limit))
+    return sampled.select(*columns, "total_pages")
 
 
 def profile_documents(sampled: DataFrame, doc: str = "document_id") -> DataFrame:

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -220,18 +222,28 @@ def deep_search(
 def cluster(
     df: DataFrame, vec: str = "vector", k: int = 5, iters: int = 10, seed: int = 7, init: list | None = None
 ) -> DataFrame:
-    """K-means by Lloyd's rounds: squared distance, ties to the lowest index,
-    an empty cluster keeps its centroid. Adds ``cluster``.
+    """K-means by squared distance, ``iters`` rounds at most. Adds ``cluster``.
 
-    Only k centroids and k partial sums per task move; one scan per round.
+    A vector that is null, holds a null or has another length than the rest belongs to no cluster:
+    null. Without ``init`` Spark's own k-means finds the centres, from its seeded parallel start.
+    ``init`` gives them, for runs that must be repeated exactly: Lloyd's rounds, ties to the lowest
+    index, an empty cluster keeps its centroid; only k centroids and k sums per task move.
     """
+    whole = F.col(vec).isNotNull() & ~F.exists(F.col(vec), lambda x: x.isNull())
     if init is None:
-        rows = df.select(vec).orderBy(F.xxhash64(F.col(vec), F.lit(seed))).limit(k).collect()
-        init = [list(r[0]) for r in rows]
+        dim = df.filter(whole).agg(F.mode(F.size(vec))).first()[0]
+        fit = whole & (F.size(vec) == F.lit(dim))
+        if dim is None or k <= 1 or df.filter(fit).select(vec).distinct().limit(2).count() < 2:
+            return df.withColumn("cluster", F.when(fit, F.lit(0)))
+        parts = df.withColumn("_v", array_to_vector(F.when(fit, F.transform(vec, lambda x: x.cast("double")))))
+        centres = KMeans(featuresCol="_v", predictionCol="cluster", k=k, maxIter=iters, seed=seed).fit(parts.filter(fit).select("_v"))
+        known = centres.transform(parts.filter(fit)).drop("_v")
+        return known.unionByName(parts.filter(~F.coalesce(fit, F.lit(False))).drop("_v").withColumn("cluster", F.lit(None).cast("int")))
     cents = np.array([np.asarray(c, dtype=float) for c in init])
+    fit = whole & (F.size(vec) == cents.shape[1])
     if len(cents) <= 1:
-        return df.withColumn("cluster", F.lit(0))
-    vectors = df.select(vec)
+        return df.withColumn("cluster", F.when(fit, F.lit(0)))
+    vectors = df.filter(fit).select(vec)
 
     def nearest(m: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.stack([((m - row) ** 2).sum(axis=1) for row in c], axis=1).argmin(axis=1)
@@ -265,9 +277,12 @@ def cluster(
 
     @F.pandas_udf("int")
     def assign(s: pd.Series) -> pd.Series:
-        return pd.Series(nearest(_matrix(s), final).astype(np.int32)) if len(s) else pd.Series([], dtype="int32")
+        out, held = pd.Series([None] * len(s), dtype="Int32"), s.notna().to_numpy()
+        if held.any():
+            out[held] = nearest(_matrix(s[held]), final).astype(np.int32)
+        return out
 
-    return df.withColumn("cluster", assign(F.col(vec)))
+    return df.withColumn("cluster", assign(F.when(fit, F.col(vec))))
 
 
 def cache_lookup(queries: DataFrame, cache: DataFrame, now: Column, min_score: float = 0.92) -> DataFrame:

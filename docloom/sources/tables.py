@@ -104,13 +104,20 @@ _NAMED = {n[:-1]: v for n, v in html.entities.html5.items() if n.endswith(";")}
 
 def _decode_entities(c: Column) -> Column:
     """All named, decimal and hexadecimal entities, each decoded once; unknown names stay."""
-    named = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+    # by first character, for a map is searched from its front
+    tables: dict[str, dict[str, str]] = {}
+    for name, value in _NAMED.items():
+        tables.setdefault(name[0], {})[name] = value
+    named = F.from_json(F.lit(json.dumps(tables)), "map<string,map<string,string>>")
+
+    def known_as(name: Column) -> Column:
+        return F.try_element_at(F.try_element_at(named, F.substring(name, 1, 1)), name)
 
     def char(name: Column) -> Column:
         digits = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 8), 16, 10)).otherwise(F.substring(name, 2, 9))
         code = digits.try_cast("long")
         wrong = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
-        known = F.coalesce(F.try_element_at(named, F.concat(F.lit("#"), code.cast("string"))), F.try_element_at(named, name))
+        known = known_as(F.when(F.startswith(name, F.lit("#")), F.concat(F.lit("#"), code.cast("string"))).otherwise(name))
         number = F.when(wrong, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
         return F.coalesce(known, F.when(F.startswith(name, F.lit("#")), number), F.concat(F.lit("&"), name, F.lit(";")))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docloom.functions import chunking as ck
 from docloom.functions import text as tx
 from docloom.functions.embedding import HashingEmbedder, adjacent_similarity
-from docloom.operators import dedup, skew, vectors as vc, windows as wn
+from docloom.operators import aggregates as ag, dedup, skew, vectors as vc, windows as wn
 from docloom.plans import ingest as ing
 from docloom.streaming import events as ev, limits as lm
 
@@ -324,3 +324,21 @@ def test_deque_trim():
     w = deque([1, 5, 9])
     lm._trim(w, 5)
     assert list(w) == [9]
+
+
+def test_clusters_leave_broken_vectors_out(spark):
+    rows = [(0, [0.0, 0.0]), (1, [0.1, 0.0]), (2, [9.0, 9.0]), (3, [9.1, 9.0]), (4, None), (5, [None, 1.0]), (6, [1.0]), (7, [])]
+    df = spark.createDataFrame(rows, "id long, vector array<double>")
+    for init in ([[0.0, 0.0], [9.0, 9.0]], None):
+        got = {r["id"]: r["cluster"] for r in vc.cluster(df, "vector", 2, init=init).collect()}
+        assert len(got) == 8 and got[0] == got[1] != got[2] == got[3]
+        assert {got[i] for i in (0, 2)} == {0, 1} and {got[i] for i in (4, 5, 6, 7)} == {None}
+    assert {r["cluster"] for r in vc.cluster(df.filter("id IN (0, 4)"), "vector", 3).collect()} == {0, None}
+    assert vc.cluster(df.limit(0), "vector").count() == 0
+
+
+def test_pages_without_document_or_number(spark):
+    rows = [(None, i) for i in range(40)] + [("d", None), ("d", 7), ("d", 3)]
+    got = ag.sample_pages(spark.createDataFrame(rows, "document_id string, page_no long")).collect()
+    assert sorted(r["page_no"] for r in got if r["document_id"] is None) == list(range(0, 30, 2))
+    assert {(r["page_no"], r["total_pages"]) for r in got if r["document_id"] == "d"} == {(None, 3), (3, 3), (7, 3)}
