@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..operators.graph import components
+from ..session import shared_dir
 from ..sources.tables import remove
 
 MICROS = 1_000_000
@@ -163,6 +164,9 @@ def upload_limits(
         risky = busy_parts(rows, key, seconds).filter(F.col("most") > limit)
         name = F.concat_ws("#", F.lit(key), F.col(key).cast("string"), "part")
         rows = rows.join(risky.select(key, "_block", name.alias(node)), [key, "_block"], "left")
+    # read three times from here on: for the links, for the folds and for what is free
+    shared_dir(events.sparkSession)
+    rows = rows.checkpoint()
     links = rows.filter("_user IS NOT NULL AND _project IS NOT NULL").select(F.col("_user").alias("a"), F.col("_project").alias("b"))
     rows = rows.withColumn("_node", F.coalesce("_user", "_project"))
     groups = components(links).select(F.col("node").alias("_node"), F.col("component").alias("_group"))
