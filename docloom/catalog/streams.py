@@ -22,8 +22,8 @@ def _utc(spark, d) -> DataFrame:
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """One table as a stream of files."""
-    return spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    """One table as a stream of files, be it one file or a folder of them: a stream takes a single file only as a pattern."""
+    return spark.readStream.schema(SCHEMAS[name]).parquet(f"{d}/{name}.parque[t]")
 
 
 _ENVELOPE = "value BETWEEN 0 AND 100 AND event_type <> 'signup'"

@@ -3,10 +3,13 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from docloom.catalog import QUERIES
 from docloom.plans.registry import Stages
 from docloom.session import shared_dir
+from docloom.sources.tables import load
 from docloom.streaming import events as ev, limits as lm
 
 SCHEMA = "event_id long, ts timestamp, user_id long, status string, value double"
@@ -110,3 +113,11 @@ def test_stages_can_be_replaced(spark):
 
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert shared_dir(spark) == shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+@pytest.mark.parametrize("name", ["stm10_incremental_ingest", "stm7_drop_repeats_stream"])
+def test_streams_read_tables_in_folders(spark, sf, tmp_path, name):
+    for table in ("documents", "events"):
+        load(spark, sf, table).repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    rows = lambda d: sorted(tuple(r) for r in QUERIES[name](spark, d).collect())
+    assert rows(str(tmp_path)) == rows(sf) != []
