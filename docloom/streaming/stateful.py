@@ -1,14 +1,15 @@
 """Keyed state machines on streams: snapshots, idempotency, chat limits, active runs.
 
 Decisions that depend on the ones before must see events in time order, while files arrive in any
-order. ``InOrder`` holds a key's marks until the watermark has passed them and then folds them in
-order, so a stream decides exactly as its batch twin does on the same events; what is later than the
-watermark is dropped by Spark. Timers run in event time: they fold what is due, and free what a
+order. ``InOrder`` holds the marks of a bucket of keys until the watermark has passed them and then
+folds each key's in order, so a stream decides exactly as its batch twin does on the same events;
+what is later than the watermark is dropped by Spark. Timers run in event time: they fold what is due, and free what a
 key's state no longer needs. State lives in Spark's RocksDB store, so it may outgrow memory.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -46,13 +47,12 @@ def watched(events: DataFrame, ts: str, watermark: str) -> DataFrame:
 
 
 class Fold:
-    """What ``InOrder`` needs of a state machine; ``state`` is a tuple of ``state_schema`` or None."""
+    """What ``InOrder`` needs of a state machine; ``state`` is a tuple of plain values or None."""
 
-    #: Columns of a mark: ``us`` first, then what orders marks of the same instant.
-    mark_schema: str
-    #: How many leading columns of a mark give the order.
+    #: Columns of a row that ``marks`` reads.
+    columns: list[str]
+    #: A mark is a tuple: ``us`` first, then what orders marks of the same instant. So many give the order.
     ordered: int
-    state_schema: str
 
     def marks(self, row: Row) -> Iterable[tuple]:
         raise NotImplementedError
@@ -71,69 +71,94 @@ def _place(mark: tuple, n: int) -> tuple:
 
 
 class InOrder(StatefulProcessor):
-    """Runs a ``Fold`` over each key's marks in order, as the watermark passes them."""
+    """Runs a ``Fold`` over each key's marks in order, as the watermark passes them.
 
-    def __init__(self, fold: Fold):
-        self.fold = fold
+    Spark's group is a bucket of keys: every call to the state store, and every value in it, is costly
+    to hand to the JVM, so the marks of all its keys are stored pickled, as one value a batch, and so
+    are the states by key. The first ``width`` columns of a row are its key, and a mark's too.
+    """
+
+    def __init__(self, fold: Fold, width: int):
+        self.fold, self.width = fold, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.fold.mark_schema)
-        self.state = handle.getValueState("state", self.fold.state_schema)
+        self.waiting = handle.getListState("waiting", "marks binary")
+        self.state = handle.getValueState("state", "states binary")
 
     def wake(self, us: int) -> None:
         self.handle.registerTimer(-(-us // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        marks = [m for row in rows for m in self.fold.marks(row)]
+        n = self.width
+        marks = [(*row[:n], *m) for row in rows for m in self.fold.marks(row)]
         if marks:
-            self.waiting.appendList(marks)
-            self.wake(min(m[0] for m in marks))
+            self.waiting.appendValue((pickle.dumps(marks),))
+            self.wake(min(m[n] for m in marks))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs() * 1000
-        marks = list(self.waiting.get())
-        due = [m for m in marks if m[0] <= now]
-        later = [m for m in marks if m[0] > now]
-        state, out = self.state.get(), []
-        for mark in sorted(due, key=lambda m: _place(m, self.fold.ordered)):
-            state, row = self.fold.step(key, state, mark)
-            if row is not None:
-                out.append(row)
+        n, now = self.width, timerValues.getCurrentWatermarkInMs() * 1000
+        due: dict[tuple, list[tuple]] = {}
+        later = []
+        for mark in (m for part in self.waiting.get() for m in pickle.loads(part[0])):
+            if mark[n] <= now:
+                due.setdefault(mark[:n], []).append(mark[n:])
+            else:
+                later.append(mark)
+        held = self.state.get()
+        states = pickle.loads(held[0]) if held is not None else {}
+        out = []
+        for own, marks in due.items():
+            state = states.get(own)
+            for mark in sorted(marks, key=lambda m: _place(m, self.fold.ordered)):
+                state, row = self.fold.step(own, state, mark)
+                if row is not None:
+                    out.append(row)
+            states[own] = state
         if due:
             if later:
-                self.waiting.put(later)
-                self.wake(min(m[0] for m in later))
+                self.waiting.put([(pickle.dumps(later),)])
+                self.wake(min(m[n] for m in later))
             else:
                 self.waiting.clear()
-        again = None
-        if state is not None:
-            state, again = self.fold.tidy(state, now)
-        if state is None:
-            self.state.clear()
-        else:
-            self.state.update(state)
+        kept, again = {}, None
+        for own, state in states.items():
+            state, end = self.fold.tidy(state, now) if state is not None else (None, None)
+            if state is not None:
+                kept[own] = state
+                if end is not None:
+                    again = end if again is None else min(again, end)
+        if kept:
+            self.state.update((pickle.dumps(kept),))
             if again is not None:
                 self.wake(max(again, now + 1000))
+        elif states:
+            self.state.clear()
         return iter(out)
 
     def close(self) -> None:
         pass
 
 
-def in_order(events: DataFrame, key: list[str], fold: Fold, schema: str | T.StructType) -> DataFrame:
-    return events.groupBy(*key).transformWithState(InOrder(fold), schema, "append", "EventTime")
+#: Buckets of keys in a stream; a query that goes on from a checkpoint keeps its number.
+BUCKETS = 2048
+
+
+def in_order(events: DataFrame, key: list[str], fold: Fold, schema: str | T.StructType, buckets: int = BUCKETS) -> DataFrame:
+    """``fold`` over the marks of each ``key`` in order; ``events`` come from ``watched``."""
+    own = [F.col(k).alias(f"_key{i}") for i, k in enumerate(key)]
+    # the watermark's column has to stay; every other one costs time for each row
+    keyed = events.select(*own, *fold.columns, "ts", F.pmod(F.xxhash64(*key), F.lit(buckets)).alias("_bucket"))
+    return keyed.groupBy("_bucket").transformWithState(InOrder(fold, len(key)), schema, "append", "EventTime")
 
 
 class ChatLimits(Fold):
     """Three limits of a user at once; only accepted runs count. Leases end by themselves."""
 
-    mark_schema, ordered = "us long, event_id {kind}, ends long", 2
-    state_schema = "leases array<long>, accepted array<long>"
+    columns, ordered = ["us", "event_id", "ends"], 2
 
-    def __init__(self, kind: str, concurrent: int, minute: int, day: int):
-        self.mark_schema = self.mark_schema.format(kind=kind)
+    def __init__(self, concurrent: int, minute: int, day: int):
         self.limits = concurrent, minute, day
 
     def marks(self, row):
@@ -168,18 +193,16 @@ def chat_limit_stream(
     ends = F.col("us") + (F.least("duration_s", F.lit(float(lease))) * MICROS).cast("long")
     kind = runs.schema["event_id"].dataType.simpleString()
     timed = watched(runs, "ts", watermark).withColumn("ends", F.coalesce(ends, F.col("us") + lease * MICROS))
-    fold = ChatLimits(kind, concurrent, minute, day)
+    fold = ChatLimits(concurrent, minute, day)
     return in_order(timed, ["user_id"], fold, f"event_id {kind}, us long, allowed boolean, reason string")
 
 
 class Requests(Fold):
     """The first request of a client's key decides what the repeats get, until the key rests for a while."""
 
-    ordered = 2
-    state_schema = "payload_hash string, status string, used long"
+    columns, ordered = ["us", "request_id", "payload_hash", "status"], 2
 
-    def __init__(self, kind: str, ttl: int):
-        self.mark_schema = f"us long, request_id {kind}, payload_hash string, status string"
+    def __init__(self, ttl: int):
         self.ttl = ttl * MICROS
 
     def marks(self, row):
@@ -214,7 +237,7 @@ def idempotent_stream(requests: DataFrame, ttl: int = 86_400, watermark: str = "
     kind = requests.schema["request_id"].dataType.simpleString()
     timed = watched(requests, "ts", watermark)
     keyed = timed.filter(F.col("client_request_id").isNotNull())
-    judged = in_order(keyed, ["user_id", "client_request_id"], Requests(kind, ttl), f"request_id {kind}, us long, decision string")
+    judged = in_order(keyed, ["user_id", "client_request_id"], Requests(ttl), f"request_id {kind}, us long, decision string")
     free = timed.filter(F.col("client_request_id").isNull()).select("request_id", "us", F.lit("new").alias("decision"))
     return judged.unionByName(free)
 
@@ -222,12 +245,7 @@ def idempotent_stream(requests: DataFrame, ttl: int = 86_400, watermark: str = "
 class Active(Fold):
     """Runs of a user that hold a lease: one more at a start, one less at an end."""
 
-    ordered = 3
-    state_schema = "active long"
-
-    def __init__(self, user: str, run: str):
-        self.mark_schema = f"us long, step int, run_id {run}"
-        self.user = user
+    columns, ordered = ["us", "ends", "run_id"], 3
 
     def marks(self, row):
         return [(row.us, 1, row.run_id), (row.ends, -1, row.run_id)]
@@ -250,7 +268,7 @@ def active_run_stream(runs: DataFrame, lease: int = fv.RUN_LEASE_SECONDS, waterm
     ends = F.col("us") + (F.least("duration_s", F.lit(float(lease))) * MICROS).cast("long")
     timed = watched(runs, "ts", watermark).withColumn("ends", F.coalesce(ends, F.col("us") + lease * MICROS))
     schema = f"user_id {user}, run_id {run}, at_us long, step int, active long"
-    return in_order(timed, ["user_id"], Active(user, run), schema)
+    return in_order(timed, ["user_id"], Active(), schema)
 
 
 class Sustained(StatefulProcessor):

@@ -5,7 +5,7 @@ import random
 from collections import Counter, deque
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from docloom.operators import aggregates as ag
 from docloom.operators.graph import components
@@ -345,3 +345,77 @@ def test_first_deltas_and_feedback(spark):
     out = ag.feedback_rollup(spark.createDataFrame(votes, "model string, is_positive boolean, reason_tags string, comment string"), ["model"])
     got = {r["model"]: (r["votes"], r["positive_share"], r["comments"], r["tags"]) for r in out.collect()}
     assert got == {"m": (3, 0.5, 1, {"slow": 1, "wrong": 2}), None: (1, 1.0, 1, {})}
+
+
+class Store:
+    """A bucket's state, and how often it is called."""
+
+    def __init__(self):
+        self.calls, self.lists, self.values, self.timers = 0, [], None, []
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        return Value(self)
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def appendValue(self, value):
+        self.calls += 1
+        self.lists.append(value)
+
+    def put(self, values):
+        self.calls += 1
+        self.lists = list(values)
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.lists))
+
+    def clear(self):
+        self.calls += 1
+        self.lists = []
+
+
+class Value:
+    def __init__(self, store):
+        self.store = store
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.values
+
+    def update(self, value):
+        self.store.calls += 1
+        self.store.values = value
+
+    def clear(self):
+        self.store.calls += 1
+        self.store.values = None
+
+
+class Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+@pytest.mark.parametrize("keys", [3, 3000])
+def test_state_is_called_by_bucket_and_not_by_key(keys):
+    """Each key has a run from 1 to 5 seconds and one that is still to come; a null key is a key too."""
+    store, machine = Store(), st.InOrder(st.Active(), 1)
+    machine.init(store)
+    row = Row("_key0", "us", "ends", "run_id")
+    names = [None, *range(keys - 1)]
+    for us in (1_000_000, 60_000_000):
+        list(machine.handleInputRows((0,), iter([row(k, us, us + 4_000_000, f"{k}-{us}") for k in names]), Clock(0)))
+    out = list(machine.handleExpiredTimer((0,), Clock(3000), None))
+    assert [(r.user_id, r.step, r.active) for r in out] == [(k, 1, 1) for k in names]
+    out = list(machine.handleExpiredTimer((0,), Clock(6000), None))
+    assert [(r.user_id, r.step, r.active) for r in out] == [(k, -1, 0) for k in names]
+    assert store.values is None and min(store.timers[-1:]) == 60_000
+    assert store.calls < 12
