@@ -27,7 +27,7 @@ from .skew import attach
 
 MAX_BROADCAST_QUERIES = 10_000
 MAX_BROADCAST_HITS = 1_000_000
-MAX_CELLS = 4_000_000
+MAX_CELLS = 1_000_000
 BLOCK_ROWS = 50_000
 DIGITS = 6
 
@@ -53,21 +53,30 @@ def _best(pdf: pd.DataFrame, qdf: pd.DataFrame, same: str | None, k: int, min_sc
         q_norms, q_ids = np.sqrt((q * q).sum(axis=1)), ask["query_id"].to_numpy()
         step = max(1, MAX_CELLS // len(q))
         for start in range(0, len(part), step):
-            rows = part.iloc[start : start + step]
+            rows = part.iloc[start : start + step].sort_values("id", kind="stable")
             ids, m = rows["id"].to_numpy(), _matrix(rows["vector"])
             bottom = np.outer(np.sqrt((m * m).sum(axis=1)), q_norms)
             scores = np.round(np.where(bottom == 0, 0.0, (m @ q.T) / np.where(bottom == 0, 1.0, bottom)), DIGITS)
             floor = np.full(len(q), min_score)
             if len(rows) > k:
                 floor = np.maximum(floor, np.partition(scores, len(rows) - k, axis=0)[len(rows) - k])
-            r, c = np.nonzero(scores >= floor)
+            # of rows tied at the cut the smallest ids, so that copies never make more than k hits
+            above, tied = scores > floor, scores == floor
+            room = np.maximum(k - above.sum(axis=0), 0)
+            r, c = np.nonzero(above | (tied & (np.cumsum(tied, axis=0, dtype=np.int32) <= room)))
             hits = pd.DataFrame({"query_id": q_ids[c], "id": ids[r], "score": scores[r, c]})
-            # rows tied at the cut are decided by id
-            hits = hits.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-            found.append(hits.groupby("query_id", sort=False).head(k))
+            found.append(_cut(hits, k))
+            if sum(map(len, found)) > max(MAX_CELLS, 2 * k * len(qdf)):
+                found = [_cut(pd.concat(found, ignore_index=True), k)]
     return pd.concat(found, ignore_index=True)
 
 
+def _cut(hits: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best hits per query, ties to the smaller id."""
+    hits = hits.sort_values(["score", "id"], ascending=[False, True], kind="stable")
+    return hits.groupby("query_id", sort=False).head(k)
+
+
 def _hit_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
     return T.StructType([
         T.StructField("query_id", queries.schema["query_id"].dataType),

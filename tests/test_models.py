@@ -3,15 +3,17 @@
 import datetime as dt
 import random
 import re
+import tracemalloc
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import chunking as ck
 from docloom.functions import text as tx
-from docloom.functions.embedding import HashingEmbedder, adjacent_similarity
+from docloom.functions.embedding import PART_BYTES, HashingEmbedder, adjacent_similarity, embed
 from docloom.operators import aggregates as ag, dedup, skew, vectors as vc, windows as wn
 from docloom.plans import ingest as ing
 from docloom.streaming import events as ev, limits as lm
@@ -342,3 +344,24 @@ def test_pages_without_document_or_number(spark):
     got = ag.sample_pages(spark.createDataFrame(rows, "document_id string, page_no long")).collect()
     assert sorted(r["page_no"] for r in got if r["document_id"] is None) == list(range(0, 30, 2))
     assert {(r["page_no"], r["total_pages"]) for r in got if r["document_id"] == "d"} == {(None, 3), (3, 3), (7, 3)}
+
+
+def test_embedding_holds_parts_of_long_texts(spark):
+    """Every text's vector is the size of the part it was embedded with."""
+    texts = spark.range(0, 3000, numPartitions=1).select("id", F.repeat(F.lit("ab c "), 1000).alias("text"))
+    texts = texts.unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("id"), F.repeat(F.lit("x"), 3_000_000).alias("text")))
+    sizes = lambda part: np.full((len(part), 1), float(sum(map(len, part))))
+    found = {r["id"]: r["v"][0] for r in texts.select("id", embed(F.col("text"), sizes).alias("v")).collect()}
+    assert len(found) == 3001 and found.pop(-1) == 3_000_000 and max(found.values()) <= PART_BYTES
+
+
+def test_copies_at_the_cut_make_no_more_hits_than_k():
+    rows = pd.DataFrame({"id": np.arange(40_000)[::-1], "vector": [np.ones(4)] * 40_000})
+    asked = pd.DataFrame({"query_id": np.arange(100), "vector": [np.ones(4)] * 100})
+    tracemalloc.start()
+    found = vc._best(rows, asked, None, 2, 0.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    best = found.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(2)
+    assert best["id"].tolist() == [0, 1] * 100 and set(best["score"]) == {1.0}
+    assert peak < 100e6
