@@ -44,8 +44,8 @@ SHARD_BYTES = 64 << 20
 #: The dictionary's size, and its sample: so many texts of at most so many characters.
 DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS = 64 << 10, 1000, 8192
 LEVEL = 3
-#: Units kept in a worker with their ids, and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 1 << 20, 64
+#: Units kept in a worker with their ids, about 200 bytes each, and the longest of them.
+CACHE_UNITS, CACHE_CHARS = 1 << 18, 64
 
 
 class Encoder:
@@ -106,7 +106,7 @@ class Encoder:
         ids = self.first.get(head)
         if ids is None:
             ids = np.array(self.tokenizer.encode(head, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
-            if len(head) <= CACHE_CHARS and len(self.first) < CACHE_UNITS:
+            if len(head) <= CACHE_CHARS and len(self.first) < CACHE_UNITS // 4:
                 self.first[head] = ids
         return ids
 

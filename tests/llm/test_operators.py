@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -629,3 +630,11 @@ def test_scores_like_plain_loops(spark):
         mean = [sum(float(model.table[f, k]) for f in own) / len(own) for k in range(model.table.shape[1])]
         logit = [sum(mean[k] * float(model.output[k, c]) for k in range(len(mean))) + float(model.bias[c]) for c in (0, 1)]
         assert got[i] == pytest.approx(1 / (1 + math.exp(logit[0] - logit[1])), abs=1e-5)
+
+
+def test_token_caches_stay_small():
+    own = token_files.Encoder(TOKENIZER)
+    for start in range(0, 500_000, 20_000):
+        own.encode([" ".join([f"w{i}", *(f"x{n}" for n in range(i, i + 20))]) for i in range(start, start + 20_000, 20)])
+    held = sum(sys.getsizeof(c) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in c.items()) for c in (own.inner, own.first))
+    assert held < 50e6
