@@ -20,10 +20,12 @@ from pyspark.sql import types as T
 
 from ..functions import fixed_values as fv
 from ..operators.graph import components
-from ..session import shared_dir
+from ..session import run_dir, shared_dir
 from ..sources.tables import remove
 
 MICROS = 1_000_000
+#: Uploads of one linked group that a task folds at a time.
+SLICE_ROWS = 1 << 18
 
 
 def with_micros(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -144,7 +146,8 @@ def upload_limits(
     Only busy periods that could exceed their limit if all uploads were accepted need a decision in
     order. Each is a node; an upload that falls into one of its user and one of its project links the
     two. A connected component of such periods is folded as one, by itself: what happens outside it
-    cannot change its decisions, so hot groups that share nothing run in tasks of their own. All
+    cannot change its decisions, so hot groups that share nothing run in tasks of their own. A group
+    of more than ``SLICE_ROWS`` uploads is folded slice by slice of its time (``_fold_slices``). All
     other uploads are allowed without a fold.
     """
     span = seconds * MICROS
@@ -171,8 +174,29 @@ def upload_limits(
     rows = rows.withColumn("_node", F.coalesce("_user", "_project"))
     groups = components(links).select(F.col("node").alias("_node"), F.col("component").alias("_group"))
     rows = rows.join(groups, "_node", "left").withColumn("_group", F.coalesce("_group", "_node")).drop("_block", "_user", "_project", "_node")
-    folded = rows.filter(F.col("_group").isNotNull()).repartition("_group").sortWithinPartitions("_group", "us", "event_id")
-    schema = T.StructType([rows.schema["event"], rows.schema["stands"], T.StructField("reason", T.StringType())])
+    # so few: each holds SLICE_ROWS rows
+    large = rows.filter(F.col("_group").isNotNull()).groupBy("_group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SLICE_ROWS)
+    sizes = large.agg(F.count(F.lit(1)), F.max("n")).first()
+    limits = (user_limit, project_limit, span)
+    if not sizes[0]:
+        judged = _fold_uploads(rows.filter(F.col("_group").isNotNull()), *limits)
+    else:
+        n = -(-sizes[1] // SLICE_ROWS)
+        at = F.percentile_approx("us", [i / n for i in range(1, n)], 20 * n).alias("_cuts")
+        cuts = F.broadcast(rows.join(F.broadcast(large), "_group", "left_semi").groupBy("_group").agg(at).checkpoint())
+        sliced = rows.join(cuts, "_group").withColumn("_slice", F.size(F.filter("_cuts", lambda x: x < F.col("us")))).drop("_cuts")
+        small = rows.filter(F.col("_group").isNotNull()).join(cuts, "_group", "left_anti")
+        judged = _fold_uploads(small, *limits).unionByName(_fold_slices(sliced, cuts, n, *limits))
+    judged = judged.select("event", "stands", "reason")
+    free = rows.filter(F.col("_group").isNull()).select("event", "stands", F.lit("").alias("reason"))
+    out = judged.unionByName(free).filter(~F.col("stands"))
+    return out.select("event.*", (F.col("reason") == "").alias("allowed"), "reason")
+
+
+def _fold_uploads(rows: DataFrame, user_limit: int, project_limit: int, span: int) -> DataFrame:
+    """Adds ``reason``: each _group decided in order of (us, event_id), by one task."""
+    ordered = rows.repartition("_group").sortWithinPartitions("_group", "us", "event_id")
+    schema = T.StructType([*rows.schema.fields, T.StructField("reason", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, {}
@@ -183,13 +207,35 @@ def upload_limits(
                     current, state = group, {}
                 user, project, us, stands = upload
                 reasons.append(upload_decide(state, user, project, us, user_limit, project_limit, span, stands))
-            columns = [batch.column("event"), batch.column("stands"), pa.array(reasons, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.fieldNames())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reasons, pa.string())], names=schema.fieldNames())
 
-    judged = folded.mapInArrow(run, schema)
-    free = rows.filter(F.col("_group").isNull()).select("event", "stands", F.lit("").alias("reason"))
-    out = judged.unionByName(free).filter(~F.col("stands"))
-    return out.select("event.*", (F.col("reason") == "").alias("allowed"), "reason")
+    return ordered.mapInArrow(run, schema)
+
+
+def _fold_slices(rows: DataFrame, cuts: DataFrame, n: int, user_limit: int, project_limit: int, span: int) -> DataFrame:
+    """``_fold_uploads`` for large groups, one slice of time after the other.
+
+    A slice starts from the accepted uploads before it that are still in a window, which is all that
+    a fold remembers. A task holds one slice of a group, and every row is written and read once.
+    Uploads of one microsecond are never parted. ``cuts``: _group and _cuts, the last microsecond of each slice but the last.
+    """
+    spark, base = rows.sparkSession, run_dir(rows.sparkSession)
+    rows.repartition("_group", "_slice").write.partitionBy("_slice").parquet(f"{base}/rows")
+    kept = spark.read.schema(rows.schema).parquet(f"{base}/rows")
+    columns = [c for c in rows.columns if c != "_slice"]
+    schema = T.StructType([*(rows.schema[c] for c in columns), T.StructField("reason", T.StringType())])
+    live = None
+    for k in range(n):
+        part = kept.filter(F.col("_slice") == k).select(*columns)
+        if live is not None:
+            part = part.unionByName(live)
+        _fold_uploads(part, user_limit, project_limit, span).write.parquet(f"{base}/judged/part={k}")
+        done = spark.read.schema(schema).parquet(f"{base}/judged/part={k}").filter("reason = ''").join(cuts, "_group")
+        # the event itself has been given out and is left behind
+        live = done.filter(F.col("us") > F.try_element_at("_cuts", F.lit(k + 1)) - span).withColumns(
+            {"event": F.lit(None).cast(rows.schema["event"].dataType), "stands": F.lit(True)}
+        ).select(*columns)
+    return spark.read.schema(schema).parquet(*[f"{base}/judged/part={k}" for k in range(n)])
 
 
 def limit_uploads(

@@ -98,6 +98,23 @@ def test_upload_limits_like_a_fold(spark, seed):
     assert got == want and {"user", "project", ""} == set(want.values())
 
 
+def test_upload_limits_of_a_large_group_go_slice_by_slice(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SLICE_ROWS", 60)
+    rows = sorted(uploads(5, 300, 2), key=lambda r: (r[1], r[0]))
+    want = fold_uploads(rows, 3, 8, 60)
+    df = spark.createDataFrame(rows, UPLOADS)
+    parts = []
+    fold = lm._fold_uploads
+    monkeypatch.setattr(lm, "_fold_uploads", lambda part, *a: parts.append(part.filter("NOT stands").groupBy("_group").count()) or fold(part, *a))
+    got = lm.upload_limits(df, 3, 8, 60).collect()
+    assert len(got) == len(rows) and {r["event_id"]: r["reason"] for r in got} == want
+    assert len(parts) > 3 and max(r["count"] for p in parts for r in p.collect()) < 100
+    early, late = rows[:80], rows[80:]
+    accepted = spark.createDataFrame([r for r in early if want[r[0]] == ""], UPLOADS)
+    got = lm.upload_limits(spark.createDataFrame(late, UPLOADS), 3, 8, 60, accepted).collect()
+    assert len(got) == len(late) and {r["event_id"]: r["reason"] for r in got} == {r[0]: want[r[0]] for r in late}
+
+
 def test_upload_limits_go_on_from_accepted(spark):
     rows = sorted(uploads(3), key=lambda r: (r[1], r[0]))
     want = fold_uploads(rows, 3, 8, 60)
