@@ -44,8 +44,12 @@ SHARD_BYTES = 64 << 20
 #: The dictionary's size, and its sample: so many texts of at most so many characters.
 DICTIONARY_BYTES, SAMPLE_TEXTS, SAMPLE_CHARS = 64 << 10, 1000, 8192
 LEVEL = 3
-#: Units kept in a worker with their ids, about 200 bytes each, and the longest of them.
-CACHE_UNITS, CACHE_CHARS = 1 << 18, 64
+#: Units kept in a worker with their ids, about 130 bytes each, and the longest of them. They are held in two halves: a
+#: full younger half becomes the older one, whose units are dropped unless they come again until the next time.
+CACHE_UNITS, CACHE_CHARS = 1 << 20, 64
+#: Bytes that mark, by hash, units met once: as many come only once, a unit is held when it is met again,
+#: but for the first quarter of those held.
+MARKS = 1 << 22
 
 
 class Encoder:
@@ -67,7 +71,9 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a byte is one character of a byte-level token
             self.bytes_of[i] = len(token)
-        self.inner: dict[str, bytes] = {}
+        self.inner: dict[str | None, bytes] = {None: b""}
+        self.older: dict[str | None, bytes] = {}
+        self.met, self.n_met = bytearray(MARKS), 0
         self.first: dict[str, bytes] = {}
         self.marks = {m: np.array(self.tokenizer.encode(m).ids, f"<u{self.width}").tobytes() for m in ".,"}
 
@@ -81,25 +87,48 @@ class Encoder:
 
     def learn(self, units: list[str]) -> dict[str, bytes]:
         """Ids of new units, in one call."""
+        if not units:
+            return {}
         whole = [u if u[0] == "\n" else " " + u for u in units]
-        ids = self.tokenizer.encode("".join(whole), add_special_tokens=False).ids
+        # a batch of one text: this call leaves out the places in the text, which nothing here needs
+        ids = self.tokenizer.encode_batch_fast(["".join(whole)], add_special_tokens=False)[0].ids
         return dict(zip(units, self.split([u.encode() for u in whole], ids)))
 
-    def resolve(self, unseen: set[str]) -> dict[str, bytes]:
-        """Ids of units not held; short ones are held from then on.
+    def resolve(self, unseen: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of units that the younger half does not hold: of those that the older one holds, and of new ones.
 
         A stop or comma after a letter is a pre-token of its own, so such a unit is its stem's ids and the mark's.
         """
-        stems = {u: u[:-1] for u in unseen if u[-1] in self.marks and u[-2:-1] <= "ÿ" and u[-2:-1].isalpha() and starts_unit(u[:-1])}
-        known = {s: self.inner[s] for s in stems.values() if s in self.inner}
-        fresh = self.learn(sorted((unseen | set(stems.values())) - stems.keys() - known.keys()))
-        known |= fresh
+        again = {u: self.older[u] for u in unseen & self.older.keys()}
+        rest = unseen - again.keys()
+        stems = {u: u[:-1] for u in rest if u[-1] in self.marks and u[-2:-1] <= "ÿ" and u[-2:-1].isalpha() and starts_unit(u[:-1])}
+        rest -= stems.keys()
+        known = {}
+        for stem in stems.values():
+            ids = again.get(stem) or self.inner.get(stem) or self.older.get(stem)
+            if ids is None:
+                rest.add(stem)
+            else:
+                known[stem] = ids
+        new = self.learn(list(rest))
         for unit, stem in stems.items():  # no stem ends in a mark, so each is known by now
-            fresh[unit] = known[stem] + self.marks[unit[-1]]
-        self.inner.update((u, x) for u, x in fresh.items() if len(u) <= CACHE_CHARS)
-        if len(self.inner) > CACHE_UNITS:
-            shrink(self.inner, CACHE_UNITS // 2)
-        return fresh
+            new[unit] = (known.get(stem) or new[stem]) + self.marks[unit[-1]]
+        return again, new
+
+    def forget(self, new: dict[str, bytes]) -> None:
+        """Take long units out again and, once the cache has filled, those met for the first time, which leave a mark."""
+        full = len(self.inner) + len(self.older) - len(new) > CACHE_UNITS // 4
+        for unit in new:
+            if len(unit) > CACHE_CHARS:
+                del self.inner[unit]
+            elif full and not self.met[place := hash(unit) % MARKS]:
+                self.met[place] = 1
+                self.n_met += 1
+                del self.inner[unit]
+        if self.n_met > MARKS // 2:
+            self.met, self.n_met = bytearray(MARKS), 0
+        if len(self.inner) > CACHE_UNITS // 2:
+            self.older, self.inner = self.inner, {None: b""}
 
     def begin(self, head: str) -> bytes:
         """Ids of a text's first unit, which has no space before it."""
@@ -113,31 +142,24 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Serialised ids of each text; null is empty."""
         parts = [(text or "").replace("\n", " \n").split(" ") for text in texts]
-        found = [list(map(self.inner.get, p)) for p in parts]
-        unseen = set()
-        for i, (units, ids) in enumerate(zip(parts, found)):
-            ids[0] = b""
-            if None in ids:
-                new = [u for u, x in zip(units, ids) if x is None]
-                if not all(map(starts_unit, new)):
-                    parts[i] = units = glued(units)
-                    found[i] = ids = [b"", *map(self.inner.get, units[1:])]
-                    new = [u for u, x in zip(units, ids) if x is None]
-                unseen.update(new)
-        fresh = self.resolve(unseen) if unseen else {}
-        return [
-            self.begin(units[0]) + b"".join([fresh[u] if x is None else x for u, x in zip(units, ids)] if None in ids else ids)
-            for units, ids in zip(parts, found)
-        ]
-
-
-def shrink(known: dict[str, bytes], size: int) -> None:
-    """Keep about ``size`` units, the shortest: words that come often are short."""
-    lengths = np.sort(np.fromiter(map(len, known), np.int64, len(known)))
-    longest = lengths[size] - 1
-    kept = {u: x for u, x in known.items() if len(u) <= longest}
-    known.clear()
-    known.update(kept)
+        heads = [p[0] for p in parts]
+        for p in parts:
+            p[0] = None
+        unseen = set().union(*parts) - self.inner.keys()
+        inside = {u for u in unseen if not starts_unit(u)}
+        if inside:
+            unseen -= inside
+            for i, p in enumerate(parts):
+                if not inside.isdisjoint(p):
+                    heads[i], *units = glued([heads[i], *p[1:]])
+                    parts[i] = units
+                    unseen.update(set(units) - self.inner.keys())
+        again, new = self.resolve(unseen)
+        self.inner |= again
+        self.inner |= new
+        out = [self.begin(head) + b"".join(map(self.inner.__getitem__, p)) for head, p in zip(heads, parts)]
+        self.forget(new)
+        return out
 
 
 def starts_unit(part: str) -> bool:

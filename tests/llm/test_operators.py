@@ -638,3 +638,18 @@ def test_token_caches_stay_small():
         own.encode([" ".join([f"w{i}", *(f"x{n}" for n in range(i, i + 20))]) for i in range(start, start + 20_000, 20)])
     held = sum(sys.getsizeof(c) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in c.items()) for c in (own.inner, own.first))
     assert held < 50e6
+
+
+def test_token_units_met_once_are_not_held_and_frequent_ones_stay(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_UNITS", 400)
+    own = token_files.Encoder(TOKENIZER)
+    learned = Counter()
+    learn = own.learn
+    own.learn = lambda units: learned.update(units) or learn(units)
+    texts = [" ".join(["Often", "often", "common.", *(f"once{i}x{n}" for n in range(20)), *(f"twice{i // 2}y{n}" for n in range(20))]) for i in range(100)]
+    plain = own.tokenizer.encode_batch(texts, add_special_tokens=False)
+    for text, ids in zip(texts, plain):
+        assert np.frombuffer(own.encode([text])[0], f"<u{own.width}").tolist() == ids.ids
+    assert learned["often"] <= 3 and learned["common"] <= 3
+    held = own.inner.keys() | own.older.keys()
+    assert not any(u and u.startswith("once99") for u in held) and len(held) <= 450
