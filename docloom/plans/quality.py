@@ -10,6 +10,8 @@ from ..functions.text import let, strip
 
 BOOK, SLIDE, SCAN = "DIGITAL_BOOK", "SLIDE_VISUAL", "SCANNED"
 MB = 1024 * 1024
+#: Runs of ASCII characters that are valid.
+PLAIN = r"[ -~\n]+"
 FACTS = ["total_chars", "text_density", "valid_char_ratio", "replacement_ratio", "size_to_text_ratio"]
 
 
@@ -23,18 +25,21 @@ def _by_profile(profile: Column, book, slide, scan, other) -> Column:
 def assess(text: Column, pages: Column, size: Column, profile: Column) -> Column:
     """All quality facts of one text as a struct.
 
-    Bad characters are counted by removing them, which costs nothing on clean
-    text. Every step is bound once, so a filter on one of the facts repeats
+    Bad characters are counted by removing them from what is left without plain ASCII,
+    which is mostly little and drops out in whole runs. Every step is bound once, so a filter on one of the facts repeats
     the work once at most, not once per mention.
     """
-    def counts(clean: Column) -> Column:
-        n = F.length(clean)
+    def counts(both: Column) -> Column:
+        rest, n = both["rest"], F.length(both["rest"])
         return F.struct(
-            n.alias("chars"),
-            (n - F.length(F.regexp_replace(clean, f"[^{VALID_CHARS}]+", ""))).alias("invalid"),
-            (n - F.length(F.replace(clean, F.lit("\ufffd"), F.lit("")))).alias("repl"),
+            F.length(both["clean"]).alias("chars"),
+            (n - F.length(F.regexp_replace(rest, f"[^{VALID_CHARS}]+", ""))).alias("invalid"),
+            (n - F.length(F.replace(rest, F.lit("\ufffd"), F.lit("")))).alias("repl"),
         )
 
+    def parted(clean: Column) -> Column:
+        return F.struct(clean.alias("clean"), F.regexp_replace(clean, PLAIN, "").alias("rest"))
+
     def ratios(c: Column) -> Column:
         chars, some = c["chars"], F.greatest(F.lit(1), c["chars"])
         return F.struct(
@@ -89,7 +94,7 @@ def assess(text: Column, pages: Column, size: Column, profile: Column) -> Column
         return let(F.struct(score(r).alias("score"), directive(r).alias("action")), full)
 
     clean = strip(F.coalesce(text, F.lit("")))
-    return let(clean, lambda t: let(counts(t), lambda c: let(ratios(c), verdict)))
+    return let(clean, lambda t: let(parted(t), lambda b: let(counts(b), lambda c: let(ratios(c), verdict))))
 
 
 def quality(
@@ -110,7 +115,7 @@ def choose_extraction(candidates: DataFrame) -> DataFrame:
     accepted text ends the walk; a book may escalate to slides, slides to a
     full scan; broken encoding takes the raw text when it is longer.
     """
-    graded = quality(candidates).withColumn("stripped", F.length(strip(F.coalesce("text", F.lit("")))))
+    graded = quality(candidates).withColumnRenamed("total_chars", "stripped")  # the length without white space at both ends
     graded = graded.withColumn("chars", F.length(F.coalesce("text", F.lit(""))))
     facts = F.struct("profile", "action", "is_acceptable", "chars", "stripped")
     # at most four rows per document, and no text among them
