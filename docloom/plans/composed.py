@@ -2,7 +2,8 @@
 
 Each stage writes its rows once, under ``<base>/<stage>/batch=<id>``. A ledger says which are done:
 a run that is repeated after a failure reads those and goes on with the first that is not, so a
-replayed batch changes nothing. What earlier batches stored (document hashes, chunk owners and how
+replayed batch changes nothing. A chunk's content is stored by the stage that cuts it and, behind
+title and summary, by ``enrich``; the others hold its place and hash. What earlier batches stored (document hashes, chunk owners and how
 their embedding went) is read back from the same folders.
 """
 
@@ -25,6 +26,10 @@ from .ingest import chunk_records, embed_chunks, enrich, gate, link, reconcile
 from .upkeep import MAX_TRIES
 
 ENTRY = "stage string, action string, at double, error string, schema string"
+#: Bytes of a row group, the least that a task reads, so that also a small batch is shared out to all cores.
+ROW_GROUP = 8 << 20
+#: Where a chunk stands, and its hash.
+PLACE = ["document_id", "chunk_index", "chunk_hash"]
 #: What the next batches need of the earlier ones.
 INTAKE = "document_id {key}, project_id string, content_hash string, action string, stored_id {key}"
 CHUNKS = "chunk_hash string, document_id {key}, embed_status string"
@@ -70,7 +75,8 @@ class Ledger:
             try:
                 rows = build()
                 schema = rows.schema
-                rows.write.mode("overwrite").parquet(self.path(stage))
+                written = rows.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP)
+                written.parquet(self.path(stage))
             except Exception as error:
                 self.note(stage, "failed", str(error)[:1000])
                 raise
@@ -126,9 +132,16 @@ def ingest_batch(
     taken = book.run("intake", lambda: intake(docs.select(*columns), book.earlier("intake", INTAKE.format(key=kind))))
     gated = book.run("gate", lambda: gate(taken.filter("action = 'create'").select(*columns)))
     pieces = book.run("chunk", lambda: chunk_records(gated, F.when(F.col("is_acceptable"), cut(F.col("text")))))
-    owned = book.run("dedup", lambda: dedup_chunks(pieces, known().select("chunk_hash", "document_id")))
-    rich = book.run("enrich", lambda: enrich(dedupe(owned.filter("is_new"), "chunk_hash", ["chunk_index"]), gated))
-    embedded = book.run("embed", lambda: embed_chunks(rich, fn))
+    owned = book.run("dedup", lambda: dedup_chunks(pieces.select(*PLACE), known().select("chunk_hash", "document_id")))
+
+    def enriched_chunks() -> DataFrame:
+        fresh = dedupe(owned.filter("is_new").select(*PLACE), "chunk_hash", ["chunk_index"])
+        # the enriched text ends with the content, which is kept only where there is none
+        missing = F.coalesce("enriched_content", F.lit("")) == ""
+        return enrich(fresh, gated, pieces).withColumn("content", F.when(missing, F.col("content")))
+
+    rich = book.run("enrich", enriched_chunks)
+    embedded = book.run("embed", lambda: embed_chunks(rich, fn).drop("content", "enriched_content"))
     links = book.run("link", lambda: link(owned, docs.sparkSession.createDataFrame([], f"document_id {kind}, chunk_id string")))
 
     def verdict() -> DataFrame:

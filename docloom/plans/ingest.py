@@ -14,7 +14,7 @@ from ..functions import fixed_values as fv
 from ..functions.embedding import Embedder, adjacent_similarity, embed
 from ..functions.numbers import chunk_fingerprint, content_hash, embedding_fingerprint, token_count
 from ..functions.text import enriched, placeholder_summary, sanitize
-from ..operators.dedup import dedup_chunks, insert_if_absent
+from ..operators.dedup import dedup_chunks, dedupe, insert_if_absent
 from .quality import quality
 
 MODEL = "text-embedding-3-small"
@@ -64,12 +64,19 @@ def chunk_records(docs: DataFrame, chunks: Column) -> DataFrame:
     })
 
 
-def enrich(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Title and summary of its document in front of every new chunk."""
+def enrich(chunks: DataFrame, docs: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """Title and summary of its document in front of every new chunk.
+
+    ``contents``: document_id, chunk_index, chunk_hash and content, for ``chunks`` that have no content of their own.
+    These meet their documents first, so that the contents are shuffled once.
+    """
     heads = docs.select(
         "document_id", F.col("file_name").alias("_title"), placeholder_summary(F.col("text")).alias("_summary")
     )
     joined = chunks.join(heads, "document_id")
+    if contents is not None:
+        place = ["document_id", "chunk_index", "chunk_hash"]
+        joined = joined.join(dedupe(contents.select(*place, "content"), place, ["chunk_index"]), place)
     return joined.withColumn(
         "enriched_content", enriched(F.col("_title"), F.col("_summary"), F.col("content"))
     ).drop("_title", "_summary")
