@@ -331,10 +331,11 @@ def _(spark, d):
     SELECT project_id, count(*) AS documents, count(*) FILTER (outcome <> 'CACHED') AS stored, count(*) FILTER (outcome = 'QUARANTINED') AS refused, sum(expected)::BIGINT AS chunks, sum(links)::BIGINT AS links
     FROM ({COMPOSED}) GROUP BY 1""")
 def _(spark, d):
-    # four files, in no order of ids, so repeats of a text come in other batches than the text
-    base = run_dir(spark)
-    load(spark, d, "documents").repartition(4, "doc_id").write.parquet(f"{base}/in")
-    files = spark.readStream.schema(SCHEMAS["documents"]).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    # four batches, in no order of ids, so repeats of a text come in other batches than the text; all cores write and read
+    base, files_each = run_dir(spark), max(1, spark.sparkContext.defaultParallelism // 4)
+    cut = load(spark, d, "documents").repartition(4 * files_each, "doc_id")
+    cut.write.option("parquet.block.size", cp.ROW_GROUP).parquet(f"{base}/in")
+    files = spark.readStream.schema(SCHEMAS["documents"]).option("maxFilesPerTrigger", files_each).parquet(f"{base}/in")
     cp.ingest_stream(intake_rows(files), f"{base}/out", f"{base}/ckpt", fn=refusing_embedder).awaitTermination()
     return cp.verdicts(spark, f"{base}/out").groupBy("project_id").agg(
         F.count("*").alias("documents"), F.count_if(F.col("outcome") != "CACHED").alias("stored"),

@@ -185,7 +185,7 @@ def search_paragraphs(text: Column, name: Column, usable: Column, fallback: Colu
 def page_marker(c: Column) -> Column:
     """Page number named by a marker in the text, else null."""
     groups = [F.nullif(F.regexp_extract(c, PAGE_MARKER, g), F.lit("")) for g in (1, 2, 3)]
-    return F.coalesce(*groups).try_cast("int")
+    return F.when(F.rlike(c, F.lit(PAGE_MARKER)), F.coalesce(*groups).try_cast("int"))
 
 
 def explode_pieces(df: DataFrame, cols: list[str], pieces: Column, index: str, name: str) -> DataFrame:

@@ -23,6 +23,18 @@ SIM_DIGITS = 9
 PART_BYTES = 1 << 20
 
 
+class _Hashes(dict):
+    """Hashes of words, each computed once while it is held."""
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        return found
+
+
+#: One per worker process: a batch that is refused is embedded again text by text.
+HASHES = _Hashes()
+
+
 class HashingEmbedder:
     """Counts of lower-cased words by hash bucket."""
 
@@ -31,14 +43,11 @@ class HashingEmbedder:
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
-        buckets: dict[str, int] = {}
         for row, text in enumerate(texts):
-            for word in text.lower().split():
-                if word not in buckets:
-                    if len(buckets) > 100_000:
-                        buckets.clear()
-                    buckets[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
-                out[row, buckets[word]] += 1.0
+            hashes = list(map(HASHES.__getitem__, text.lower().split()))
+            out[row] = np.bincount(np.array(hashes, np.int64) % self.dim, minlength=self.dim)
+            if len(HASHES) > 100_000:
+                HASHES.clear()
         return out
 
 
