@@ -65,9 +65,9 @@ class Kept:
 
 
 def map_texts(
-    df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.RecordBatch], dict[str, object]]
+    df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.RecordBatch], dict[str, object]], size: int = CHUNK_BYTES
 ) -> DataFrame:
-    """``mapInArrow`` over runs of whole rows whose ``text`` is about CHUNK_BYTES long.
+    """``mapInArrow`` over runs of whole rows whose ``text`` is about ``size`` bytes long.
 
     Long texts are never cut, but a run holds no more rows than fit, so a task's memory is
     bounded by the chunk or the longest single text. ``fn`` gives the output columns.
@@ -79,7 +79,7 @@ def map_texts(
 
         out = to_arrow_schema(target)
         for batch in batches:
-            for part in runs(batch):
+            for part in runs(batch, size):
                 found = fn(part)
                 yield pa.RecordBatch.from_arrays(
                     [found[f.name] if isinstance(found[f.name], pa.Array) else pa.array(found[f.name], f.type) for f in out],
@@ -89,13 +89,13 @@ def map_texts(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch, each of about CHUNK_BYTES of text or of one row."""
+def runs(batch: pa.RecordBatch, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch, each of about ``size`` bytes of text or of one row."""
     sizes = pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False)
     ends, start = np.cumsum(sizes), 0
     while start < len(sizes):
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + CHUNK_BYTES, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -50,6 +50,8 @@ CACHE_UNITS, CACHE_CHARS = 1 << 20, 64
 #: Bytes that mark, by hash, units met once: as many come only once, a unit is held when it is met again,
 #: but for the first quarter of those held.
 MARKS = 1 << 22
+#: Bytes of text encoded in one go: of its distinct units, each is looked up once among all that are held.
+RUN_BYTES = 4 << 20
 
 
 class Encoder:
@@ -100,7 +102,7 @@ class Encoder:
         A stop or comma after a letter is a pre-token of its own, so such a unit is its stem's ids and the mark's.
         """
         again = {u: self.older[u] for u in unseen & self.older.keys()}
-        rest = unseen - again.keys()
+        rest = unseen.difference(again)
         stems = {u: u[:-1] for u in rest if u[-1] in self.marks and u[-2:-1] <= "ÿ" and u[-2:-1].isalpha() and starts_unit(u[:-1])}
         rest -= stems.keys()
         known = {}
@@ -115,16 +117,18 @@ class Encoder:
             new[unit] = (known.get(stem) or new[stem]) + self.marks[unit[-1]]
         return again, new
 
-    def forget(self, new: dict[str, bytes]) -> None:
-        """Take long units out again and, once the cache has filled, those met for the first time, which leave a mark."""
-        full = len(self.inner) + len(self.older) - len(new) > CACHE_UNITS // 4
-        for unit in new:
+    def hold(self, again: dict[str, bytes], new: dict[str, bytes]) -> None:
+        """Keep units, but not long ones nor, once the cache has filled, those met for the first time, which leave a mark."""
+        full = len(self.inner) + len(again) + len(self.older) > CACHE_UNITS // 4
+        self.inner |= again
+        for unit, ids in new.items():
             if len(unit) > CACHE_CHARS:
-                del self.inner[unit]
-            elif full and not self.met[place := hash(unit) % MARKS]:
+                continue
+            if full and not self.met[place := hash(unit) % MARKS]:
                 self.met[place] = 1
                 self.n_met += 1
-                del self.inner[unit]
+            else:
+                self.inner[unit] = ids
         if self.n_met > MARKS // 2:
             self.met, self.n_met = bytearray(MARKS), 0
         if len(self.inner) > CACHE_UNITS // 2:
@@ -145,20 +149,25 @@ class Encoder:
         heads = [p[0] for p in parts]
         for p in parts:
             p[0] = None
-        unseen = set().union(*parts) - self.inner.keys()
-        inside = {u for u in unseen if not starts_unit(u)}
+        # a batch's own units are few, so they are looked up once among all that are held, and then among themselves
+        held = self.inner.get
+        found = {u: held(u) for u in set().union(*parts)}
+        unseen = {u for u, ids in found.items() if ids is None}
+        inside = {u for u in unseen if not u[:1].isalpha() and not starts_unit(u)}
         if inside:
             unseen -= inside
             for i, p in enumerate(parts):
                 if not inside.isdisjoint(p):
                     heads[i], *units = glued([heads[i], *p[1:]])
                     parts[i] = units
-                    unseen.update(set(units) - self.inner.keys())
+                    more = {u: held(u) for u in set(units).difference(found)}
+                    unseen.update(u for u, ids in more.items() if ids is None)
+                    found |= more
         again, new = self.resolve(unseen)
-        self.inner |= again
-        self.inner |= new
-        out = [self.begin(head) + b"".join(map(self.inner.__getitem__, p)) for head, p in zip(heads, parts)]
-        self.forget(new)
+        found |= again
+        found |= new
+        out = [self.begin(head) + b"".join(map(found.__getitem__, p)) for head, p in zip(heads, parts)]
+        self.hold(again, new)
         return out
 
 
@@ -282,7 +291,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, shard_bytes: int =
 
     shards, shard = shard_of(docs, size, shard_bytes)
     schema = "shard int, doc_id long, width int, n long, frame binary"
-    framed = map_texts(docs.withColumn("shard", shard), ["shard", "doc_id", "text"], schema, encode)
+    framed = map_texts(docs.withColumn("shard", shard), ["shard", "doc_id", "text"], schema, encode, RUN_BYTES)
     placed = framed.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "n", "frame")
     manifest = Kept(spark, "token-manifest")(placed.mapInArrow(write, "shard int, file string, documents long, ids long, bytes long"))
     # one row a shard, so far fewer than documents: numbers only

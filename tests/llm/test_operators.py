@@ -6,6 +6,7 @@ import math
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -653,3 +654,18 @@ def test_token_units_met_once_are_not_held_and_frequent_ones_stay(monkeypatch):
     assert learned["often"] <= 3 and learned["common"] <= 3
     held = own.inner.keys() | own.older.keys()
     assert not any(u and u.startswith("once99") for u in held) and len(held) <= 450
+
+
+def test_a_call_costs_its_own_units_not_those_held():
+    """F op13: each batch, and each text with a part that starts no unit, went through all units that were held."""
+    own = token_files.Encoder(TOKENIZER)
+
+    def seconds():
+        start = time.process_time()
+        for i in range(60):
+            own.encode([f"a new{i} word{i}", f"double  space{i}"])
+        return time.process_time() - start
+
+    empty = seconds()
+    own.inner |= {f"held{i}": b"xx" for i in range(500_000)}
+    assert seconds() < 10 * empty + 0.2
