@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -52,6 +53,11 @@ CACHE_UNITS, CACHE_CHARS = 1 << 20, 64
 MARKS = 1 << 22
 #: Bytes of text encoded in one go: of its distinct units, each is looked up once among all that are held.
 RUN_BYTES = 4 << 20
+#: New units that the tokenizer sees as one text.
+LINE_UNITS = 64
+#: By byte: ASCII letters and digits, and the other visible ASCII characters.
+WORD = np.array([chr(i).isalnum() and i < 0x80 for i in range(256)])
+MARK = np.array([0x21 <= i <= 0x7E for i in range(256)]) & ~WORD
 
 
 class Encoder:
@@ -60,7 +66,8 @@ class Encoder:
     A unit begins at a space or line end that a letter or visible mark follows: byte-level
     pre-tokens end before such a place, white space before it stays with the unit before, and no
     merge crosses pre-tokens, so units can be encoded on their own or among others. A unit is held
-    without its space; a line end is part of it. A text's first unit has neither and is kept apart.
+    without its space; a line end is part of it. A text's first unit has neither and is kept apart, and so
+    is a mark that ends a unit after a letter or digit: it is a pre-token of its own.
     """
 
     def __init__(self, path: str):
@@ -73,11 +80,15 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():  # a byte is one character of a byte-level token
             self.bytes_of[i] = len(token)
-        self.inner: dict[str | None, bytes] = {None: b""}
-        self.older: dict[str | None, bytes] = {}
+        self.inner: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.met, self.n_met = bytearray(MARKS), 0
         self.first: dict[str, bytes] = {}
-        self.marks = {m: np.array(self.tokenizer.encode(m).ids, f"<u{self.width}").tobytes() for m in ".,"}
+        #: Ids of a mark by its byte; the others are not asked for, and 0 is empty.
+        self.marks = [self.serial(self.tokenizer.encode(chr(i) if MARK[i] else "", add_special_tokens=False).ids) for i in range(128)]
+
+    def serial(self, ids: list[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
 
     def split(self, units: list[bytes], ids: list[int]) -> list[bytes]:
         """Serialised ids of each unit, given those of all units in a row."""
@@ -92,30 +103,15 @@ class Encoder:
         if not units:
             return {}
         whole = [u if u[0] == "\n" else " " + u for u in units]
-        # a batch of one text: this call leaves out the places in the text, which nothing here needs
-        ids = self.tokenizer.encode_batch_fast(["".join(whole)], add_special_tokens=False)[0].ids
+        # short runs of units stay in the processor's caches; this call leaves out the places in the text
+        lines = ["".join(whole[i : i + LINE_UNITS]) for i in range(0, len(whole), LINE_UNITS)]
+        ids = [i for line in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in line.ids]
         return dict(zip(units, self.split([u.encode() for u in whole], ids)))
 
-    def resolve(self, unseen: set[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
-        """Ids of units that the younger half does not hold: of those that the older one holds, and of new ones.
-
-        A stop or comma after a letter is a pre-token of its own, so such a unit is its stem's ids and the mark's.
-        """
-        again = {u: self.older[u] for u in unseen & self.older.keys()}
-        rest = unseen.difference(again)
-        stems = {u: u[:-1] for u in rest if u[-1] in self.marks and u[-2:-1] <= "ÿ" and u[-2:-1].isalpha() and starts_unit(u[:-1])}
-        rest -= stems.keys()
-        known = {}
-        for stem in stems.values():
-            ids = again.get(stem) or self.inner.get(stem) or self.older.get(stem)
-            if ids is None:
-                rest.add(stem)
-            else:
-                known[stem] = ids
-        new = self.learn(list(rest))
-        for unit, stem in stems.items():  # no stem ends in a mark, so each is known by now
-            new[unit] = (known.get(stem) or new[stem]) + self.marks[unit[-1]]
-        return again, new
+    def resolve(self, unseen: list[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """Ids of units that the younger half does not hold: of those that the older one holds, and of new ones."""
+        again = {u: self.older[u] for u in unseen if u in self.older}
+        return again, self.learn([u for u in unseen if u not in again])
 
     def hold(self, again: dict[str, bytes], new: dict[str, bytes]) -> None:
         """Keep units, but not long ones nor, once the cache has filled, those met for the first time, which leave a mark."""
@@ -132,65 +128,102 @@ class Encoder:
         if self.n_met > MARKS // 2:
             self.met, self.n_met = bytearray(MARKS), 0
         if len(self.inner) > CACHE_UNITS // 2:
-            self.older, self.inner = self.inner, {None: b""}
+            self.older, self.inner = self.inner, {}
 
     def begin(self, head: str) -> bytes:
         """Ids of a text's first unit, which has no space before it."""
         ids = self.first.get(head)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(head, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+            ids = self.serial(self.tokenizer.encode(head, add_special_tokens=False).ids)
             if len(head) <= CACHE_CHARS and len(self.first) < CACHE_UNITS // 4:
                 self.first[head] = ids
         return ids
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
         """Serialised ids of each text; null is empty."""
-        parts = [(text or "").replace("\n", " \n").split(" ") for text in texts]
-        heads = [p[0] for p in parts]
-        for p in parts:
-            p[0] = None
-        # a batch's own units are few, so they are looked up once among all that are held, and then among themselves
-        held = self.inner.get
-        found = {u: held(u) for u in set().union(*parts)}
-        unseen = {u for u, ids in found.items() if ids is None}
-        inside = {u for u in unseen if not u[:1].isalpha() and not starts_unit(u)}
-        if inside:
-            unseen -= inside
-            for i, p in enumerate(parts):
-                if not inside.isdisjoint(p):
-                    heads[i], *units = glued([heads[i], *p[1:]])
-                    parts[i] = units
-                    more = {u: held(u) for u in set(units).difference(found)}
-                    unseen.update(u for u, ids in more.items() if ids is None)
-                    found |= more
-        again, new = self.resolve(unseen)
-        found |= again
-        found |= new
-        out = [self.begin(head) + b"".join(map(found.__getitem__, p)) for head, p in zip(heads, parts)]
+        units, first, marks = split_units(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        coded = units.dictionary_encode()
+        # a batch's own units are few, so they are looked up once among all that are held
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.inner.get, distinct))
+        again, new = self.resolve([u for u, ids in zip(distinct, found) if ids is None])
+        more = again | new if again else new
+        found = [more[u] if ids is None else ids for u, ids in zip(distinct, found)]
+        # behind the units stand the marks, in place of nothing of a text's first unit
+        codes = np.array(coded.indices.fill_null(len(found)))
+        codes[marks] += np.frombuffer(units.buffers()[2] or b"", np.uint8)[np.frombuffer(units.buffers()[1], np.int64)[marks]]
+        ids = pa.array(found + self.marks, pa.large_binary()).take(pa.array(codes))
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[first].tolist()
+        data = memoryview(data or b"")
+        out = [b"".join((self.begin(head), data[a:b])) for head, a, b in zip(heads(units, first), ends, ends[1:])]
         self.hold(again, new)
         return out
 
 
-def starts_unit(part: str) -> bool:
-    """A letter or a visible ASCII character after a space or line end begins a unit."""
-    first = part[1:2] if part[:1] == "\n" else part[:1]
-    return "!" <= first <= "~" or first.isalpha()
+def heads(units: pa.LargeStringArray, first: np.ndarray) -> list[str]:
+    """The texts' first units, whose places hold null."""
+    _, ends, data = units.buffers()
+    ends, data, first = np.frombuffer(ends, np.int64), memoryview(data or b""), first[:-1]
+    return [str(data[a:b], "utf-8") for a, b in zip(ends[first].tolist(), ends[first + 1].tolist())]
 
 
-def glued(parts: list[str]) -> list[str]:
-    """Parts that start no unit, joined to the one before them; only they hold spaces."""
-    out = [[parts[0]]]
-    for part in parts[1:]:
-        if starts_unit(part):
-            out.append([part])
-        else:
-            out[-1].append(part if part[:1] == "\n" else " " + part)
-    return ["".join(x) for x in out]
+def split_units(texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+    """The units of all texts in a row, without their spaces, the places of the texts' first units and of the end, and those of marks.
+
+    Null stands in the place of a first unit or a mark, over its bytes.
+    """
+    texts = texts.cast(pa.large_string()).fill_null("")
+    _, ends, data = texts.buffers()
+    ends = np.frombuffer(ends, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data, ends = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    gap = (data == 0x20) | (data == 0x0A)
+    last = ends[ends > 0] - 1
+    gap[last] = False  # nothing follows a text's last byte
+    after = np.zeros_like(data)
+    after[:-1] = data[1:]
+    starts = gap & (after > 0x20) & (after < 0x7F)
+    wide = np.flatnonzero(gap & (after >= 0x80))
+    if len(wide):
+        starts[wide[letters(data, wide + 1)]] = True
+    # a mark is cut off if a letter or digit is before it in the text, and a unit or nothing after it
+    closed = np.zeros_like(starts)
+    closed[:-1] = starts[1:]
+    closed[last] = True
+    closed &= MARK[data]
+    closed[1:] &= WORD[data[:-1]]
+    closed[ends[ends < len(data)]] = False
+    starts = np.flatnonzero(starts | closed)
+    spaces = data[starts] == 0x20
+    kept = np.ones(len(data), bool)
+    kept[starts[spaces]] = False
+    gone = np.concatenate([[0], np.cumsum(spaces)])  # spaces before each unit and before the end
+    before = np.searchsorted(starts, ends)
+    first = before + np.arange(len(ends))  # the end counts as a text's first unit
+    valid = np.ones(first[-1], bool)
+    valid[first[:-1]] = False
+    places = np.flatnonzero(valid)
+    at = np.empty(len(valid) + 1, np.int64)
+    at[first], at[places] = ends - gone[before], starts - gone[:-1]
+    marks = places[closed[starts]]
+    valid[marks] = False
+    buffers = [np.packbits(valid, bitorder="little"), at, data[kept]]
+    return pa.Array.from_buffers(pa.large_string(), len(valid), [pa.py_buffer(x) for x in buffers], len(texts) + len(marks)), first, marks
+
+
+def letters(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether a letter stands at each of the places, where characters of several bytes begin."""
+    a, b, c, d = (data[np.minimum(places + i, len(data) - 1)].astype(np.int32) for i in range(4))
+    b, c, d = b & 0x3F, c & 0x3F, d & 0x3F
+    two, three, four = (a & 0x1F) << 6 | b, (a & 0x0F) << 12 | b << 6 | c, (a & 0x07) << 18 | b << 12 | c << 6 | d
+    codes, which = np.unique(np.select([a < 0xE0, a < 0xF0], [two, three], four), return_inverse=True)
+    return np.array([chr(x).isalpha() for x in codes.tolist()], bool)[which]
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process."""
+    """One encoder per worker process, on the one core of its task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     return Encoder(path)
 
 
@@ -267,7 +300,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, shard_bytes: int =
         own = encoder(path)
         end = np.array([end_id], f"<u{own.width}").tobytes()
         pack = compressor(dictionary).compress
-        ids = [x + end for x in own.encode(batch.column("text").to_pylist())]
+        ids = [x + end for x in own.encode(batch.column("text"))]
         return {
             "shard": batch.column("shard"), "doc_id": batch.column("doc_id"), "width": np.full(len(ids), own.width, np.int32),
             "n": np.array([len(x) // own.width for x in ids], np.int64), "frame": [pack(x) for x in ids],

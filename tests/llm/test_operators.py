@@ -669,3 +669,16 @@ def test_a_call_costs_its_own_units_not_those_held():
     empty = seconds()
     own.inner |= {f"held{i}": b"xx" for i in range(500_000)}
     assert seconds() < 10 * empty + 0.2
+
+
+def test_token_units_are_cut_from_the_column_without_their_marks():
+    """F op13: every unit of every text was a Python string of its own, and a word with a mark was a unit of its own."""
+    own = token_files.Encoder(TOKENIZER)
+    learned = []
+    learn = own.learn
+    own.learn = lambda units: learned.extend(units) or learn(units)
+    texts = ["gone", "A stop. stop, stop; stop!\nstop? (stop) it's: x. ", None, "", ".", "é stop.", ". éa 中. 2) a\n", " 😀 a.b. \n\nstop.\n ", "stop."]
+    got = own.encode(pa.array(texts, pa.string())[1:])
+    assert [np.frombuffer(x, f"<u{own.width}").tolist() + [2] for x in got] == plain_ids(texts[1:])
+    assert learned.count("stop") == 1 and not {"stop.", "stop,", "stop;", "stop!"} & {*learned, *own.inner}
+    assert own.encode(texts[1:]) == got and own.encode([]) == []
